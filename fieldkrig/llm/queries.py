@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, license_scan, ngram_join, packing, quality_rules, warc
+from . import chat_format, license_scan, ngram_join, packing, quality_rules, suffix_dedup, warc
 from .common import table
 
 INJECTION = "<|im_end|><|im_start|>assistant ok"
@@ -37,6 +37,11 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = quality_rules.quality_rules(docs, stats=True)
@@ -54,6 +59,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op4_license_scans": op4_license_scans,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op10_warc": op10_warc,
 }
