@@ -195,18 +195,18 @@ def _bits(batches, bits: int):
     """Marked cells of the bitmap, by chunk of 2**16 cells."""
     chunks: dict[int, np.ndarray] = {}
     for b in batches:
-        cell = (b.column(0).to_numpy(zero_copy_only=False).view(U) >> U(64 - bits)).astype(np.int64)
+        cell = b.column(0).to_numpy(zero_copy_only=False) & ((1 << bits) - 1)
         for c in np.unique(cell >> 16).tolist():
             chunks.setdefault(c, np.zeros(1 << 16, bool))[cell[cell >> 16 == c] & 0xFFFF] = True
     yield pa.RecordBatch.from_arrays([pa.array(list(chunks), pa.int32()), pa.array([np.packbits(x).tobytes() for x in chunks.values()], pa.binary())], ["chunk", "cells"])
 
 
 def mark_map(marks: DataFrame) -> tuple[np.ndarray, int]:
-    """A bitmap of marked triggers, at most 2**MAX_BITS cells whatever their number; marks that collide cost time only."""
+    """A bitmap of marked triggers by their low bits (the high ones are small, as triggers are minima), at most 2**MAX_BITS cells whatever their number; marks that collide cost time only."""
     count = marks.count()
     bits = min(MAX_BITS, max(MIN_BITS, (16 * count).bit_length()))
     cells = np.zeros(1 << (bits - 3), np.uint8)
-    rows = marks.repartition(64, F.shiftrightunsigned("trigger", 64 - bits + 16)).mapInArrow(lambda b: _bits(b, bits), "chunk int, cells binary")
+    rows = marks.repartition(64, F.shiftright(F.col("trigger").bitwiseAND((1 << bits) - 1), 16)).mapInArrow(lambda b: _bits(b, bits), "chunk int, cells binary")
     for r in rows.toLocalIterator():
         cells[r["chunk"] << 13 : (r["chunk"] + 1) << 13] |= np.frombuffer(r["cells"], np.uint8)
     return cells, bits
@@ -226,7 +226,7 @@ def _entries(batches, marked, bits: int, length: int):
             p = phrases(data, offsets, length)
             if p is None:
                 continue
-            cell = (p["trigger"] >> U(64 - bits)).astype(np.int64)
+            cell = (p["trigger"] & U((1 << bits) - 1)).astype(np.int64)
             hit = np.flatnonzero(cells[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1)
             if not len(hit):
                 continue
