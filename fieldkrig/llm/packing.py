@@ -18,8 +18,10 @@ occur.  An empty table gives an empty table.  Other columns are not carried.
 from __future__ import annotations
 
 import sys
+import types
 import zlib
 from bisect import bisect_left, insort
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +33,28 @@ from .common import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Most ids and bytes of words that a task's word table holds before it starts anew.
-TABLE_IDS, TABLE_BYTES = 4_000_000, 32_000_000
+#: Most words, ids and bytes that a process's word table holds before it starts anew.
+TABLE_WORDS, TABLE_IDS, TABLE_BYTES = 800_000, 8_000_000, 32_000_000
 #: Windows that one task merges.
 MERGE_ITEMS = 2048
 
 
+def word_table(tokenizer_path: str, eos: int) -> WordTable:
+    """The table of this Python process: a worker that runs several tasks keeps the words it knows."""
+    kept = sys.modules.setdefault("_fieldkrig_word_tables", types.ModuleType("_fieldkrig_word_tables"))
+    tables = kept.__dict__.setdefault("tables", {})
+    if (tokenizer_path, eos) not in tables:
+        tables[tokenizer_path, eos] = WordTable(tokenizer_path, eos)
+    return tables[tokenizer_path, eos]
+
+
 class WordTable:
-    """Ids of words, looked up by their bytes."""
+    """Ids of words, looked up by their bytes.
+
+    A word that ends in an ASCII letter or digit and then periods or commas has the ids of the
+    part before, then those of the marks; A-Z have the ids of a-z.  So only
+    lower-case parts (pieces) go through the tokenizer.
+    """
 
     def __init__(self, tokenizer_path: str, eos: int):
         from tokenizers import Tokenizer
@@ -48,27 +64,58 @@ class WordTable:
 
     def clear(self) -> None:
         self.codes: dict[bytes, int] = {}
+        self.pieces: dict[bytes, int] = {}
         self.pool = np.zeros(1 << 16, np.uint32)
         self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.n, self.used, self.bytes = 0, 0, 0
-        self._add([[self.eos]])
-
-    def _add(self, lists: list[list[int]]) -> None:
-        need = self.used + sum(map(len, lists))
-        if need > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(need, 2 * len(self.pool)) - self.used, np.uint32)])
-        if self.n + len(lists) > len(self.start):
-            grow = np.zeros(max(self.n + len(lists), 2 * len(self.start)) - self.n, np.int64)
+        self._add(np.array([self.eos], np.uint32), np.ones(1, np.int64))
+
+    def _add(self, flat: np.ndarray, lengths: np.ndarray) -> int:
+        """Appends entries; returns the first one's code."""
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(flat), self.used), np.uint32)])
+        if self.n + len(lengths) > len(self.start):
+            grow = np.zeros(max(len(lengths), self.n), np.int64)
             self.start, self.length = np.concatenate([self.start[: self.n], grow]), np.concatenate([self.length[: self.n], grow])
-        for ids in lists:
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.start[self.n], self.length[self.n] = self.used, len(ids)
-            self.used += len(ids)
-            self.n += 1
+        first, to = self.n, self.n + len(lengths)
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.start[first:to], self.length[first:to] = self.used + np.cumsum(lengths) - lengths, lengths
+        self.used, self.n = self.used + len(flat), to
+        return first
+
+    def _flat(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all codes joined, running count of ids)."""
+        length = self.length[codes]
+        total = np.cumsum(length)
+        if not len(codes):
+            return np.zeros(0, np.uint32), total
+        return self.pool[np.arange(total[-1]) + np.repeat(self.start[codes] - (total - length), length)], total
+
+    def _learn(self, words: list[bytes]) -> None:
+        split = []
+        for w in words:
+            x = w if b"<|" in w else w.lower()
+            part = x.rstrip(b".,")
+            split.append((part, x[len(part) :]) if part and len(part) < len(x) and part[-1:].isalnum() else (x, b""))
+        new = list({p for pair in split for p in pair if p}.difference(self.pieces))
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)]
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            first = self._add(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths)
+            self.pieces.update(zip(some, range(first, self.n)))
+        self.codes.update((w, self.pieces[part]) for w, (part, marks) in zip(words, split) if not marks)
+        both = [(w, self.pieces[part], self.pieces[marks]) for w, (part, marks) in zip(words, split) if marks]
+        if both:
+            codes = np.array([x[1:] for x in both], np.int64)
+            flat, _ = self._flat(codes.ravel())
+            first = self._add(flat, self.length[codes].sum(axis=1))
+            self.codes.update(zip((x[0] for x in both), range(first, self.n)))
+        self.bytes += sum(map(len, words)) + sum(map(len, new))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, then the end id."""
-        if self.used > TABLE_IDS or self.bytes > TABLE_BYTES:
+        if self.used > TABLE_IDS or self.bytes > TABLE_BYTES or len(self.codes) > TABLE_WORDS:
             self.clear()
         words, counts = [], []
         for t in texts:
@@ -76,20 +123,12 @@ class WordTable:
             words += own
             counts.append(len(own))
         new = list(set(words).difference(self.codes))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            base = self.n
-            self._add([e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)])
-            self.codes.update(zip(part, range(base, self.n)))
-            self.bytes += sum(map(len, part))
+        if new:
+            self._learn(new)
         codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
         ends = np.cumsum(counts)
-        codes = np.insert(codes, ends, 0)  # code 0 is the end id
-        length = self.length[codes]
-        total = np.cumsum(length)
-        flat = np.arange(total[-1]) + np.repeat(self.start[codes] - (total - length), length)
-        cut = total[ends + np.arange(len(texts))]
-        return np.split(self.pool[flat], cut[:-1])
+        flat, total = self._flat(np.insert(codes, ends, 0))  # code 0 is the end id
+        return np.split(flat, total[ends + np.arange(len(texts))][:-1])
 
 
 class Windows:
@@ -123,7 +162,7 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def _pack(batches, tokenizer_path: str, limit: int, eos: int, k: int, with_ids: bool, slice_bytes: int = 1_000_000):
     from pyspark import TaskContext
 
-    words = WordTable(tokenizer_path, eos)
+    words = word_table(tokenizer_path, eos)
     windows = Windows(limit, k, TaskContext.get().partitionId() << 32)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
