@@ -1,5 +1,11 @@
 """Errors that operators raise."""
 
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class GeostatError(ValueError):
     """Base of all errors of this package."""

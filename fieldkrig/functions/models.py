@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import json
 import math
 from dataclasses import dataclass, field
@@ -13,6 +14,10 @@ from pyspark.sql import functions as F
 from ..errors import InvalidParameter
 from .special import bessel_k
 
+from pyspark import cloudpickle  # noqa: E402
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAX_NU = 15.0
 #: Short names, and the bounded families that a search over the best family tries.
 NAMES = {"sph": "spherical", "exp": "exponential", "gau": "gaussian", "m32": "matern32", "m52": "matern52", "cir": "circular", "circ": "circular", "hol": "hole", "wav": "wave", "ste": "stable", "pow": "power", "mat": "matern"}

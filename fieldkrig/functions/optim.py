@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 import numpy as np
 
+from pyspark import cloudpickle  # noqa: E402
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def nelder_mead(f, x0, step: float = 0.25, max_iter: int = 1000) -> tuple[np.ndarray, float]:
     """Coefficients: reflection 1, expansion 2, contraction 0.5, shrinkage 0.5."""

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 import math
 
+from pyspark import cloudpickle  # noqa: E402
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MASK = (1 << 64) - 1
 GOLDEN = 0x9E3779B97F4A7C15
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 import math
 
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pyspark import cloudpickle  # noqa: E402
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The polynomial approximation of the normal distribution (absolute error < 7.5e-8)
 # and the rational approximation of its inverse (relative error < 1.15e-9).
 CDF_P = 0.2316419

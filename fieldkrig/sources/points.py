@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import json
 import math
 from dataclasses import dataclass
@@ -12,6 +13,10 @@ from pyspark.sql import functions as F
 from ..errors import DuplicatePoints, InvalidParameter
 from ..functions.models import VariogramModel
 
+from pyspark import cloudpickle  # noqa: E402
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def coords(df: DataFrame) -> list[str]:
     return ["x", "y", "z"] if "z" in df.columns else ["x", "y"]
