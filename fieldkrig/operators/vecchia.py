@@ -131,17 +131,17 @@ def loglik_frame(spark: SparkSession, xyz, values, model: VariogramModel, plan:
     return spark.range(len(values)).mapInPandas(run, "term double").agg(F.sum("term").alias("loglik"))
 
 
-def blocks(plan: Plan, m: int) -> list[np.ndarray]:
-    """Neighbouring positions merged while a point brings at most MERGE * m new ones into the block's set."""
-    out, own, known = [], [0], {0}
+def blocks(plan: Plan, group_size: int = 16) -> list[np.ndarray]:
+    """Runs of positions, at most group_size each, that grow while at most MERGE of a point's neighbours are new to the block's set."""
+    out, own, known = [], [0], set(plan.nbrs[0].tolist()) | {0}
     for i in range(1, len(plan.nbrs)):
-        need = {i, *plan.nbrs[i].tolist()}
-        if len(need - known) - 1 <= MERGE * m:
+        need = set(plan.nbrs[i].tolist())
+        if len(own) < group_size and len(need - known) <= MERGE * max(1, len(need)):
             own.append(i)
-            known |= need
         else:
             out.append(np.array(own))
-            own, known = [i], need
+            own, known = [i], set()
+        known |= need | {i}
     out.append(np.array(own))
     return out
 
@@ -258,7 +258,7 @@ def mle(xyz, values, kind: str = "exponential", m: int = 20, grouped: bool = Fal
     if name == "power":
         raise InvalidParameter("the likelihood takes a bounded model")
     plan = make_plan(xyz, m)
-    groups = blocks(plan, m) if grouped else None
+    groups = blocks(plan) if grouped else None
     starts, extent = _vecchia_starts(xyz, values)
     f = lambda x: loglik_grouped(xyz, values, _unpack(x, name, param), plan, groups) if grouped else loglik(xyz, values, _unpack(x, name, param), plan)
     gradient = None
@@ -324,7 +324,7 @@ def reml(xyz, values, kind: str = "exponential", degree: int = 1, m: int = 20, c
     if len(values) <= basis.shape[1] + 1:
         raise InsufficientData("more points than trend terms are needed")
     plan = make_plan(xyz, m)
-    groups = blocks(plan, m) if grouped else None
+    groups = blocks(plan) if grouped else None
     starts, extent = _vecchia_starts(xyz, values)
     x, value = _maximize(lambda x: reml_loglik(xyz, values, basis, _unpack(x, name, param), plan, groups), starts, extent)
     return Estimate(_unpack(x, name, param), value)
