@@ -107,9 +107,9 @@ def lazy_stats(text: Column) -> dict[str, Column]:
         "n_words": F.size(words).cast("long"),
         "word_chars": word_chars(text),
         "n_symbols": symbols(text),
-        "n_dup_lines": let(lines_with_words(text), duplicate_lines),
+        "n_dup_lines": duplicate_lines(lines_with_words(text)),
         "n_lines": F.size(lines_with_words(text)).cast("long"),
-        "n_repeat_words": let(window_hashes(words), repeated_words),
+        "n_repeat_words": repeated_words(window_hashes(words)),
         "n_exclaims": exclaims(text),
     }
 
