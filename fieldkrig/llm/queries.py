@@ -81,4 +81,39 @@ QUERIES = {
     "op10_warc": op10_warc,
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = "list_filter(string_split_regex(coalesce(\"text\",''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+ORACLES: dict[str, str] = {
+    "op1_chat_formatting": r"""
+with c as (
+  select conv_id::bigint conv_id, turn::bigint turn, coalesce(role,'') r, coalesce("text",'') t from conversations
+  union all values (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')),
+e as (select *, regexp_replace(t, '<(\\*)\|', '<\\\1|', 'g') et from c)
+select conv_id, count(*)::bigint n_turns,
+  sha256(string_agg(r || chr(10) || t || chr(10), '' order by turn, r, t)) turns_sha256,
+  sum(case when r = 'assistant' then length(t) else 0 end)::bigint loss_chars,
+  sha256(coalesce(string_agg(case when r = 'assistant' then t else '' end, '' order by turn, r, t), '')) loss_sha256,
+  sum(12 + length(r) + 1 + length(et) + 11)::bigint formatted_chars
+from e group by conv_id""",
+    "op6_ngram_jaccard_join": f"""
+with recursive w as (select doc_id, {_WORDS.replace('coalesce("text",' + "''" + ')', "translate(coalesce(" + chr(34) + "text" + chr(34) + ",''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ws from documents),
+s as (select distinct doc_id, array_to_string(ws[i:i+4], ' ') sh from (select doc_id, ws, unnest(range(1, greatest(len(ws)-4, 1)+1)) i from w where len(ws) > 0)),
+n as (select doc_id, count(*) n from s group by 1),
+e as (select a.doc_id x, b.doc_id y from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id join n na on na.doc_id = a.doc_id join n nb on nb.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id having 100 * count(*) >= 80 * (any_value(na.n) + any_value(nb.n) - count(*))),
+r as (select x, y from e union select r.x, e.y from r join e on r.y = e.x)
+select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, least(d.doc_id, coalesce(m.m, d.doc_id))::bigint component_id
+from documents d left join n using (doc_id) left join (select x, min(y) m from r group by 1) m on m.x = d.doc_id""",
+    "op8_quality_rules": f"""
+with w as (select doc_id, coalesce("text",'') t, {_WORDS} ws from documents),
+win as (select doc_id, i, array_to_string(ws[i:i+7], ' ') k from (select doc_id, ws, unnest(range(1, len(ws)-6)) i from w where len(ws) > 7)),
+cov as (select distinct doc_id, i + j p from (select doc_id, i, count(*) over (partition by doc_id, k) n from win) cross join (select unnest(range(8)) j) where n > 1),
+rep as (select doc_id, count(*) n from cov group by 1),
+l as (select doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) ls from w),
+b as (select w.doc_id, len(ws)::bigint n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g'))::bigint word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::bigint n_symbols,
+  (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines, len(ls) n_lines, coalesce(rep.n, 0)::bigint n_repeat_words, length(regexp_replace(t, '[^!]+', '', 'g')) n_exclaims
+  from w join l using (doc_id) left join rep using (doc_id))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 or 100*n_repeat_words > 30*n_words) base_failed,
+  not (n_words < 20 or 100*n_repeat_words > 30*n_words or 10*n_symbols > 3*n_words or (n_dup_lines >= 3 and 2*n_dup_lines > n_lines) or word_chars < 2*n_words or word_chars > 20*n_words or 10*n_exclaims > 3*n_words) kept
+from b""",
+}
