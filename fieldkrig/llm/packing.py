@@ -29,12 +29,13 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import byte_kernel as bk
 from .common import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Most words, ids and bytes that a process's word table holds before it starts anew.
-TABLE_WORDS, TABLE_IDS, TABLE_BYTES = 800_000, 8_000_000, 32_000_000
+#: Most words, pieces and ids that a process's word table holds (about 120 MB) before it starts anew.
+TABLE_WORDS, TABLE_PIECES, TABLE_IDS = 1_500_000, 150_000, 12_000_000
 #: Windows that one task merges.
 MERGE_ITEMS = 2048
 
@@ -48,8 +49,49 @@ def word_table(tokenizer_path: str, eos: int) -> WordTable:
     return tables[tokenizer_path, eos]
 
 
+class HashTable:
+    """Open addressing from 64-bit hashes to codes, by whole arrays; 12 bytes a slot, at most half full."""
+
+    def __init__(self):
+        self.n, self.keys, self.codes = 0, np.zeros(1 << 12, np.uint64), np.full(1 << 12, -1, np.int32)
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h & np.uint64(len(self.keys) - 1)).astype(np.int64)
+
+    def get(self, h: np.ndarray) -> np.ndarray:
+        """The code of each hash, -1 if missing."""
+        slot = self._slot(h)
+        out = self.codes[slot]
+        left = np.flatnonzero((out >= 0) & (self.keys[slot] != h))
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & (len(self.keys) - 1)
+            out[left] = self.codes[slot]
+            go = (out[left] >= 0) & (self.keys[slot] != h[left])
+            left, slot = left[go], slot[go]
+        return out
+
+    def put(self, h: np.ndarray, codes: np.ndarray) -> None:
+        """Distinct hashes that are missing."""
+        if 2 * (self.n + len(h)) > len(self.keys):
+            old, own = self.keys[self.codes >= 0], self.codes[self.codes >= 0]
+            size = 1 << (2 * (self.n + len(h))).bit_length()
+            self.n, self.keys, self.codes = 0, np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+            self.put(old, own)
+        self.n += len(h)
+        left, slot = np.arange(len(h)), self._slot(h)
+        while len(left):
+            free = np.flatnonzero(self.codes[slot] < 0)
+            _, one = np.unique(slot[free], return_index=True)
+            put = free[one]
+            self.keys[slot[put]], self.codes[slot[put]] = h[left[put]], codes[left[put]]
+            stay = np.ones(len(left), bool)
+            stay[put] = False
+            left, slot = left[stay], (slot[stay] + 1) & (len(self.keys) - 1)
+
+
 class WordTable:
-    """Ids of words, looked up by their bytes.
+    """Ids of words, looked up by a 64-bit hash of their bytes (equal hashes are taken for equal words).
 
     A word that ends in an ASCII letter or digit and then periods or commas has the ids of the
     part before, then those of the marks; A-Z have the ids of a-z.  So only
@@ -63,19 +105,19 @@ class WordTable:
         self.clear()
 
     def clear(self) -> None:
-        self.codes: dict[bytes, int] = {}
+        self.table = HashTable()
         self.pieces: dict[bytes, int] = {}
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.n, self.used, self.bytes = 0, 0, 0
-        self._add(np.array([self.eos], np.uint32), np.ones(1, np.int64))
+        self.pool = np.zeros(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+        self.start, self.length = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
+        self.n, self.used = 0, 0
+        self._add(np.array([self.eos]), np.ones(1, np.int64))
 
     def _add(self, flat: np.ndarray, lengths: np.ndarray) -> int:
         """Appends entries; returns the first one's code."""
         if self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(flat), self.used), np.uint32)])
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(flat), self.used // 2), self.pool.dtype)])
         if self.n + len(lengths) > len(self.start):
-            grow = np.zeros(max(len(lengths), self.n), np.int64)
+            grow = np.zeros(max(len(lengths), self.n // 2), np.int32)
             self.start, self.length = np.concatenate([self.start[: self.n], grow]), np.concatenate([self.length[: self.n], grow])
         first, to = self.n, self.n + len(lengths)
         self.pool[self.used : self.used + len(flat)] = flat
@@ -85,50 +127,54 @@ class WordTable:
 
     def _flat(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all codes joined, running count of ids)."""
-        length = self.length[codes]
+        length = self.length[codes].astype(np.int64)
         total = np.cumsum(length)
         if not len(codes):
             return np.zeros(0, np.uint32), total
-        return self.pool[np.arange(total[-1]) + np.repeat(self.start[codes] - (total - length), length)], total
+        return self.pool[np.arange(total[-1]) + np.repeat(self.start[codes] - (total - length), length)].astype(np.uint32), total
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, words: list[bytes]) -> np.ndarray:
+        """Codes for new words."""
+        if len(self.pieces) > TABLE_PIECES:
+            self.pieces = {}
         split = []
         for w in words:
             x = w if b"<|" in w else w.lower()
             part = x.rstrip(b".,")
             split.append((part, x[len(part) :]) if part and len(part) < len(x) and part[-1:].isalnum() else (x, b""))
         new = list({p for pair in split for p in pair if p}.difference(self.pieces))
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
+        for at in range(0, len(new), 4_000):
+            some = new[at : at + 4_000]
             ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)]
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             first = self._add(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths)
             self.pieces.update(zip(some, range(first, self.n)))
-        self.codes.update((w, self.pieces[part]) for w, (part, marks) in zip(words, split) if not marks)
-        both = [(w, self.pieces[part], self.pieces[marks]) for w, (part, marks) in zip(words, split) if marks]
-        if both:
-            codes = np.array([x[1:] for x in both], np.int64)
-            flat, _ = self._flat(codes.ravel())
-            first = self._add(flat, self.length[codes].sum(axis=1))
-            self.codes.update(zip((x[0] for x in both), range(first, self.n)))
-        self.bytes += sum(map(len, words)) + sum(map(len, new))
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each text, then the end id."""
-        if self.used > TABLE_IDS or self.bytes > TABLE_BYTES or len(self.codes) > TABLE_WORDS:
+        part = np.fromiter((self.pieces[p] for p, _ in split), np.int64, len(split))
+        marks = np.fromiter((self.pieces[m] if m else -1 for _, m in split), np.int64, len(split))
+        both = np.flatnonzero(marks >= 0)
+        if len(both):
+            pairs = np.stack([part[both], marks[both]], axis=1)
+            flat, _ = self._flat(pairs.ravel())
+            lengths = self.length[pairs].sum(axis=1)
+            part[both] = self._add(flat, lengths) + np.arange(len(both))
+        return part
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text of a slice, then the end id."""
+        if self.used > TABLE_IDS or self.table.n > TABLE_WORDS:
             self.clear()
-        words, counts = [], []
-        for t in texts:
-            own = t.split()
-            words += own
-            counts.append(len(own))
-        new = list(set(words).difference(self.codes))
-        if new:
-            self._learn(new)
-        codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
-        ends = np.cumsum(counts)
-        flat, total = self._flat(np.insert(codes, ends, 0))  # code 0 is the end id
-        return np.split(flat, total[ends + np.arange(len(texts))][:-1])
+        starts, ends, firsts = bk.word_bounds(data, offsets)
+        h = bk.word_hashes(data, starts, ends, bk.VALUES)
+        codes = self.table.get(h)
+        missing = np.flatnonzero(codes < 0)
+        if len(missing):
+            new, at, back = np.unique(h[missing], return_index=True, return_inverse=True)
+            raw = data.tobytes()
+            own = self._learn([raw[a:z] for a, z in zip(starts[missing[at]].tolist(), ends[missing[at]].tolist())])
+            self.table.put(new, own.astype(np.int32))
+            codes[missing] = own[back]
+        flat, total = self._flat(np.insert(codes, firsts[1:], 0))  # code 0 is the end id
+        return np.split(flat, total[firsts[1:] + np.arange(len(offsets) - 1)][:-1])
 
 
 class Windows:
@@ -159,7 +205,7 @@ class Windows:
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _pack(batches, tokenizer_path: str, limit: int, eos: int, k: int, with_ids: bool, slice_bytes: int = 1_000_000):
+def _pack(batches, tokenizer_path: str, limit: int, eos: int, k: int, with_ids: bool):
     from pyspark import TaskContext
 
     words = word_table(tokenizer_path, eos)
@@ -176,16 +222,10 @@ def _pack(batches, tokenizer_path: str, limit: int, eos: int, k: int, with_ids:
         return pa.RecordBatch.from_arrays(columns, fields)
 
     for batch in batches:
-        doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        lo = 0
-        while lo < len(doc_ids):
-            part, size, hi = [], 0, lo
-            while hi < len(doc_ids) and (hi == lo or size < slice_bytes):
-                part.append((texts[hi].as_py() or "").encode("utf-8", "replace"))
-                size += len(part[-1])
-                hi += 1
+        doc_ids = batch.column(0).to_pylist()
+        for lo, hi, data, offsets in bk.slices(batch.column(1)):
             rows, pieces = [], []
-            for doc_id, ids in zip(doc_ids[lo:hi], words.encode(part)):
+            for doc_id, ids in zip(doc_ids[lo:hi], words.encode(data, offsets)):
                 n = len(ids)
                 for start in range(0, n, limit):
                     piece = ids[start : start + limit]
@@ -193,7 +233,6 @@ def _pack(batches, tokenizer_path: str, limit: int, eos: int, k: int, with_ids:
                     rows.append((doc_id, start, len(piece), zlib.crc32(piece.astype("<u4").tobytes()), n, window, offset))
                     pieces.append(piece)
             yield rows_of(rows, pieces, False)
-            lo = hi
     # The windows that are still open, as rows of their own: start is their fill.
     left = [(None, limit - room, 0, 0, 0, window, 0) for room, window in windows.open]
     yield rows_of(left, [np.zeros(0, np.uint32)] * len(left), True)
