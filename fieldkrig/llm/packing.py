@@ -18,7 +18,6 @@ occur.  An empty table gives an empty table.  Other columns are not carried.
 from __future__ import annotations
 
 import sys
-import types
 import zlib
 from bisect import bisect_left, insort
 from itertools import chain
@@ -34,21 +33,12 @@ from .common import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Most words, pieces and ids that a process's word table holds (about 120 MB) before it starts anew.
+#: Most words, pieces and ids that a task's word table holds (about 120 MB) before it starts anew.
 TABLE_WORDS, TABLE_PIECES, TABLE_IDS = 1_500_000, 150_000, 12_000_000
 #: Windows that one task merges.
 MERGE_ITEMS = 2048
 
 
-def word_table(tokenizer_path: str, eos: int) -> WordTable:
-    """The table of this Python process: a worker that runs several tasks keeps the words it knows."""
-    kept = sys.modules.setdefault("_fieldkrig_word_tables", types.ModuleType("_fieldkrig_word_tables"))
-    tables = kept.__dict__.setdefault("tables", {})
-    if (tokenizer_path, eos) not in tables:
-        tables[tokenizer_path, eos] = WordTable(tokenizer_path, eos)
-    return tables[tokenizer_path, eos]
-
-
 class HashTable:
     """Open addressing from 64-bit hashes to codes, by whole arrays; 12 bytes a slot, at most half full."""
 
@@ -208,7 +198,7 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def _pack(batches, tokenizer_path: str, limit: int, eos: int, k: int, with_ids: bool):
     from pyspark import TaskContext
 
-    words = word_table(tokenizer_path, eos)
+    words = WordTable(tokenizer_path, eos)
     windows = Windows(limit, k, TaskContext.get().partitionId() << 32)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
