@@ -33,8 +33,8 @@ from .common import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Most words, pieces and ids that a task's word table holds (about 120 MB) before it starts anew.
-TABLE_WORDS, TABLE_PIECES, TABLE_IDS = 1_500_000, 150_000, 12_000_000
+#: Most words, pieces and ids that a task's word table holds (about 180 MB) before it starts anew.
+TABLE_WORDS, TABLE_PIECES, TABLE_IDS = 1_500_000, 600_000, 12_000_000
 #: Windows that one task merges.
 MERGE_ITEMS = 2048
 
