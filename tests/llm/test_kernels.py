@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fieldkrig.llm import common, kn_classifier, lm_score, ngram_join, packing, suffix_dedup, warc
@@ -248,6 +249,30 @@ def test_rare_words_join(spark, monkeypatch):
         assert abs(r["base_score"] - base) < 1e-6
 
 
+def summed_tables(vocabulary, parts):
+    """Ones and zeros of all slots, with each part counted by a task of its own."""
+    held, total = type("Held", (), {"value": vocabulary}), np.zeros((2, lm_score.OFFSETS[-1]), np.int64)
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string())], ["doc_id", "text"])
+    for out in lm_score._sum_tables(b for rows in parts for b in lm_score._tables([batch(rows)], held)):
+        for chunk, width, raw in zip(*(c.to_pylist() for c in out.columns)):
+            pair = np.frombuffer(raw, f"<u{width}").reshape(2, -1)
+            total[:, chunk * lm_score.CHUNK : chunk * lm_score.CHUNK + pair.shape[1]] = pair
+    return total
+
+
+def test_context_counts_are_exact():
+    """A context seen more than 65535 times by one task keeps its counts, whatever the partitioning."""
+    key = np.array([np.uint64(lm_score.tokens(np.frombuffer(w, np.uint8), np.array([0, 1]))[0][0]) for w in (b"a", b"b")])
+    vocabulary = lm_score.Vocabulary(key.view(np.int64), np.array([200_000, 70_000]), np.zeros(2, np.int64), 270_000, 2)
+    rows = [(d, "a a a b " * 25_000) for d in range(1, 9) if zlib.crc32(str(d).encode()) % 10][:4]
+    together, apart = summed_tables(vocabulary, [rows]), summed_tables(vocabulary, [[r] for r in rows])
+    assert (together == apart).all()
+    # Each text has 75,001 tokens after class 0 ("a", or the text's start); all have a one or a zero at the root.
+    root = lm_score.slots([np.zeros(1, np.uint64)] * 4, np.ones(1, np.int64))[0][0]
+    assert together[:, root].sum() == 4 * 75_001
+    assert together[:, : lm_score.OFFSETS[1]].sum() == 4 * 100_001 * lm_score.CLASS_BITS
+
+
 def test_class_probabilities_sum_to_one():
     rng = np.random.default_rng(3)
     mixer = lm_score.Mixer(rng.integers(0, 9, lm_score.OFFSETS[-1]), rng.integers(0, 9, lm_score.OFFSETS[-1]))
