@@ -201,9 +201,9 @@ def v14(s, d):
     return variogram.realization_qc(sims, EXPO, LAGS, REACH)
 
 
-def _arrays(s, d, n: int = 300):
+def _arrays(s, d):
     p = kriging.collect_points(field(s, d).select("id", "x", "y", "value"))
-    return p["xyz"][:n], p["value"][:n]
+    return p["xyz"], p["value"]
 
 
 @query("x2_vecchia_plan")
@@ -233,13 +233,13 @@ def _estimate(s, **e):
 
 @query("x6_vecchia_mle")
 def x6(s, d):
-    x, z = _arrays(s, d, 150)
+    x, z = _arrays(s, d)
     return _estimate(s, exponential=vecchia.mle(x, z, "exponential", 10))
 
 
 @query("x8_vecchia_reml")
 def x8(s, d):
-    x, z = _arrays(s, d, 80)
+    x, z = _arrays(s, d)
     return _estimate(s, reml=vecchia.reml(x, z, "exponential", 1, 8))
 
 

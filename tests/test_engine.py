@@ -8,10 +8,11 @@ import duckdb
 import numpy as np
 import pytest
 
-from fieldkrig import errors
+from fieldkrig import errors, queries_models
 from fieldkrig.functions import rng, special
 from fieldkrig.functions.models import BEST, Anisotropy, Structure, VariogramModel, parse_kind, parse_kinds, single
 from fieldkrig.operators import cokriging, fit, indicator, kriging, simulate, transform, vecchia
+from fieldkrig.queries import QUERIES
 from fieldkrig.sources import gpkg
 from fieldkrig.sources.points import Grid, points, read_csv, validate_points
 
@@ -307,3 +308,21 @@ def test_oracles(spark, name):
     key = lambda r: tuple((v is not None, v if v is not None else 0) for v in r)
     at = [want.columns.index(c) for c in columns]
     assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=key) == sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=key)
+
+
+def test_vecchia_queries_take_the_whole_table(spark, tmp_path):
+    n = 330
+    e = np.random.default_rng(4).uniform(-0.5, 0.5, (n, 4))
+    spark.createDataFrame([(i, [float(v) for v in (*e[i], 0, 0, 0)], 0) for i in range(n)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    x, z = queries_models._arrays(spark, str(tmp_path))
+    run = lambda name: [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()]
+    model, plan = queries_models.EXPO, vecchia.make_plan(x, 10)
+    assert len(x) == n and sorted(r[1] for r in run("x2_vecchia_plan")) == list(range(n))
+    assert abs(run("x3_vecchia_loglik")[0][0] - vecchia.loglik(x, z, model, plan)) < 1e-8
+    assert abs(run("x4_vecchia_grouped")[0][0] - vecchia.loglik_grouped(x, z, model, plan, vecchia.blocks(plan))) < 1e-8
+    for name, best in (("x6_vecchia_mle", vecchia.mle(x, z, "exponential", 10)), ("x8_vecchia_reml", vecchia.reml(x, z, "exponential", 1, 8))):
+        assert abs(run(name)[0][4] - best.loglik) < 1e-8
+    se = [v for _, v in run("x10_vecchia_param_se")]
+    assert np.allclose(np.array(se, float), vecchia.param_se(x, z, model, 10), equal_nan=True)
+    t = np.array([(0.05 * i - 0.4, 0.03 * i - 0.3) for i in range(20)])
+    assert np.allclose([r[1:] for r in run("x11_vecchia_predict")], np.stack(vecchia.predict(x, z, t, model, 20), axis=1))
