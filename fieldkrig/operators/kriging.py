@@ -295,12 +295,14 @@ def block_fold(data: DataFrame, n: tuple[int, ...]) -> DataFrame:
 
 
 def shuffled_fold(data: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """data plus ``fold`` by a seeded shuffle of the ids in order (ids go to the driver: at most MAX_BROADCAST)."""
+    """data plus ``fold`` by a seeded shuffle of the ids in order (ids go to the driver: at most MAX_BROADCAST, else an error)."""
     from ..functions.rng import fold_of
 
     if k < 2:
         raise InvalidParameter("at least two folds are needed")
-    ids = [r["id"] for r in data.select("id").orderBy("id").limit(MAX_BROADCAST).toLocalIterator()]
+    ids = [r["id"] for r in data.select("id").orderBy("id").limit(MAX_BROADCAST + 1).toLocalIterator()]
+    if len(ids) > MAX_BROADCAST:
+        raise InvalidParameter(f"more than {MAX_BROADCAST} points to fold; cross-validate by region")
     folds = data.sparkSession.createDataFrame(list(zip(ids, fold_of(len(ids), k, seed))), "id long, fold int")
     return data.join(folds, "id")
 

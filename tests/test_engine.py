@@ -326,3 +326,11 @@ def test_vecchia_queries_take_the_whole_table(spark, tmp_path):
     assert np.allclose(np.array(se, float), vecchia.param_se(x, z, model, 10), equal_nan=True)
     t = np.array([(0.05 * i - 0.4, 0.03 * i - 0.3) for i in range(20)])
     assert np.allclose([r[1:] for r in run("x11_vecchia_predict")], np.stack(vecchia.predict(x, z, t, model, 20), axis=1))
+
+
+def test_shuffled_fold_drops_no_point(spark, monkeypatch):
+    monkeypatch.setattr(kriging, "MAX_BROADCAST", 12)
+    make = lambda n: spark.range(n).selectExpr("id", "id * 1.0D as x", "0.0D as y", "1.0D as value")
+    assert kriging.shuffled_fold(make(12), 3).count() == 12
+    with pytest.raises(errors.InvalidParameter):
+        kriging.shuffled_fold(make(13), 3)
