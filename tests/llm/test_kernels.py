@@ -273,6 +273,17 @@ def test_context_counts_are_exact():
     assert together[:, : lm_score.OFFSETS[1]].sum() == 4 * 100_001 * lm_score.CLASS_BITS
 
 
+def test_mixer_learns_from_all_texts(spark, monkeypatch):
+    """Beyond 600 texts, and from texts of over 20,000 characters: every decision of every training text counts."""
+    met = []
+    adopt = lm_score.Mixer.adopt
+    monkeypatch.setattr(lm_score.Mixer, "adopt", lambda self, total: (met.append(total[self.weights.size :][: self.met.size].sum()), adopt(self, total)))
+    rows = [(i, f"a b c{i % 5}") for i in range(900)] + [(i, "a b c1 d " * 3000) for i in range(900, 906)]
+    lm_score.score_texts(frame(spark, rows)).collect()
+    tokens = sum(len(t.split()) + 1 for d, t in rows if zlib.crc32(str(d).encode()) % 10)
+    assert met == [tokens * lm_score.CLASS_BITS]
+
+
 def test_class_probabilities_sum_to_one():
     rng = np.random.default_rng(3)
     mixer = lm_score.Mixer(rng.integers(0, 9, lm_score.OFFSETS[-1]), rng.integers(0, 9, lm_score.OFFSETS[-1]))
