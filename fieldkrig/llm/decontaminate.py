@@ -12,6 +12,9 @@ not.
 An item leaks into a document if consistent diagonals cover at least
 min(RUN, half of its windows, rounded up) of its windows that hold enough plain words.
 
+An item none of whose windows holds enough plain words leaks where all its words stand in
+a row, in any case; it counts as one window.
+
 Items of fewer than LEAST tokens are too short to tell and never match; those of
 fewer than WIDTH are one window.  Null or empty texts have no windows.  Rows that
 repeat give equal rows.  Null ids stay null.  Empty tables: empty result.  Other
@@ -44,10 +47,15 @@ def window_hashes(tokens: Column, width: int) -> Column:
     return F.when(F.size(tokens) >= width, windows).otherwise(F.array().cast("array<bigint>"))
 
 
+def benchmark_items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
+    """item_id, words, tokens, width"""
+    items = benchmark.select(F.col(item_id).alias("item_id"), words_of(F.col(text), SEPARATORS).alias("words")).filter(F.size("words") >= LEAST).dropDuplicates()
+    return items.withColumn("tokens", F.transform("words", canonical)).withColumn("width", F.least(F.size("words"), F.lit(WIDTH)))
+
+
 def benchmark_windows(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     """One row per window: item_id, words, width, at, hash, n_windows (of the item)."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), words_of(F.col(text), SEPARATORS).alias("words")).filter(F.size("words") >= LEAST).dropDuplicates()
-    items = items.withColumn("tokens", F.transform("words", canonical)).withColumn("width", F.least(F.size("words"), F.lit(WIDTH)))
+    items = benchmark_items(benchmark, item_id, text)
     windows = items.select("item_id", "words", "width", "tokens", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("width"))).alias("at"))
     windows = windows.withColumn("_w", F.slice("tokens", F.col("at") + 1, F.col("width")))
     plain = F.size(F.filter("_w", lambda t: ~t.isin(*SLOTS)))
@@ -56,6 +64,26 @@ def benchmark_windows(benchmark: DataFrame, item_id: str, text: str) -> DataFram
     return windows.join(counts, ["item_id", "words"]).select("item_id", "words", "width", "at", "hash", "n_windows")
 
 
+def bare_items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
+    """Items none of whose windows holds enough plain words: item_id, raw (lower case), hash (of the first LEAST)."""
+    plain = lambda at: F.size(F.filter(F.slice("tokens", at + 1, F.col("width")), lambda t: ~t.isin(*SLOTS)))
+    items = benchmark_items(benchmark, item_id, text).filter(~F.exists(F.sequence(F.lit(0), F.size("words") - F.col("width")), lambda at: plain(at) >= PLAIN))
+    items = items.select("item_id", F.transform("words", F.lower).alias("raw")).distinct()
+    return items.withColumn("hash", F.xxhash64(F.transform(F.slice("raw", 1, LEAST), lambda t: F.xxhash64(t)), F.lit(LEAST)))
+
+
+def verbatim(base: DataFrame, bare: DataFrame) -> DataFrame:
+    """Documents in which all words of a bare item stand in a row, in the columns of leaks()."""
+    hashed = base.select("doc_id", "row_key", F.transform(words_of(F.col("text"), SEPARATORS), lambda w: F.xxhash64(F.lower(w))).alias("h"))
+    rows = hashed.select("doc_id", "row_key", F.posexplode(window_hashes(F.col("h"), LEAST)).alias("pos", "hash")).join(small_side(bare, BROADCAST_WINDOWS), "hash")
+    found = written(rows.groupBy("doc_id", "row_key", "item_id", "raw").agg(F.collect_set("pos").alias("at")), "verbatim")
+    found = small_side(found, BROADCAST_ROWS).withColumnsRenamed({"doc_id": "_id", "row_key": "_key"})
+    met = base.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key"))).withColumn("_own", F.transform(words_of(F.col("text"), SEPARATORS), F.lower))
+    met = met.filter(F.exists("at", lambda p: F.slice("_own", p + 1, F.size("raw")) == F.col("raw")))
+    one = F.lit(1).cast("long")
+    return met.select("doc_id", "row_key", "item_id", one.alias("n_windows"), one.alias("matched"), F.lit(True).alias("exact"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and leaked item: doc_id, row_key, item_id, n_windows, matched, exact (no slot differs)."""
     bench = written(benchmark_windows(benchmark, item_id, item_text), "benchmark")
@@ -82,7 +110,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     good = met.filter(consistent).select("doc_id", "row_key", "item_id", "words", "n_windows", "ats", F.forall("_slots", lambda p: p["theirs"] == p["own"]).alias("same"))
     pair = good.groupBy("doc_id", "row_key", "item_id", "words", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).cast("long").alias("matched"), F.bool_and("same").alias("exact"))
     need = F.least(F.lit(RUN), F.ceil(F.col("n_windows") / 2))
-    return pair.filter(F.col("matched") >= need).select("doc_id", "row_key", "item_id", "n_windows", "matched", "exact").dropDuplicates(["doc_id", "row_key", "item_id"])
+    out = pair.filter(F.col("matched") >= need).select("doc_id", "row_key", "item_id", "n_windows", "matched", "exact")
+    bare = written(bare_items(benchmark, item_id, item_text), "bare")
+    if not bare.isEmpty():
+        out = out.unionByName(verbatim(base, bare))
+    return out.dropDuplicates(["doc_id", "row_key", "item_id"])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

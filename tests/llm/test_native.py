@@ -126,6 +126,15 @@ def test_decontamination(spark):
     assert kept.columns == ["doc_id", "text"]
 
 
+def test_items_without_plain_words_leak_verbatim(spark):
+    item = "What is 12 plus 34 minus 56"
+    docs = [(1, "so: " + item + "?"), (2, item.lower()), (3, item.replace("56", "57")), (4, "12 plus 34 What is"), (5, None), (None, item), (6, item[:-3])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(0, item), (1, "Rome 1 2 3 Paris 4 5 6 7 8 9")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(df, bench).collect()} == {(1, 0), (2, 0), (None, 0)}
+    assert sorted(r["doc_id"] for r in decontaminate.decontaminate(df, bench).collect()) == [3, 4, 5, 6]
+
+
 def test_slots_must_be_consistent(spark):
     item = "Anna gave Bert 3 apples and then Anna asked Bert to return 3 of them before Anna left the small market"
     same = item.replace("Anna", "Cora").replace("Bert", "Dirk").replace("3", "8")
