@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.models import Structure, single
 from .operators import cokriging, fit, indicator, interpolation, kriging, simulate, transform, validate, variogram, vecchia
-from .queries import CUTS, EXPO, FIELD, LAGS, NEAR, REACH, _targets, field, pts3, query, rounded
+from .queries import CUTS, EXPO, FIELD, LAGS, NEAR, REACH, _all_targets, _targets, field, pts3, query, rounded
 from .sources.points import Grid
 
 GRID = Grid.from_bbox((-0.4, -0.4), (0.4, 0.4), (20, 20))
@@ -90,7 +90,7 @@ def k13one(s, d):
 
 @query("k13_cokriging")
 def k13(s, d):
-    return cokriging.cokrige(_targets(s, d), list(_two(s, d)), LMC, neighbors=NEAR)
+    return cokriging.cokrige(_all_targets(s, d), list(_two(s, d)), LMC, neighbors=NEAR)
 
 
 @query("k14_block_cokriging")
@@ -99,7 +99,7 @@ def k14(s, d):
 
 
 def _secondary_targets(s, d):
-    return field(s, d).filter("id % 5 = 0").select("id", (F.col("x") + 0.013).alias("x"), (F.col("y") - 0.007).alias("y"), "secondary")
+    return _all_targets(s, d, "secondary")
 
 
 @query("k15_collocated_cokriging")
@@ -114,7 +114,7 @@ def k15b(s, d):
 
 @query("k17_indicator_kriging")
 def k17(s, d):
-    return indicator.indicator_krige(_targets(s, d), field(s, d), list(CUTS), [INDICATOR], LOW, HIGH, neighbors=NEAR)
+    return indicator.indicator_krige(_all_targets(s, d), field(s, d), list(CUTS), [INDICATOR], LOW, HIGH, neighbors=NEAR)
 
 
 @query("k20_soft_indicator_kriging")
@@ -126,7 +126,7 @@ def k20(s, d):
         soft = soft.withColumn(f"p{k}", F.when(F.col("value") <= c, 0.85).otherwise(0.15))
         names.append(f"p{k}")
     b = indicator.calibrate_markov_bayes(soft, list(CUTS), names)
-    return indicator.indicator_krige(_targets(s, d), f.filter("id % 3 <> 0"), list(CUTS), [INDICATOR], LOW, HIGH, False, kriging.Neighbors(max=8), soft, tuple(names), b)
+    return indicator.indicator_krige(_all_targets(s, d), f.filter("id % 3 <> 0"), list(CUTS), [INDICATOR], LOW, HIGH, False, kriging.Neighbors(max=8), soft, tuple(names), b)
 
 
 @query("c5_loo_cokriging")

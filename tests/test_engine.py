@@ -334,3 +334,8 @@ def test_shuffled_fold_drops_no_point(spark, monkeypatch):
     assert kriging.shuffled_fold(make(12), 3).count() == 12
     with pytest.raises(errors.InvalidParameter):
         kriging.shuffled_fold(make(13), 3)
+
+
+@pytest.mark.parametrize("name", ["k3_universal_kriging", "k4_external_drift", "k5_power_model", "k10_octant_ellipsoid", "k11_global_neighborhood", "k13_cokriging", "k15_collocated_cokriging", "k15_collocated_mm2", "k17_indicator_kriging", "k20_soft_indicator_kriging", "k21_regression_kriging"])
+def test_queries_without_sql_take_all_targets(spark, name):
+    assert QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/embeddings.parquet").count()
