@@ -20,7 +20,9 @@ from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SLICE = 1 << 20
+SLICE = 1 << 18
+#: Powers that are kept from one slice to the next (16 MB); longer texts compute their own.
+KEPT_POWERS = 1 << 20
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 1)
 with np.errstate(over="ignore"):
@@ -56,14 +58,17 @@ _powers: dict[str, np.ndarray] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i < n."""
-    if not _powers or len(_powers["up"]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        with np.errstate(over="ignore"):
-            for k, b in (("up", BASE), ("down", BASE_INVERSE)):
-                p = np.full(size, b, U)
-                p[0] = U(1)
-                _powers[k] = np.multiply.accumulate(p)
-    return _powers["up"][:n], _powers["down"][:n]
+    if _powers and len(_powers["up"]) >= n:
+        return _powers["up"][:n], _powers["down"][:n]
+    size, made = 1 << max(16, (n - 1).bit_length()), {}
+    with np.errstate(over="ignore"):
+        for k, b in (("up", BASE), ("down", BASE_INVERSE)):
+            p = np.full(size, b, U)
+            p[0] = U(1)
+            made[k] = np.multiply.accumulate(p)
+    if size <= KEPT_POWERS:
+        _powers.update(made)
+    return made["up"][:n], made["down"][:n]
 
 
 def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -6,14 +6,18 @@ libraries and not this repository on their path.
 
 from __future__ import annotations
 
+import ctypes
 import sys
-import tempfile
-import uuid
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import delete_on_exit, fits, share, shared, shared_dir, written
+
+__all__ = ["BLANKS", "delete_on_exit", "fits", "give_back", "let", "map_arrow", "row_key", "share", "shared", "shared_dir", "small_side", "table", "unused", "words_of", "written"]
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: ASCII white space as Java regular expressions write it.
@@ -24,29 +28,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = getattr(spark, "_fieldkrig_shared", None) or tempfile.mkdtemp(prefix="fieldkrig-")
-        spark._fieldkrig_shared = root
-        root = f"file://{root}"
-    return root.rstrip("/")
+def map_arrow(df: DataFrame, task, schema) -> DataFrame:
+    """df.mapInArrow(task, schema), where a worker gives its free memory back to the system at the end of each task."""
+
+    def run(batches):
+        yield from task(batches)
+        give_back()
 
+    return df.mapInArrow(run, schema)
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write to the shared folder as Parquet and read it again.
 
-    The copy outlives any executor.  The folder carries a fresh name, and is
-    removed when the JVM that wrote it ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def let(value: Column, body) -> Column:
@@ -64,9 +61,14 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def fits(df: DataFrame, rows: int) -> bool:
-    """True if df has at most that many rows; reads no further than needed."""
-    return len(df.limit(rows + 1).select(F.lit(1)).groupBy().count().filter(F.col("count") > rows).take(1)) == 0
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until df has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:

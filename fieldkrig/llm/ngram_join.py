@@ -18,9 +18,12 @@ Jaccard similarity of at least ``percent`` / 100 is found; the result gives conn
    entries are counted by pair, and pairs that can't reach the need are dropped.
    Entries of pairs of frequent elements only link nodes of like size in a star.
    The components of these candidates are blocks.  All links lie inside blocks.
-4. Blocks are cut into tiles of bounded size; for each pair of tiles one task counts
+4. Blocks are cut into tiles of about TILE nodes.  For each tile one task counts
    the shared elements of all its nodes as a matrix product, compares exactly,
-   and returns a spanning forest of the links.
+   and returns a spanning forest of the links.  What is linked is contracted: in blocks
+   of several tiles, one node of each component goes on to a new round of tiles, until
+   rounds find no more.  Blocks that are then one component are done; in the others
+   every pair of tiles is compared in the same way.
 
 Nothing is sampled or capped: the sketch and the tiles bear on cost alone.
 Elements are 64-bit hashes.
@@ -41,13 +44,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import byte_kernel as bk
-from .common import row_key, small_side, written
+from .common import map_arrow, row_key, share, shared, small_side, written
 from .components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CELL_BITS, CHUNK_BITS = 22, 16
-TILE = 1024
+TILE = 256
+#: Shingles whose entries one task of the candidate search holds, about.
+TASK_SHINGLES = 4_000_000
 #: Candidates up to so many rows are broadcast to find their texts (24 bytes each).
 BROADCAST_ROWS = 500_000
 U = np.uint64
@@ -79,7 +84,7 @@ FIRST = "chunk int, doc_id long, row_key long, node long, n int, counts binary"
 
 def _first_pass(batches):
     """A row per document (chunk null), then the task's cell counts by chunk of cells."""
-    cells, waiting, held, seen = np.zeros(1 << CELL_BITS, np.int64), [], 0, set()
+    cells, waiting, held, seen = np.zeros(1 << CELL_BITS, np.int32), [], 0, set()
     null = lambda k, t: pa.nulls(k, t)
     names = ["chunk", "doc_id", "row_key", "node", "n", "counts"]
     for b in batches:
@@ -93,12 +98,12 @@ def _first_pass(batches):
             waiting.append((shingles[np.repeat(fresh, n)] >> U(64 - CELL_BITS)).astype(np.int64))
             held += len(waiting[-1])
             if held > 1_000_000:
-                cells += np.bincount(np.concatenate(waiting), minlength=len(cells))
+                np.add.at(cells, np.concatenate(waiting), 1)
                 waiting, held = [], 0
             k = hi - lo
             yield pa.RecordBatch.from_arrays([null(k, pa.int32()), b.column(0).slice(lo, k), b.column(1).slice(lo, k), pa.array(nodes), pa.array(n.astype(np.int32)), null(k, pa.binary())], names)
     if waiting:
-        cells += np.bincount(np.concatenate(waiting), minlength=len(cells))
+        np.add.at(cells, np.concatenate(waiting), 1)
     parts = np.minimum(cells, 255).astype(np.uint8).reshape(-1, 1 << CHUNK_BITS)
     for at in range(0, len(parts), 8):
         some = [i for i in range(at, min(at + 8, len(parts))) if parts[i].any()]
@@ -118,7 +123,7 @@ def _sum_cells(batches):
 def frequency_classes(counts: DataFrame, shingles: int) -> np.ndarray:
     """A class for each of the sketch's cells: 0 rare, then by powers of two of the count.  The sketch has a fixed size (4 M cells)."""
     cells = np.zeros((1 << (CELL_BITS - CHUNK_BITS), 1 << CHUNK_BITS), np.int64)
-    summed = counts.repartition(len(cells), "chunk").mapInArrow(_sum_cells, "chunk int, counts binary")
+    summed = map_arrow(counts.repartition(len(cells), "chunk"), _sum_cells, "chunk int, counts binary")
     for r in summed.toLocalIterator():
         cells[r["chunk"]] = np.frombuffer(r["counts"], "<u4")
     load = shingles / cells.size
@@ -163,7 +168,7 @@ def pair_entries(frequent: np.ndarray, rare: int, n: int, percent: int) -> np.nd
 
 
 def _signatures(batches, classes, percent: int):
-    classes, seen = classes.value, set()
+    classes, seen = shared(classes), set()
     names = ["sig", "node", "n", "rare", "kind"]
     for b in batches:
         for _, _, shingles, offsets in _sets(b.column(0)):
@@ -286,19 +291,19 @@ def _links(group, percent: int):
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
     column = np.cumsum(np.r_[0, column[1:] != column[:-1]]) if len(column) else column
-    shared, width = np.zeros((len(sets), len(sets)), np.float32), max(64, min(8192, 8_000_000 // len(sets)))
+    common, width = np.zeros((len(sets), len(sets)), np.int64), max(64, min(8192, 8_000_000 // len(sets)))
     for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         a, b = np.searchsorted(column, (lo, lo + width))
         m = np.zeros((len(sets), width), np.float32)
         m[owner[a:b], column[a:b] - lo] = 1
-        shared += m @ m.T
-    link = (100 + percent) * shared.astype(np.int64) >= percent * (n[:, None] + n[None, :])
+        common += (m @ m.T).astype(np.int64)
+    link = (100 + percent) * common >= percent * (n[:, None] + n[None, :])
     if tile.min() != tile.max():
         link &= tile[:, None] != tile[None, :]
     np.fill_diagonal(link, True)
-    label = np.arange(len(sets))
+    label = np.arange(len(sets), dtype=np.int32)
     while True:
-        low = np.where(link, label[None, :], len(sets)).min(axis=1)
+        low = np.where(link, label[None, :], np.int32(len(sets))).min(axis=1)
         low = np.minimum(low, low[low])
         if (low == label).all():
             break
@@ -307,18 +312,60 @@ def _links(group, percent: int):
     return pa.table([pa.array(node[far]), pa.array(node[label[far]])], ["x", "y"])
 
 
+FOREST = "x long, y long"
+ELEMENTS = "node long, block long, tiles int, elements binary"
+
+
+def block_links(docs: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
+    """A spanning forest (x, y) of the links inside blocks.  wanted: rep_id, rep_key, node, block, tiles."""
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        """One row of each candidate node brings its text; rows that share a doc_id are told apart by their text's hash."""
+        texts = docs.join(small_side(some, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("row_key") == F.col("rep_key")))
+        return map_arrow(texts.select("text", "node", "block", "tiles"), _texts_to_sets, ELEMENTS)
+
+    compare = lambda rows: rows.groupBy("block", "a", "b").applyInArrow(lambda t: _links(t, percent), FOREST)
+    tile = F.pmod(F.xxhash64("node"), "tiles").cast("int")
+    one = lambda rows: compare(rows.select("block", tile.alias("a"), tile.alias("b"), "node", tile.alias("tile"), "elements"))
+    forest = written(one(sets_of(wanted)), "forest")
+    big = wanted.filter("tiles > 1")
+    if big.isEmpty():
+        return forest
+    big = written(sets_of(big).dropDuplicates(["block", "node"]), "big_blocks")
+    counted = None
+    while True:
+        label = components(forest).select(F.col("v").alias("node"), "component")
+        named = big.select("node", "block").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        nodes = written(named.groupBy("block", "component").agg(F.min("node").alias("node")), "contracted")
+        left = nodes.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        left = written(left.select("block", "n", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "open_blocks")
+        total, many = left.agg(F.sum("n"), F.max("tiles")).first()
+        if not total:
+            return forest
+        if total == counted:
+            break
+        counted = total
+        chosen = big.drop("tiles").join(nodes.join(left, "block").select("node", "tiles"), "node")
+        forest = written(forest.union(one(chosen)), "forest")
+    # Blocks in which a round linked nothing more: every pair of tiles, but those compared above.
+    still = big.join(left.select("block"), "block", "left_semi").withColumn("tile", tile)
+    still = still.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).filter("tile <> other")
+    return forest.union(compare(still.select("block", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "node", "tile", "elements")))
+
+
 def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """One row per row of df: doc_id, n_shingles, component_id."""
     spark = df.sparkSession
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(doc_id, text).alias("row_key"), F.col(text).alias("text"))
-    first = written(docs.mapInArrow(_first_pass, FIRST), "sets")
+    first = written(map_arrow(docs, _first_pass, FIRST), "sets")
     members = first.filter("chunk is null").select("doc_id", "row_key", "node", "n")
     nodes = members.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("name"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("rep"), F.first("n").alias("n"))
     total = nodes.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
-    classes = spark.sparkContext.broadcast(frequency_classes(first.filter("chunk is not null").select("chunk", "counts"), total))
-    entries = docs.select("text").mapInArrow(lambda b: _signatures(b, classes, percent), SIGNATURE)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = written(entries.repartition(tasks, "sig").mapInArrow(lambda b: _candidates(b, percent), CANDIDATE), "candidates")
+    classes = share(spark, frequency_classes(first.filter("chunk is not null").select("chunk", "counts"), total))
+    entries = map_arrow(docs.select("text"), lambda b: _signatures(b, classes, percent), SIGNATURE)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_SHINGLES)
+    pairs = written(map_arrow(entries.repartition(tasks, "sig"), lambda b: _candidates(b, percent), CANDIDATE), "candidates")
+    classes.destroy()
     both = (F.col("kx") == SINGLE) & (F.col("ky") == SINGLE)
     restx, resty = F.col("nx") - F.col("rx"), F.col("ny") - F.col("ry")
     rest = F.when(both, F.least(restx, resty)).when(F.col("kx") == SINGLE, resty).when(F.col("ky") == SINGLE, restx).otherwise(F.greatest(restx, resty))
@@ -327,14 +374,7 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     blocks = components(alike.union(pairs.filter(F.col("kx") == PAIR).select("x", "y"))).select(F.col("v").alias("node"), F.col("component").alias("block"))
     tiles = blocks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
     wanted = written(blocks.join(tiles, "block").join(nodes, "node").select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.row_key").alias("rep_key"), "node", "block", "tiles"), "wanted")
-    # One row of each candidate node brings its text; rows that share a doc_id are told apart by their text's hash.
-    texts = docs.join(small_side(wanted, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("row_key") == F.col("rep_key")))
-    sets = texts.select("text", "node", "block", "tiles").mapInArrow(_texts_to_sets, "node long, block long, tiles int, elements binary")
-    own = F.pmod("node", "tiles").cast("int")
-    dealt = sets.withColumn("tile", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("block", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "node", "tile", "elements")
-    forest = dealt.groupBy("block", "a", "b").applyInArrow(lambda t: _links(t, percent), "x long, y long")
-    found = components(forest).select(F.col("v").alias("node"), "component")
+    found = components(block_links(docs, wanted, percent)).select(F.col("v").alias("node"), "component")
     named = nodes.join(found, "node", "left").select("node", "name", F.coalesce("component", "node").alias("component"))
     names = named.groupBy("component").agg(F.min("name").alias("least"))
     named = named.join(names, "component").select("node", "least")

@@ -5,18 +5,22 @@ Bounded-space online packing.  A document's ids end with ``eos``.  Every full
 task keeps at most ``open_windows`` windows: a piece goes to the window it fits
 best; when it fits none and no window may be opened, the fullest is emitted.  The
 windows still open at the end of a task are merged afterwards, by best fit in
-falling order, in rounds of bounded tasks until one task is left.
+falling order, in rounds of tasks of at most about MERGE_ITEMS windows.  Of a round's
+windows at most one a task is half full or less, since two would have met; only these go
+on, so a round leaves at most a MERGE_ITEMS-th and the rounds end.
 
-Tokens come from a public tokenizer, word by word: its pre-tokenizer never joins
-text across ASCII white space, so the ids of a text are those of its words in
-order; words already seen in a task are looked up.
+Tokens come from a public tokenizer.  One that lower-cases, drops white space and never
+joins text across it (WORDWISE) works word by word: the ids of a text are those of its
+words in order, and words already seen in a task are looked up.  Any other encodes whole texts.
 
-Null or empty text: the end id only.  Rows that repeat are packed as often as they
-occur.  An empty table gives an empty table.  Other columns are not carried.
+Null or empty text: the end id only.  Null ids stay null.  Rows that repeat are packed as
+often as they occur.  An empty table gives an empty table.  Other columns are not carried.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import sys
 import zlib
 from bisect import bisect_left, insort
@@ -29,14 +33,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import byte_kernel as bk
-from .common import written
+from .common import map_arrow, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Most words, pieces and ids that a task's word table holds (about 180 MB) before it starts anew.
-TABLE_WORDS, TABLE_PIECES, TABLE_IDS = 1_500_000, 600_000, 12_000_000
+#: Most words (or parts of words) and ids that a task's table holds (about 60 MB) before it starts anew.
+TABLE_WORDS, TABLE_IDS = 1_000_000, 12_000_000
 #: Windows that one task merges.
 MERGE_ITEMS = 2048
+#: Normalizer and pre-tokenizer of tokenizers whose words may be encoded one by one.
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 
 
 class HashTable:
@@ -80,23 +95,37 @@ class HashTable:
             left, slot = left[stay], (slot[stay] + 1) & (len(self.keys) - 1)
 
 
+MARKS = np.zeros(256, bool)
+MARKS[[*b".,"]] = True
+PLAIN = np.zeros(256, bool)
+PLAIN[[*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]] = True
+
+
+class TextTokenizer:
+    """Ids of whole texts, then the end id."""
+
+    def __init__(self, tokenizer, eos: int):
+        self.tokenizer, self.eos = tokenizer, eos
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        raw = data.tobytes()
+        texts = [raw[a:z].decode("utf-8", "replace") for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        return [np.array([*e.ids, self.eos], np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 class WordTable:
-    """Ids of words, looked up by a 64-bit hash of their bytes (equal hashes are taken for equal words).
+    """Ids of words, part by part, looked up by a 64-bit hash of a part's bytes (equal hashes are taken for equal parts).
 
-    A word that ends in an ASCII letter or digit and then periods or commas has the ids of the
-    part before, then those of the marks; A-Z have the ids of a-z.  So only
-    lower-case parts (pieces) go through the tokenizer.
+    A word that ends in an ASCII letter or digit and then periods or commas is two parts, what stands
+    before and the marks; A-Z have the ids of a-z.  Only parts not seen before go through the tokenizer.
     """
 
-    def __init__(self, tokenizer_path: str, eos: int):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.eos = Tokenizer.from_file(tokenizer_path), eos
+    def __init__(self, tokenizer, eos: int):
+        self.tokenizer, self.eos = tokenizer, eos
         self.clear()
 
     def clear(self) -> None:
         self.table = HashTable()
-        self.pieces: dict[bytes, int] = {}
         self.pool = np.zeros(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
         self.start, self.length = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
         self.n, self.used = 0, 0
@@ -123,50 +152,66 @@ class WordTable:
             return np.zeros(0, np.uint32), total
         return self.pool[np.arange(total[-1]) + np.repeat(self.start[codes] - (total - length), length)].astype(np.uint32), total
 
-    def _learn(self, words: list[bytes]) -> np.ndarray:
-        """Codes for new words."""
-        if len(self.pieces) > TABLE_PIECES:
-            self.pieces = {}
-        split = []
-        for w in words:
-            x = w if b"<|" in w else w.lower()
-            part = x.rstrip(b".,")
-            split.append((part, x[len(part) :]) if part and len(part) < len(x) and part[-1:].isalnum() else (x, b""))
-        new = list({p for pair in split for p in pair if p}.difference(self.pieces))
-        for at in range(0, len(new), 4_000):
-            some = new[at : at + 4_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)]
+    def _learn(self, texts: list[str]) -> np.ndarray:
+        """Codes for new parts."""
+        out = np.empty(len(texts), np.int32)
+        for lo in range(0, len(texts), 1_000):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 1_000], add_special_tokens=False)]
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             first = self._add(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths)
-            self.pieces.update(zip(some, range(first, self.n)))
-        part = np.fromiter((self.pieces[p] for p, _ in split), np.int64, len(split))
-        marks = np.fromiter((self.pieces[m] if m else -1 for _, m in split), np.int64, len(split))
-        both = np.flatnonzero(marks >= 0)
-        if len(both):
-            pairs = np.stack([part[both], marks[both]], axis=1)
-            flat, _ = self._flat(pairs.ravel())
-            lengths = self.length[pairs].sum(axis=1)
-            part[both] = self._add(flat, lengths) + np.arange(len(both))
-        return part
+            out[lo : lo + len(ids)] = np.arange(first, self.n)
+        return out
+
+    def _parts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, firsts: np.ndarray):
+        """Starts, ends and hashes of parts, and for each text the index of its first part, then the count of all."""
+        cut = ends.copy()  # where the marks at a word's end begin
+        live = np.flatnonzero(MARKS[data[cut - 1]])
+        while len(live):
+            cut[live] -= 1
+            live = live[cut[live] > starts[live]]
+            live = live[MARKS[data[cut[live] - 1]]]
+        cut = np.where((cut > starts) & PLAIN[data[np.maximum(cut, 1) - 1]], cut, ends)
+        control = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))  # where a control token may start; such words stay as they are
+        exact = np.searchsorted(control, ends - 1) > np.searchsorted(control, starts) if len(control) else np.zeros(len(starts), bool)
+        cut = np.where(exact, ends, cut)
+        first = np.zeros(len(starts) + 1, np.int64)
+        np.cumsum(1 + (cut < ends), out=first[1:])
+        begin, end = np.empty(first[-1], np.int64), np.empty(first[-1], np.int64)
+        begin[first[:-1]], end[first[:-1]] = starts, cut
+        marked = np.flatnonzero(cut < ends)
+        begin[first[marked] + 1], end[first[marked] + 1] = cut[marked], ends[marked]
+        h = bk.word_hashes(data, begin, end)
+        if exact.any():
+            h[first[:-1][exact]] = ~bk.word_hashes(data, starts[exact], ends[exact], bk.VALUES)
+        return begin, end, h, first[firsts]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """Ids of each text of a slice, then the end id."""
         if self.used > TABLE_IDS or self.table.n > TABLE_WORDS:
             self.clear()
         starts, ends, firsts = bk.word_bounds(data, offsets)
-        h = bk.word_hashes(data, starts, ends, bk.VALUES)
+        begin, end, h, firsts = self._parts(data, starts, ends, firsts)
         codes = self.table.get(h)
         missing = np.flatnonzero(codes < 0)
         if len(missing):
             new, at, back = np.unique(h[missing], return_index=True, return_inverse=True)
-            raw = data.tobytes()
-            own = self._learn([raw[a:z] for a, z in zip(starts[missing[at]].tolist(), ends[missing[at]].tolist())])
-            self.table.put(new, own.astype(np.int32))
+            raw, at = data.tobytes(), missing[at]
+            own = self._learn([raw[a:z].decode("utf-8", "replace") for a, z in zip(begin[at].tolist(), end[at].tolist())])
+            self.table.put(new, own)
             codes[missing] = own[back]
         flat, total = self._flat(np.insert(codes, firsts[1:], 0))  # code 0 is the end id
         return np.split(flat, total[firsts[1:] + np.arange(len(offsets) - 1)][:-1])
 
 
+def token_table(tokenizer_path: str, eos: int) -> WordTable | TextTokenizer:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path)
+    made = json.loads(tokenizer.to_str())
+    return (WordTable if all(made[k] == v for k, v in WORDWISE.items()) else TextTokenizer)(tokenizer, eos)
+
+
 class Windows:
     """At most k open windows; a window is (id, fill)."""
 
@@ -198,7 +243,7 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def _pack(batches, tokenizer_path: str, limit: int, eos: int, k: int, with_ids: bool):
     from pyspark import TaskContext
 
-    words = WordTable(tokenizer_path, eos)
+    words = token_table(tokenizer_path, eos)
     windows = Windows(limit, k, TaskContext.get().partitionId() << 32)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -229,7 +274,7 @@ def _pack(batches, tokenizer_path: str, limit: int, eos: int, k: int, with_ids:
 
 
 def _merge(batches, limit: int, last: bool):
-    """Best fit in falling order of whole windows; rows: fill, members (window, offset).  Windows over 9/10 full are done."""
+    """Best fit in falling order of whole windows; rows: fill, members (window, offset).  Windows over half full are done: of those left, a task has at most one."""
     items = sorted(((f, m) for b in batches for f, m in zip(b.column("fill").to_pylist(), b.column("members").to_pylist())), key=lambda x: (-x[0], x[1][0]["window"]))
     room: list[tuple[int, int]] = []
     out: list[list] = []
@@ -247,7 +292,7 @@ def _merge(batches, limit: int, last: bool):
             insort(room, (free - fill, at))
     members = pa.list_(pa.struct([("window", pa.int64()), ("offset", pa.int64())]))
     yield pa.RecordBatch.from_arrays(
-        [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], members), pa.array([last or x[0] * 10 >= limit * 9 for x in out], pa.bool_())],
+        [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], members), pa.array([last or x[0] * 2 > limit for x in out], pa.bool_())],
         ["fill", "members", "done"],
     )
 
@@ -256,7 +301,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", t
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset [, ids]."""
     schema = PIECE + ", is_open boolean" + (", ids array<int>" if with_ids else "")
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = written(docs.mapInArrow(lambda b: _pack(b, tokenizer_path, limit, eos, open_windows, with_ids), schema), "packed")
+    rows = written(map_arrow(docs, lambda b: _pack(b, tokenizer_path, limit, eos, open_windows, with_ids), schema), "packed")
     pieces = rows.filter(~F.col("is_open")).drop("is_open")
     items = rows.filter("is_open").select(F.col("start").alias("fill"), F.array(F.struct(F.col("sequence_id").alias("window"), F.lit(0).cast("long").alias("offset"))).alias("members"), F.lit(False).alias("done"))
     done = None
@@ -264,7 +309,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", t
         tasks = -(-items.count() // MERGE_ITEMS)
         last = tasks <= 1
         dealt = items.select("fill", "members").coalesce(1) if last else items.select("fill", "members").repartition(tasks, F.xxhash64(F.col("members")[0]["window"]))
-        merged = written(dealt.mapInArrow(lambda b, last=last: _merge(b, limit, last), "fill long, members array<struct<window:long,offset:long>>, done boolean"), "merged")
+        merged = written(map_arrow(dealt, lambda b, last=last: _merge(b, limit, last), "fill long, members array<struct<window:long,offset:long>>, done boolean"), "merged")
         ready = merged.filter("done")
         done = ready if done is None else done.unionByName(ready)
         if last:

@@ -9,17 +9,21 @@ the same one at the same place.  A run of windows with one trigger is a phrase:
 bytes of these windows.  Neighbouring phrases overlap, and every window lies inside
 its phrase.
 
-Parse level.  Phrases that agree with an earlier one as a whole are dropped as
-repeats, first within a task, then over all.  Highly repetitive text ends here.
+Parse level.  Since no window crosses a phrase's end, the parse's suffixes need comparing by
+their first phrase only: its suffix array is the occurrences of phrases in order of
+phrase, then of the corpus.  Occurrences that agree with an earlier one as a whole are repeats,
+first within a task, then over all.  Highly repetitive text ends here.
 
 Dictionary level.  Triggers whose phrases differ are marked in a bitmap.  The
 distinct phrases at marked triggers are cut in two at the trigger (windows that
-reach far to its left, and the others), dealt by trigger and nearby bytes, and
-their windows sorted: the order of a suffix array restricted to strings of
-``length`` bytes.  In each run of equal windows all but the first are repeats.
+reach far to its left, and the others) and dealt by trigger and nearby bytes, so that equal
+windows meet.  A task builds the suffix array of its phrases' bytes, to a depth of ``length``, by
+prefix doubling.  The two arrays combined give the windows in corpus order: by rank in the
+dictionary, then by the occurrence of their phrase.  In each run of equal ranks
+(a common prefix of ``length``) all but the first are repeats.
 
-Rows move as 64-bit hashes (equal ones are taken for equal strings) and, at the
-dictionary level, as short phrases; texts move once, to meet their spans.
+Phrases move as 64-bit hashes (equal ones are taken for equal strings) and, at the
+dictionary level, as short strings, whose bytes are compared; texts move once, to meet their spans.
 
 Null or empty text: nothing to remove.  Null doc_id comes before all ids.  Rows with one
 doc_id but other texts are ordered by a hash of the text; rows equal in both see
@@ -40,15 +44,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import byte_kernel as bk
-from .common import row_key, written
+from .common import map_arrow, row_key, share, shared, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 GRAM = 32
 PLACE_BITS = 28
 #: Rows that a task holds before it drops its own repeats, and limits of the bitmap's size (1 to 32 MB... of bits).
-BUFFER_ROWS = 250_000
+BUFFER_ROWS = 200_000
 MIN_BITS, MAX_BITS = 20, 28
+#: Phrase parts whose suffixes are sorted together.
+SORTED_PARTS = 8_000
+#: Texts that are cut at a time.
+CUT_ROWS = 256
 NULL_ID = -(2**63)
 U = np.uint64
 
@@ -206,18 +214,18 @@ def mark_map(marks: DataFrame) -> tuple[np.ndarray, int]:
     count = marks.count()
     bits = min(MAX_BITS, max(MIN_BITS, (16 * count).bit_length()))
     cells = np.zeros(1 << (bits - 3), np.uint8)
-    rows = marks.repartition(64, F.shiftright(F.col("trigger").bitwiseAND((1 << bits) - 1), 16)).mapInArrow(lambda b: _bits(b, bits), "chunk int, cells binary")
+    rows = map_arrow(marks.repartition(64, F.shiftright(F.col("trigger").bitwiseAND((1 << bits) - 1), 16)), lambda b: _bits(b, bits), "chunk int, cells binary")
     for r in rows.toLocalIterator():
         cells[r["chunk"] << 13 : (r["chunk"] + 1) << 13] |= np.frombuffer(r["cells"], np.uint8)
     return cells, bits
 
 
-ENTRY = "side long, place int, doc_id long, start long, windows int, phrase long, bytes binary"
+ENTRY = "side long, doc_id long, start long, windows int, phrase long, bytes binary"
 
 
 def _entries(batches, marked, bits: int, length: int):
     """The second pass: phrases at marked triggers in two parts, each once per task buffer."""
-    cells = marked.value
+    cells = shared(marked)
     names = [f.split()[0] for f in ENTRY.split(", ")]
     near = (length - GRAM) // 2
     for b in batches:
@@ -243,21 +251,50 @@ def _entries(batches, marked, bits: int, length: int):
                         side = bk.mix(trigger[some] ^ (other * U(3 if left else 5)))
                         phrase = bk.mix(p["part"](a, z + length) + ((t - a) * 65536 + (z - a)).astype(U) * U(0x9FB21C651E98DF25))
                     row = lo + text[some]
-                    parts.append((side, t - a, doc_id[row], high[row] + a - offsets[text[some]], z - a + 1, phrase, a, z + length))
+                    parts.append((side, doc_id[row], high[row] + a - offsets[text[some]], z - a + 1, phrase, a, z + length))
             if not parts:
                 continue
-            side, place, doc, start, windows, phrase, a, z = (np.concatenate(x) for x in zip(*parts))
+            side, doc, start, windows, phrase, a, z = (np.concatenate(x) for x in zip(*parts))
             order, least = _firsts(side, phrase, by=(doc, start))
             k = order[least]
             size = np.r_[0, np.cumsum(z[k] - a[k])]
             flat = np.arange(size[-1]) + np.repeat(a[k] - size[:-1], z[k] - a[k])
             raw = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(size.astype(np.int32)), pa.py_buffer(data[flat])])
-            yield pa.RecordBatch.from_arrays([pa.array(side[k].view(np.int64)), pa.array(place[k].astype(np.int32)), pa.array(doc[k]), pa.array(start[k]), pa.array(windows[k].astype(np.int32)), pa.array(phrase[k].view(np.int64)), raw], names)
+            yield pa.RecordBatch.from_arrays([pa.array(side[k].view(np.int64)), pa.array(doc[k]), pa.array(start[k]), pa.array(windows[k].astype(np.int32)), pa.array(phrase[k].view(np.int64)), raw], names)
             k = order[~least]
             if len(k):  # equal to an earlier part: known repeats, without bytes; windows is then the span
                 d, s, e = merged(doc[k], start[k], start[k] + windows[k] - 1 + length)
                 spread, n = pa.array(bk.mix(d.view(U) ^ s.view(U)).view(np.int64)), len(d)
-                yield pa.RecordBatch.from_arrays([spread, pa.array(np.zeros(n, np.int32)), pa.array(d), pa.array(s), pa.array((e - s).astype(np.int32)), spread, pa.nulls(n, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([spread, pa.array(d), pa.array(s), pa.array((e - s).astype(np.int32)), spread, pa.nulls(n, pa.binary())], names)
+
+
+def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """The place of each suffix in the suffix array to a depth of ``length`` bytes; suffixes that agree so far have one rank.
+
+    Prefix doubling: ranks by 8 bytes, then by pairs of ranks.  Beyond the end stand zeros.
+    """
+    n = len(data)
+    wide = np.zeros(n + 8, U)
+    wide[:n] = data
+    key = np.zeros(n, U)
+    for k in range(8):
+        key = (key << U(8)) | wide[k : n + k]
+    width = 8
+    if length < width:
+        key >>= U(8 * (width - length))
+    while True:
+        order = np.argsort(key, kind="stable")
+        new = np.ones(n, np.int64)
+        new[1:] = key[order][1:] != key[order][:-1]
+        rank = np.empty(n, U)
+        rank[order] = np.cumsum(new).view(U)
+        if width >= length:
+            return rank
+        step = min(width, length - width)
+        later = np.zeros(n, U)
+        later[: max(0, n - step)] = rank[step:]
+        key = (rank << U(32)) | later  # ranks are below 2**32, as a task holds less
+        width += step
 
 
 def _sorted_windows(batches, length: int):
@@ -268,16 +305,16 @@ def _sorted_windows(batches, length: int):
         return pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(n.astype(np.int32))], ["doc_id", "start", "span"])
 
     for b in batches:
-        known = b.column(6).is_null()
+        known = b.column(5).is_null()
         if pa.compute.any(known).as_py():
-            yield spans(*(b.column(i).filter(known).to_numpy(zero_copy_only=False) for i in (2, 3, 4)))
+            yield spans(*(b.column(i).filter(known).to_numpy(zero_copy_only=False) for i in (1, 2, 3)))
             b = b.filter(pa.compute.invert(known))
         if b.num_rows:
-            parts.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(6)])
-            texts.append(b.column(6))
+            parts.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(5)])
+            texts.append(b.column(5))
     if not parts:
         return
-    side, place, doc, start, windows, phrase = (np.concatenate(x) for x in zip(*parts))
+    side, doc, start, windows, phrase = (np.concatenate(x) for x in zip(*parts))
     raw = pa.concat_arrays([t.cast(pa.large_binary()) for t in texts])
     order, least = _firsts(side, phrase, by=(doc, start))
     k = order[~least]
@@ -286,21 +323,19 @@ def _sorted_windows(batches, length: int):
     k = k[np.isin(side[k], (s := np.sort(side[k]))[1:][s[1:] == s[:-1]])]  # parts that are alone on their side can't repeat
     k = k[np.lexsort((start[k], doc[k], side[k]))]
     lo, out = 0, []
-    while lo < len(k):  # whole sides, about BUFFER_ROWS / 8 parts at a time
-        hi = min(len(k), lo + BUFFER_ROWS // 8)
+    while lo < len(k):  # whole sides, at least SORTED_PARTS parts at a time
+        hi = min(len(k), lo + SORTED_PARTS)
         hi = int(np.searchsorted(side[k], side[k[hi - 1]], side="right"))
         q = k[lo:hi]
         taken = raw.take(pa.array(q))
         _, off, data = taken.buffers()
         off = np.frombuffer(off, np.int64)[: len(q) + 1]
         data = np.frombuffer(data, np.uint8)[: off[-1]]
-        hashes = bk.rolling(data, length)
         owner = np.repeat(np.arange(len(q)), windows[q])
         step = np.arange(len(owner)) - np.repeat(np.r_[0, np.cumsum(windows[q])[:-1]], windows[q])
-        h = hashes[off[owner] + step]
-        w_side, w_place = side[q][owner], place[q][owner].astype(np.int64) - step
+        rank = suffix_ranks(data, length)[off[owner] + step]
         w_doc, w_start = doc[q][owner], start[q][owner] + step
-        o, least = _firsts(w_side, w_place, h, by=(w_doc, w_start))
+        o, least = _firsts(rank, by=(w_doc, w_start))
         r = o[~least]
         if len(r):
             d, s, e = merged(w_doc[r], w_start[r], w_start[r] + length)
@@ -317,13 +352,14 @@ def keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 def repeat_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """docs: doc_id, high, text.  Spans to remove (not yet joined): doc_id, high, start, span."""
     spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parsed = docs.mapInArrow(lambda b: _parse(b, length), PHRASE)
-    found = written(parsed.repartition(tasks, "trigger").mapInArrow(lambda b: _resolve(b, length), FOUND), "phrases")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())  # as many as the input has, so that a task's share doesn't grow with it
+    parsed = map_arrow(docs, lambda b: _parse(b, length), PHRASE)
+    found = written(map_arrow(parsed.repartition(tasks, "trigger"), lambda b: _resolve(b, length), FOUND), "phrases")
     cells, bits = mark_map(found.filter(F.col("kind") == MARK).select("trigger"))
-    marked = spark.sparkContext.broadcast(cells)
-    entries = docs.mapInArrow(lambda b: _entries(b, marked, bits, length), ENTRY)
-    more = entries.repartition(tasks, "side").mapInArrow(lambda b: _sorted_windows(b, length), "doc_id long, start long, span int")
+    marked = share(spark, cells)
+    entries = map_arrow(docs, lambda b: _entries(b, marked, bits, length), ENTRY)
+    more = written(map_arrow(entries.repartition(tasks, "side"), lambda b: _sorted_windows(b, length), "doc_id long, start long, span int"), "spans")
+    marked.destroy()
     spans = found.filter(F.col("kind") == SPAN).select("doc_id", "start", "span").union(more)
     return spans.select("doc_id", F.shiftrightunsigned("start", 40).alias("high"), F.col("start").bitwiseAND((1 << 40) - 1).alias("start"), "span")
 
@@ -333,7 +369,7 @@ REMOVED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, remov
 
 def _cut(batches, with_text: bool, carried: int):
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    for b in batches:
+    for b in (whole.slice(at, CUT_ROWS) for whole in batches for at in range(0, whole.num_rows, CUT_ROWS)):
         rows = []
         for text, spans in zip(b.column(0), b.column(1).to_pylist()):
             raw = text.as_py().encode("utf-8", "replace") if text.is_valid else b""
@@ -369,6 +405,6 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
     schema = StructType([*(StructField(f"_c{i}", f.dataType) for i, f in enumerate(carried)), *_parse_datatype_string(REMOVED).fields])
-    out = met.mapInArrow(lambda b: _cut(b, with_text, len(carried)), schema)
+    out = map_arrow(met, lambda b: _cut(b, with_text, len(carried)), schema)
     names: list[Column] = [F.col(f"_c{i}").alias(f.name) for i, f in enumerate(carried)]
     return out.select(*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", *(["kept"] if with_text else []))
