@@ -6,9 +6,12 @@ revisited by the others.  Every record gives a capture: key (reversed host, then
 path, so that a site's captures are neighbours), archive, offset, length.
 
 Index: the captures, sorted by key over the whole corpus, are cut into compressed
-blocks; a sparse directory holds each block's first key and place.  A search
-finds the block by binary search in the directory, the capture by binary search
-in the block, and reads only that record's range of the archive.
+blocks, in one file for each range of keys; beside it lies the file's sparse directory, with
+each block's first key and place.  A search finds the files that may hold a key by binary
+search in their first keys, the blocks by binary search in the directory, the captures by
+binary search in the block, and reads only their ranges of the archives; ranges that lie
+close together are read at once.  A round trip looks up the URL of every page: keys are
+dealt to the index files, captures to stretches of the archives.
 
 Archives and index blocks are files in the shared folder; they are written and
 read through pyarrow's file systems (file, hdfs, s3 ...), so that any task can
@@ -17,7 +20,7 @@ files that its committed rows name are read.
 
 Null or empty html: an empty payload.  Null url: empty key.  Null page_id: a record
 without a page id, last among equal payloads.  Rows that repeat are records that repeat: with equal ids and payloads, one is the response
-and the others revisit it.  Empty table: no archives.  Other columns are ignored.
+and the others revisit it.  Empty table: no archives.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import gzip
 import hashlib
 import sys
 import uuid
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -35,12 +38,17 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import delete_on_exit, map_arrow, shared_dir, small_side, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_CAPTURES = 1024
-READ_GAP = 1 << 16
+#: Captures that lie no farther apart are read at once, up to so many bytes.
+READ_GAP, READ_BYTES = 1 << 16, 4 << 20
+#: Bytes of an archive whose captures one task reads together.
+STRETCH = 8 << 20
+#: Repeated payloads that are broadcast to find their pages; beyond it, a shuffled join.
+BROADCAST_DIGESTS = 200_000
 CAPTURE = "key string, url string, archive string, offset long, length long"
 
 
@@ -51,13 +59,13 @@ def _store(path: str):
 
 
 def url_key(url: str | None) -> str:
-    """com,example,www)/path?query in lower-case host; the scheme is left out."""
+    """com,example,www)/path?query in lower-case host, the scheme left out and line ends and tabs escaped."""
     try:
         parts = urlsplit(url or "")
-        host = (parts.hostname or "").lower()
+        key = ",".join(reversed((parts.hostname or "").lower().split("."))) + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
     except ValueError:
-        return url or ""
-    return ",".join(reversed(host.split("."))) + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+        key = url or ""
+    return key.replace("\t", "%09").replace("\n", "%0A").replace("\r", "%0D")
 
 
 def digest_of(payload: bytes) -> str:
@@ -114,88 +122,140 @@ def parse_record(member: bytes) -> dict:
 
 def _write(batches, folder: str):
     out, at, name, store = None, 0, "", None
-    for b in batches:
-        rows = []
-        for page_id, seq, url, html, refers_to, refers_seq in zip(*(b.column(i).to_pylist() for i in range(6))):
-            if out is None:
-                store, root = _store(folder)
-                name = f"{root}/{uuid.uuid4().hex}.warc.gz"
-                out = store.open_output_stream(name, compression=None)
-            member = make_record(page_id, seq, url, (html or "").encode("utf-8", "replace"), refers_to, refers_seq)
-            out.write(member)
-            rows.append((url_key(url), url, name.rsplit("/", 1)[1], at, len(member)))
-            at += len(member)
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()])], ["key", "url", "archive", "offset", "length"])
-    if out is not None:
-        out.close()
+    try:
+        for b in batches:
+            rows = []
+            for page_id, seq, url, html, refers_to, refers_seq in zip(*(b.column(i).to_pylist() for i in range(6))):
+                if out is None:
+                    store, root = _store(folder)
+                    name = f"{root}/{uuid.uuid4().hex}.warc.gz"
+                    out = store.open_output_stream(name, compression=None)
+                member = make_record(page_id, seq, url, (html or "").encode("utf-8", "replace"), refers_to, refers_seq)
+                out.write(member)
+                rows.append((url_key(url), url, name.rsplit("/", 1)[1], at, len(member)))
+                at += len(member)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()])], ["key", "url", "archive", "offset", "length"])
+    finally:
+        if out is not None:
+            out.close()
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows (page_id, url, html, digest) with seq: 0, but 0, 1, ... for rows that share page_id and payload, since only one of them may be the response."""
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    twins = rows.groupBy(F.col("page_id").alias("_page"), F.col("digest").alias("_digest")).count().filter("count > 1").drop("count")
+    twins = written(twins, "twins")
+    if twins.isEmpty():
+        return rows.withColumn("seq", F.lit(0))
+    twins = small_side(twins, BROADCAST_DIGESTS)
+    match = same("page_id", "_page") & same("digest", "_digest")
+    # Numbers go by part of the input, so that rows which all are alike don't meet in one task.
+    own = written(rows.join(twins, match, "left_semi").withColumn("_part", F.spark_partition_id()), "twin_rows")
+    parts = own.groupBy(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "_part").count()
+    before = F.sum("count").over(Window.partitionBy("_page", "_digest").orderBy("_part")) - F.col("count")
+    parts = written(parts.select("_page", "_digest", F.col("_part").alias("_of"), before.alias("_before")), "twin_parts")
+    place = F.row_number().over(Window.partitionBy("page_id", "digest", "_part").orderBy("url"))
+    own = own.join(small_side(parts, BROADCAST_DIGESTS), match & (F.col("_part") == F.col("_of"))).withColumn("seq", (F.col("_before") + place - 1).cast("int"))
+    return own.select(*rows.columns, "seq").unionByName(rows.join(twins, match, "left_anti").withColumn("seq", F.lit(0)))
 
 
 def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0) -> DataFrame:
     """Writes the archives; returns the captures (cut off from their lineage)."""
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"))
-    digest = F.sha1(html.cast("binary"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
     # Which payloads repeat, and their first page: digests only, summed up before the shuffle.
     repeated = (
         rows.filter(F.octet_length("html") >= min_revisit_bytes)
-        .groupBy(digest.alias("digest"))
+        .groupBy(F.col("digest").alias("_repeated"))
         .agg(F.count(F.lit(1)).alias("copies"), F.min("page_id").alias("first"))
         .filter("copies > 1")
     )
-    keyed = rows.withColumn("digest", digest).join(repeated, "digest", "left")
-    # Rows that share page_id and payload get numbers, since only one of them may be the response.
-    w = Window.partitionBy("page_id", "digest").orderBy("url")
-    keyed = keyed.withColumn("seq", F.when(F.col("copies").isNull(), 0).otherwise(F.row_number().over(w) - 1).cast("int"))
+    keyed = _numbered(rows).join(small_side(written(repeated, "repeated"), BROADCAST_DIGESTS), F.col("digest") == F.col("_repeated"), "left")
     response = F.col("copies").isNull() | (F.col("page_id").eqNullSafe(F.col("first")) & (F.col("seq") == 0))
     planned = keyed.select("page_id", "seq", "url", "html", F.when(~response, F.col("first")).alias("refers_to"), F.when(response, -1).otherwise(0).alias("refers_seq"))
     store, root = _store(folder)
     store.create_dir(root, recursive=True)
-    return written(planned.mapInArrow(lambda b: _write(b, folder), CAPTURE), "captures")
+    return written(map_arrow(planned, lambda b: _write(b, folder), CAPTURE), "captures")
 
 
 def _index(batches, folder: str):
     store, root = _store(folder)
-    block, out, at, name = [], None, 0, f"{root}/{uuid.uuid4().hex}.idx"
-    rows = []
+    name = f"{root}/{uuid.uuid4().hex}"
+    block, directory, out, at, n = [], [], None, 0, 0
 
     def flush():
         nonlocal out, at
         if out is None:
-            out = store.open_output_stream(name, compression=None)
+            out = store.open_output_stream(f"{name}.idx", compression=None)
         data = gzip.compress("\n".join("\t".join(map(str, r)) for r in block).encode(), 6, mtime=0)
         out.write(data)
-        rows.append((block[0][0], name.rsplit("/", 1)[1], at, len(data), len(block)))
+        directory.append((block[0][0], at, len(data)))
         at += len(data)
         block.clear()
 
-    for b in batches:
-        for key, archive, offset, length in zip(*(b.column(c).to_pylist() for c in ("key", "archive", "offset", "length"))):
-            block.append((key.replace("\t", "%09").replace("\n", "%0A").replace("\r", "%0D"), archive, offset, length))
-            if len(block) == BLOCK_CAPTURES:
-                flush()
-    if block:
-        flush()
-    if out is not None:
-        out.close()
-    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()])], ["first_key", "block_file", "offset", "length", "n"])
-
-
-DIRECTORY = "first_key string, block_file string, offset long, length long, n long"
+    try:
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in ("key", "archive", "offset", "length"))):
+                block.append(row)
+                n += 1
+                if len(block) == BLOCK_CAPTURES:
+                    flush()
+        if block:
+            flush()
+    finally:
+        if out is not None:
+            out.close()
+    if directory:
+        with store.open_output_stream(f"{name}.dir", compression=None) as f:
+            f.write(gzip.compress("\n".join("\t".join(map(str, r)) for r in directory).encode(), 6, mtime=0))
+        yield pa.RecordBatch.from_arrays([pa.array([directory[0][0]]), pa.array([name.rsplit("/", 1)[1]]), pa.array([len(directory)], pa.int64()), pa.array([n], pa.int64())], ["first_key", "file", "blocks", "captures"])
+
+
+FILES = "first_key string, file string, blocks long, captures long"
 
 
 def build_index(captures: DataFrame, folder: str) -> DataFrame:
-    """Writes the compressed blocks in key order; returns the sparse directory, one row per block."""
+    """Writes blocks and directories in key order; returns a row for each index file."""
     store, root = _store(folder)
     store.create_dir(root, recursive=True)
     ordered = captures.repartitionByRange("key", "archive", "offset").sortWithinPartitions("key", "archive", "offset")
-    return written(ordered.mapInArrow(lambda b: _index(b, folder), DIRECTORY), "directory")
+    return written(map_arrow(ordered, lambda b: _index(b, folder), FILES), "index")
 
 
-def read_block(folder: str, block_file: str, offset: int, length: int) -> list[tuple[str, str, int, int]]:
-    store, root = _store(folder)
-    with store.open_input_file(f"{root}/{block_file}") as f:
-        lines = gzip.decompress(f.read_at(length, offset)).decode().split("\n")
-    return [(k, a, int(o), int(n)) for k, a, o, n in (line.split("\t") for line in lines)]
+def holders(firsts: list[str], key: str) -> range:
+    """Which of several sorted runs may hold the key, by binary search in their first keys; a key's captures may begin in the run before."""
+    return range(max(bisect_left(firsts, key) - 1, 0), bisect_right(firsts, key))
+
+
+class IndexFile:
+    """Captures of a key by binary search in the file's directory, then in the block; the last block stays decoded."""
+
+    def __init__(self, folder: str, file: str):
+        store, root = _store(folder)
+        with store.open_input_file(f"{root}/{file}.dir") as f:
+            rows = [line.split("\t") for line in gzip.decompress(f.read()).decode().split("\n")]
+        self.firsts, self.places = [r[0] for r in rows], [(int(o), int(n)) for _, o, n in rows]
+        self.blocks, self.at, self.block = store.open_input_file(f"{root}/{file}.idx"), -1, []
+
+    def _read(self, at: int) -> list[tuple[str, str, int, int]]:
+        if at != self.at:
+            offset, length = self.places[at]
+            lines = gzip.decompress(self.blocks.read_at(length, offset)).decode().split("\n")
+            self.at, self.block = at, [(k, a, int(o), int(n)) for k, a, o, n in (line.split("\t") for line in lines)]
+        return self.block
+
+    def captures(self, key: str) -> list[tuple[str, int, int]]:
+        found = []
+        for at in holders(self.firsts, key):
+            block = self._read(at)
+            i = bisect_left(block, (key,))
+            while i < len(block) and block[i][0] == key:
+                found.append(block[i][1:])
+                i += 1
+        return found
+
+    def close(self) -> None:
+        self.blocks.close()
 
 
 class Archives:
@@ -212,54 +272,93 @@ class Archives:
             self.files[archive] = self.store.open_input_file(f"{self.root}/{archive}")
         return self.files[archive]
 
-    def read(self, archive: str, offset: int, length: int) -> dict:
-        return parse_record(self._file(archive).read_at(length, offset))
-
-
-def lookup(directory: list[tuple], folder: str, url: str) -> list[dict]:
-    """The records of one URL: directory rows are (first_key, block_file, offset, length), sorted."""
-    key, found, archives = url_key(url).replace("\t", "%09").replace("\n", "%0A").replace("\r", "%0D"), [], Archives(folder)
-    firsts = [d[0] for d in directory]
-    at = bisect_right(firsts, key) - 1
-    while at > 0 and firsts[at] == key:  # a key's captures may begin in the block before
-        at -= 1
-    for first, block_file, offset, length in directory[max(at, 0) :]:
-        if first > key:
-            break
-        block = read_block(folder, block_file, offset, length)
-        i = bisect_right(block, (key,)) if block else 0
-        while i < len(block) and block[i][0] == key:
-            found.append(archives.read(*block[i][1:]))
-            i += 1
+    def read(self, captures: list[tuple[str, int, int]]):
+        """The records of captures sorted by (archive, offset); close ones are read at once."""
+        lo = 0
+        while lo < len(captures):
+            archive, begin, length = captures[lo]
+            end, hi = begin + length, lo + 1
+            while hi < len(captures) and captures[hi][0] == archive and captures[hi][1] - end <= READ_GAP and captures[hi][1] + captures[hi][2] - begin <= READ_BYTES:
+                end, hi = captures[hi][1] + captures[hi][2], hi + 1
+            raw = self._file(archive).read_at(end - begin, begin)
+            for _, offset, n in captures[lo:hi]:
+                yield parse_record(raw[offset - begin : offset - begin + n])
+            lo = hi
+
+    def close(self) -> None:
+        for f in self.files.values():
+            f.close()
+
+
+def lookup(index: list[tuple[str, str]], folder: str, url: str) -> list[dict]:
+    """The records of one URL; index: (first_key, file) of each index file, sorted."""
+    key, archives, found = url_key(url), Archives(folder), []
+    for at in holders([x[0] for x in index], key):
+        file = IndexFile(folder, index[at][1])
+        found += archives.read(sorted(file.captures(key)))
+        file.close()
+    archives.close()
     return found
 
 
+def _keys(batches, firsts: list[str]):
+    """Which index files may hold each URL's key."""
+    for b in batches:
+        pairs = sorted({(at, key) for key in map(url_key, b.column(0).to_pylist()) for at in holders(firsts, key)})
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in pairs], pa.int32()), pa.array([x[1] for x in pairs], pa.string())], ["file", "key"])
+
+
+PLACE = "archive string, offset long, length long"
+
+
+def _captures(batches, folder: str, files: list[str]):
+    """Captures of the keys, which come sorted by index file and key."""
+    file, open_at = None, -1
+    for b in batches:
+        found: list[tuple[str, int, int]] = []
+        for at, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if at != open_at:
+                if file is not None:
+                    file.close()
+                file, open_at = IndexFile(folder, files[at]), at
+            found += file.captures(key)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["archive", "offset", "length"])
+    if file is not None:
+        file.close()
+
+
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
 def _read_all(batches, folder: str, with_payload: bool):
     archives = Archives(folder)
     for b in batches:
-        for block_file, offset, length in zip(*(b.column(c).to_pylist() for c in ("block_file", "offset", "length"))):
-            rows = [archives.read(*c[1:]) for c in sorted(read_block(folder, block_file, offset, length), key=lambda c: (c[1], c[2]))]
-            columns = [pa.array([r[k] for r in rows], t) for k, t in (("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("digest", pa.string()), ("type", pa.string()), ("refers_to", pa.int64()))]
-            names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-            if with_payload:
-                columns.append(pa.array([r["payload"] for r in rows], pa.binary()))
-                names.append("payload")
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-
-def read_archives(directory: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
-    """Every record that the index lists, read by range; blocks are dealt evenly."""
-    spark = directory.sparkSession
+        rows = list(archives.read(list(zip(*(b.column(c).to_pylist() for c in ("archive", "offset", "length"))))))
+        columns = [pa.array([r[k] for r in rows], t) for k, t in (("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("digest", pa.string()), ("type", pa.string()), ("refers_to", pa.int64()))]
+        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+        if with_payload:
+            columns.append(pa.array([r["payload"] for r in rows], pa.binary()))
+            names.append("payload")
+        yield pa.RecordBatch.from_arrays(columns, names)
+    archives.close()
+
+
+def read_archives(urls: DataFrame, index: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
+    """Every record of the distinct values in urls' only column, through the index."""
+    spark = urls.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = directory.select("block_file", "offset", "length").repartition(tasks, "block_file", "offset")
-    return blocks.mapInArrow(lambda b: _read_all(b, folder, with_payload), READ + (", payload binary" if with_payload else ""))
+    known = sorted((r["first_key"], r["file"]) for r in index.select("first_key", "file").collect())  # one row for each index file, as many as that job had partitions
+    firsts, files = [k for k, _ in known], [f for _, f in known]
+    keys = map_arrow(urls.distinct(), lambda b: _keys(b, firsts), "file int, key string").distinct()
+    keys = keys.repartitionByRange(tasks, "file", "key").sortWithinPartitions("file", "key")
+    places = map_arrow(keys, lambda b: _captures(b, folder, files), PLACE)
+    places = places.repartition(tasks, "archive", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("archive", "offset")
+    return map_arrow(places, lambda b: _read_all(b, folder, with_payload), READ + (", payload binary" if with_payload else ""))
 
 
 def archive_round_trip(spark: SparkSession, pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """Writes pages, builds the index, and reads every record back."""
+    """Writes pages, builds the index, and reads the records of all their URLs back."""
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     captures = write_archives(pages, folder, min_revisit_bytes)
-    return read_archives(build_index(captures, folder), folder)
+    delete_on_exit(spark, folder)
+    return read_archives(pages.select("url"), build_index(captures, folder), folder)
