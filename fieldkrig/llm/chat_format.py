@@ -3,7 +3,7 @@
 Native: only DataFrame operations.  A turn holds typed content parts; a visitor
 flattens them in order: text parts to escaped text, image, audio and document
 parts to placeholders ``<|kind|>``, each noted with its reference and the tokens it
-expands to.  A plain text column counts as one text part.
+expands to.  A plain text column is one text part, and goes through the same visitor.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn.  Inside texts and
 roles every ``<`` + n backslashes + ``|`` gets one backslash more, so no control string
@@ -13,8 +13,8 @@ as two characters, since a newline ends the role.
 The loss mask is run-length coded: for each turn ``skip`` characters outside the loss,
 ``take`` inside, ``tail`` outside again; the runs add up to the formatted string.
 
-Turns are ordered by turn number (null first), then role, then text; rows that
-repeat stay repeated.  Null role or text: empty.  Rows without a conversation id
+Turns are ordered by turn number (null first), then role, then text (or parts), as they are
+before escapes; rows that repeat stay repeated.  Null role, text, parts or part: empty.  Rows without a conversation id
 form one conversation with a null id.  An empty table gives an empty table; other
 columns are ignored.
 
@@ -64,7 +64,7 @@ def part_tokens(part: Column, patch: int = 28, audio_rate: float = 25.0, page_to
 
 def visit(parts: Column) -> tuple[Column, Column]:
     """(flat text, attachments) of array<PART>; a kind not in KINDS counts as text."""
-    other = lambda p: p["kind"].isin(*KINDS)
+    other = lambda p: F.coalesce(p["kind"].isin(*KINDS), F.lit(False))
     flat = F.array_join(F.transform(parts, lambda p: F.when(other(p), F.concat(F.lit("<|"), p["kind"], F.lit("|>"))).otherwise(escape(F.coalesce(p["text"], F.lit(""))))), "")
     attached = F.transform(
         F.filter(F.transform(parts, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda x: other(x["p"])),
@@ -73,44 +73,47 @@ def visit(parts: Column) -> tuple[Column, Column]:
     return flat, attached
 
 
+def text_part(text: Column) -> Column:
+    """A text as array<PART>."""
+    return F.array(F.struct(F.lit("text").alias("kind"), text.alias("text"), *(F.lit(None).cast(t).alias(n) for n, t in (("ref", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int")))))
+
+
 ATTACHMENT = "array<struct<turn:bigint,part:int,kind:string,ref:string,tokens:bigint>>"
 
 
 def format_chats(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", parts: str | None = None, loss_roles=("assistant",)) -> DataFrame:
-    """One row per conversation: conv_id, n_turns, formatted, loss_runs, attachments, attachment_tokens."""
-    name = F.coalesce(F.col(role), F.lit(""))
-    if parts is None:
-        flat, attached = escape(F.coalesce(F.col(text), F.lit(""))), None
-    else:
-        flat, attached = visit(F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>")))
-    head = F.concat(F.lit(START), escape_role(name), F.lit("\n"))
-    turns = df.select(
+    """One row per conversation: conv_id, n_turns, formatted, loss_runs, attachments, attachment_tokens.  parts: a column of array<PART> that stands for the text."""
+    content = F.coalesce(F.col(text), F.lit("")) if parts is None else F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>"))
+    rows = df.select(
         F.col(conv_id).alias("conv_id"),
         F.floor(F.col(turn) / CHUNK).cast("long").alias("_chunk"),
-        F.col(turn).cast("long").alias("turn"),
-        head.alias("_head"),
-        flat.alias("_flat"),
-        name.isin(*loss_roles).alias("_loss"),
-        *([F.transform(attached, lambda a: F.struct(F.col(turn).cast("long").alias("turn"), a["part"].alias("part"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["tokens"].alias("tokens"))).alias("_att")] if parts else []),
+        F.struct(F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), content.alias("content")).alias("_t"),
     )
-    fields = ["turn", "_head", "_flat", "_loss", *(["_att"] if parts else [])]
-    chunks = turns.groupBy("conv_id", "_chunk").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_t"))
-    n_head, n_flat = (lambda t: F.length(t["_head"]).cast("long")), (lambda t: F.length(t["_flat"]).cast("long"))
+    chunks = rows.groupBy("conv_id", "_chunk").agg(F.sort_array(F.collect_list("_t")).alias("_t"))
+
+    def visited(t: Column) -> Column:
+        flat, attached = visit(text_part(t["content"]) if parts is None else t["content"])
+        head = F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"))
+        attached = F.transform(attached, lambda a: F.struct(t["turn"].alias("turn"), a["part"].alias("part"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["tokens"].alias("tokens")))
+        return F.struct(head.alias("head"), flat.alias("flat"), t["role"].isin(*loss_roles).alias("loss"), attached.alias("att"))
+
+    chunks = chunks.select("conv_id", "_chunk", F.transform("_t", visited).alias("_t"))
+    n_head, n_flat = (lambda t: F.length(t["head"]).cast("long")), (lambda t: F.length(t["flat"]).cast("long"))
     zero = F.lit(0).cast("long")
     chunks = chunks.select(
         "conv_id",
         F.struct(
             "_chunk",
-            F.array_join(F.transform("_t", lambda t: F.concat(t["_head"], t["_flat"], F.lit(END))), "").alias("formatted"),
+            F.array_join(F.transform("_t", lambda t: F.concat(t["head"], t["flat"], F.lit(END))), "").alias("formatted"),
             F.transform(
                 "_t",
                 lambda t: F.struct(
-                    F.when(t["_loss"], n_head(t)).otherwise(n_head(t) + n_flat(t)).alias("skip"),
-                    F.when(t["_loss"], n_flat(t)).otherwise(zero).alias("take"),
+                    F.when(t["loss"], n_head(t)).otherwise(n_head(t) + n_flat(t)).alias("skip"),
+                    F.when(t["loss"], n_flat(t)).otherwise(zero).alias("take"),
                     F.lit(len(END)).cast("long").alias("tail"),
                 ),
             ).alias("runs"),
-            (F.flatten(F.transform("_t", lambda t: t["_att"])) if parts else F.array().cast(ATTACHMENT)).alias("att"),
+            F.flatten(F.transform("_t", lambda t: t["att"])).cast(ATTACHMENT).alias("att"),
         ).alias("_c"),
     )
     whole = chunks.groupBy("conv_id").agg(F.sort_array(F.collect_list("_c")).alias("_c"))
@@ -136,6 +139,22 @@ def read_turns(formatted: Column) -> Column:
     )
 
 
+def read_parts(body: Column) -> Column:
+    """array<struct<kind, text>> of a turn's text as it stands in the formatted string: placeholders have their kind and no text."""
+    ends = "|".join(KINDS)
+    pieces = F.filter(F.split(body, rf"(?=<\|)|(?<=<\|(?:{ends})\|>)"), lambda p: p != "")
+    kind = lambda p: F.when(p.rlike(rf"^<\|(?:{ends})\|>$"), F.substring(p, F.lit(3), F.length(p) - 4)).otherwise("text")
+    return F.transform(pieces, lambda p: F.struct(kind(p).alias("kind"), F.when(kind(p) == "text", unescape(p)).alias("text")))
+
+
+def read_typed_turns(formatted: Column) -> Column:
+    """array<struct<role, parts>>: like read_turns, with placeholders told apart from texts that only look like them."""
+    blocks = F.filter(F.split(formatted, r"<\|im_end\|>\n"), lambda b: b != "")
+    cut = lambda b: F.locate("\n", b)
+    role = lambda b: unescape_role(F.substring(b, F.lit(len(START) + 1), cut(b) - len(START) - 1))
+    return F.transform(blocks, lambda b: F.struct(role(b).alias("role"), read_parts(F.substring(b, cut(b) + 1, F.length(b))).alias("parts")))
+
+
 def read_loss(formatted: Column, runs: Column) -> Column:
     """The text under the loss mask, unescaped.  Runs are applied turn by turn, so the cost is linear in the length."""
     blocks = F.split(formatted, r"<\|im_end\|>\n")
