@@ -4,21 +4,22 @@ Native: only DataFrame operations.  Words are runs of letters and digits.  A
 number becomes ``#``, a unit ``@``, a capitalised word ``^``, any other word its lower
 case; windows of WIDTH such tokens are hashed and joined with the windows of the
 benchmark.  Matches of a document and an item are gathered by diagonal (distance
-between the places in either), and a diagonal counts if its slots are consistent:
-each benchmark value stands for one document value and the other way round.  So a
-question with other numbers and names is caught, a chance fit of placeholders is
-not.
+between the places in either).  A diagonal counts if its slots are consistent: each
+benchmark value stands for one document value (two of them may stand for the same).  So a
+question with other numbers and names is caught, a chance fit of placeholders is not.
 
-An item leaks into a document if consistent diagonals cover at least
-min(RUN, half of its windows, rounded up) of its windows that hold enough plain words.
+An item leaks into a document if one diagonal covers enough of its windows, or all diagonals
+that count do so together and are consistent as a whole (words put in or left out cut an
+item into several diagonals).  Enough is min(RUN, half of its windows, rounded up), of the
+windows that hold enough plain words.
 
 An item none of whose windows holds enough plain words leaks where all its words stand in
 a row, in any case; it counts as one window.
 
 Items of fewer than LEAST tokens are too short to tell and never match; those of
 fewer than WIDTH are one window.  Null or empty texts have no windows.  Rows that
-repeat give equal rows.  Null ids stay null.  Empty tables: empty result.  Other
-columns are ignored.
+repeat give equal rows; items that share an id count as one, which leaks where any text of it does.
+Null ids stay null.  Empty tables: empty result.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, small_side, words_of, written
+from .common import let, row_key, small_side, unused, words_of, written
 
 WIDTH, LEAST, RUN, PLAIN = 8, 5, 6, 4
 #: Windows of the benchmark, and matched rows, that may be broadcast; beyond it the joins are shuffled.
@@ -89,36 +90,42 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     bench = written(benchmark_windows(benchmark, item_id, item_text), "benchmark")
     widths = sorted(r["width"] for r in bench.select("width").distinct().collect())  # at most WIDTH - LEAST + 1
     base = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), F.col(text).alias("text"))
-    hashed = base.select("doc_id", "row_key", F.transform(words_of(F.col("text"), SEPARATORS), lambda w: F.xxhash64(canonical(w))).alias("h"))
-    found = None
     side = small_side(bench.select("hash", "item_id", "words", "at", "n_windows"), BROADCAST_WINDOWS)
-    for width in widths or [WIDTH]:
-        seen = window_hashes(F.col("h"), width)
-        rows = hashed.select("doc_id", "row_key", F.posexplode(seen).alias("pos", "hash")).join(side, "hash")
-        found = rows if found is None else found.unionByName(rows)
+    placed = lambda h, width: F.transform(window_hashes(h, width), lambda x, i: F.struct(i.alias("pos"), x.alias("hash")))
+    hashes = F.transform(words_of(F.col("text"), SEPARATORS), lambda w: F.xxhash64(canonical(w)))
+    windows = let(hashes, lambda h: F.concat(*[placed(h, width) for width in widths or [WIDTH]]))
+    found = base.select("doc_id", "row_key", F.inline(windows)).join(side, "hash")
     diagonals = found.groupBy("doc_id", "row_key", "item_id", "words", "n_windows", (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("ats"))
     diagonals = written(diagonals, "diagonals")
-    # The words in the document at the matched places, to look at the slots.
+    # The words in the document at the matched places, to look at the slots; written, so that a text is split once.
     met = base.join(small_side(diagonals, BROADCAST_ROWS).withColumnsRenamed({"doc_id": "_id", "row_key": "_key"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")))
-    met = met.withColumn("_own", words_of(F.col("text"), SEPARATORS)).drop("text", "_id", "_key")
     width = F.least(F.size("words"), F.lit(WIDTH))
     places = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + width - 1))))
-    pairs = F.transform(places, lambda i: F.struct(F.get("words", i).alias("theirs"), F.get("_own", i + F.col("shift")).alias("own")))
-    slots = F.array_distinct(F.filter(pairs, lambda p: canonical(p["theirs"]).isin(*SLOTS)))
-    met = met.select("doc_id", "row_key", "item_id", "words", "n_windows", "ats", slots.alias("_slots"))
-    consistent = (F.size("_slots") == F.size(F.array_distinct(F.transform("_slots", lambda p: p["theirs"])))) & (F.size("_slots") == F.size(F.array_distinct(F.transform("_slots", lambda p: p["own"]))))
-    good = met.filter(consistent).select("doc_id", "row_key", "item_id", "words", "n_windows", "ats", F.forall("_slots", lambda p: p["theirs"] == p["own"]).alias("same"))
-    pair = good.groupBy("doc_id", "row_key", "item_id", "words", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).cast("long").alias("matched"), F.bool_and("same").alias("exact"))
+    slots = let(words_of(F.col("text"), SEPARATORS), lambda own: F.transform(places, lambda i: F.struct(F.get("words", i).alias("theirs"), F.get(own, i + F.col("shift")).alias("own"))))
+    slots = F.array_distinct(F.filter(slots, lambda p: canonical(p["theirs"]).isin(*SLOTS)))
+    met = written(met.select("doc_id", "row_key", "item_id", "words", "n_windows", "ats", slots.alias("slots")), "slots")
+    consistent = lambda slots: F.size(slots) == F.size(F.array_distinct(F.transform(slots, lambda p: p["theirs"])))
+    good = met.filter(consistent(F.col("slots"))).withColumn("same", F.forall("slots", lambda p: p["theirs"] == p["own"]))
+    every = F.array_distinct(F.flatten(F.collect_list("slots")))
+    pair = good.groupBy("doc_id", "row_key", "item_id", "words", "n_windows").agg(
+        F.max(F.struct(F.size("ats").alias("n"), "same")).alias("best"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("n"),
+        F.bool_and("same").alias("same"),
+        every.alias("slots"),
+    )
+    whole = consistent(F.col("slots"))
+    pair = pair.select("doc_id", "row_key", "item_id", "n_windows", F.when(whole, F.col("n")).otherwise(F.col("best.n")).cast("long").alias("matched"), F.when(whole, F.col("same")).otherwise(F.col("best.same")).alias("exact"))
     need = F.least(F.lit(RUN), F.ceil(F.col("n_windows") / 2))
-    out = pair.filter(F.col("matched") >= need).select("doc_id", "row_key", "item_id", "n_windows", "matched", "exact")
+    out = pair.filter(F.col("matched") >= need)
     bare = written(bare_items(benchmark, item_id, item_text), "bare")
     if not bare.isEmpty():
         out = out.unionByName(verbatim(base, bare))
-    return out.dropDuplicates(["doc_id", "row_key", "item_id"])
+    rows = out.groupBy("doc_id", "row_key", "item_id").agg(F.max(F.struct("exact", "matched", "n_windows")).alias("m"))
+    return rows.select("doc_id", "row_key", "item_id", "m.n_windows", "m.matched", "m.exact")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows into which an item leaks."""
-    bad = written(leaks(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct(), "leaks")
-    keyed = docs.withColumn("_row_key", row_key(doc_id, text))
-    return keyed.join(small_side(bad, BROADCAST_ROWS), F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_row_key") == F.col("_key")), "left_anti").drop("_row_key")
+    own_id, own_key = unused(docs, "_id", "_key")
+    bad = written(leaks(docs, benchmark, doc_id, text).select(F.col("doc_id").alias(own_id), F.col("row_key").alias(own_key)).distinct(), "leaks")
+    return docs.join(small_side(bad, BROADCAST_ROWS), F.col(doc_id).eqNullSafe(F.col(own_id)) & (row_key(doc_id, text) == F.col(own_key)), "left_anti")
