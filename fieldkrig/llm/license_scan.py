@@ -5,18 +5,20 @@ WIDTH / 2 words, so that any WIDTH / 2 words in a row lie inside a block.  A blo
 meets a template if it holds at least ``threshold`` of the template's distinct
 tokens.  The join finds all such blocks:
 
-* tokens are ordered by their frequency over all documents, rarest first;
+* tokens are ordered by their frequency over all documents, rarest first, in blocks and templates;
 * prefix filter: a block with ``need`` of a template's ``n`` tokens holds one of
   its ``n - need + 1`` rarest, so only blocks at such a token become candidates;
 * length filter: a block with fewer than ``need`` template tokens can't match;
-* positional filter: when the first shared token stands at place p of the
-  template's order, at most n - p tokens can be shared.
+* positional filter: of the tokens that a block and a template share, the first stands at place i of
+  the block's m template tokens and at place p of the template's n, so at most
+  min(m - i, n - p) are shared.
 
-Templates are constants of this module (or the caller's), so the frequency table
-and the prefix table have a size that doesn't depend on the corpus.
+Templates come from license_texts (or the caller), so the frequency table and the prefix table have a
+size that doesn't depend on the corpus; the prefix table is broadcast up to BROADCAST_PREFIXES rows.
 
 Null or empty text: no words, no labels, score 0.  Rows that repeat are scanned
-row by row.  An empty table gives an empty table.
+row by row.  An empty table gives an empty table.  Other columns pass through; one that is
+named like an output is replaced.
 """
 
 from __future__ import annotations
@@ -26,32 +28,28 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import small_side, words_of
+from .license_texts import templates as license_templates
 
 #: What separates words: any ASCII character but digits and letters.
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "licensed under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("apache", "you may not use this file except in compliance with the license"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-)
+TEMPLATES = license_templates()
+BROADCAST_PREFIXES = 100_000
 
 WIDTH = 64
 
 
+def lower(text: Column) -> Column:
+    """Lower case.  Of all other letters than A-Z only the Kelvin sign would become an ASCII one, so it is put aside."""
+    return F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u2126")))
+
+
 def token_counts(df: DataFrame, text: str, vocabulary: list[str]) -> dict[str, int]:
     """How often each token of the vocabulary occurs in all documents."""
-    hits = F.filter(F.transform(words_of(F.col(text), SEPARATORS), lambda w: F.lower(w)), lambda w: w.isin(vocabulary))
+    hits = F.filter(words_of(lower(F.col(text)), SEPARATORS), lambda w: w.isin(vocabulary))
     found = df.select(F.explode(hits).alias("token")).groupBy("token").count().collect()  # at most one row for each template token
     return dict.fromkeys(vocabulary, 0) | {r["token"]: r["count"] for r in found}
 
@@ -87,29 +85,33 @@ def license_scan(df: DataFrame, text: str = "text", templates=TEMPLATES, phrases
         rows += [(i, label, ordered, need, place, ordered[place]) for place in range(len(s) - need + 1)]
     prefix = spark.createDataFrame(rows, "template int, label string, tokens array<string>, need int, place int, token string")
     triggers = sorted({r[5] for r in rows})
+    by_rank = F.array(*map(F.lit, sorted(vocabulary, key=rank.get)))
 
     half = WIDTH // 2
-    lower = lambda w: F.lower(w)
     outputs = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     passed = [c for c in df.columns if c not in outputs and c != text]
     base = df.select(F.monotonically_increasing_id().alias("_row"), *[F.col(f"`{c}`").alias(f"_p{i}") for i, c in enumerate(passed)], F.col(text).alias("_text"))
-    base = base.withColumn("_words", words_of(F.col("_text"), SEPARATORS))
-    base = base.withColumn("_hit", F.exists("_words", lambda w: F.lower(w).isin(triggers)))
-    # Only rows with a trigger need lower-case words, and every phrase's place is looked at only where its last word occurs.
+    # Only rows with a template token or a phrase's last word need more than the number of words.
     ends = sorted({p.split()[-1] for p, _ in phrases})
-    base = base.withColumn("_lower", F.when(F.col("_hit") | F.exists("_words", lambda w: F.lower(w).isin(ends)), F.transform("_words", lower)))
-    base = base.withColumn("_n", F.size("_words").cast("long"))
+    base = base.withColumn("_lower", words_of(lower(F.col("_text")), SEPARATORS))
+    base = base.withColumn("_hit", F.exists("_lower", lambda w: w.isin(triggers)))
+    base = base.withColumn("_n", F.size("_lower").cast("long"))
     none = F.array().cast("array<struct<start:bigint,label:string>>")
     base = base.withColumn("_base", F.when(F.arrays_overlap("_lower", F.array(*map(F.lit, ends))), base_places(F.col("_lower"), phrases)).otherwise(none))
     # Candidate blocks: for a trigger at word i, the blocks that start at or half a width before i's half block.
     at = F.filter(F.transform("_lower", lambda w, i: F.when(w.isin(triggers), F.floor(i / half).cast("int"))), lambda x: x.isNotNull())
     starts = F.array_distinct(F.flatten(F.transform(at, lambda b: F.array(b, F.greatest(b - 1, F.lit(0))))))
-    blocks = F.transform(starts, lambda b: F.array_intersect(F.slice("_lower", b * half + 1, WIDTH), F.array(*map(F.lit, vocabulary))))
-    base = base.withColumn("_blocks", F.when(F.col("_hit"), blocks)).drop("_text", "_words", "_lower", "_hit")
+    # Of a block the template tokens are kept, in the order of tokens (array_intersect follows its first array).
+    blocks = F.transform(starts, lambda b: F.array_intersect(by_rank, F.slice("_lower", b * half + 1, WIDTH)))
+    base = base.withColumn("_blocks", F.when(F.col("_hit"), blocks)).drop("_text", "_lower", "_hit")
     rows = base.withColumn("_block", F.explode_outer(F.array_distinct(F.concat(F.array(F.lit(None).cast("array<string>")), F.coalesce("_blocks", F.array().cast("array<array<string>>"))))))
-    rows = rows.withColumn("_first", F.col("_block").isNull()).drop("_blocks").withColumn("_token", F.explode_outer(F.array_intersect("_block", F.array(*map(F.lit, triggers)))))
-    met = rows.join(F.broadcast(prefix), (F.col("_token") == F.col("token")) & (F.size("_block") >= F.col("need")) & (F.size("tokens") - F.col("place") >= F.col("need")), "left")
-    shared = F.size(F.array_intersect("_block", "tokens"))
+    tokens = F.filter(F.transform("_block", lambda w, i: F.struct(w.alias("token"), i.alias("place"))), lambda x: x["token"].isin(triggers))
+    rows = rows.withColumn("_first", F.col("_block").isNull()).drop("_blocks").withColumn("_at", F.explode_outer(tokens))
+    long_enough = F.size("_block") >= F.col("need")
+    in_reach = F.least(F.size("_block") - F.col("_at.place"), F.size("tokens") - F.col("place")) >= F.col("need")
+    met = rows.join(small_side(prefix, BROADCAST_PREFIXES), (F.col("_at.token") == F.col("token")) & long_enough & in_reach, "left")
+    leading = F.size(F.array_intersect(F.slice("tokens", 1, F.col("place")), "_block")) == 0  # no token shared before this one
+    shared = F.when(leading, F.size(F.array_intersect("_block", "tokens")))
     met = met.withColumn("_score", F.when(shared >= F.col("need"), shared / F.size("tokens")))
     out = met.groupBy("_row").agg(
         F.first(F.when(F.col("_first"), F.struct("_n", "_base", *[f"_p{i}" for i in range(len(passed))])), ignorenulls=True).alias("_b"),
