@@ -1,11 +1,12 @@
 """Quality rules: a short-circuit cascade ordered by rejection per cost.
 
-Native: only SQL expressions.  Each rule is a boolean Column.  On a bounded
-sample every rule is timed and its share of rejections counted; the cascade is
-one CASE whose branches stand in falling order of rejections per second, so
-that later, dearer rules are evaluated only for rows that passed the earlier
-ones.  The order changes the cost and the name of the first failing rule, never
-the verdict.
+Native: only SQL expressions.  Each rule is a boolean Column of statistics of the text.  On a
+bounded sample every rule is timed, to powers of two, and its outcomes are noted; the next rule
+of the cascade is always the one that rejects most per cost among the sample's rows that those
+before it left (equal ones: by name).  The cascade is one CASE in that order, whose later, dearer rules
+are evaluated only for rows that passed the earlier ones; so are the statistics, but for those
+that the caller asks for.  The order changes the cost and the name of the first failing
+rule, never the verdict.
 
 Null or empty text: no words, rejected by ``few_words``.  Repeated rows are judged
 row by row; an empty table gives an empty table; other columns pass through,
@@ -14,14 +15,15 @@ except that a column named like an output is replaced.
 
 from __future__ import annotations
 
+import math
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, let, words_of
+from .common import BLANKS, let, unused, words_of, written
 
 WINDOW = 8
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_exclaims")
@@ -114,36 +116,55 @@ def lazy_stats(text: Column) -> dict[str, Column]:
     }
 
 
-def with_stats(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with all STATS as columns; words, lines and window hashes are computed once."""
+def with_stats(df: DataFrame, names: Iterable[str], text: str = "text") -> tuple[DataFrame, dict[str, Column]]:
+    """df with those STATS as columns (words, lines and window hashes computed once), and all STATS as Columns of it: the others are evaluated where they are reached."""
+    names = set(names)
+    words, lines, hashes = unused(df, "_words", "_lines", "_hashes")
     t = F.col(text)
-    df = df.withColumns({"_words": words_of(t), "_lines": lines_with_words(t)}).withColumns({"_hashes": window_hashes(F.col("_words"))})
-    return df.withColumns(
-        {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": word_chars(t),
-            "n_symbols": symbols(t),
-            "n_dup_lines": duplicate_lines(F.col("_lines")),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_repeat_words": repeated_words(F.col("_hashes")),
-            "n_exclaims": exclaims(t),
-        }
-    ).drop("_words", "_lines", "_hashes")
+    if names & {"n_words", "n_repeat_words"}:
+        df = df.withColumn(words, words_of(t))
+    if names & {"n_dup_lines", "n_lines"}:
+        df = df.withColumn(lines, lines_with_words(t))
+    if "n_repeat_words" in names:
+        df = df.withColumn(hashes, window_hashes(F.col(words)))
+    ready = {
+        "n_words": lambda: F.size(words).cast("long"),
+        "word_chars": lambda: word_chars(t),
+        "n_symbols": lambda: symbols(t),
+        "n_dup_lines": lambda: duplicate_lines(F.col(lines)),
+        "n_lines": lambda: F.size(lines).cast("long"),
+        "n_repeat_words": lambda: repeated_words(F.col(hashes)),
+        "n_exclaims": lambda: exclaims(t),
+    }
+    df = df.withColumns({n: ready[n]() for n in STATS if n in names}).drop(words, lines, hashes)
+    return df, lazy_stats(t) | {n: F.col(n) for n in names}
 
 
 def plan_order(df: DataFrame, text: str, rules=RULES, sample_rows: int = 512) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds, share rejected) on the first sample_rows rows, best rejection per second first.
+    """(rule, seconds to a power of two, share of the rows left that it rejects) in the order of the cascade, from sample_rows rows.
 
     The sample only estimates; every row is later judged by every rule it reaches.
     """
-    sample = df.select(F.col(text)).limit(sample_rows)
+    sample = written(df.select(F.col(text)).limit(sample_rows), "sample")
     stats = lazy_stats(F.col(text))
-    measured = []
-    for rule in rules:
-        began = time.perf_counter()
-        seen = sample.agg(F.count(F.lit(1)).alias("n"), F.count_if(rule.rejects(stats)).alias("k")).first()
-        measured.append((rule, time.perf_counter() - began, (seen["k"] or 0) / max(1, seen["n"])))
-    return sorted(measured, key=lambda m: -(m[2] / m[1]))
+    outcomes = [F.coalesce(r.rejects(stats), F.lit(False)) for r in rules]
+    left = [tuple(r) for r in sample.select(*[o.alias(f"r{i}") for i, o in enumerate(outcomes)]).collect()]  # sample_rows rows of booleans; also a warm-up
+    cost = []
+    for outcome in outcomes:
+        took = []
+        for _ in range(2):
+            began = time.perf_counter()
+            sample.agg(F.count_if(outcome)).collect()
+            took.append(time.perf_counter() - began)
+        cost.append(2.0 ** round(math.log2(min(took))))
+    order, rest = [], list(range(len(rules)))
+    while rest:
+        share = {i: sum(r[i] for r in left) / max(1, len(left)) for i in rest}
+        best = min(rest, key=lambda i: (-share[i] / cost[i], cost[i], rules[i].name))
+        order.append((rules[best], cost[best], share[best]))
+        left = [r for r in left if not r[best]]
+        rest.remove(best)
+    return order
 
 
 def cascade(columns: dict[str, Column], rules) -> Column:
@@ -154,12 +175,8 @@ def cascade(columns: dict[str, Column], rules) -> Column:
     return F.lit(None).cast("string") if out is None else out
 
 
-def quality_rules(df: DataFrame, text: str = "text", rules=RULES, sample_rows: int = 512, stats: bool = False) -> DataFrame:
-    """df plus ``failed_rule`` (null if none fails) and ``kept``; with stats=True also every statistic."""
+def quality_rules(df: DataFrame, text: str = "text", rules=RULES, sample_rows: int = 512, stats: Iterable[str] = ()) -> DataFrame:
+    """df plus the statistics named, ``failed_rule`` (null if none fails) and ``kept``."""
     order = [m[0] for m in plan_order(df, text, rules, sample_rows)]
-    if stats:
-        df = with_stats(df, text)
-        columns = {c: F.col(c) for c in STATS}
-    else:
-        columns = lazy_stats(F.col(text))
+    df, columns = with_stats(df, stats, text)
     return df.withColumn("failed_rule", cascade(columns, order)).withColumn("kept", F.col("failed_rule").isNull())
