@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -97,3 +99,172 @@ def repeated_bytes(rows, length: int = 100) -> dict:
         kept = bytes(x for x, g in zip(b, gone) if not g)
         out[d] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
     return out
+
+
+UNITS = set("km m cm mm kg g mg lb oz l ml s min h hours minutes seconds days miles feet inches meters dollars euros cents percent kmh mph".split())
+
+
+def _tokens(words: list[str]) -> list[str]:
+    out = []
+    for w in words:
+        first = w[0]
+        out.append("#" if "0" <= first <= "9" else "^" if first.lower() != first else "@" if w.lower() in UNITS else w.lower())
+    return out
+
+
+def leaks(docs, items, width: int = 8, run: int = 6, plain: int = 4, least: int = 5) -> dict:
+    """docs: (doc_id, text), items: (item_id, text), ids distinct -> {(doc_id, item_id): (matched windows, exact)}"""
+    split = lambda t: re.findall(r"[^\W_]+", t or "")  # noqa: E731  letters and digits
+    out = {}
+    for d, text in docs:
+        own = split(text)
+        canon = _tokens(own)
+        for i, item in items:
+            words = split(item)
+            if len(words) < least:
+                continue
+            w = min(width, len(words))
+            theirs = _tokens(words)
+            windows = [a for a in range(len(words) - w + 1) if sum(t not in "#@^" for t in theirs[a : a + w]) >= plain]
+            if not windows:
+                low = [x.lower() for x in own]
+                if any(low[p : p + len(words)] == [x.lower() for x in words] for p in range(len(low) - len(words) + 1)):
+                    out[d, i] = (1, True)
+                continue
+            diagonals = defaultdict(set)
+            for a in windows:
+                for p in range(len(own) - w + 1):
+                    if canon[p : p + w] == theirs[a : a + w]:
+                        diagonals[p - a].add(a)
+            good = []
+            for shift, at in diagonals.items():
+                slots = {(words[a + k], own[a + k + shift]) for a in at for k in range(w) if theirs[a + k] in "#@^"}
+                if len({x for x, _ in slots}) == len(slots):
+                    good.append((at, slots))
+            if not good:
+                continue
+            every = set().union(*(s for _, s in good))
+            same = lambda s: all(x == y for x, y in s)
+            if len({x for x, _ in every}) == len(every):
+                n, exact = len(set().union(*(a for a, _ in good))), same(every)
+            else:
+                n, exact = max((len(a), same(s)) for a, s in good)
+            if n >= min(run, -(-len(windows) // 2)):
+                out[d, i] = (n, exact)
+    return out
+
+
+def kneser_ney(training: list[bytes], order: int = 5):
+    """p(byte, context) of the interpolated modified Kneser-Ney model, straight from the definition; before a text stand line ends."""
+    counts = [Counter() for _ in range(order + 1)]
+    for t in training:
+        b = b"\n" * (order - 1) + t
+        for i in range(order - 1, len(b)):
+            counts[order][b[i - order + 1 : i + 1]] += 1
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    cuts = []
+    for n in range(order + 1):
+        of = [max(1, sum(c == k for c in counts[n].values())) for k in (1, 2, 3, 4)]
+        y = of[0] / (of[0] + 2 * of[1])
+        raw = [1 - 2 * y * of[1] / of[0], 2 - 3 * y * of[2] / of[1], 3 - 4 * y * of[3] / of[2]]
+        cuts.append([0.0] + [min(max(r, 0.05), top) for r, top in zip(raw, (0.95, 1.9, 2.85))])
+    followers = [defaultdict(list) for _ in range(order + 1)]
+    for n in range(1, order + 1):
+        for g, c in counts[n].items():
+            followers[n][g[:-1]].append(c)
+
+    def p(byte: bytes, context: bytes, n: int) -> float:
+        if n == 0:
+            return 1 / 256
+        shorter = p(byte, context[1:], n - 1)
+        seen = followers[n].get(context)
+        if not seen:
+            return shorter
+        c, total = counts[n].get(context + byte, 0), sum(seen)
+        lost = sum(cuts[n][min(x, 3)] for x in seen)
+        return (c - cuts[n][min(c, 3)]) / total + lost / total * shorter
+
+    def perplexity(text: bytes) -> float:
+        b = b"\n" * (order - 1) + text
+        logs = [math.log(p(b[i : i + 1], b[i - order + 1 : i], order)) for i in range(order - 1, len(b))]
+        return math.exp(-sum(logs) / len(text))
+
+    return perplexity
+
+
+def context_mixing(rows, hash_of, suffix_of, rate: float = 0.02) -> dict:
+    """rows: (doc_id, text), one task's texts in order, fewer than 2048 training tokens -> {doc_id: log10 probability}.
+
+    Word by word and decision by decision from the description: four contexts keyed by what they hold (no
+    hashing, so no collisions), weights by gate, adaptive map.  hash_of orders words of one count, suffix_of deals them to classes.
+    """
+    end = None
+    texts = {d: [*WORD.findall(ascii_lower(t or "")), end] for d, t in rows}
+    learns = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 10 != 0
+    count = Counter(w for d, ws in texts.items() if learns(d) for w in ws)
+    total, distinct = sum(count.values()), len(count)
+    order = sorted(count, key=lambda w: (-count[w], hash_of(w)))
+    own = [w for w in order if w is not end]
+    cls = {w: i if i < 30 else 32 + suffix_of(w) % 32 for i, w in enumerate(own)} | {end: 30}
+    mass = Counter()
+    for w in count:
+        mass[cls[w]] += count[w] + 0.1
+    mass[31] = 0.1
+    class_of = lambda w: cls.get(w, 30 if w is end else 31)
+
+    def decisions(ws):
+        """For each token: its four contexts and its six (depth, node, bit)."""
+        cs = [class_of(w) for w in ws]
+        for i, c in enumerate(cs):
+            back = [cs[i - k] if i >= k else 0 for k in (1, 2, 3)]
+            word = ws[i - 1] if i else "<start>"
+            yield [(0, back[0]), (1, *back[:2]), (2, *back), (3, word)], [(k, (c + 64) >> (6 - k), (c >> (5 - k)) & 1) for k in range(6)]
+
+    seen = Counter()
+    for d, ws in texts.items():
+        if learns(d):
+            for contexts, steps in decisions(ws):
+                for x in contexts:
+                    for _, node, bit in steps:
+                        seen[x, node, bit] += 1
+    level = lambda x, node: int(min(math.log2(1 + seen[x, node, 0] + seen[x, node, 1]) / 3, 3))
+    gate = lambda k, node, contexts: (k, level(contexts[2], node), level(contexts[3], node))
+    squash = lambda x: 1 / (1 + math.exp(-max(-30, min(30, x))))
+    weights, met, summed = defaultdict(lambda: [0.25] * 4 + [0.0]), Counter(), defaultdict(lambda: [0.0] * 5)
+    cells = {(n, i): [8 * squash((i - 12) / 2), 8 * (1 - squash((i - 12) / 2))] for n in range(64) for i in range(25)}
+    added = Counter()
+    batch = [step for d, ws in texts.items() if learns(d) for step in decisions(ws)]
+    for k in range(6):
+        moves, n = defaultdict(lambda: [0.0] * 5), Counter()
+        for contexts, steps in batch:
+            _, node, bit = steps[k]
+            odds = [math.log((max(seen[x, node, 1] - bit, 0) + 0.4) / (max(seen[x, node, 0] - (1 - bit), 0) + 0.4)) for x in contexts] + [1.0]
+            g = gate(k, node, contexts)
+            x = sum(w * o for w, o in zip(weights[g], odds))
+            for i, o in enumerate(odds):
+                moves[g][i] += (bit - squash(x)) * o
+            n[g] += 1
+            added[node, min(24, max(0, round(x * 2 + 12))), bit] += 1
+        for g, m in moves.items():
+            weights[g] = [w + rate * v / math.sqrt(n[g]) for w, v in zip(weights[g], m)]
+            met[g] += n[g]
+            summed[g] = [s + n[g] * w for s, w in zip(summed[g], weights[g])]
+    final = {g: [s / met[g] for s in summed[g]] for g in met}
+    for (node, i, bit), v in added.items():
+        cells[node, i][1 - bit] += v
+    curve = lambda node, i: math.log((cells[node, i][0] + 0.02) / (cells[node, i][1] + 0.02))
+    out = {}
+    for d, ws in texts.items():
+        logs = 0.0
+        for w, (contexts, steps) in zip(ws, decisions(ws)):
+            for k, node, bit in steps:
+                odds = [math.log((seen[x, node, 1] + 0.4) / (seen[x, node, 0] + 0.4)) for x in contexts] + [1.0]
+                x = sum(a * b for a, b in zip(final.get(gate(k, node, contexts), [0.25] * 4 + [0.0]), odds))
+                at = min(24 - 1e-3, max(0.0, x * 2 + 12))
+                i = int(at)
+                x = 0.5 * x + 0.5 * (curve(node, i) * (1 - at + i) + curve(node, i + 1) * (at - i))
+                logs -= math.log1p(math.exp(-x if bit else x))
+            logs += math.log((count[w] + 0.1) / mass[class_of(w)])
+        out[d] = logs / math.log(10)
+    return out

@@ -5,14 +5,19 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+import os
+import pickle
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 
 from fieldkrig.llm import common, kn_classifier, lm_score, ngram_join, packing, suffix_dedup, warc
 from fieldkrig.llm.components import components
@@ -115,6 +120,28 @@ def test_components(spark):
     assert all(got.get(v, v) == root(v) for v in list(parent))
 
 
+def test_suffix_ranks():
+    """Order and equality of all suffixes to a depth, against sorting the strings."""
+    rng = np.random.default_rng(3)
+    for length in (1, 5, 8, 9, 33, 100):
+        data = rng.integers(97, 99, 600).astype(np.uint8)
+        data[300:500] = data[100:300]
+        raw = data.tobytes() + b"\0" * length
+        want = [raw[i : i + length] for i in range(600)]
+        rank = suffix_dedup.suffix_ranks(data, length)
+        place = {w: i for i, w in enumerate(sorted(set(want)))}
+        assert rank.tolist() == [place[w] + 1 for w in want]
+
+
+def test_repeats_need_the_suffix_array(spark, monkeypatch):
+    """Windows that repeat in phrases which differ are found by the dictionary's suffix array alone."""
+    rows = texts(3, 70)
+    monkeypatch.setattr(suffix_dedup, "suffix_ranks", lambda data, length: np.arange(len(data)))
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(frame(spark, rows)).collect()}
+    want = {d: r[1] for d, r in brute.repeated_bytes(rows).items()}
+    assert got != want and all(got[d] <= want[d] for d in want)
+
+
 def test_repeated_bytes(spark):
     rows = texts(3, 70)
     got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(frame(spark, rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()}
@@ -157,6 +184,96 @@ def test_packing(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), TOKENIZER).count() == 0
 
 
+def test_packing_merge_ends(spark, monkeypatch):
+    """Windows over half full that can't be merged, more of them than a task takes, don't keep the merge going."""
+    monkeypatch.setattr(packing, "MERGE_ITEMS", 4)
+    rows = [(i, "a " * (59 if i % 7 else 9)) for i in range(60)]
+    out = packing.pack_documents(frame(spark, rows, 6), TOKENIZER, limit=100, open_windows=4).collect()
+    assert sorted(r["doc_id"] for r in out) == [d for d, _ in rows]
+    fill = Counter()
+    for r in out:
+        fill[r["sequence_id"]] += r["length"]
+    assert max(fill.values()) <= 100 and sum(f <= 50 for f in fill.values()) <= 1
+
+
+def test_packing_with_another_tokenizer(spark):
+    """A tokenizer that keeps case and white space encodes whole texts."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(1, "Hello,  World\nfoo BAR."), (2, None), (None, "Ünï  x"), (1, "Hello,  World\nfoo BAR.")]
+    tokenizer = Tokenizer.from_file(path)
+    want = sorted(([*tokenizer.encode(t or "", add_special_tokens=False).ids, 7] for _, t in rows))
+    got = packing.pack_documents(frame(spark, rows), path, eos=7, with_ids=True).collect()
+    assert sorted(r["ids"] for r in got) == want and sorted(str(r["doc_id"]) for r in got) == ["1", "1", "2", "None"]
+
+
+def test_jaccard_tiles_are_contracted(spark, monkeypatch):
+    """Blocks of several tiles: one large cluster, and a chain whose links lie across tiles."""
+    monkeypatch.setattr(ngram_join, "TILE", 3)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for d in range(40):
+        t = base.copy()
+        t[rng.randrange(60)] = f"x{d}"
+        rows.append((d, " ".join(t)))
+    for d in range(100, 124):  # each is close to the next only
+        rows.append((d, " ".join(f"c{i}" for i in range((d - 100) * 2, (d - 100) * 2 + 40))))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(frame(spark, rows)).collect()}
+    assert got == brute.jaccard_components(rows)
+
+
+def test_components_in_few_and_many_edges(spark, monkeypatch):
+    from fieldkrig.llm import components as module
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (102, 101)], "x long, y long").repartition(3)
+    want = {i: 0 for i in range(31)} | {100: 100, 101: 100, 102: 100}
+    assert {r["v"]: r["component"] for r in components(edges).collect()} == want
+    monkeypatch.setattr(module, "FEW_EDGES", 3)
+    assert {r["v"]: r["component"] for r in components(edges).collect()} == want
+
+
+def test_shared_values_need_no_package(spark):
+    """Broadcast values carry their classes: tasks read them where this package can't be imported."""
+    held = common.share(spark, kn_classifier.Model(np.arange(50, dtype=np.uint64), np.ones(50, np.int64)))
+    head, arrays = held.value
+    script = "import pickle, sys\nhead, arrays = pickle.load(sys.stdin.buffer)\nassert 'fieldkrig' not in sys.modules\nprint(pickle.loads(head, buffers=arrays).log_probability(__import__('numpy').arange(3, dtype='u8')).shape)"
+    done = subprocess.run([sys.executable, "-c", script], input=pickle.dumps((head, arrays)), capture_output=True, cwd="/", env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert done.stdout.strip() == b"(3,)", done.stderr.decode()[-500:]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda k, d: d)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
+
+
+def test_warc_edges(spark):
+    """Rows that are alike in everything, null ids and urls, columns that clash, an empty table."""
+    rows = [(1, "http://a.b/", "<p>x</p>", "k", 1)] * 5 + [(None, None, None, "k", 2)] * 3 + [(2, "http://a.b/", "<p>x</p>", "k", 3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, key string, digest int").repartition(4)
+    out = warc.archive_round_trip(spark, df).collect()
+    assert Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in out) == {(1, "response", None): 1, (1, "revisit", 1): 4, (None, "response", None): 1, (None, "revisit", None): 2, (2, "revisit", 1): 1}
+    assert warc.archive_round_trip(spark, df.limit(0)).count() == 0
+
+
+def test_warc_query_reads_through_the_index(spark, monkeypatch):
+    monkeypatch.setattr(warc.IndexFile, "captures", lambda self, key: [])
+    df = spark.createDataFrame([(1, "http://a.b/", "x")], "page_id long, url string, html string")
+    assert warc.archive_round_trip(spark, df).count() == 0
+
+
+def test_warc_key_in_several_blocks(spark, monkeypatch):
+    """A URL of very many captures lies in many blocks and files; all are found."""
+    monkeypatch.setattr(warc, "BLOCK_CAPTURES", 8)
+    df = spark.createDataFrame([(i, "http://hot.org/" if i % 3 else f"http://h{i}.org/\t{i}", f"<p>{i}</p>") for i in range(400)], "page_id long, url string, html string").repartition(5)
+    assert sorted(r["page_id"] for r in warc.archive_round_trip(spark, df).collect()) == list(range(400))
+
+
 def test_warc(spark):
     pages = [(i, f"http://h{i % 3}.example.org/p{i % 7}", f"<p>{i % 5}</p>" if i % 4 else None) for i in range(60)] + [(None, None, "<p>1</p>"), (3, "http://x.y/", "<p>3</p>")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
@@ -180,11 +297,13 @@ def test_warc(spark):
 def test_warc_lookup(spark):
     folder = common.shared_dir(spark) + "/warc-lookup"
     pages = spark.createDataFrame([(i, f"http://www.h{i % 9}.example.org/p{i}", f"<p>{i}</p>") for i in range(3000)], "page_id long, url string, html string").repartition(3)
-    directory = warc.build_index(warc.write_archives(pages, folder), folder)
-    blocks = sorted((r["first_key"], r["block_file"], r["offset"], r["length"]) for r in directory.collect())
-    found = warc.lookup(blocks, folder, "http://www.h4.example.org/p1354")
+    index = warc.build_index(warc.write_archives(pages, folder), folder)
+    files = sorted((r["first_key"], r["file"]) for r in index.collect())
+    found = warc.lookup(files, folder, "http://www.h4.example.org/p1354")
     assert [(f["page_id"], f["payload"]) for f in found] == [(1354, b"<p>1354</p>")]
-    assert warc.lookup(blocks, folder, "http://nowhere.test/") == []
+    assert warc.lookup(files, folder, "http://nowhere.test/") == []
+    some = spark.createDataFrame([("http://www.h4.example.org/p1354",), ("http://nowhere.test/",), ("https://www.H4.example.org/p1354",)], "url string")
+    assert [r["page_id"] for r in warc.read_archives(some, index, folder).collect()] == [1354]
     assert warc.url_key("http://a.b.org/x?y=1") == "org,b,a)/x?y=1"
 
 
@@ -201,6 +320,29 @@ def test_kneser_ney_sums_to_one():
         assert abs(p.sum() - 1) < 1e-4
 
 
+def test_perplexity_by_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdé ") for _ in range(rng.randrange(1, 6)))
+    rows = [(i, " ".join(word() for _ in range(rng.randrange(3, 60))), "en") for i in range(40)]
+    rows += [(50, "zzz unlike anything", "en"), (51, "a", "en"), (52, "abc" * 2000, "en"), (53, None, "en"), (0, "a second row of id 0", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1, 30)], "doc_id long, quality int, toxic int")
+    perplexity = brute.kneser_ney([t.encode() for i, t, _ in rows if 1 <= i < 30])
+    out = kn_classifier.classify(docs, labels).collect()
+    assert len(out) == len(rows)
+    by = {(r["doc_id"], r["n_bytes"]): r["perplexity"] for r in out}
+    for d, t, _ in rows:
+        if t:
+            assert abs(by[d, len(t.encode())] / perplexity(t.encode()) - 1) < 1e-3
+
+
+def test_filter_quality_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", "en", 3, 4), (1, "a b c", "en", 3, 4), (2, None, "en", 3, 4)], "doc_id long, text string, lang string, _id int, _key int")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    kept = kn_classifier.filter_quality(docs, labels)
+    assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [1, 1]
+
+
 def test_classifier(spark):
     rng = random.Random(1)
     good = lambda n: " ".join(rng.choice(("the", "river", "runs", "over", "old", "stones", "and", "sand")) for _ in range(n))
@@ -236,6 +378,25 @@ def test_scoring(spark):
     assert lm_score.score_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_score_by_plain_mixing(spark):
+    """The whole model against a version that goes token by token and keeps contexts without hashing."""
+    rng = random.Random(8)
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "uvwxyz"]
+    rows = [(i, " ".join(words[min(47, int(rng.expovariate(0.12)))] for _ in range(rng.randrange(0, 14)))) for i in range(60)] + [(70, "never seen WORDS au"), (71, None)]
+
+    def token(w):
+        raw = np.frombuffer(w.encode(), np.uint8)
+        h, suffix, _ = lm_score.tokens(raw, np.array([0, len(raw)]))
+        return h[:1].view(np.int64)[0], int(suffix[0])
+
+    want = brute.context_mixing(rows, lambda w: lm_score.END.view(np.int64)[0] if w is None else token(w)[0], lambda w: token(w)[1])
+    out = lm_score.score_texts(frame(spark, rows).coalesce(1).orderBy("doc_id")).collect()
+    for r in out:
+        assert abs(r["score"] - want[r["doc_id"]]) < 2e-3 * max(1, r["n_tokens"]), r
+        size = len((dict(rows)[r["doc_id"]] or "").encode())
+        assert r["n_bytes"] == size and (r["bits_per_byte"] is None if not size else abs(r["bits_per_byte"] + r["score"] * math.log2(10) / size) < 1e-9)
+
+
 def test_rare_words_join(spark, monkeypatch):
     """With a tiny table of common words, nearly all words meet their counts in the join."""
     monkeypatch.setattr(lm_score, "TOP_WORDS", 3)
@@ -251,7 +412,7 @@ def test_rare_words_join(spark, monkeypatch):
 
 def summed_tables(vocabulary, parts):
     """Ones and zeros of all slots, with each part counted by a task of its own."""
-    held, total = type("Held", (), {"value": vocabulary}), np.zeros((2, lm_score.OFFSETS[-1]), np.int64)
+    held, total = type("Held", (), {"value": (cloudpickle.dumps(vocabulary), [])}), np.zeros((2, lm_score.OFFSETS[-1]), np.int64)
     batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string())], ["doc_id", "text"])
     for out in lm_score._sum_tables(b for rows in parts for b in lm_score._tables([batch(rows)], held)):
         for chunk, width, raw in zip(*(c.to_pylist() for c in out.columns)):

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
+import pytest
+from pyspark.sql import functions as F
 
 from fieldkrig.llm import chat_format, decontaminate, license_scan, quality_rules
 
@@ -49,6 +52,35 @@ def test_chat_parts(spark):
     assert row["attachment_tokens"] == 53
 
 
+def test_chat_ties_stand_in_order_of_the_text(spark):
+    """Equal turn and role: by the text itself, not by its escaped form."""
+    rows = [(1, 0, "user", "<|"), (1, 0, "user", "<]"), (1, 0, "a\nb", "x"), (1, 0, "a b", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    chats = chat_format.format_chats(df)
+    assert {r["conv_id"]: tuple(r)[1:5] for r in chat_format.digests(chats).collect()} == brute.chat(rows)
+    turns = chats.select(chat_format.read_turns(chats["formatted"]).alias("t")).first()["t"]
+    assert [(t["role"], t["text"]) for t in turns] == sorted((r, t) for _, _, r, t in rows)
+
+
+def test_chat_query_goes_through_the_visitor(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "visit", lambda parts: 1 / 0)
+    df = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    with pytest.raises(ZeroDivisionError):
+        chat_format.format_chats(df)
+
+
+def test_chat_parts_are_read_back(spark):
+    part = lambda kind, text=None, ref=None, **more: {"kind": kind, "text": text, "ref": ref, "width": None, "height": None, "seconds": None, "pages": None} | more
+    parts = [part("text", "a <|image|> b"), part("document", ref="d.pdf", pages=3), part("image", ref="i"), part(None, "no kind"), part("text", None)]
+    df = spark.createDataFrame([(7, 0, "user", parts), (7, 1, "assistant", None)], f"conv_id long, turn long, role string, parts array<{chat_format.PART}>")
+    row = chat_format.format_chats(df, parts="parts")
+    first = row.first()
+    assert [(a["kind"], a["ref"], a["tokens"]) for a in first["attachments"]] == [("document", "d.pdf", 3072), ("image", "i", 1)]
+    typed = row.select(chat_format.read_typed_turns(row["formatted"]).alias("t")).first()["t"]
+    assert [(p["kind"], p["text"]) for p in typed[0]["parts"]] == [("text", "a <|image|> b"), ("document", None), ("image", None), ("text", "no kind")]
+    assert typed[1]["parts"] == []
+
+
 def test_empty_tables(spark):
     chats = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat_format.digests(chat_format.format_chats(chats)).count() == 0
@@ -95,7 +127,7 @@ def test_license_blocks_are_exact(spark):
 
 def test_quality(spark):
     rows = [(i, t) for i, t in enumerate(NASTY)] + [(90, " ".join(f"w{i}" for i in range(40))), (91, " ".join(f"w{i % 15}" for i in range(40)))]
-    out = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), stats=True).collect()}
+    out = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), stats=quality_rules.STATS).collect()}
     for d, t in rows:
         r = out[d]
         failed = r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]
@@ -144,6 +176,74 @@ def test_slots_must_be_consistent(spark):
     assert [r["doc_id"] for r in decontaminate.leaks(df, bench).collect()] == [1]
 
 
+def test_slots_need_not_be_one_to_one(spark):
+    """Two benchmark values may stand for the same document value, but one can't stand for two."""
+    item = "Anna has 3 apples and 4 pears in her basket and walks slowly down to the market"
+    df = spark.createDataFrame([(1, item.replace("3", "5").replace("4", "5"))], "doc_id long, text string")
+    assert [(r["doc_id"], r["exact"]) for r in decontaminate.leaks(df, spark.createDataFrame([(0, item)], "item_id long, text string")).collect()] == [(1, False)]
+
+
+def test_leaks_by_brute_force(spark):
+    rng = random.Random(9)
+    names, nouns = ["Anna", "Bert", "Cora", "Dirk"], "apples pears trains rivers stones boxes walks buys sees takes from under over with the a of and then slowly".split()
+    sentence = lambda n: " ".join(rng.choice(names) if rng.random() < 0.12 else str(rng.randrange(2, 60)) if rng.random() < 0.12 else rng.choice(nouns) for _ in range(n))
+    items = [(i, sentence(rng.choice((4, 5, 6, 7, 9, 14, 25, 40)))) for i in range(14)] + [(50, None), (51, "What is 12 plus 34 minus 56")]
+    docs = []
+    for d in range(60):
+        words = sentence(rng.randrange(0, 40)).split()
+        for _ in range(rng.randrange(0, 3)):
+            piece = (rng.choice(items)[1] or "").split()
+            for k in range(len(piece)):
+                if rng.random() < 0.15 and piece[k][0].isdigit():
+                    piece[k] = str(rng.randrange(2, 60))
+                if rng.random() < 0.1 and piece[k] in names:
+                    piece[k] = rng.choice(names)
+            if piece and rng.random() < 0.3:
+                piece.insert(rng.randrange(len(piece)), "suddenly")
+            words += piece
+        docs.append((d, " ".join(words)))
+    docs += [(100, None), (101, ""), (102, " ".join(t or "" for _, t in items) + " word" * 5000)]
+    want = brute.leaks(docs, items)
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["matched"], r["exact"]) for r in decontaminate.leaks(df, bench).collect()}
+    assert got == want
+    assert len(want) > 20 and any(not exact for _, exact in want.values())
+
+
+def test_items_of_one_id(spark):
+    """An item leaks where any of its texts does; the best of them is told."""
+    texts = ["a river runs over old stones and then under the bridge near the mill", "nobody walks along this narrow path before the sun has set behind hills"]
+    bench = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (1, texts[1])], "item_id long, text string")
+    df = spark.createDataFrame([(1, texts[1]), (2, " ".join(texts)), (3, "x")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(df, bench).collect()) == [(1, 1), (2, 1)]
+
+
+def test_clashing_column_names(spark):
+    rows = [(1, "one two three four five six seven eight nine ten", 5, 6, 7, 8, 9, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id int, _key int, _words int, _lines int, _hashes int, item_id int")
+    bench = spark.createDataFrame([(1, rows[0][1], 3)], "item_id long, text string, _id int")
+    assert decontaminate.decontaminate(df, bench).columns == df.columns and decontaminate.decontaminate(df, bench).count() == 0
+    assert tuple(quality_rules.quality_rules(df, stats=("n_words",)).first())[:9] == (*rows[0], 10)
+    assert tuple(license_scan.license_scan(df).drop("n_words").first())[:2] == (1, 5)
+    chats = spark.createDataFrame([(1, 0, "user", "x", 1, 2, 3)], "conv_id long, turn long, role string, text string, _t int, _chunk int, formatted int")
+    assert chat_format.format_chats(chats).first()["n_turns"] == 1
+
+
+def test_quality_cascade_is_lazy_and_ordered(spark):
+    """A statistic that nobody asks for is reached only in the cascade; dear rules that reject nothing come last."""
+    rows = [(i, "short" if i % 2 else "word " * 30) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    order = [r.name for r, _, _ in quality_rules.plan_order(df, "text")]
+    assert set(order) == {r.name for r in quality_rules.RULES} and order.index("few_words") < order.index("exclaims")
+    calls = []
+    boom = quality_rules.Rule("never", lambda c: (calls.append(1), F.raise_error(F.lit("reached")).cast("boolean"))[1])
+    few = quality_rules.RULES[0]
+    out = df.filter("text = 'short'").withColumn("n", F.lit(1))
+    _, columns = quality_rules.with_stats(out, ())
+    assert {r[0] for r in out.select(quality_rules.cascade(columns, [few, boom])).collect()} == {"few_words"} and calls
+    assert "n_exclaims" not in quality_rules.quality_rules(df, stats=("n_words",)).columns
+
+
 def test_sha_is_of_the_text(spark):
     df = spark.createDataFrame([(1, 0, "assistant", "é")], "conv_id long, turn long, role string, text string")
     r = chat_format.digests(chat_format.format_chats(df)).first()
