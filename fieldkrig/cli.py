@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import api
-from .errors import GeostatError, InvalidParameter
+from .errors import EngineError, InvalidParameter
 from .functions.models import VariogramModel, parse_kinds
 from .operators import cokriging, fit, interpolation, kriging, transform, validate, variogram
 from .sources import gpkg
@@ -123,7 +123,8 @@ def run_cokrige(spark, a):
 def run_collocated(spark, a):
     df = _load(spark, a, extras=(a.secondary,))
     targets = _load(spark, a, a.targets, False, (a.secondary,))
-    _save(cokriging.collocated_cokrige(targets, df, _model(a), a.secondary, markov=a.markov, neighbors=_near(a), ridge=a.ridge), a.output)
+    second = read_model(a.secondary_model) if a.secondary_model else None
+    _save(cokriging.collocated_cokrige(targets, df, _model(a), a.secondary, markov=a.markov, secondary_model=second, neighbors=_near(a), ridge=a.ridge), a.output)
 
 
 def run_cv(spark, a):
@@ -249,7 +250,7 @@ def parser() -> argparse.ArgumentParser:
             ("fit", str, None), ("weights", str, "n/h2"), ("detrend", int, 0), ("mle", str, None), ("cond", int, 20), ("covariates", names, []), ("error", str, None),
             ("nx", int, 100), ("ny", int, 100), ("nz", int, 10), ("resolution", float, None), ("method", str, "ordinary"), ("degree", int, 1), ("mean", float, 0.0), ("block", numbers(float), None), ("discretization", numbers(int), [4, 4, 4]),
             ("max-neighbors", int, None if command in ("sgs", "tgs", "sis") else 32), ("radius", float, None), ("min-neighbors", int, 1), ("octant", int, None), ("search-azimuth", float, None), ("search-ratio", float, 1.0),
-            ("secondary", str, "secondary"), ("secondary-file", str, None), ("ridge", float, 0.0), ("markov", str, "mm1"), ("folds", int, None), ("blocks", numbers(int), None), ("seed", int, 42),
+            ("secondary", str, "secondary"), ("secondary-file", str, None), ("ridge", float, 0.0), ("markov", str, "mm1"), ("secondary-model", str, None), ("folds", int, None), ("blocks", numbers(int), None), ("seed", int, 42),
             ("realizations", int, 10), ("nodmax", int, None), ("multigrid", int, 0), ("decluster", float, None), ("lower", str, None), ("upper", str, None), ("cutoffs", numbers(float), None), ("quantiles", numbers(float), [0.25, 0.5, 0.75]),
             ("cell", float, None), ("idw-power", float, 2.0), ("knn-k", int, 8), ("what", str, "ok"), ("raster", str, None), ("raster-layer", str, None),
         ):
@@ -264,7 +265,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("fieldkrig").getOrCreate()
     try:
         COMMANDS[a.command](spark, a)
-    except GeostatError as e:
+    except EngineError as e:
         print(f"{type(e).__name__}: {e}", file=sys.stderr)
         return 1
     return 0

@@ -7,29 +7,29 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-class GeostatError(ValueError):
+class EngineError(ValueError):
     """Base of all errors of this package."""
 
 
-class InsufficientData(GeostatError):
+class InsufficientData(EngineError):
     pass
 
 
-class DimensionMismatch(GeostatError):
+class DimensionMismatch(EngineError):
     pass
 
 
-class SingularSystem(GeostatError):
+class SingularSystem(EngineError):
     pass
 
 
-class InvalidParameter(GeostatError):
+class InvalidParameter(EngineError):
     pass
 
 
-class NoNeighbors(GeostatError):
+class NoNeighbors(EngineError):
     pass
 
 
-class DuplicatePoints(GeostatError):
+class DuplicatePoints(EngineError):
     pass

@@ -6,6 +6,7 @@ import sys
 import json
 import math
 from dataclasses import dataclass, field
+from typing import Protocol, runtime_checkable
 
 import numpy as np
 from pyspark.sql import Column
@@ -143,9 +144,28 @@ class Structure:
     anis: Anisotropy | None = None
 
 
+@runtime_checkable
+class Covariance(Protocol):
+    """What kriging, simulation and likelihoods ask of a model; any object with these parts may stand for a VariogramModel."""
+
+    nugget: float
+
+    @property
+    def has_power(self) -> bool: ...
+
+    def valid_dim(self, dim: int) -> bool: ...
+
+    def total_sill(self) -> float: ...
+
+    def gamma_np(self, dh: np.ndarray) -> np.ndarray:
+        """Semivariance of lag vectors (last axis: coordinates)."""
+
+    def cov_np(self, dh: np.ndarray) -> np.ndarray: ...
+
+
 @dataclass(frozen=True)
 class VariogramModel:
-    """A nugget and nested structures.  The covariance seam of custom models: gamma_np, cov_np, nugget, sill, has_power."""
+    """A nugget and nested structures; the built-in Covariance."""
 
     nugget: float
     structures: tuple[Structure, ...] = field(default_factory=tuple)
