@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InsufficientData, InvalidParameter
 from ..functions.models import Anisotropy, Structure, VariogramModel, unit_gamma
+from ..plans.lineage import share, shared
 from ..sources.points import coords
 from . import fit as fitting
 from . import variogram as vg
@@ -81,28 +82,69 @@ class Lmc:
         return cls(np.array(raw["nugget"], float), tuple(out))
 
 
-def fit_lmc(direct_a, direct_b, cross, template: VariogramModel, rounds: int = 200) -> Lmc:
-    """Sill matrices for the template's structures: alternating weighted least squares with projection (two variables, isotropic)."""
-    bins = [fitting._bins(v) for v in (direct_a, direct_b, cross)]
-    size = min(len(b[0]) for b in bins)
-    h = np.mean([b[0][:size] for b in bins], axis=0)
-    w = np.mean([b[2][:size] for b in bins], axis=0) / (h * h)
-    target = np.zeros((size, 2, 2))
-    target[:, 0, 0], target[:, 1, 1] = bins[0][1][:size], bins[1][1][:size]
-    target[:, 0, 1] = target[:, 1, 0] = bins[2][1][:size]
-    shapes = [np.ones(size), *(unit_gamma(s.kind, s.param, h, s.range) for s in template.structures)]
-    sills = [project_psd(np.tensordot(w, target, 1) / w.sum() / len(shapes)) for _ in shapes]
-    last = np.inf
+@dataclass(frozen=True)
+class _Curve:
+    """One experimental curve: values, weights, and the unit structures (nugget first) at its own lags."""
+
+    gamma: np.ndarray
+    weight: np.ndarray
+    shapes: np.ndarray
+
+    @classmethod
+    def of(cls, ev, template: VariogramModel) -> _Curve:
+        h, g, n = fitting.usable(ev) if isinstance(ev, DataFrame) else (np.asarray(x, float) for x in ev)
+        ok = (n > 0) & (h > 0) & np.isfinite(g)
+        h, g, n = h[ok], g[ok], n[ok]
+        if len(h) < len(template.structures) + 2:
+            raise InsufficientData("a coregionalization needs more bins with pairs than structures")
+        return cls(g, n / (h * h), np.stack([np.ones_like(h), *(unit_gamma(s.kind, s.param, h, s.range) for s in template.structures)]))
+
+    def least_squares(self) -> np.ndarray:
+        a = (self.shapes * self.weight) @ self.shapes.T
+        a[np.diag_indices_from(a)] += 1e-9 * max(a.diagonal().max(), np.finfo(float).tiny)
+        return np.linalg.solve(a, self.shapes @ (self.weight * self.gamma))
+
+    def best_sill(self, k: int, sills: np.ndarray) -> float:
+        """The sill of structure k given all others."""
+        rest = self.gamma - np.delete(sills, k) @ np.delete(self.shapes, k, axis=0)
+        own = self.weight * self.shapes[k]
+        total = own @ self.shapes[k]
+        return float(own @ rest / total) if total > 0 else 0.0
+
+    def loss(self, sills: np.ndarray) -> float:
+        left = self.gamma - sills @ self.shapes
+        return float(self.weight @ (left * left))
+
+
+def fit_lmc(direct_a, direct_b, cross, template: VariogramModel, rounds: int = 100) -> Lmc:
+    """Sill matrices of two variables for the template's structures (isotropic): each in turn by weighted least squares and projection.
+
+    Every curve keeps its own lags and weights; the cross curve counts twice, as its entry does in the
+    matrix.  A round that makes the sum of squares worse is not taken.
+    """
+    if any(s.anis for s in template.structures):
+        raise InvalidParameter("a coregionalization is fitted to isotropic structures")
+    curves = {(0, 0): _Curve.of(direct_a, template), (1, 1): _Curve.of(direct_b, template), (0, 1): _Curve.of(cross, template)}
+
+    def joined(entries: dict) -> np.ndarray:
+        a, b, c = (entries[e] for e in ((0, 0), (1, 1), (0, 1)))
+        return project_psd(np.array([[max(a, 0.0), c], [c, max(b, 0.0)]]))
+
+    alone = {e: c.least_squares() for e, c in curves.items()}
+    sills = np.stack([joined({e: v[k] for e, v in alone.items()}) for k in range(1 + len(template.structures))])
+    loss = lambda m: sum((2 if e == (0, 1) else 1) * c.loss(m[:, e[0], e[1]]) for e, c in curves.items())
+    now = loss(sills)
     for _ in range(rounds):
-        for k, g in enumerate(shapes):
-            rest = target - sum(sills[j] * shapes[j][:, None, None] for j in range(len(shapes)) if j != k)
-            sills[k] = project_psd(np.tensordot(w * g, rest, 1) / (w * g * g).sum())
-        left = target - sum(b * g[:, None, None] for b, g in zip(sills, shapes))
-        loss = float((w[:, None, None] * left**2).sum())
-        if last - loss <= 1e-12 * max(1.0, loss):
+        trial = sills.copy()
+        for k in range(len(trial)):
+            trial[k] = joined({e: c.best_sill(k, trial[:, e[0], e[1]]) for e, c in curves.items()})
+        then = loss(trial)
+        if then > now:
+            break
+        done, sills, now = now - then <= 1e-12 * max(now, np.finfo(float).tiny), trial, then
+        if done:
             break
-        last = loss
-    return Lmc(sills[0], tuple((Structure(s.kind, 1.0, s.range, s.param), b) for s, b in zip(template.structures, sills[1:])))
+    return Lmc(sills[0], tuple((Structure(s.kind, 1.0, s.range, s.param), m) for s, m in zip(template.structures, sills[1:])))
 
 
 def fit_lmc_collocated(primary: DataFrame, secondary: DataFrame, n_lags: int = 15, max_dist: float | None = None, kinds=fitting.BEST) -> Lmc:
@@ -163,12 +205,13 @@ class CoKriging:
 
 def cokrige(targets: DataFrame, variables: list[DataFrame], lmc: Lmc, block=None, key: str = "id", **options) -> DataFrame:
     names = coords(variables[0])
-    held = targets.sparkSession.sparkContext.broadcast(CoKriging([collect_points(v) for v in variables], lmc, **options))
+    held = share(targets.sparkSession, CoKriging([collect_points(v) for v in variables], lmc, **options))
     offsets = None if block is None else block_offsets(*block)
 
     def run(batches):
+        engine = shared(held)
         for b in batches:
-            v, s = held.value.predict(b[names].to_numpy(float), block=offsets)
+            v, s = engine.predict(b[names].to_numpy(float), block=offsets)
             yield pd.DataFrame({key: b[key], **{c: b[c] for c in names}, "prediction": v, "variance": s})
 
     return nulls(targets.select(key, *names).mapInPandas(run, f"{key} long, {', '.join(f'{c} double' for c in names)}, prediction double, variance double"), "prediction", "variance")
@@ -176,34 +219,37 @@ def cokrige(targets: DataFrame, variables: list[DataFrame], lmc: Lmc, block=None
 
 def leave_one_out_cokriging(variables: list[DataFrame], lmc: Lmc, **options) -> DataFrame:
     names = coords(variables[0])
-    held = variables[0].sparkSession.sparkContext.broadcast(CoKriging([collect_points(v) for v in variables], lmc, **options))
+    held = share(variables[0].sparkSession, CoKriging([collect_points(v) for v in variables], lmc, **options))
 
     def run(batches):
+        engine = shared(held)
         for b in batches:
-            v, s = held.value.predict(b[names].to_numpy(float), exclude=b["id"].to_numpy())
+            v, s = engine.predict(b[names].to_numpy(float), exclude=b["id"].to_numpy())
             yield pd.DataFrame({"id": b["id"], "observed": b["value"], "predicted": v, "variance": s})
 
     return nulls(variables[0].select("id", *names, "value").mapInPandas(run, "id long, observed double, predicted double, variance double"), "predicted", "variance")
 
 
 class Collocated:
-    """Simple collocated co-kriging on standardised residuals: MM1 (the primary's correlogram) or MM2 (the secondary's)."""
+    """Simple collocated co-kriging on standardised residuals.
+
+    The primary has the correlogram of ``model``.  Across variables it is rho times that of ``model`` (mm1), or
+    of ``secondary_model`` (mm2: the secondary, known everywhere, is what is modelled).
+    """
 
-    def __init__(self, data: dict, model: VariogramModel, rho: float, mean: float, std: float, mean2: float, std2: float, markov: str = "mm1", primary_nugget_share: float = 0.0, neighbors: Neighbors = Neighbors(max=16), ridge: float = 0.0):
+    def __init__(self, data: dict, model: VariogramModel, rho: float, mean: float, std: float, mean2: float, std2: float, markov: str = "mm1", secondary_model: VariogramModel | None = None, neighbors: Neighbors = Neighbors(max=16), ridge: float = 0.0):
         if not -1 <= rho <= 1 or std <= 0 or std2 <= 0 or markov not in ("mm1", "mm2"):
             raise InvalidParameter("rho must lie in [-1, 1], deviations must be positive, markov mm1 or mm2")
-        if model.has_power:
-            raise InvalidParameter("collocated co-kriging takes a bounded model")
-        self.data, self.model, self.rho, self.stats, self.markov, self.ridge, self.neighbors = data, model, rho, (mean, std, mean2, std2), markov, ridge, neighbors
+        if (markov == "mm2") != (secondary_model is not None):
+            raise InvalidParameter("mm2, and no other form, takes a model of the secondary")
+        if any(m.has_power for m in (model, secondary_model) if m is not None):
+            raise InvalidParameter("collocated co-kriging takes bounded models")
+        self.data, self.model, self.across, self.rho, self.stats, self.ridge, self.neighbors = data, model, secondary_model or model, rho, (mean, std, mean2, std2), ridge, neighbors
         self.index = neighbors.index(data["xyz"], data["id"])
 
     def correlogram(self, dh):
-        c = self.model.cov_np(dh) / self.model.total_sill()
-        if self.markov == "mm1":
-            return c, self.rho * c
-        # MM2: model is the secondary's; the primary keeps rho**2 of it and a residual that is white.
-        zero = (np.asarray(dh) == 0).all(axis=-1)
-        return self.rho**2 * c + (1 - self.rho**2) * zero, self.rho * c
+        """Of the primary, and across."""
+        return self.model.cov_np(dh) / self.model.total_sill(), self.rho * self.across.cov_np(dh) / self.across.total_sill()
 
     def predict(self, targets: np.ndarray, secondary: np.ndarray, exclude=None) -> tuple[np.ndarray, np.ndarray]:
         mean, std, mean2, std2 = self.stats
@@ -212,16 +258,16 @@ class Collocated:
         near = self.index.query(targets, self.neighbors.max, self.neighbors.radius, exclude=exclude)
         sizes = np.array([len(x) for x in near])
         for k in np.unique(sizes):
-            if k < self.neighbors.min:
+            if 0 < k < self.neighbors.min:  # without neighbours the secondary alone gives a regression
                 continue
             at = np.flatnonzero(sizes == k)
-            rows = np.stack([near[i] for i in at])
+            rows = np.stack([near[i] for i in at]).astype(int)
             xyz, u = self.data["xyz"][rows], (self.data["value"][rows] - mean) / std
             a, b = np.ones((len(at), k + 1, k + 1)), np.zeros((len(at), k + 1))
             a[:, :k, :k] = self.correlogram(xyz[:, :, None, :] - xyz[:, None, :, :])[0]
             direct, cross = self.correlogram(targets[at][:, None, :] - xyz)
             a[:, :k, k] = a[:, k, :k] = cross
-            a[:, np.arange(k + 1), np.arange(k + 1)] += self.ridge
+            a[:, np.arange(k + 1), np.arange(k + 1)] += self.ridge / np.r_[np.full(k, std * std), std2 * std2]
             b[:, :k], b[:, k] = direct, self.rho
             w = solve_stack(a, b[..., None])[..., 0]
             value[at] = mean + std * ((w[:, :k] * u).sum(axis=1) + w[:, k] * (secondary[at] - mean2) / std2)
@@ -238,11 +284,12 @@ def collocated_cokrige(targets: DataFrame, data: DataFrame, model: VariogramMode
         row = collocated_stats(data.withColumn("secondary", F.col(secondary))).first()
         means = data.agg(F.avg("value"), F.avg(secondary)).first()
         options = {"rho": row["rho"], "std": row["std_primary"], "std2": row["std_secondary"], "mean": means[0], "mean2": means[1]} | options
-    held = targets.sparkSession.sparkContext.broadcast(Collocated(collect_points(data), model, **options))
+    held = share(targets.sparkSession, Collocated(collect_points(data), model, **options))
 
     def run(batches):
+        engine = shared(held)
         for b in batches:
-            v, s = held.value.predict(b[names].to_numpy(float), b[secondary].to_numpy(float), b["id"].to_numpy() if exclude_self else None)
+            v, s = engine.predict(b[names].to_numpy(float), b[secondary].to_numpy(float), b["id"].to_numpy() if exclude_self else None)
             yield pd.DataFrame({"id": b["id"], "prediction": v, "variance": s})
 
     return nulls(targets.select("id", *names, secondary).mapInPandas(run, "id long, prediction double, variance double"), "prediction", "variance")

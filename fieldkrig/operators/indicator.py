@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import sys
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidParameter
 from ..functions.models import VariogramModel
+from ..plans.lineage import share, shared
 from ..sources.points import coords
 from .kriging import Neighbors, collect_points, solve_stack
 from .transform import Tail, tail_moments
@@ -41,81 +44,78 @@ def corrected(f: np.ndarray) -> np.ndarray:
     return (np.maximum.accumulate(f, axis=-1) + np.minimum.accumulate(f[..., ::-1], axis=-1)[..., ::-1]) / 2
 
 
+@dataclass(frozen=True)
+class SoftCalibration:
+    """How a soft probability goes with the indicator of a cutoff: correlation, and the soft data's own deviation and mean."""
+
+    rho: float
+    std: float
+    mean: float
+
+    def __post_init__(self):
+        if not -1 <= self.rho <= 1 or not (math.isfinite(self.std) and self.std > 0) or not math.isfinite(self.mean):
+            raise InvalidParameter("a calibration needs rho in [-1, 1], a positive deviation and a mean")
+
+
 class IndicatorKriging:
-    def __init__(self, data: dict, cutoffs, models, ordinary: bool = True, neighbors: Neighbors = Neighbors(max=16), soft: dict | None = None, soft_b=None):
-        self.data, self.cutoffs, self.models, self.ordinary, self.neighbors = data, np.asarray(cutoffs, float), list(models), ordinary, neighbors
+    def __init__(self, data: dict, cutoffs, models, ordinary: bool = True, neighbors: Neighbors = Neighbors(max=16), calibration: list[SoftCalibration] | None = None):
+        if calibration is not None and (ordinary or len(calibration) != len(cutoffs)):
+            raise InvalidParameter("soft indicators take simple kriging and one calibration for each cutoff")
+        self.data, self.cutoffs, self.models, self.ordinary, self.neighbors, self.calibration = data, np.asarray(cutoffs, float), list(models), ordinary, neighbors, calibration
         self.coded = (data["value"][:, None] <= self.cutoffs[None, :]).astype(float)
         self.share = self.coded.mean(axis=0)
         self.index = neighbors.index(data["xyz"], data["id"])
-        self.soft, self.soft_b = soft, soft_b
-        if soft is not None:
-            self.soft_index = neighbors.index(soft["xyz"], soft["id"])
-            self.soft_mean = soft["p"].mean(axis=0)
 
-    def _weights(self, model, xyz, target):
-        k, extra = xyz.shape[1], int(self.ordinary)
+    def _weights(self, model, xyz, target, soft: SoftCalibration | None = None):
+        """Of the neighbours, and in the last place of a soft datum at the target.
+
+        The soft datum's covariance with a neighbour is rho std sqrt(c0) times the indicator's correlogram (Markov-Bayes).
+        """
+        k, c0 = xyz.shape[1], model.total_sill()
+        extra = int(self.ordinary or soft is not None)
         a, b = np.zeros((len(xyz), k + extra, k + extra)), np.ones((len(xyz), k + extra))
         a[:, :k, :k] = model.cov_np(xyz[:, :, None, :] - xyz[:, None, :, :])
-        a[:, np.arange(k), np.arange(k)] += 1e-9 * model.total_sill()
-        if extra:
-            a[:, :k, k] = a[:, k, :k] = 1
         b[:, :k] = model.cov_np(target[:, None, :] - xyz)
-        return solve_stack(a, b[..., None])[:, :k, 0]
+        if soft is not None:
+            a[:, :k, k] = a[:, k, :k] = soft.rho * soft.std / math.sqrt(c0) * b[:, :k]
+            a[:, k, k], b[:, k] = soft.std**2, soft.rho * soft.std * math.sqrt(c0)
+        elif extra:
+            a[:, :k, k] = a[:, k, :k] = 1
+        held = np.arange(k + (soft is not None))
+        a[:, held, held] += 1e-9 * c0
+        return solve_stack(a, b[..., None])[:, : k + (soft is not None), 0]
 
-    def predict(self, targets: np.ndarray, exclude=None) -> np.ndarray:
-        """The ccdf at the cutoffs, NaN where it fails."""
-        if self.soft is not None:
-            return self._predict_soft(targets, exclude)
+    def predict(self, targets: np.ndarray, exclude=None, soft: np.ndarray | None = None) -> np.ndarray:
+        """The ccdf at the cutoffs, NaN where it fails.  soft: a probability for each target and cutoff."""
         out = np.full((len(targets), len(self.cutoffs)), np.nan)
         near = self.index.query(targets, self.neighbors.max, self.neighbors.radius, exclude=exclude)
         sizes = np.array([len(x) for x in near])
         for k in np.unique(sizes):
-            if k < max(1, self.neighbors.min):
+            # Without hard neighbours a soft datum alone gives a regression.
+            if k < max(1, self.neighbors.min) and (soft is None or k):
                 continue
             at = np.flatnonzero(sizes == k)
-            rows = np.stack([near[i] for i in at])
+            rows = np.stack([near[i] for i in at]).astype(int)
             xyz, coded = self.data["xyz"][rows], self.coded[rows]
-            w = self._weights(self.models[0], xyz, targets[at]) if len(self.models) == 1 else None  # one solution for all cutoffs
+            w = self._weights(self.models[0], xyz, targets[at]) if len(self.models) == 1 and soft is None else None  # one solution for all cutoffs
             for c in range(len(self.cutoffs)):
-                own = w if w is not None else self._weights(self.models[c], xyz, targets[at])
+                calibration = None if soft is None else self.calibration[c]
+                own = w if w is not None else self._weights(self.models[0 if len(self.models) == 1 else c], xyz, targets[at], calibration)
                 base = 0.0 if self.ordinary else self.share[c]
-                out[at, c] = base + (own * (coded[:, :, c] - base)).sum(axis=1)
-        return corrected(out)
-
-    def _predict_soft(self, targets, exclude):
-        """Markov-Bayes, simple: hard and soft data; a soft datum's covariances are B (with hard) and B**2 (with soft, |B| at lag 0) times the model's."""
-        if self.ordinary:
-            raise InvalidParameter("soft indicators take simple kriging")
-        out = np.full((len(targets), len(self.cutoffs)), np.nan)
-        hard = self.index.query(targets, self.neighbors.max, self.neighbors.radius, exclude=exclude)
-        soft = self.soft_index.query(targets, self.neighbors.max, self.neighbors.radius)
-        for i in range(len(targets)):
-            h, s = hard[i], soft[i]
-            if len(h) + len(s) < max(1, self.neighbors.min):
-                continue
-            xyz = np.concatenate([self.data["xyz"][h], self.soft["xyz"][s]])
-            is_soft = np.r_[np.zeros(len(h), bool), np.ones(len(s), bool)]
-            dh = xyz[:, None, :] - xyz[None, :, :]
-            for c in range(len(self.cutoffs)):
-                model, b = self.models[0 if len(self.models) == 1 else c], self.soft_b[c]
-                factor = np.where(is_soft, b, 1.0)
-                a = model.cov_np(dh) * factor[:, None] * factor[None, :]
-                a[is_soft, is_soft] = abs(b) * model.total_sill()
-                a[np.arange(len(xyz)), np.arange(len(xyz))] += 1e-9 * model.total_sill()
-                rhs = model.cov_np(targets[i] - xyz) * factor
-                w = solve_stack(a[None], rhs[None, :, None])[0, :, 0]
-                away = np.r_[self.coded[h, c] - self.share[c], self.soft["p"][s, c] - self.soft_mean[c]]
-                out[i, c] = self.share[c] + w @ away
+                out[at, c] = base + (own[:, :k] * (coded[:, :, c] - base)).sum(axis=1)
+                if soft is not None:
+                    out[at, c] += own[:, k] * (soft[at, c] - calibration.mean)
         return corrected(out)
 
 
-def calibrate_markov_bayes(calibration: DataFrame, cutoffs: list[float], soft: list[str]) -> list[float]:
-    """B at each cutoff: mean soft probability where the indicator is 1 less where it is 0.  calibration: value and soft columns."""
-    one = lambda c, p: F.avg(F.when(F.col("value") <= float(c), F.col(p))) - F.avg(F.when(F.col("value") > float(c), F.col(p)))
-    row = calibration.agg(*[one(c, p).alias(f"b{k}") for k, (c, p) in enumerate(zip(cutoffs, soft))]).first()
-    if any(v is None for v in row):
-        raise InvalidParameter("every cutoff needs calibration data on both sides")
-    return list(row)
+def calibrate_markov_bayes(calibration: DataFrame, cutoffs: list[float], soft: list[str]) -> list[SoftCalibration]:
+    """For each cutoff from points with a value and soft probabilities, in one aggregation (population deviations)."""
+    coded = [(F.col("value") <= float(c)).cast("double") for c in cutoffs]
+    row = calibration.agg(*[f.alias(f"{n}{k}") for k, (i, p) in enumerate(zip(coded, soft)) for n, f in (("r", F.corr(i, F.col(p))), ("s", F.stddev_pop(p)), ("m", F.avg(p)))]).first()
+    found = [(row[f"r{k}"], row[f"s{k}"], row[f"m{k}"]) for k in range(len(cutoffs))]
+    if any(v is None or not math.isfinite(v) for f in found for v in f):
+        raise InvalidParameter("every cutoff needs calibration data on both sides, and soft data that vary")
+    return [SoftCalibration(*f) for f in found]
 
 
 def moments_col(ccdf: Column, cutoffs: list[float], lower: Tail, upper: Tail) -> tuple[Column, Column]:
@@ -137,22 +137,24 @@ def moments_col(ccdf: Column, cutoffs: list[float], lower: Tail, upper: Tail) ->
     return first, F.when(first < float("inf"), F.greatest(F.lit(0.0), second - first * first)).otherwise(F.lit(float("inf")))
 
 
-def indicator_krige(targets: DataFrame, data: DataFrame, cutoffs: list[float], models: list[VariogramModel], lower: Tail, upper: Tail, ordinary: bool = True, neighbors: Neighbors = Neighbors(max=16), soft: DataFrame | None = None, soft_columns: tuple[str, ...] = (), soft_b=None, exclude_self: bool = False, key: str = "id") -> DataFrame:
-    """key, x, y[, z], ccdf, e_type, cond_var."""
+def indicator_krige(
+    targets: DataFrame, data: DataFrame, cutoffs: list[float], models: list[VariogramModel], lower: Tail, upper: Tail, ordinary: bool = True, neighbors: Neighbors = Neighbors(max=16),
+    soft: tuple[str, ...] = (), calibration: list[SoftCalibration] | None = None, exclude_self: bool = False, key: str = "id",
+) -> DataFrame:
+    """key, x, y[, z], ccdf, e_type, cond_var.  soft: columns of targets, one for each cutoff, with probabilities (simple kriging, with a calibration)."""
     names = coords(data)
     p = collect_points(data)
     check(p["value"], cutoffs, models, lower, upper)
-    extra = None
-    if soft is not None:
-        extra = collect_points(soft.select("id", *names, *soft_columns), soft_columns)
-        extra["p"] = np.stack([extra[c] for c in soft_columns], axis=-1)
-    held = targets.sparkSession.sparkContext.broadcast(IndicatorKriging(p, cutoffs, models, ordinary, neighbors, extra, soft_b))
+    if len(soft) != (len(cutoffs) if calibration else 0):
+        raise InvalidParameter("soft columns and calibrations go together, one for each cutoff")
+    held = share(targets.sparkSession, IndicatorKriging(p, cutoffs, models, ordinary, neighbors, calibration))
 
     def run(batches):
+        engine = shared(held)
         for b in batches:
-            f = held.value.predict(b[names].to_numpy(float), b[key].to_numpy() if exclude_self else None)
+            f = engine.predict(b[names].to_numpy(float), b[key].to_numpy() if exclude_self else None, b[list(soft)].to_numpy(float) if soft else None)
             yield pd.DataFrame({key: b[key], **{c: b[c] for c in names}, "ccdf": [None if np.isnan(r).any() else r.tolist() for r in f]})
 
-    out = targets.select(key, *names).mapInPandas(run, f"{key} long, {', '.join(f'{c} double' for c in names)}, ccdf array<double>")
+    out = targets.select(key, *names, *soft).mapInPandas(run, f"{key} long, {', '.join(f'{c} double' for c in names)}, ccdf array<double>")
     mean, var = moments_col(F.col("ccdf"), cutoffs, lower, upper)
     return out.select("*", mean.alias("e_type"), var.alias("cond_var"))
