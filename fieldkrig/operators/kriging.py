@@ -2,7 +2,8 @@
 
 The conditioning set is broadcast behind a check of its size, targets stream
 through ``mapInPandas`` in Arrow batches, and systems of equal size are solved as one
-stack.  No shuffle is needed.  A target whose system fails gives NULL.
+stack.  No shuffle is needed.  Beyond that size simple and ordinary kriging take each target's neighbours
+from a distributed join.  A target whose system fails gives NULL.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 
 from ..errors import DuplicatePoints, InsufficientData, InvalidParameter, NoNeighbors
 from ..functions.models import Anisotropy, VariogramModel
-from ..plans.pairs import NeighborIndex
+from ..plans.lineage import fits, share, shared
+from ..plans.pairs import BROADCAST_POINTS, NeighborIndex, knn_join
 from ..sources.points import coords
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -108,8 +110,8 @@ class Kriging:
     def _kernel(self, dh: np.ndarray) -> np.ndarray:
         return -self.model.gamma_np(dh) if self.model.has_power else self.model.cov_np(dh)
 
-    def predict(self, targets, covariates=None, exclude=None, groups=None, block: np.ndarray | None = None, strict: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """value, variance, Lagrange multiplier of each target; NaN on failure (raised if strict)."""
+    def predict(self, targets, covariates=None, exclude=None, groups=None, block: np.ndarray | None = None, strict: bool = False, lists: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """value, variance, Lagrange multiplier of each target; NaN on failure (raised if strict).  lists: neighbours of each target that are known already."""
         targets = np.asarray(targets, float)
         m = len(targets)
         value, variance, lagrange = (np.full(m, np.nan) for _ in range(3))
@@ -117,7 +119,9 @@ class Kriging:
             raise InvalidParameter("block kriging takes simple or ordinary kriging and a bounded model")
         if self.method == "drift":
             covariates = (np.asarray(covariates, float).reshape(m, -1) - self.c_mean) / self.c_std
-        if self.everything and exclude is None and groups is None:
+        if lists is not None:
+            pass
+        elif self.everything and exclude is None and groups is None:
             lists = [np.arange(len(self.xyz))] * m
         else:
             lists = self.index.query(targets, self.neighbors.max, self.neighbors.radius, self.neighbors.per_octant, exclude, groups)
@@ -202,19 +206,46 @@ def build(data: DataFrame, model: VariogramModel, covariates: tuple[str, ...] =
 def krige(targets: DataFrame, data: DataFrame, model: VariogramModel, covariates: tuple[str, ...] = (), error: str | None = None, block: tuple[tuple[float, ...], tuple[int, ...]] | None = None, key: str = "id", **options) -> DataFrame:
     """key, x, y[, z], prediction, variance, lagrange.  options: see Kriging."""
     names = coords(data)
-    engine = build(data, model, covariates, error, **options)
-    held = targets.sparkSession.sparkContext.broadcast(engine)
     offsets = None if block is None else block_offsets(*block)
+    schema = f"{key} long, {', '.join(f'{c} double' for c in names)}, prediction double, variance double, lagrange double"
+    near = options.get("neighbors", Neighbors(max=32))
+    joined = options.get("method", "ordinary") in ("ordinary", "simple") and not covariates and error is None and near.max is not None and near.per_octant is None and near.ellipsoid is None
+    if joined and not fits(data, MAX_BROADCAST):
+        return _krige_joined(targets, data, model, offsets, key, schema, **options)
+    held = share(targets.sparkSession, build(data, model, covariates, error, **options))
 
     def run(batches):
+        engine = shared(held)
         for b in batches:
-            v, s, g = held.value.predict(b[names].to_numpy(float), b[list(covariates)].to_numpy(float) if covariates else None, block=offsets)
+            v, s, g = engine.predict(b[names].to_numpy(float), b[list(covariates)].to_numpy(float) if covariates else None, block=offsets)
             yield pd.DataFrame({key: b[key], **{c: b[c] for c in names}, "prediction": v, "variance": s, "lagrange": g})
 
-    schema = f"{key} long, {', '.join(f'{c} double' for c in names)}, prediction double, variance double, lagrange double"
     return nulls(targets.select(key, *names, *covariates).mapInPandas(run, schema), "prediction", "variance", "lagrange")
 
 
+def _krige_joined(targets: DataFrame, data: DataFrame, model: VariogramModel, offsets, key: str, schema: str, **options) -> DataFrame:
+    """For data of any number: a target's row gathers its neighbours (at most neighbors.max), found by the nearest-neighbour join."""
+    names, near = coords(data), options.get("neighbors", Neighbors(max=32))
+    ranked = knn_join(targets.select(F.col(key).alias("id"), *names), data.select("id", *names), near.max, near.radius, broadcast_points=min(MAX_BROADCAST, BROADCAST_POINTS))
+    found = ranked.join(data.select("id", *[F.col(c).alias(f"_{c}") for c in (*names, "value")]), "id")
+    lists = found.groupBy("target_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id", *[f"_{c}" for c in names], "_value"))).alias("_near"))
+    rows = targets.select(key, *names).join(lists.withColumnRenamed("target_id", "_target"), F.col(key) == F.col("_target"), "left").drop("_target")
+
+    def run(batches):
+        for b in batches:
+            own = [() if x is None else x for x in b["_near"]]
+            points = {r["id"]: (*(r[f"_{c}"] for c in names), r["_value"]) for x in own for r in x}
+            ids = np.array(sorted(points), np.int64)
+            at = np.array([points[i] for i in ids.tolist()], float).reshape(len(ids), -1)
+            v = s = g = np.full(len(b), np.nan)
+            if len(ids):
+                engine = Kriging(at[:, :-1], at[:, -1], ids, model, **options)
+                v, s, g = engine.predict(b[names].to_numpy(float), block=offsets, lists=[np.searchsorted(ids, [r["id"] for r in x]).astype(int) for x in own])
+            yield pd.DataFrame({key: b[key], **{c: b[c] for c in names}, "prediction": v, "variance": s, "lagrange": g})
+
+    return nulls(rows.mapInPandas(run, schema), "prediction", "variance", "lagrange")
+
+
 def nulls(df: DataFrame, *columns: str) -> DataFrame:
     """NaN to NULL."""
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})
@@ -255,10 +286,10 @@ def leave_one_out(data: DataFrame, model: VariogramModel, covariates: tuple[str,
     if fold:
         f = data.select("id", fold).toPandas().sort_values("id", kind="stable")[fold].to_numpy()
         folds = f
-    held = data.sparkSession.sparkContext.broadcast((engine, folds))
+    held = share(data.sparkSession, (engine, folds))
 
     def run(batches):
-        engine, folds = held.value
+        engine, folds = shared(held)
         for b in batches:
             groups = None if folds is None else (folds, b[fold].to_numpy())
             v, s, _ = engine.predict(b[names].to_numpy(float), b[list(covariates)].to_numpy(float) if covariates else None, exclude=None if fold else b["id"].to_numpy(), groups=groups, strict=True)
@@ -271,11 +302,12 @@ def leave_one_out_lognormal(data: DataFrame, model: VariogramModel, method: str
     """On the original scale; the variance is back-transformed: estimate**2 (exp(log variance) - 1)."""
     names = coords(data)
     engine = build(data.withColumn("value", F.ln("value")), model, method=method, **options)
-    held = data.sparkSession.sparkContext.broadcast(engine)
+    held = share(data.sparkSession, engine)
 
     def run(batches):
+        engine = shared(held)
         for b in batches:
-            v, s, g = held.value.predict(b[names].to_numpy(float), exclude=b["id"].to_numpy(), strict=True)
+            v, s, g = engine.predict(b[names].to_numpy(float), exclude=b["id"].to_numpy(), strict=True)
             e = np.exp(v + s / 2 - (g if method == "ordinary" else 0.0))
             yield pd.DataFrame({"id": b["id"], "observed": b["value"], "predicted": e, "variance": e * e * np.expm1(s)})
 

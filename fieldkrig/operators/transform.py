@@ -11,25 +11,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InsufficientData, InvalidParameter
-from ..functions.special import inv_norm_cdf, inv_norm_cdf_col
+from ..functions.special import inv_norm_cdf, inv_norm_cdf_col, norm_cdf, norm_cdf_col
 from ..sources.points import bbox, coords
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def normal_scores(df: DataFrame, weight: str | None = None) -> DataFrame:
-    """The knots: value, score.  Plotting position (weight before + half the own) / total; equal values get their weighted mean score.
+#: Ranges of values that totals in order of value are cut into, at most.
+MAX_RANGES = 512
+
+
+def _range_of(df: DataFrame) -> Column:
+    """A number for ranges of ``value`` that hold about equally many rows and rise with it; equal values share one."""
+    k = min(MAX_RANGES, max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    bounds = df.agg(F.percentile_approx("value", [i / k for i in range(1, k)] or [0.5], 10_000)).first()[0]
+    bounds = sorted(set(bounds or []))
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("value"))) if bounds else F.lit(0)
+
 
-    Weights are summed by value before the running sum, so the window sees one row
-    per distinct value.
+def before_in_order(df: DataFrame, amount: Column) -> tuple[DataFrame, DataFrame]:
+    """(df plus ``before``: the amount of all rows earlier by (value, id); one row, ``total``).
+
+    Ranges of values are summed first (at most MAX_RANGES rows), then each range
+    runs through its own rows, so no task orders the whole table.
     """
+    rows = df.withColumn("_amount", amount).withColumn("_range", _range_of(df))
+    sums = rows.groupBy("_range").agg(F.sum("_amount").alias("_sum"))
+    earlier = F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    starts = sums.select("_range", earlier.alias("_start"))  # at most MAX_RANGES rows
+    own = F.coalesce(F.sum("_amount").over(Window.partitionBy("_range").orderBy("value", "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    placed = rows.withColumn("_own", own).join(F.broadcast(starts), "_range")
+    return placed.withColumn("before", F.col("_start") + F.col("_own")).drop("_range", "_start", "_own", "_amount"), sums.agg(F.sum("_sum").alias("total"))
+
+
+def normal_scores(df: DataFrame, weight: str | None = None) -> DataFrame:
+    """The knots: value, score.  Plotting position (weight before + half the own) / total; equal values get their weighted mean score."""
     w = F.col(weight) if weight else F.lit(1.0)
-    total = df.agg(F.sum(w).alias("total"))
-    rows = df.withColumn("_w", w)
-    before = F.coalesce(F.sum("_w").over(Window.orderBy("value", "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    scored = rows.withColumn("_before", before).crossJoin(F.broadcast(total))
-    p = (F.col("_before") + F.col("_w") / 2) / F.col("total")
-    return scored.groupBy("value").agg((F.sum(F.col("_w") * inv_norm_cdf_col(p)) / F.sum("_w")).alias("score"))
+    placed, total = before_in_order(df.withColumn("_w", w), F.col("_w"))
+    p = (F.col("before") + F.col("_w") / 2) / F.col("total")
+    return placed.crossJoin(F.broadcast(total)).groupBy("value").agg((F.sum(F.col("_w") * inv_norm_cdf_col(p)) / F.sum("_w")).alias("score"))
 
 
 @dataclass(frozen=True)
@@ -70,6 +90,16 @@ def upper_tail(u, z, f, tail: Tail):
     return tail.bound - (tail.bound - z) * ((1 - u) / (1 - f)) ** (1 / tail.omega if tail.kind == "power" else 1.0)
 
 
+def lower_tail_col(u: Column, z: Column, f: Column, tail: Tail) -> Column:
+    return F.lit(float(tail.bound)) + (z - float(tail.bound)) * F.pow(u / f, F.lit(1 / tail.omega if tail.kind == "power" else 1.0))
+
+
+def upper_tail_col(u: Column, z: Column, f: Column, tail: Tail) -> Column:
+    if tail.kind == "hyperbolic":
+        return z * F.pow((1 - f) / (1 - u), F.lit(1 / tail.omega))
+    return F.lit(float(tail.bound)) - (F.lit(float(tail.bound)) - z) * F.pow((1 - u) / (1 - f), F.lit(1 / tail.omega if tail.kind == "power" else 1.0))
+
+
 def tail_moments(z: float, f: float, tail: Tail, upper: bool) -> tuple[float, float]:
     """E[Z] and E[Z**2] over a tail's probability mass (not divided by it)."""
     mass = 1 - f if upper else f
@@ -103,8 +133,6 @@ class NormalScore:
         return np.interp(z, self.z, self.y)
 
     def back(self, y):
-        from ..functions.special import norm_cdf
-
         y = np.asarray(y, float)
         out = np.interp(y, self.y, self.z)
         for below, end, tail, f in ((True, self.y[0], self.lower, lower_tail), (False, self.y[-1], self.upper, upper_tail)):
@@ -114,9 +142,48 @@ class NormalScore:
         return out
 
 
-def forward_scores(df: DataFrame, knots: DataFrame) -> DataFrame:
-    """df plus ``score`` for values that are knots."""
-    return df.join(knots, "value", "left")
+def _between(df: DataFrame, column: str, knots: DataFrame, x: str, y: str) -> DataFrame:
+    """df plus the knots on either side of a value: _x0, _y0 (the last at most it) and _x1, _y1 (the first at least it).
+
+    Rows and knots are merged in order within ranges of knots; a range also gets the last knot before and the first after it.
+    """
+    own = knots.select(F.col(x).alias("_x"), F.col(y).alias("_y"))
+    named = own.withColumn("value", F.col("_x"))
+    number = _range_of(named)
+    named = named.withColumn("_range", number)
+    ends = named.groupBy("_range").agg(F.min(F.struct("_x", "_y")).alias("first"), F.max(F.struct("_x", "_y")).alias("last"))
+    count = 1 + (named.agg(F.max("_range")).first()[0] or 0)  # at most MAX_RANGES
+    every = df.sparkSession.range(count).select(F.col("id").cast("int").alias("_range")).join(ends, "_range", "left")
+    before, after = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
+    edges = every.select("_range", F.last("last", ignorenulls=True).over(before).alias("a"), F.first("first", ignorenulls=True).over(after).alias("b"))
+    points = named.select("_range", "_x", "_y").unionByName(edges.select("_range", F.explode(F.array_compact(F.array("a", "b"))).alias("e")).select("_range", "e._x", "e._y"))
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(column).alias("value")).withColumn("_range", number)
+    merged = rows.select("_range", F.col("value").alias("_at"), "_row", F.lit(None).cast("struct<x:double,y:double>").alias("_k"))
+    merged = merged.unionByName(points.select("_range", F.col("_x").alias("_at"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.struct(F.col("_x").alias("x"), F.col("_y").alias("y")).alias("_k")))
+    up = Window.partitionBy("_range").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy("_range").orderBy("_at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    met = merged.select("_row", F.last("_k", ignorenulls=True).over(up).alias("_lo"), F.first("_k", ignorenulls=True).over(down).alias("_hi")).filter("_row is not null")
+    return met.select("_row.*", F.col("_lo.x").alias("_x0"), F.col("_lo.y").alias("_y0"), F.col("_hi.x").alias("_x1"), F.col("_hi.y").alias("_y1"))
+
+
+def _interpolated(df: DataFrame, column: str, knots: DataFrame, x: str, y: str, name: str, below: Column | None = None, above: Column | None = None) -> DataFrame:
+    met = _between(df, column, knots, x, y)
+    inside = F.col("_y0") + (F.col("_y1") - F.col("_y0")) * F.when(F.col("_x1") > F.col("_x0"), (F.col(column) - F.col("_x0")) / (F.col("_x1") - F.col("_x0"))).otherwise(0.0)
+    value = F.when(F.col(column).isNull(), None).when(F.col("_x0").isNull(), F.col("_y1") if below is None else below).when(F.col("_x1").isNull(), F.col("_y0") if above is None else above).otherwise(inside)
+    return met.withColumn(name, value).drop("_x0", "_y0", "_x1", "_y1")
+
+
+def forward_scores(df: DataFrame, knots: DataFrame, column: str = "value") -> DataFrame:
+    """df plus ``score``: linear between knots (value, score), the end scores outside."""
+    return _interpolated(df, column, knots, "value", "score", "score")
+
+
+def back_scores(df: DataFrame, knots: DataFrame, lower: Tail = Tail(), upper: Tail = Tail(), column: str = "score") -> DataFrame:
+    """df plus ``value``: linear between knots, tails outside (none: the end values)."""
+    u = norm_cdf_col(F.col(column))
+    low = None if lower.kind == "none" else lower_tail_col(u, F.col("_y1"), norm_cdf_col(F.col("_x1")), lower)
+    high = None if upper.kind == "none" else upper_tail_col(u, F.col("_y0"), norm_cdf_col(F.col("_x0")), upper)
+    return _interpolated(df, column, knots, "score", "value", "value", low, high)
 
 
 def decluster(df: DataFrame, cell: float, n_offsets: int = 4) -> DataFrame:
@@ -178,11 +245,20 @@ def classify_col(y: Column, thresholds: list[float]) -> Column:
 
 
 def quantile_cutoffs(df: DataFrame, quantiles: list[float]) -> list[float]:
-    """The value at place floor(q n) of the order (from 0, at most n - 1); exact."""
-    n = df.count()
-    places = {q: min(int(q * n), n - 1) for q in quantiles}
-    ranked = df.select("value", (F.row_number().over(Window.orderBy("value")) - 1).alias("place")).filter(F.col("place").isin(sorted(set(places.values()))))
-    found = {r["place"]: r["value"] for r in ranked.collect()}
+    """The value at place floor(q n) of the order (from 0, at most n - 1); exact.  Rows are counted by range of values, and only ranges that hold a place are ordered."""
+    rows = df.select("value").withColumn("_range", _range_of(df))
+    sizes = sorted((r["_range"], r["count"]) for r in rows.groupBy("_range").count().collect())  # at most MAX_RANGES rows
+    n = sum(c for _, c in sizes)
+    if not n:
+        raise InsufficientData("there are no values")
+    places, wanted, start = {q: min(int(q * n), n - 1) for q in quantiles}, [], 0
+    for number, c in sizes:
+        wanted += [(number, p - start, p) for p in set(places.values()) if start <= p < start + c]
+        start += c
+    spark = df.sparkSession
+    sought = spark.createDataFrame(wanted, "_range int, _own int, _place long")
+    ranked = rows.join(F.broadcast(sought.select("_range").distinct()), "_range").withColumn("_own", F.row_number().over(Window.partitionBy("_range").orderBy("value")) - 1)
+    found = {r["_place"]: r["value"] for r in ranked.join(F.broadcast(sought), ["_range", "_own"]).collect()}
     return [found[places[q]] for q in quantiles]
 
 

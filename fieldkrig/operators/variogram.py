@@ -142,8 +142,8 @@ def variogram_map(df: DataFrame, n_lags: int, lag_width: float | None = None) ->
     reach = (n_lags + 0.5) * w * math.sqrt(2)
     dz = F.col("b_value") - F.col("a_value")
     pairs = pair_join(df, reach).select((F.col("b_x") - F.col("a_x")).alias("dx"), (F.col("b_y") - F.col("a_y")).alias("dy"), (0.5 * dz * dz).alias("g"))
-    both = pairs.unionByName(pairs.select((-F.col("dx")).alias("dx"), (-F.col("dy")).alias("dy"), "g"))
-    cells = both.select(F.round(F.col("dx") / w).cast("int").alias("ix"), F.round(F.col("dy") / w).cast("int").alias("iy"), "g")
+    signs = F.explode(F.array(*[F.struct((sign * F.col("dx")).alias("dx"), (sign * F.col("dy")).alias("dy")) for sign in (1, -1)]))
+    cells = pairs.select("g", signs.alias("_l")).select("_l.dx", "_l.dy", "g").select(F.round(F.col("dx") / w).cast("int").alias("ix"), F.round(F.col("dy") / w).cast("int").alias("iy"), "g")
     cells = cells.filter((F.abs("ix") <= n_lags) & (F.abs("iy") <= n_lags)).groupBy("ix", "iy").agg(F.avg("g").alias("gamma"), F.count(F.lit(1)).alias("n_pairs"))
     k = 2 * n_lags + 1
     every = df.sparkSession.range(k * k).select((F.col("id") % k - n_lags).cast("int").alias("ix"), (F.floor(F.col("id") / k) - n_lags).cast("int").alias("iy"))

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..errors import InsufficientData, InvalidParameter, SingularSystem
 from ..functions.models import Structure, VariogramModel, parse_kind, unit_gamma
 from ..functions.optim import bfgs_multistart, nelder_mead_multistart
+from ..plans.lineage import share, shared
+from ..plans.pairs import NeighborIndex
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -70,17 +72,21 @@ class Plan:
     nbrs: list[np.ndarray]
 
 
-def make_plan(xyz: np.ndarray, m: int) -> Plan:
-    order = maxmin_order(xyz)
+def make_plan(xyz: np.ndarray, m: int, block: int = 1024, order: np.ndarray | None = None) -> Plan:
+    """m nearest predecessors by (distance, position).  Blocks of positions ask an index of all before the block, and meet one another directly."""
+    order = maxmin_order(xyz) if order is None else np.asarray(order)
+    if sorted(order.tolist()) != list(range(len(xyz))):
+        raise InvalidParameter("an order names every point once")
     p = xyz[order]
-    nbrs = []
-    for i in range(len(p)):
-        if i <= m:
-            nbrs.append(np.arange(i))
-            continue
-        d = ((p[:i] - p[i]) ** 2).sum(axis=1)
-        near = np.argpartition(d, m - 1)[:m]
-        nbrs.append(np.sort(near))
+    nbrs: list[np.ndarray] = []
+    for lo in range(0, len(p), block):
+        own = p[lo : lo + block]
+        before = NeighborIndex(p[:lo], np.arange(lo)).query(own, m) if lo else [np.zeros(0, int)] * len(own)
+        d2 = ((own[:, None, :] - own[None, :, :]) ** 2).sum(axis=-1)
+        for i in range(len(own)):
+            found = np.concatenate([before[i], lo + np.arange(i)])
+            far = np.concatenate([((p[before[i]] - own[i]) ** 2).sum(axis=1), d2[i, :i]])
+            nbrs.append(np.sort(found[np.lexsort((found, far))[:m]]))
     return Plan(order, nbrs)
 
 
@@ -121,10 +127,11 @@ def loglik_frame(spark: SparkSession, xyz, values, model: VariogramModel, plan:
     """One row, ``loglik``: the terms are summed by Spark, a slice of positions per task."""
     from pyspark.sql import functions as F
 
-    held = spark.sparkContext.broadcast((xyz, values, model, plan))
+    held = share(spark, (xyz, values, model, plan.order, np.concatenate([np.zeros(0, int), *plan.nbrs]), np.array([len(n) for n in plan.nbrs])))
 
     def run(batches):
-        xyz, values, model, plan = held.value
+        xyz, values, model, order, flat, sizes = shared(held)
+        plan = Plan(order, np.split(flat, np.cumsum(sizes)[:-1]))
         for b in batches:
             yield pd.DataFrame({"term": [loglik(xyz, values, model, plan, b["id"].to_numpy())]})
 
@@ -330,26 +337,38 @@ def reml(xyz, values, kind: str = "exponential", degree: int = 1, m: int = 20, c
     return Estimate(_unpack(x, name, param), value)
 
 
+def _hessian(xyz, values, kind: str, param, theta: np.ndarray, step: np.ndarray, free: list[int], plan: Plan) -> np.ndarray:
+    """Of the log-likelihood in the free parameters: central differences, of the gradient where the kind has one, else of the likelihood itself."""
+    unit = np.eye(3) * step
+    if kind in GRADIENTS:
+        slope = lambda t: loglik_gradient(xyz, values, kind, t, plan)
+        h = np.stack([(slope(theta + unit[j]) - slope(theta - unit[j])) / (2 * step[j]) for j in free])[:, free]
+        return (h + h.T) / 2
+    f = lambda t: loglik(xyz, values, VariogramModel(t[0], (Structure(kind, t[1], t[2], param),)), plan)
+    middle, out = f(theta), np.zeros((len(free), len(free)))
+    for a, i in enumerate(free):
+        out[a, a] = (f(theta + unit[i]) - 2 * middle + f(theta - unit[i])) / step[i] ** 2
+        for b, j in list(enumerate(free))[:a]:
+            corners = [s * r * f(theta + s * unit[i] + r * unit[j]) for s in (1, -1) for r in (1, -1)]
+            out[a, b] = out[b, a] = sum(corners) / (4 * step[i] * step[j])
+    return out
+
+
 def param_se(xyz, values, model: VariogramModel, m: int = 20) -> np.ndarray:
-    """Standard errors of (nugget, sill, range): central differences of the gradient.  A nugget within a step of 0 has none."""
-    s = model.structures[0]
-    if len(model.structures) != 1 or s.kind not in GRADIENTS:
-        raise InvalidParameter("standard errors take one structure of a kind with a gradient")
+    """Standard errors of (nugget, sill, range) of one structure, of any bounded kind.  A nugget within a step of 0 is held fixed and has none; NaN where the information isn't positive definite."""
+    s = model.structures[0] if len(model.structures) == 1 else None
+    if s is None or model.has_power or s.anis:
+        raise InvalidParameter("standard errors take one bounded, isotropic structure")
     plan = make_plan(xyz, m)
     theta = np.array([model.nugget, s.sill, s.range])
-    step = 1e-4 * np.maximum(theta, 1e-3 * theta.max())
-    h = np.zeros((3, 3))
-    free = [j for j in range(3) if theta[j] > step[j]]
-    for j in free:
-        d = np.zeros(3)
-        d[j] = step[j]
-        h[j] = (loglik_gradient(xyz, values, s.kind, theta + d, plan) - loglik_gradient(xyz, values, s.kind, theta - d, plan)) / (2 * step[j])
-    h = (h + h.T) / 2
+    step = np.maximum(1e-3 * np.abs(theta), 1e-5)
+    free = [0, 1, 2] if theta[0] >= step[0] else [1, 2]
     out = np.full(3, np.nan)
     try:
-        cov = np.linalg.inv(-h[np.ix_(free, free)])
-        out[free] = np.sqrt(np.where(np.diag(cov) > 0, np.diag(cov), np.nan))
-    except np.linalg.LinAlgError:
+        information = -_hessian(xyz, values, s.kind, s.param, theta, step, free, plan)
+        np.linalg.cholesky(information)
+        out[free] = np.sqrt(np.diag(np.linalg.inv(information)))
+    except (np.linalg.LinAlgError, SingularSystem):
         pass
     return out
 

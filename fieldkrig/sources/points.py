@@ -136,13 +136,14 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def wide_simulations(sims: DataFrame, realizations: int) -> DataFrame:
-    """node, x, y, sim1 .. simN from the long form."""
-    wide = sims.groupBy("node", "x", "y").pivot("realization", list(range(realizations))).agg(F.first("value"))
-    return wide.select("node", "x", "y", *[F.col(str(i)).alias(f"sim{i + 1}") for i in range(realizations)])
+    """node, x, y[, z], sim1 .. simN from the long form."""
+    keys = ["node", *coords(sims)]
+    wide = sims.groupBy(*keys).pivot("realization", list(range(realizations))).agg(F.first("value"))
+    return wide.select(*keys, *[F.col(str(i)).alias(f"sim{i + 1}") for i in range(realizations)])
 
 
 def wide_ccdf(ik: DataFrame, cutoffs: int) -> DataFrame:
-    return ik.select("x", "y", *[F.get("ccdf", k).alias(f"F_{k + 1}") for k in range(cutoffs)], "e_type", "cond_var")
+    return ik.select(*coords(ik), *[F.get("ccdf", k).alias(f"F_{k + 1}") for k in range(cutoffs)], "e_type", "cond_var")
 
 
 def row_index(df: DataFrame, *order: str) -> Column:
