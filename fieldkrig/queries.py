@@ -205,9 +205,9 @@ def m19(s, d):
     return rounded(variogram.directional_variograms(field(s, d), [0.0, 45.0, 90.0, 135.0], 22.5, LAGS, REACH), "h", "gamma")
 
 
-@query("j3_radius_join", f"with {FIELD}, {PTS2} select a.id a_id, b.id b_id, round(sqrt((b.x-a.x)**2+(b.y-a.y)**2),6) d from fld a, pts2 b where a.id%10=0 and sqrt((b.x-a.x)**2+(b.y-a.y)**2)<=0.05")
+@query("j3_radius_join", f"with {FIELD}, {PTS2} select a.id a_id, b.id b_id, round(sqrt((b.x-a.x)**2+(b.y-a.y)**2),6) d from fld a, pts2 b where sqrt((b.x-a.x)**2+(b.y-a.y)**2)<=0.05")
 def j3(s, d):
-    return rounded(cross_pairs(field(s, d).filter("id % 10 = 0").select("id", "x", "y"), pts2(s, d), 0.05).select("a_id", "b_id", "d"), "d")
+    return rounded(cross_pairs(field(s, d).select("id", "x", "y"), pts2(s, d), 0.05).select("a_id", "b_id", "d"), "d")
 
 
 _KNN = "nn as (select t.id target_id, b.id id, sqrt((b.x-t.x)**2+(b.y-t.y)**2) d, b.v, row_number() over (partition by t.id order by (b.x-t.x)**2+(b.y-t.y)**2, b.id) rank from {t} t, fld b where {w})"
@@ -225,9 +225,9 @@ def j2_rings(s, d):
     return rounded(knn_join(f, f, 4, exclude_self=True, broadcast_points=0), "d")
 
 
-@query("j7_coordinate_join", f"with {FIELD}, {PTS2} select a.id, round(a.v,6) as \"value\", round(b.v,6) secondary from fld a join pts2 b on a.x=b.x and a.y=b.y where b.id%2=0")
+@query("j7_coordinate_join", f"with {FIELD}, {PTS2} select a.id, round(a.v,6) as \"value\", round(b.v,6) secondary from fld a join pts2 b on a.x=b.x and a.y=b.y")
 def j7(s, d):
-    return rounded(variogram.collocate(field(s, d).select("id", "x", "y", "value"), pts2(s, d).filter("id % 2 = 0")).select("id", "value", "secondary"), "value", "secondary")
+    return rounded(variogram.collocate(field(s, d).select("id", "x", "y", "value"), pts2(s, d)).select("id", "value", "secondary"), "value", "secondary")
 
 
 @query("s19_grid", "select (iy*20+ix)::bigint node, ix::int ix, iy::int iy, round(-1+(ix+0.5)*0.1::double,6) x, round(-1+(iy+0.5)*0.2::double,6) y from (select unnest(range(20)) ix) cross join (select unnest(range(10)) iy)")
@@ -359,7 +359,7 @@ def k18(s, d):
     return out.select("id", *[F.round(F.get("c", k), 6).alias(f"f{k + 1}") for k in range(4)])
 
 
-_T = "tg as (select id, x+0.013 x, y-0.007 y, v from fld where id%5=0)"
+_T = "tg as (select id, x+0.013 x, y-0.007 y, v, s, c1 from fld)"
 
 
 @query("k22_idw", f"with {FIELD}, {_T}, {_KNN.format(t='tg', w='true')} select target_id id, round(sum(v/(d*d))/sum(1/(d*d)),6) prediction from nn where rank<=12 group by 1")
@@ -367,15 +367,10 @@ def k22(s, d):
     return rounded(interpolation.idw(_targets(s, d), field(s, d), 2.0, 12), "prediction")
 
 
-def _all_targets(s, d, *more):
+def _targets(s, d, *more):
     return field(s, d).select("id", (F.col("x") + 0.013).alias("x"), (F.col("y") - 0.007).alias("y"), *more)
 
 
-def _targets(s, d):
-    """The fifth of all targets that the SQL of a query takes."""
-    return _all_targets(s, d).filter("id % 5 = 0")
-
-
 @query("k23_knn_mean", f"with {FIELD}, {_T}, {_KNN.format(t='tg', w='true')} select target_id id, round(avg(v),6) prediction from nn where rank<=8 group by 1")
 def k23(s, d):
     return rounded(interpolation.knn_mean(_targets(s, d), field(s, d), 8), "prediction")
@@ -470,11 +465,11 @@ NEAR = kriging.Neighbors(max=16)
 
 @query("k3_universal_kriging")
 def k3(s, d):
-    return kriging.krige(_all_targets(s, d), field(s, d), EXPO, method="universal", degree=2, neighbors=NEAR)
+    return kriging.krige(_targets(s, d), field(s, d), EXPO, method="universal", degree=2, neighbors=NEAR)
 
 
 def _drift_targets(s, d):
-    return _all_targets(s, d, "c1")
+    return _targets(s, d, "c1")
 
 
 @query("k4_external_drift")
@@ -484,7 +479,7 @@ def k4(s, d):
 
 @query("k5_power_model")
 def k5(s, d):
-    return kriging.krige(_all_targets(s, d), field(s, d), single("power:1.2", 2.0, 1.0), neighbors=NEAR)
+    return kriging.krige(_targets(s, d), field(s, d), single("power:1.2", 2.0, 1.0), neighbors=NEAR)
 
 
 @query("k8_grid_kriging")
@@ -499,12 +494,12 @@ def k9(s, d):
 
 @query("k10_octant_ellipsoid")
 def k10(s, d):
-    return kriging.krige(_all_targets(s, d), field(s, d), EXPO, neighbors=kriging.Neighbors(max=12, radius=0.6, min=3, per_octant=3, ellipsoid=Anisotropy(30.0, 0.5)))
+    return kriging.krige(_targets(s, d), field(s, d), EXPO, neighbors=kriging.Neighbors(max=12, radius=0.6, min=3, per_octant=3, ellipsoid=Anisotropy(30.0, 0.5)))
 
 
 @query("k11_global_neighborhood")
 def k11(s, d):
-    return kriging.krige(_all_targets(s, d), field(s, d), EXPO, neighbors=kriging.Neighbors())
+    return kriging.krige(_targets(s, d), field(s, d), EXPO, neighbors=kriging.Neighbors())
 
 
 @query("k21_regression_kriging")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.models import Structure, single
 from .operators import cokriging, fit, indicator, interpolation, kriging, simulate, transform, validate, variogram, vecchia
-from .queries import CUTS, EXPO, FIELD, LAGS, NEAR, REACH, _all_targets, _targets, field, pts3, query, rounded
+from .queries import CUTS, EXPO, FIELD, LAGS, NEAR, REACH, _targets, field, pts3, query, rounded
 from .sources.points import Grid
 
 GRID = Grid.from_bbox((-0.4, -0.4), (0.4, 0.4), (20, 20))
@@ -82,7 +82,7 @@ def m22(s, d):
 
 
 # One primary and one secondary neighbour: weights 1 and 0, so the estimate is the nearest primary value.
-@query("k13_cokriging_one_neighbor", f"with {FIELD}, tg as (select id, x+0.013 x, y-0.007 y from fld where id%5=0), nn as (select t.id, b.v, row_number() over (partition by t.id order by (b.x-t.x)**2+(b.y-t.y)**2, b.id) r from tg t, fld b) select id, round(v,6) prediction from nn where r=1")
+@query("k13_cokriging_one_neighbor", f"with {FIELD}, tg as (select id, x+0.013 x, y-0.007 y from fld), nn as (select t.id, b.v, row_number() over (partition by t.id order by (b.x-t.x)**2+(b.y-t.y)**2, b.id) r from tg t, fld b) select id, round(v,6) prediction from nn where r=1")
 def k13one(s, d):
     out = cokriging.cokrige(_targets(s, d), list(_two(s, d)), LMC, neighbors=kriging.Neighbors(max=1))
     return rounded(out.select("id", "prediction"), "prediction")
@@ -90,7 +90,7 @@ def k13one(s, d):
 
 @query("k13_cokriging")
 def k13(s, d):
-    return cokriging.cokrige(_all_targets(s, d), list(_two(s, d)), LMC, neighbors=NEAR)
+    return cokriging.cokrige(_targets(s, d), list(_two(s, d)), LMC, neighbors=NEAR)
 
 
 @query("k14_block_cokriging")
@@ -99,7 +99,7 @@ def k14(s, d):
 
 
 def _secondary_targets(s, d):
-    return _all_targets(s, d, "secondary")
+    return _targets(s, d, "secondary")
 
 
 @query("k15_collocated_cokriging")
@@ -109,24 +109,20 @@ def k15(s, d):
 
 @query("k15_collocated_mm2")
 def k15b(s, d):
-    return cokriging.collocated_cokrige(_secondary_targets(s, d), field(s, d), EXPO, markov="mm2", neighbors=NEAR)
+    return cokriging.collocated_cokrige(_secondary_targets(s, d), field(s, d), EXPO, markov="mm2", secondary_model=single("spherical", 0.8, 0.6, 0.2), neighbors=NEAR)
 
 
 @query("k17_indicator_kriging")
 def k17(s, d):
-    return indicator.indicator_krige(_all_targets(s, d), field(s, d), list(CUTS), [INDICATOR], LOW, HIGH, neighbors=NEAR)
+    return indicator.indicator_krige(_targets(s, d), field(s, d), list(CUTS), [INDICATOR], LOW, HIGH, neighbors=NEAR)
 
 
 @query("k20_soft_indicator_kriging")
 def k20(s, d):
-    f = field(s, d)
-    soft = f.filter("id % 3 = 0")
-    names = []
-    for k, c in enumerate(CUTS):
-        soft = soft.withColumn(f"p{k}", F.when(F.col("value") <= c, 0.85).otherwise(0.15))
-        names.append(f"p{k}")
-    b = indicator.calibrate_markov_bayes(soft, list(CUTS), names)
-    return indicator.indicator_krige(_all_targets(s, d), f.filter("id % 3 <> 0"), list(CUTS), [INDICATOR], LOW, HIGH, False, kriging.Neighbors(max=8), soft, tuple(names), b)
+    f, names = field(s, d), tuple(f"p{k}" for k in range(len(CUTS)))
+    soft = [(1 / (1 + F.exp(3 * (F.col("secondary") - c)))).alias(n) for n, c in zip(names, CUTS)]
+    calibration = indicator.calibrate_markov_bayes(f.select("value", *soft), list(CUTS), list(names))
+    return indicator.indicator_krige(_targets(s, d, *soft), f, list(CUTS), [INDICATOR], LOW, HIGH, False, NEAR, names, calibration)
 
 
 @query("c5_loo_cokriging")
