@@ -339,3 +339,253 @@ def test_shuffled_fold_drops_no_point(spark, monkeypatch):
 @pytest.mark.parametrize("name", ["k3_universal_kriging", "k4_external_drift", "k5_power_model", "k10_octant_ellipsoid", "k11_global_neighborhood", "k13_cokriging", "k15_collocated_cokriging", "k15_collocated_mm2", "k17_indicator_kriging", "k20_soft_indicator_kriging", "k21_regression_kriging"])
 def test_queries_without_sql_take_all_targets(spark, name):
     assert QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/embeddings.parquet").count()
+
+
+def test_quasi_newton_on_hard_functions():
+    from fieldkrig.functions import optim
+
+    rosenbrock = lambda x: 100 * (x[1] - x[0] ** 2) ** 2 + (1 - x[0]) ** 2
+    slope = lambda x: np.array([-400 * x[0] * (x[1] - x[0] ** 2) - 2 * (1 - x[0]), 200 * (x[1] - x[0] ** 2)])
+    for start in ((-1.2, 1.0), (3.0, -2.0), (0.0, 0.0)):
+        x, v = optim.bfgs(rosenbrock, slope, np.array(start))
+        assert np.allclose(x, 1, atol=1e-5) and v < 1e-10
+        x, v = optim.nelder_mead(rosenbrock, np.array(start))
+        assert np.allclose(x, 1, atol=1e-4) and v < 1e-8
+    quadratic = np.diag([1.0, 50.0, 1e4])
+    x, _ = optim.bfgs(lambda x: 0.5 * x @ quadratic @ x, lambda x: quadratic @ x, np.ones(3))
+    assert np.abs(x).max() < 1e-6
+    x, v = optim.bfgs(lambda x: np.inf if x[0] < 0 else x[0] - np.log(x[0] + 1e-300), lambda x: np.array([1 - 1 / x[0]]), np.array([5.0]))
+    assert abs(x[0] - 1) < 1e-5
+    assert not np.isfinite(optim.bfgs(lambda x: np.inf, lambda x: x, np.ones(2))[1])
+
+
+def test_quasi_newton_on_a_likelihood(scatter):
+    """As good as the simplex search, from the same starts."""
+    from fieldkrig.functions.optim import nelder_mead_multistart
+
+    x, z = scatter
+    best = vecchia.mle(x, z, "exponential", 10)
+    plan = vecchia.make_plan(x, 10)
+    starts, extent = vecchia._vecchia_starts(x, z)
+    _, value = nelder_mead_multistart(lambda t: -vecchia.loglik(x, z, vecchia._unpack(t, "exponential"), plan) + vecchia._penalty(t, extent), starts)
+    assert best.loglik >= -value - 1e-4
+
+
+@pytest.mark.parametrize("dim", [2, 3])
+def test_neighbor_index_equals_brute_force(dim):
+    g = np.random.default_rng(dim)
+    p = np.concatenate([g.random((400, dim)), 0.5 + 0.001 * g.random((200, dim)), np.round(g.random((200, dim)), 1)])
+    ids = g.permutation(len(p)) * 3
+    t = np.concatenate([g.random((60, dim)) * 1.4 - 0.2, p[:40], np.full((3, dim), 9.0)])
+    index = kriging.Neighbors().index(p, ids)
+    own = np.concatenate([np.full(60, -1), ids[:40], np.full(3, -1)])
+    part, target_part = ids % 4, np.arange(len(t)) % 4
+    for k, radius, quota, exclude, groups in [(5, None, None, None, None), (32, None, None, own, None), (8, 0.05, None, None, None), (None, 0.1, None, None, None), (12, 0.4, 2, None, None), (6, None, 1, own, None), (7, None, None, None, (part, target_part)), (900, None, None, None, None)]:
+        got = index.query(t, k, radius, quota, exclude, groups)
+        for i in range(len(t)):
+            d2 = ((p - t[i]) ** 2).sum(axis=1)
+            ok = np.ones(len(p), bool) if radius is None else d2 <= radius * radius
+            if exclude is not None:
+                ok &= ids != exclude[i]
+            if groups is not None:
+                ok &= part != target_part[i]
+            near = np.flatnonzero(ok)
+            near = near[np.lexsort((ids[near], d2[near]))]
+            if quota:
+                seen, few = {}, []
+                for j in near:
+                    s = tuple(p[j] >= t[i])
+                    seen[s] = seen.get(s, 0) + 1
+                    few += [j] * (seen[s] <= quota)
+                near = np.array(few, int)
+            assert got[i].tolist() == near[:k].tolist()
+    assert kriging.Neighbors(ellipsoid=Anisotropy(30, 0.5, 0.4)).index(p, ids).query(t, 3)[0].size == 3
+
+
+def test_kriging_beyond_the_broadcast_bound(spark, monkeypatch):
+    from fieldkrig.queries import field
+
+    f = field(spark, SF).select("id", "x", "y", "value")
+    t = f.limit(40).select("id", (f["x"] + 0.013).alias("x"), "y")
+    run = lambda **o: {r["id"]: r[3:] for r in kriging.krige(t, f, EXPO, neighbors=kriging.Neighbors(max=9, radius=0.3), **o).collect()}
+    want = run(), run(method="simple", mean=0.2, block=((0.02, 0.02), (2, 2)))
+    monkeypatch.setattr(kriging, "MAX_BROADCAST", 50)
+    got = run(), run(method="simple", mean=0.2, block=((0.02, 0.02), (2, 2)))
+    for a, b in zip(got, want):
+        assert a.keys() == b.keys()
+        for i in a:
+            assert np.allclose(np.array(a[i], float), np.array(b[i], float), equal_nan=True)
+
+
+class Linear:
+    """A user's own covariance: triangular, with a nugget."""
+
+    nugget, has_power = 0.1, False
+
+    def valid_dim(self, dim):
+        return dim == 2
+
+    def total_sill(self):
+        return 1.0
+
+    def gamma_np(self, dh):
+        h = np.sqrt((np.asarray(dh, float) ** 2).sum(axis=-1))
+        return np.where(h > 0, 0.1 + 0.9 * np.minimum(h / 50, 1), 0.0)
+
+    def cov_np(self, dh):
+        return 1.0 - self.gamma_np(dh)
+
+
+def test_custom_covariance(spark, scatter):
+    from fieldkrig.functions.models import Covariance
+
+    x, z = scatter
+    assert isinstance(Linear(), Covariance) and isinstance(EXPO, Covariance) and not isinstance(object(), Covariance)
+    a, b, _ = kriging.Kriging(x, z, np.arange(60), Linear(), neighbors=kriging.Neighbors()).predict(x[:3] + 0.01)
+    c = Linear().cov_np(x[:, None] - x[None])
+    m = np.block([[c, np.ones((60, 1))], [np.ones((1, 60)), np.zeros((1, 1))]])
+    rhs = np.r_[Linear().cov_np(x[0] + 0.01 - x), 1]
+    w = np.linalg.solve(m, rhs)
+    assert abs(a[0] - w[:60] @ z) < 1e-10 and abs(b[0] - (1 - w @ rhs)) < 1e-10
+    data = spark.createDataFrame([(i, float(p[0]), float(p[1]), float(v)) for i, (p, v) in enumerate(zip(x, z))], "id long, x double, y double, value double")
+    assert kriging.krige(data, data, Linear()).count() == 60
+    assert simulate.sgs(data, Grid.from_bbox((0, 0), (1, 1), (3, 3)), Linear(), 1).count() == 9
+
+
+def test_collocated_and_soft_edges(spark, scatter):
+    """Without neighbours the secondary or soft datum gives a regression; wrong forms are refused."""
+    x, z = scatter
+    data = {"xyz": x, "value": z, "id": np.arange(60)}
+    stats = {"rho": 0.6, "mean": 1.0, "std": 2.0, "mean2": 3.0, "std2": 4.0}
+    far = np.array([[50.0, 50.0]])
+    v, s = cokriging.Collocated(data, EXPO, **stats, neighbors=kriging.Neighbors(max=5, radius=0.1)).predict(far, np.array([7.0]))
+    assert np.allclose(v, 1 + 2 * 0.6 * (7 - 3) / 4) and np.allclose(s, 4 * (1 - 0.36))
+    for bad in ({"markov": "mm2"}, {"secondary_model": EXPO}, {"rho": 2.0}):
+        with pytest.raises(errors.InvalidParameter):
+            cokriging.Collocated(data, EXPO, **(stats | bad))
+    same = [cokriging.Collocated(data, EXPO, **stats, **o).predict(x[:4] + 0.02, z[:4]) for o in ({}, {"markov": "mm2", "secondary_model": EXPO})]
+    assert np.allclose(same[0], same[1])
+    soft = indicator.SoftCalibration(0.5, 0.2, 0.4)
+    f = indicator.IndicatorKriging(data, [0.3], [single("exponential", 0.2, 0.4)], False, kriging.Neighbors(max=5, radius=0.1), [soft]).predict(far, soft=np.array([[0.6]]))
+    share = (z <= 0.3).mean()
+    assert np.allclose(f, np.clip(share + 0.5 * np.sqrt(0.2) / 0.2 * (0.6 - 0.4), 0, 1), atol=1e-6)
+    with pytest.raises(errors.InvalidParameter):
+        indicator.IndicatorKriging(data, [0.3], [EXPO], True, calibration=[soft])
+
+
+def test_lmc_fit_recovers_and_keeps_own_lags():
+    """Curves with other lags, an empty bin in one of them: the sills of a known model come back."""
+    truth = [np.array([[0.2, 0.1], [0.1, 0.3]]), np.array([[0.8, -0.3], [-0.3, 0.6]])]
+    template = single("spherical", 1.0, 0.5, 0.1)
+    g = lambda h, i, j: truth[0][i, j] + truth[1][i, j] * single("spherical", 1.0, 0.5).gamma_h(h)
+    lags = [np.linspace(0.05, 0.9, 12), np.linspace(0.03, 0.8, 9), np.delete(np.linspace(0.05, 0.9, 12), 3)]
+    curves = [(h, g(h, i, j), np.full(len(h), 40.0 + 3 * i)) for h, (i, j) in zip(lags, ((0, 0), (1, 1), (0, 1)))]
+    lmc = cokriging.fit_lmc(*curves, template)
+    assert np.allclose(lmc.nugget, truth[0], atol=1e-4) and np.allclose(lmc.structures[0][1], truth[1], atol=1e-4)
+    with pytest.raises(errors.InvalidParameter):
+        cokriging.fit_lmc(*curves, VariogramModel(0.1, (Structure("spherical", 1, 1, None, Anisotropy(10, 0.5)),)))
+    with pytest.raises(errors.InsufficientData):
+        cokriging.fit_lmc(curves[0], curves[1], tuple(c[:2] for c in curves[2]), template)
+
+
+def test_standard_errors_of_any_kind(scatter):
+    """Kinds without a gradient take the likelihood's own differences; both ways agree, and a nugget of 0 leaves the others."""
+    x, z = scatter
+    model = single("exponential", 0.9, 0.4, 0.1)
+    a = vecchia.param_se(x, z, model, 10)
+    plan, theta = vecchia.make_plan(x, 10), np.array([0.1, 0.9, 0.4])
+    step = np.maximum(1e-3 * theta, 1e-5)
+    kinds = vecchia.GRADIENTS
+    try:
+        vecchia.GRADIENTS = ()
+        numeric = vecchia._hessian(x, z, "exponential", None, theta, step, [0, 1, 2], plan)
+    finally:
+        vecchia.GRADIENTS = kinds
+    exact = vecchia._hessian(x, z, "exponential", None, theta, step, [0, 1, 2], plan)
+    assert np.allclose(numeric, exact, rtol=1e-3, atol=1e-3 * np.abs(exact).max())
+    assert a.shape == (3,)
+    stable = vecchia.param_se(x, z, single("stable:1.0", 0.9, 0.4, 0.1), 10)
+    assert np.allclose(stable, a, rtol=1e-2, equal_nan=True)
+    bound = vecchia.param_se(x, z, single("exponential", 0.9, 0.4, 0.0), 10)
+    assert np.isnan(bound[0])
+    with pytest.raises(errors.InvalidParameter):
+        vecchia.param_se(x, z, single("power:1", 1, 1))
+
+
+def test_plan_blocks_agree(scatter):
+    x, _ = scatter
+    a, b = vecchia.make_plan(x, 7), vecchia.make_plan(x, 7, block=9)
+    assert all((p == q).all() for p, q in zip(a.nbrs, b.nbrs))
+    for i, own in enumerate(a.nbrs):
+        d = ((x[a.order[:i]] - x[a.order[i]]) ** 2).sum(axis=1)
+        assert own.tolist() == sorted(np.argsort(d, kind="stable")[:7].tolist())
+    with pytest.raises(errors.InvalidParameter):
+        vecchia.make_plan(x, 7, order=np.zeros(60, int))
+
+
+def test_totals_in_order_use_no_single_task(spark):
+    from fieldkrig.queries import lattice
+
+    df = lattice(spark, SF).unionByName(lattice(spark, SF).selectExpr("id + 1000000 id", "x", "y", "value"))
+    plan = transform.normal_scores(df)._jdf.queryExecution().executedPlan().toString()
+    ranked = [r["value"] for r in df.select("value").orderBy("value").collect()]
+    assert transform.quantile_cutoffs(df, [0.0, 0.3, 0.999, 1.0]) == [ranked[min(int(q * len(ranked)), len(ranked) - 1)] for q in (0.0, 0.3, 0.999, 1.0)]
+    knots = {r["value"]: r["score"] for r in transform.normal_scores(df).collect()}
+    want = transform.NormalScore(ranked)
+    assert np.allclose([knots[v] for v in want.z.tolist()], want.y, atol=1e-9)
+    assert "_range" in plan
+    with pytest.raises(errors.InsufficientData):
+        transform.quantile_cutoffs(df.limit(0), [0.5])
+
+
+def test_scores_forth_and_back(spark):
+    """The plan forms against the numpy form: between knots, on them, outside, nulls, with tails."""
+    values = [(float(v),) for v in (1, 2, 2, 3, 5, 8, 13)]
+    knots = transform.normal_scores(spark.createDataFrame([(i, *v) for i, v in enumerate(values)], "id long, value double"))
+    numpy_form = transform.NormalScore([v for v, in values], None, transform.Tail("linear", 0.0), transform.Tail("hyperbolic", None, 1.5))
+    rows = [0.5, 1.0, 1.5, 2.0, 4.0, 13.0, 99.0]
+    out = {r["v"]: r["score"] for r in transform.forward_scores(spark.createDataFrame([(v,) for v in [*rows, None]], "v double"), knots, "v").collect()}
+    assert np.allclose([out[v] for v in rows], numpy_form.forward(np.array(rows))) and out[None] is None
+    scores = [-4.0, -1.0, 0.0, 0.3, 1.2, 3.0]
+    back = {r["score"]: r["value"] for r in transform.back_scores(spark.createDataFrame([(v,) for v in scores], "score double"), knots, transform.Tail("linear", 0.0), transform.Tail("hyperbolic", None, 1.5)).collect()}
+    assert np.allclose([back[v] for v in scores], numpy_form.back(np.array(scores)), atol=1e-6)
+
+
+def test_crowded_cells_are_salted(spark):
+    from fieldkrig.plans.pairs import cross_pairs
+
+    g = np.random.default_rng(4)
+    rows = lambda n: [(i, float(a), float(b)) for i, (a, b) in enumerate(g.random((n, 2)) * 0.2)]
+    left, right = rows(60), rows(50)
+    make = lambda r: spark.createDataFrame(r, "id long, x double, y double")
+    got = {(r["a_id"], r["b_id"]) for r in cross_pairs(make(left), make(right), 0.1).collect()}
+    assert got == {(a[0], b[0]) for a in left for b in right if math.dist(a[1:], b[1:]) <= 0.1}
+
+
+def test_realizations_reproduce_statistics(spark):
+    """Unconditional look: the mean over many realizations far from data is that of the data, and the spread is the sill's."""
+    data = spark.createDataFrame([(i, 100.0 + i, 100.0, float(v)) for i, v in enumerate(np.random.default_rng(1).standard_normal(300))], "id long, x double, y double, value double")
+    sims = simulate.sgs(data, Grid.from_bbox((0, 0), (4, 4), (4, 4)), single("spherical", 1.0, 3.0), 60, seed=5).toPandas()
+    near = sims.pivot(index="realization", columns="node", values="value").to_numpy()
+    assert abs(near.mean()) < 0.25 and abs(near.std() - 1) < 0.2
+    r = np.corrcoef(near[:, 0], near[:, 1])[0, 1], np.corrcoef(near[:, 0], near[:, 15])[0, 1]
+    assert 0.2 < r[0] < 0.8 and abs(r[1]) < 0.35
+    cuts = [-0.5, 0.5]
+    out = simulate.sis(data, Grid.from_bbox((0, 0), (4, 4), (4, 4)), cuts, [single("spherical", 0.2, 1.0)], transform.Tail("linear", -4.0), transform.Tail("linear", 4.0), 40).toPandas()["value"].to_numpy()
+    share = [(np.array([r["value"] for r in data.collect()]) <= c).mean() for c in cuts]
+    assert np.allclose([(out <= c).mean() for c in cuts], share, atol=0.1)
+
+
+def test_realizations_side_by_side(scatter):
+    """The same values as one by one, with ties, data on nodes, levels and a radius."""
+    x, z = scatter
+    x, z = np.round(x[:40], 1), z[:40]
+    _, one = np.unique(x, axis=0, return_index=True)
+    x, z = x[one], z[one]
+    grid = Grid.from_bbox((-0.05, -0.05), (1.05, 1.05), (11, 11))
+    nodes = simulate._nodes(grid, 2)
+    for radius, levels in ((None, None), (0.15, simulate.grid_levels(grid, 2))):
+        for data in ((x, z), (x[:0], z[:0])):
+            a = np.array([simulate.gaussian_path(rng.Rng(s), nodes, *data, EXPO, 8, None, radius, levels) for s in (1, 2, 3)])
+            b = simulate.gaussian_paths([rng.Rng(s) for s in (1, 2, 3)], nodes, *data, EXPO, 8, radius, levels)
+            assert np.allclose(a, b, atol=1e-6)
