@@ -268,3 +268,35 @@ def context_mixing(rows, hash_of, suffix_of, rate: float = 0.02) -> dict:
             logs += math.log((count[w] + 0.1) / mass[class_of(w)])
         out[d] = logs / math.log(10)
     return out
+
+
+def pipeline(rows, labels, items, encode, quantile: float = 0.99, margin: float = 1.15, slack: float = 3.0) -> dict:
+    """rows: (doc_id, text, lang) with distinct ids -> {doc_id: ids} of what the stages leave; labels: trusted ids; encode: text -> ids."""
+    texts = {d: t or "" for d, t, _ in rows}
+    perplexity = kneser_ney([texts[d].encode() for d in labels])
+    seen = {d: perplexity(t.encode()) for d, t in texts.items() if t}
+    lang = {d: g for d, _, g in rows}
+
+    def limit(own):
+        own = sorted(own)
+        return margin * own[max(0, math.ceil(quantile * len(own)) - 1)]
+
+    trusted = [d for d in labels if d in seen]
+    limits = {g: limit(seen[d] for d in trusted if lang[d] == g) for g in {lang[d] for d in trusted}}
+    every = limit(seen[d] for d in trusted)
+    kept = {d: texts[d] for d, p in seen.items() if p <= limits.get(lang[d], every) * (1 + slack / math.sqrt(len(texts[d].encode())))}
+    kept = {d: kept[d] for d, (_, c) in jaccard_components(kept.items()).items() if c == d}
+    whole, kept, before = kept, {}, set()
+    for d in sorted(whole):
+        b = whole[d].encode()
+        windows = [b[i : i + 100] for i in range(len(b) - 99)]
+        gone = bytearray(len(b))
+        for i, w in enumerate(windows):
+            if w in before:
+                gone[i : i + 100] = b"\1" * 100
+            before.add(w)
+        left = bytes(x for x, g in zip(b, gone) if not g)
+        if left:
+            kept[d] = left.decode("utf-8", "ignore")
+    leaked = {d for d, _ in leaks(kept.items(), items)}
+    return {d: [*encode(t), 2] for d, t in kept.items() if d not in leaked}
