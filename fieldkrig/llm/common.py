@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import delete_on_exit, fits, share, shared, shared_dir, written
 
-__all__ = ["BLANKS", "delete_on_exit", "fits", "give_back", "let", "map_arrow", "row_key", "share", "shared", "shared_dir", "small_side", "table", "unused", "words_of", "written"]
+__all__ = ["BLANKS", "at_most", "delete_on_exit", "fits", "give_back", "let", "map_arrow", "row_key", "share", "shared", "shared_dir", "small_side", "table", "unused", "words_of", "written"]
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -38,6 +38,11 @@ def map_arrow(df: DataFrame, task, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def at_most(df: DataFrame, tasks: int) -> int:
+    """spark.sql.shuffle.partitions, but no more than there are keys to deal."""
+    return min(tasks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def give_back() -> None:
     pa.default_memory_pool().release_unused()
     try:

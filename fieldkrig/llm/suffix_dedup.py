@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import byte_kernel as bk
-from .common import map_arrow, row_key, share, shared, written
+from .common import at_most, map_arrow, row_key, share, shared, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -214,7 +214,7 @@ def mark_map(marks: DataFrame) -> tuple[np.ndarray, int]:
     count = marks.count()
     bits = min(MAX_BITS, max(MIN_BITS, (16 * count).bit_length()))
     cells = np.zeros(1 << (bits - 3), np.uint8)
-    rows = map_arrow(marks.repartition(64, F.shiftright(F.col("trigger").bitwiseAND((1 << bits) - 1), 16)), lambda b: _bits(b, bits), "chunk int, cells binary")
+    rows = map_arrow(marks.repartition(at_most(marks, 64), F.shiftright(F.col("trigger").bitwiseAND((1 << bits) - 1), 16)), lambda b: _bits(b, bits), "chunk int, cells binary")
     for r in rows.toLocalIterator():
         cells[r["chunk"] << 13 : (r["chunk"] + 1) << 13] |= np.frombuffer(r["cells"], np.uint8)
     return cells, bits
