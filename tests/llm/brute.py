@@ -204,13 +204,13 @@ def context_mixing(rows, hash_of, suffix_of, rate: float = 0.02) -> dict:
     learns = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 10 != 0
     count = Counter(w for d, ws in texts.items() if learns(d) for w in ws)
     total, distinct = sum(count.values()), len(count)
-    order = sorted(count, key=lambda w: (-count[w], hash_of(w)))
+    order = sorted((w for w in count if count[w] > 1), key=lambda w: (-count[w], hash_of(w)))
     own = [w for w in order if w is not end]
     cls = {w: i if i < 30 else 32 + suffix_of(w) % 32 for i, w in enumerate(own)} | {end: 30}
-    mass = Counter()
+    unseen = max(0.1, sum(c == 1 for c in count.values()))
+    mass = Counter({31: unseen})  # words met once, and any that was never met
     for w in count:
-        mass[cls[w]] += count[w] + 0.1
-    mass[31] = 0.1
+        mass[cls.get(w, 31)] += count[w] + 0.1
     class_of = lambda w: cls.get(w, 30 if w is end else 31)
 
     def decisions(ws):
@@ -221,35 +221,44 @@ def context_mixing(rows, hash_of, suffix_of, rate: float = 0.02) -> dict:
             word = ws[i - 1] if i else "<start>"
             yield [(0, back[0]), (1, *back[:2]), (2, *back), (3, word)], [(k, (c + 64) >> (6 - k), (c >> (5 - k)) & 1) for k in range(6)]
 
-    seen = Counter()
+    half = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) // 10 % 2
+    halves = [Counter(), Counter()]
     for d, ws in texts.items():
         if learns(d):
             for contexts, steps in decisions(ws):
                 for x in contexts:
                     for _, node, bit in steps:
-                        seen[x, node, bit] += 1
-    level = lambda x, node: int(min(math.log2(1 + seen[x, node, 0] + seen[x, node, 1]) / 3, 3))
-    gate = lambda k, node, contexts: (k, level(contexts[2], node), level(contexts[3], node))
+                        halves[half(d)][x, node, bit] += 1
+    seen = halves[0] + halves[1]
+
+    def gate(k, node, contexts, seen=seen):
+        level = lambda x: int(min(math.log2(1 + seen[x, node, 0] + seen[x, node, 1]) / 3, 3))
+        return k, level(contexts[2]), level(contexts[3])
+
+    def log_odds(x, node, seen=seen):
+        return math.log((seen[x, node, 1] + 0.4) / (seen[x, node, 0] + 0.4))
+
     squash = lambda x: 1 / (1 + math.exp(-max(-30, min(30, x))))
     weights, met, summed = defaultdict(lambda: [0.25] * 4 + [0.0]), Counter(), defaultdict(lambda: [0.0] * 5)
     cells = {(n, i): [8 * squash((i - 12) / 2), 8 * (1 - squash((i - 12) / 2))] for n in range(64) for i in range(25)}
     added = Counter()
-    batch = [step for d, ws in texts.items() if learns(d) for step in decisions(ws)]
-    for k in range(6):
-        moves, n = defaultdict(lambda: [0.0] * 5), Counter()
-        for contexts, steps in batch:
-            _, node, bit = steps[k]
-            odds = [math.log((max(seen[x, node, 1] - bit, 0) + 0.4) / (max(seen[x, node, 0] - (1 - bit), 0) + 0.4)) for x in contexts] + [1.0]
-            g = gate(k, node, contexts)
-            x = sum(w * o for w, o in zip(weights[g], odds))
-            for i, o in enumerate(odds):
-                moves[g][i] += (bit - squash(x)) * o
-            n[g] += 1
-            added[node, min(24, max(0, round(x * 2 + 12))), bit] += 1
-        for g, m in moves.items():
-            weights[g] = [w + rate * v / math.sqrt(n[g]) for w, v in zip(weights[g], m)]
-            met[g] += n[g]
-            summed[g] = [s + n[g] * w for s, w in zip(summed[g], weights[g])]
+    for part in (0, 1):  # each half learns with the other's counts
+        batch, others = [step for d, ws in texts.items() if learns(d) and half(d) == part for step in decisions(ws)], halves[1 - part]
+        for k in range(6):
+            moves, n = defaultdict(lambda: [0.0] * 5), Counter()
+            for contexts, steps in batch:
+                _, node, bit = steps[k]
+                odds = [log_odds(x, node, others) for x in contexts] + [1.0]
+                g = gate(k, node, contexts, others)
+                x = sum(w * o for w, o in zip(weights[g], odds))
+                for i, o in enumerate(odds):
+                    moves[g][i] += (bit - squash(x)) * o
+                n[g] += 1
+                added[node, min(24, max(0, round(x * 2 + 12))), bit] += 1
+            for g, m in moves.items():
+                weights[g] = [w + rate * v / math.sqrt(n[g]) for w, v in zip(weights[g], m)]
+                met[g] += n[g]
+                summed[g] = [s + n[g] * w for s, w in zip(summed[g], weights[g])]
     final = {g: [s / met[g] for s in summed[g]] for g in met}
     for (node, i, bit), v in added.items():
         cells[node, i][1 - bit] += v
@@ -259,13 +268,13 @@ def context_mixing(rows, hash_of, suffix_of, rate: float = 0.02) -> dict:
         logs = 0.0
         for w, (contexts, steps) in zip(ws, decisions(ws)):
             for k, node, bit in steps:
-                odds = [math.log((seen[x, node, 1] + 0.4) / (seen[x, node, 0] + 0.4)) for x in contexts] + [1.0]
+                odds = [log_odds(x, node) for x in contexts] + [1.0]
                 x = sum(a * b for a, b in zip(final.get(gate(k, node, contexts), [0.25] * 4 + [0.0]), odds))
                 at = min(24 - 1e-3, max(0.0, x * 2 + 12))
                 i = int(at)
                 x = 0.5 * x + 0.5 * (curve(node, i) * (1 - at + i) + curve(node, i + 1) * (at - i))
                 logs -= math.log1p(math.exp(-x if bit else x))
-            logs += math.log((count[w] + 0.1) / mass[class_of(w)])
+            logs += math.log((count[w] + 0.1 if count[w] else unseen) / mass[class_of(w)])
         out[d] = logs / math.log(10)
     return out
 
