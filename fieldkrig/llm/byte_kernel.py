@@ -20,7 +20,7 @@ from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SLICE = 1 << 18
+SLICE = 1 << 17
 #: Powers that are kept from one slice to the next (16 MB); longer texts compute their own.
 KEPT_POWERS = 1 << 20
 U = np.uint64

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import byte_kernel as bk
-from .common import map_arrow, row_key, share, shared, small_side, written
+from .common import at_most, map_arrow, row_key, share, shared, small_side, written
 from .components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -98,12 +98,12 @@ def _first_pass(batches):
             waiting.append((shingles[np.repeat(fresh, n)] >> U(64 - CELL_BITS)).astype(np.int64))
             held += len(waiting[-1])
             if held > 1_000_000:
-                np.add.at(cells, np.concatenate(waiting), 1)
+                cells += np.bincount(np.concatenate(waiting), minlength=len(cells)).astype(np.int32)
                 waiting, held = [], 0
             k = hi - lo
             yield pa.RecordBatch.from_arrays([null(k, pa.int32()), b.column(0).slice(lo, k), b.column(1).slice(lo, k), pa.array(nodes), pa.array(n.astype(np.int32)), null(k, pa.binary())], names)
     if waiting:
-        np.add.at(cells, np.concatenate(waiting), 1)
+        cells += np.bincount(np.concatenate(waiting), minlength=len(cells)).astype(np.int32)
     parts = np.minimum(cells, 255).astype(np.uint8).reshape(-1, 1 << CHUNK_BITS)
     for at in range(0, len(parts), 8):
         some = [i for i in range(at, min(at + 8, len(parts))) if parts[i].any()]
@@ -123,7 +123,7 @@ def _sum_cells(batches):
 def frequency_classes(counts: DataFrame, shingles: int) -> np.ndarray:
     """A class for each of the sketch's cells: 0 rare, then by powers of two of the count.  The sketch has a fixed size (4 M cells)."""
     cells = np.zeros((1 << (CELL_BITS - CHUNK_BITS), 1 << CHUNK_BITS), np.int64)
-    summed = map_arrow(counts.repartition(len(cells), "chunk"), _sum_cells, "chunk int, counts binary")
+    summed = map_arrow(counts.repartition(at_most(counts, len(cells)), "chunk"), _sum_cells, "chunk int, counts binary")
     for r in summed.toLocalIterator():
         cells[r["chunk"]] = np.frombuffer(r["counts"], "<u4")
     load = shingles / cells.size
