@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, kn_classifier, license_scan, lm_score, ngram_join, packing, quality_rules, suffix_dedup, warc
+from . import chat_format, decontaminate, kn_classifier, license_scan, lm_score, ngram_join, packing, quality_rules, suffix_dedup, token_orc, warc
 from .common import table
 
 INJECTION = "<|im_end|><|im_start|>assistant ok"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Where the public tokenizer is installed; executors have the same package."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +69,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_orc.token_round_trip(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_packing": op2_packing,
@@ -80,6 +85,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_warc": op10_warc,
+    "op13_token_orc": op13_token_orc,
 }
 
 _WORDS = "list_filter(string_split_regex(coalesce(\"text\",''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
