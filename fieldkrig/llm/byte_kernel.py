@@ -71,8 +71,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return made["up"][:n], made["down"][:n]
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, data, offsets): offsets start at 0 and have one more entry than the slice has rows; null is empty."""
+def slices(column: pa.Array, size: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, data, offsets): offsets start at 0 and have one more entry than the slice has rows; null is empty.  size: bytes, else SLICE."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
@@ -83,7 +83,7 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     lo = 0
     while lo < len(column):
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLICE, side="right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + (size or SLICE), side="right")) - 1)
         hi = min(hi, len(column))
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, kn_classifier, license_scan, lm_score, ngram_join, packing, quality_rules, suffix_dedup, token_orc, warc
+from . import chat_format, decontaminate, kn_classifier, license_scan, lm_score, ngram_join, packing, phrase_mining, quality_rules, suffix_dedup, token_orc, warc
 from .common import table
 
 INJECTION = "<|im_end|><|im_start|>assistant ok"
@@ -69,6 +69,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def op13_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_orc.token_round_trip(docs, tokenizer_path("byte_bpe_50k.json"))
@@ -85,6 +89,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_warc": op10_warc,
+    "op12_phrase_mining": op12_phrase_mining,
     "op13_token_orc": op13_token_orc,
 }
 
@@ -111,6 +116,20 @@ e as (select a.doc_id x, b.doc_id y from s a join s b on a.sh = b.sh and a.doc_i
 r as (select x, y from e union select r.x, e.y from r join e on r.y = e.x)
 select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, least(d.doc_id, coalesce(m.m, d.doc_id))::bigint component_id
 from documents d left join n using (doc_id) left join (select x, min(y) m from r group by 1) m on m.x = d.doc_id""",
+    "op12_phrase_mining": r"""
+with d as (select coalesce(lang, 'und') lang, translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
+p as (select lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) s from d),
+w as (select lang, list_filter(string_split_regex(s, '[\x20\x09]+'), lambda x: x <> '') ws from p),
+g as (select lang, k, array_to_string(ws[i:i+k-1], ' ') phrase, count(*)::bigint f from (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) i from w cross join (select unnest([1, 2, 3]) k)) group by 1, 2, 3),
+n as (select lang, sum(f)::bigint n from g where k = 1 group by 1),
+c as (select * from g where k > 1 and f >= 10),
+cut as (select lang, phrase, k, f, j, array_to_string(string_split(phrase, ' ')[1:j], ' ') lp, array_to_string(string_split(phrase, ' ')[j+1:k], ' ') rp from (select *, unnest(range(1, k)) j from c)),
+s as (select cut.*, a.f l, b.f r, (1000000::hugeint * cut.f * cut.f // (a.f::hugeint * b.f))::bigint score from cut join g a on a.lang = cut.lang and a.phrase = lp join g b on b.lang = cut.lang and b.phrase = rp),
+b as (select *, row_number() over (partition by lang, phrase order by score, j) o from s qualify o = 1),
+inside as (select lang, sub, max(f) f from (select lang, f, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) sub from c where k = 3) group by 1, 2),
+left_ as (select b.* from b left join inside i on i.lang = b.lang and i.sub = b.phrase and b.k = 2 where i.f is null or 100 * i.f < 50 * b.f),
+q as (select *, row_number() over (partition by lang order by score desc, f desc, phrase) rank from left_)
+select lang, rank::bigint rank, phrase, f a, l, r, n, score from q join n using (lang) where rank <= 2000""",
     "op8_quality_rules": f"""
 with w as (select doc_id, coalesce("text",'') t, {_WORDS} ws from documents),
 win as (select doc_id, i, array_to_string(ws[i:i+7], ' ') k from (select doc_id, ws, unnest(range(1, len(ws)-6)) i from w where len(ws) > 7)),
