@@ -12,7 +12,7 @@ has each shard's first and last document and how many ids stand before it: as ma
 
 Ids come from a public tokenizer.  A byte-level one with the usual pattern (BYTELEVEL) never joins text across the
 beginning of white space, so the ids of a text are those of its pieces (a run of blanks and the word behind it),
-and pieces already seen in a task are looked up by a 64-bit hash (equal hashes are taken for equal pieces).
+and pieces already seen by a worker are looked up by a 64-bit hash (equal hashes are taken for equal pieces).
 Any other tokenizer encodes whole texts.
 
 Null or empty text: the end id only.  Null ids come first, rows that share an id stand in order of a hash
@@ -24,6 +24,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import types
 import uuid
 import zlib
 
@@ -97,6 +98,19 @@ class PieceTable(WordTable):
         return np.split(flat, total[firsts[1:] + np.arange(len(offsets) - 1)][:-1])
 
 
+def kept_table(tokenizer_path: str, eos: int) -> PieceTable | TextTokenizer:
+    """piece_table, kept from one task of a Python worker to the next: pieces that a worker has seen are not encoded again.
+
+    A table holds at most TABLE_WORDS pieces (and one slice's) before it starts anew.
+    """
+    held = sys.modules.setdefault("_fieldkrig_worker", types.ModuleType("_fieldkrig_worker")).__dict__.setdefault("tables", {})
+    key = (tokenizer_path, eos)
+    if key not in held:
+        held.clear()  # one at a time
+        held[key] = piece_table(*key)
+    return held[key]
+
+
 def piece_table(tokenizer_path: str, eos: int) -> PieceTable | TextTokenizer:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
@@ -111,7 +125,7 @@ def _blocks(batches, tokenizer_path: str, eos: int):
     """Rows of SCHEMA from sorted doc_id, text."""
     from pyspark import TaskContext
 
-    table, shard, start = piece_table(tokenizer_path, eos), TaskContext.get().partitionId(), 0
+    table, shard, start = kept_table(tokenizer_path, eos), TaskContext.get().partitionId(), 0
     for batch in batches:
         for lo, hi, data, offsets in bk.slices(batch.column(1)):
             ids = table.encode(data, offsets)
