@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, kn_classifier, license_scan, lm_score, ngram_join, packing, phrase_mining, quality_rules, suffix_dedup, token_orc, warc
+from . import chat_format, decontaminate, kn_classifier, license_scan, lm_score, ngram_join, packing, phrase_mining, quality_rules, suffix_dedup, token_orc, vector_codes, warc
 from .common import table
 
 INJECTION = "<|im_end|><|im_start|>assistant ok"
@@ -69,6 +69,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_mining.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
 
@@ -89,10 +93,23 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_warc": op10_warc,
+    "op11_vector_codes": op11_vector_codes,
     "op12_phrase_mining": op12_phrase_mining,
     "op13_token_orc": op13_token_orc,
 }
 
+def _codebook_rounds(rounds: int) -> str:
+    """SQL steps from entries b0 to b{rounds}, and parts a{r} with m = 16 * distance + entry under b{r}."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} as materialized (select p.vec_id, p.j, any_value(p.c) c, min(16 * list_sum([(p.c[i] - b.c[i]) * (p.c[i] - b.c[i]) for i in range(1, len(p.c) + 1)]) + b.entry) m from p join b{r} b using (j) group by 1, 2)")
+        if r < rounds:
+            steps.append(f"s{r} as (select j, m % 16 entry, pos, sum(x)::hugeint s, count(*) n from (select j, m, unnest(c) x, generate_subscripts(c, 1) pos from a{r}) group by 1, 2, 3)")
+            steps.append(f"m{r} as (select j, entry, list(((s - ((s % n) + n) % n) // n)::bigint order by pos) c from s{r} group by 1, 2)")
+            steps.append(f"b{r + 1} as materialized (select b.j, b.entry, coalesce(m.c, b.c) c from b{r} b left join m{r} m using (j, entry))")
+    return ",\n".join(steps)
+
+
 _WORDS = "list_filter(string_split_regex(coalesce(\"text\",''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 ORACLES: dict[str, str] = {
@@ -116,6 +133,15 @@ e as (select a.doc_id x, b.doc_id y from s a join s b on a.sh = b.sh and a.doc_i
 r as (select x, y from e union select r.x, e.y from r join e on r.y = e.x)
 select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, least(d.doc_id, coalesce(m.m, d.doc_id))::bigint component_id
 from documents d left join n using (doc_id) left join (select x, min(y) m from r group by 1) m on m.x = d.doc_id""",
+    "op11_vector_codes": f"""
+with k as (select vec_id, label, embedding::double[] e from embeddings where embedding is not null and len(list_filter(embedding::double[], lambda x: x is null or not isfinite(x))) = 0),
+v as (select vec_id, label, list_transform(e, lambda x: floor(4096 * x)::bigint) v from k),
+p as materialized (select vec_id, j, v[(j - 1) * (len(v) // 8) + 1 : j * (len(v) // 8)] c from v cross join (select unnest(range(1, 9)) j)),
+b0 as materialized (select j, (row_number() over (partition by j order by vec_id) - 1)::bigint entry, c from p qualify entry < 16),
+{_codebook_rounds(6)},
+h as (select sha256(string_agg(x::varchar, ',' order by j, entry, pos)) codebooks_sha256 from (select j, entry, unnest(c) x, generate_subscripts(c, 1) pos from b6)),
+c as (select vec_id, string_agg(format('{{:02x}}', (m % 16)::int), '' order by j) code, sum(m // 16)::bigint error from a6 group by 1)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint label_error, codebooks_sha256 from c join v using (vec_id) cross join h""",
     "op12_phrase_mining": r"""
 with d as (select coalesce(lang, 'und') lang, translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
 p as (select lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) s from d),
