@@ -6,7 +6,7 @@ floor of its parts' mean.  Sums of a task's parts are added up by Spark; only co
 
 Assignment is by memoised grid cells.  A part lies in a coarse cell; the cell's box bounds from below and above how
 far it can be from each entry.  An entry whose least distance is greater than another's greatest is dominated across
-the box; the others are kept for that cell, and only they are evaluated, exactly.  A task keeps the lists of up to
+the box, and so is one that is farther than the entry of the least greatest distance at each of the box's points; the others are kept for that cell, and only they are evaluated, exactly.  A task keeps the lists of up to
 ``MEMO_CELLS`` cells of each place, by hash; the cell itself is compared too, so equal hashes change nothing.
 
 Rows whose vector is null, or holds a null or a value that isn't finite, go.  The vectors' length is that of the
@@ -57,13 +57,17 @@ class Cells:
 
     def candidates(self, cells: np.ndarray) -> np.ndarray:
         """For each cell, which entries aren't dominated across its box."""
-        out = np.empty((len(cells), len(self.book)), bool)
+        out, book = np.empty((len(cells), len(self.book)), bool), self.book[None]
         for lo in range(0, len(cells), ROWS):
             low = cells[lo : lo + ROWS, None, :] * self.edge
-            below, above = low - self.book[None], self.book[None] - (low + self.edge - 1)
+            high = low + self.edge - 1
+            below, above = low - book, book - high
             least = (np.maximum(np.maximum(below, above), 0) ** 2).sum(axis=-1)
             greatest = (np.maximum(np.abs(below), np.abs(above)) ** 2).sum(axis=-1)
-            out[lo : lo + ROWS] = least <= greatest.min(axis=1, keepdims=True)
+            # By how much the entry of the least greatest distance can be the farther one at most, over the box.
+            best = self.book[greatest.argmin(axis=1)][:, None, :]
+            lead = best * best - book * book + 2 * np.maximum((book - best) * low, (book - best) * high)
+            out[lo : lo + ROWS] = (least <= greatest.min(axis=1, keepdims=True)) & (lead.sum(axis=-1) >= 0)
         return out
 
     def masks(self, parts: np.ndarray) -> np.ndarray:
