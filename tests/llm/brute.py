@@ -309,3 +309,48 @@ def pipeline(rows, labels, items, encode, quantile: float = 0.99, margin: float
             kept[d] = left.decode("utf-8", "ignore")
     leaked = {d for d, _ in leaks(kept.items(), items)}
     return {d: [*encode(t), 2] for d, t in kept.items() if d not in leaked}
+
+
+def phrases(rows, least: int = 10, most: int = 3, top: int = 2000, absorbed: int = 50) -> dict:
+    """rows: (text, lang) -> {(lang, rank): (phrase, a, l, r, n, score)}"""
+    f, n = Counter(), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", ascii_lower(text or "")):
+            ws = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(ws)
+            f.update((lang, *ws[i : i + k]) for k in range(1, most + 1) for i in range(len(ws) - k + 1))
+    candidates = {p: c for p, c in f.items() if len(p) > 2 and c >= least}
+    gone = {(p[0], *p[i : i + k]) for p, c in candidates.items() for k in range(2, len(p) - 1) for i in range(1, len(p) - k + 1) if 100 * c >= absorbed * candidates[(p[0], *p[i : i + k])]}
+    ranked = defaultdict(list)
+    for p, a in candidates.items():
+        if p not in gone:
+            score, _, left, right = min((10**6 * a * a // (f[p[: j + 1]] * f[(p[0], *p[j + 1 :])]), j, f[p[: j + 1]], f[(p[0], *p[j + 1 :])]) for j in range(1, len(p) - 1))
+            ranked[p[0]].append((-score, -a, " ".join(p[1:]).encode(), left, right))
+    return {(lang, i): (s.decode(), -a, left, right, n[lang], -score) for lang, found in ranked.items() for i, (score, a, s, left, right) in enumerate(sorted(found)[:top], 1)}
+
+
+def vector_codes(rows, parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096):
+    """rows: (vec_id, vector, label) -> ({vec_id: (code, error, label_error)}, digest)"""
+    kept = [(i, [math.floor(x * scale) if abs(x) < 2**40 else int(x) * scale for x in v], g) for i, v, g in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    kept.sort(key=lambda r: (r[0] is None, r[0], r[1]))
+    if not kept:
+        return {}, hashlib.sha256(b"").hexdigest()
+    w = len(kept[0][1]) // parts
+    cut = lambda v, p: v[p * w : p * w + w]
+    books = [[cut(v, p) for _, v, _ in kept[:entries]] for p in range(parts)]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    nearest = lambda v, p: min(range(len(books[p])), key=lambda e: (far(cut(v, p), books[p][e]), e))
+    for _ in range(rounds):
+        groups = defaultdict(list)
+        for _, v, _ in kept:
+            for p in range(parts):
+                groups[p, nearest(v, p)].append(cut(v, p))
+        for (p, e), own in groups.items():
+            books[p][e] = [sum(c) // len(own) for c in zip(*own)]
+    found = [(i, g, [nearest(v, p) for p in range(parts)], sum(far(cut(v, p), books[p][nearest(v, p)]) for p in range(parts))) for i, v, g in kept]
+    total = defaultdict(int)
+    for _, g, _, e in found:
+        total[g] += e
+    digest = hashlib.sha256(",".join(str(x) for b in books for entry in b for x in entry).encode()).hexdigest()
+    return {i: ("".join(f"{c:02x}" for c in code), e, total[g]) for i, g, code, e in found}, digest
