@@ -37,7 +37,7 @@ FRACTION, SAMPLE_COUNT = 0.2, 2
 #: Bits for each proposal, and the most of a map (32 MB).
 PROPOSAL_BITS, MOST_BITS = 32, 1 << 28
 #: Bytes of a slice, and phrases that a task holds before it sums them.
-SLICE, HELD = 1 << 20, 1 << 20
+SLICE, HELD = 1 << 18, 1 << 19
 
 U = np.uint64
 BREAK = np.zeros(256, bool)
@@ -161,7 +161,8 @@ def count_phrases(docs: DataFrame, least: int, most: int, words: bool, now=None,
     """Rows of COUNTS with n >= least, and level 0 as it is."""
     held = share(docs.sparkSession, (now, before))
     rows = map_arrow(docs, lambda b: _count(b, most, words, *shared(held)), COUNTS)
-    whole = rows.groupBy("level", "x", "y", "lang", "word").agg(F.sum("n").alias("n"))
+    # Tasks have summed already: what they give is dealt at once, without another table of sums in the JVM before it.
+    whole = rows.repartition("x", "y").groupBy("level", "x", "y", "lang", "word").agg(F.sum("n").alias("n"))
     return whole.filter((F.col("n") >= least) | (F.col("level") == 0)).select("level", "x", "y", "n", "lang", "word")
 
 

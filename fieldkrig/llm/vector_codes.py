@@ -118,8 +118,13 @@ class Coder:
         self.width = books[0].shape[1]
         #: Integers so small that squared distances fit 64 bits.
         self.small = math.isqrt((1 << 62) // self.width) // 2
-        fits = all(abs(int(x)) < self.small for b in books for x in b.flat)
-        self.cells = [Cells(b.astype(np.int64)) for b in books] if fits else None
+        self.fits = all(abs(int(x)) < self.small for b in books for x in b.flat)
+        self.cells = None
+
+    def begin(self) -> Coder:
+        """In a task: with cells of its own, since a broadcast value is shared by a worker's tasks."""
+        self.cells = [Cells(b.astype(np.int64)) for b in self.books] if self.fits else None
+        return self
 
     def integers(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(64-bit integers, rows that need Python's); such rows are 0 there."""
@@ -221,7 +226,7 @@ def next_books(kept: DataFrame, books: list[np.ndarray], scale: int) -> list[np.
     """One round: entries become the floor of their parts' means; unused ones stay."""
     dim, k = len(books) * books[0].shape[1], len(books[0])
     held = share(kept.sparkSession, Coder(books, scale))
-    rows = map_arrow(kept.select("vector"), lambda b: _sums(b, shared(held), dim), "slot int, pos int, n long, low decimal(38,0), high decimal(38,0)")
+    rows = map_arrow(kept.select("vector"), lambda b: _sums(b, shared(held).begin(), dim), "slot int, pos int, n long, low decimal(38,0), high decimal(38,0)")
     out = [b.copy() for b in books]
     for r in rows.groupBy("slot", "pos").agg(*[F.sum(c).alias(c) for c in ("n", "low", "high")]).collect():  # parts x entries x width
         if r["n"]:
@@ -242,7 +247,7 @@ def vector_codes(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     dim = len(books) * books[0].shape[1] if books else -1
     held = share(df.sparkSession, Coder(books, scale) if books else None)
     names = {f.name: f.dataType.simpleString() for f in rows.schema}
-    coded = written(map_arrow(kept, lambda b: _codes(b, shared(held), dim), f"vec_id {names['vec_id']}, label {names['label']}, code string, error long"), "codes") if books else kept.select("vec_id", "label", F.lit(None).cast("string").alias("code"), F.lit(None).cast("long").alias("error"))
+    coded = written(map_arrow(kept, lambda b: _codes(b, shared(held).begin(), dim), f"vec_id {names['vec_id']}, label {names['label']}, code string, error long"), "codes") if books else kept.select("vec_id", "label", F.lit(None).cast("string").alias("code"), F.lit(None).cast("long").alias("error"))
     sums = coded.groupBy(F.col("label").alias("_label")).agg(F.sum(F.col("error").cast("decimal(38,0)")).alias("_sum"))
     out = coded.join(small_side(sums, 100_000), F.col("label").eqNullSafe(F.col("_label")))
     whole = F.when(F.col("_sum") < Decimal(1 << 63), F.col("_sum")).cast("long")
