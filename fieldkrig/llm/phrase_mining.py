@@ -9,7 +9,7 @@
 So all frequent phrases have exact counts, whatever the sample was.
 
 Proposals go to the tasks as bit maps of a bounded size, one a length.  A bit that two phrases share lets some more phrases be
-counted, which costs shuffled rows and changes no count.  Counts are summed in each task, then by key, so no phrase, word or
+counted, which costs shuffled rows and changes no count.  Counts are summed in each task, packed by bucket of key, and added bucket by bucket, so no phrase, word or
 language fills a task.  Words and phrases are told apart by 64-bit hashes over language and bytes.
 
 Null text: empty; null language: ``und``.  Empty texts, or an empty table, give nothing.  Rows that repeat count as often
@@ -37,7 +37,7 @@ FRACTION, SAMPLE_COUNT = 0.2, 2
 #: Bits for each proposal, and the most of a map (32 MB).
 PROPOSAL_BITS, MOST_BITS = 32, 1 << 28
 #: Bytes of a slice, and phrases that a task holds before it sums them.
-SLICE, HELD = 1 << 18, 1 << 19
+SLICE, HELD = 1 << 18, 1 << 20
 
 U = np.uint64
 BREAK = np.zeros(256, bool)
@@ -47,7 +47,10 @@ OUTSIDE[[0x20, 0x09]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-COUNTS = "level int, x long, y long, n long, lang string, word string"
+#: Buckets of counts for each partition of the shuffle; over how many the phrases of one beginning are spread (a power of two).
+BUCKETS, SPREAD = 4, 8
+
+COUNTS = "level int, x long, y long, n long, lang string, word string, h long"
 
 
 def phrase_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -82,31 +85,49 @@ def marked(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 class Sums:
-    """Counts of (level, x, y), summed over HELD phrases at a time."""
-
-    def __init__(self):
-        self.rows: dict[int, list] = {}
-        self.size: dict[int, int] = {}
-
-    def add(self, level: int, x: np.ndarray, y: np.ndarray):
-        """Batches that are ready."""
-        self.rows.setdefault(level, []).append((x, y))
-        self.size[level] = self.size.get(level, 0) + len(x)
-        if self.size[level] >= HELD:
-            yield from self.flush(level)
-
-    def flush(self, level: int):
-        held, self.size[level] = self.rows.pop(level, []), 0
-        if held:
-            x, y = (np.concatenate(c) for c in zip(*held))
-            _, at, n = np.unique(extended(x, y), return_index=True, return_counts=True)
-            yield batch(level, x[at], y[at], n)
-
-
-def batch(level: int, x: np.ndarray, y: np.ndarray, n: np.ndarray, lang: pa.Array | None = None, word: pa.Array | None = None) -> pa.RecordBatch:
-    none = pa.nulls(len(x), pa.string())
-    numbers = [pa.array(np.full(len(x), level, np.int32)), *[pa.array(c.view(np.int64)) for c in (x, y, n.astype(np.int64))]]
-    return pa.RecordBatch.from_arrays([*numbers, none if lang is None else lang, none if word is None else word], ["level", "x", "y", "n", "lang", "word"])
+    """Counts by (x, y) of one level, summed whenever HELD of them have come in; words carry their language and text."""
+
+    def __init__(self, level: int):
+        self.level, self.parts, self.size = level, [], 0
+
+    def add(self, x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, lang: pa.Array | None = None, word: pa.Array | None = None) -> bool:
+        """True if there are many."""
+        self.parts.append((x, y, np.ones(len(x), np.int64) if n is None else n, lang, word))
+        self.size += len(x)
+        return self.size >= HELD
+
+    def merge(self):
+        """(h, x, y, n, lang, word) of each phrase, h rising; they stay held, as one part."""
+        if not self.parts:
+            none = np.zeros(0, U)
+            return none, none, none, np.zeros(0, np.int64), None, None
+        x, y, n = (np.concatenate([p[i] for p in self.parts]) for i in range(3))
+        h, at, back = np.unique(extended(x, y) if self.level > 1 else x, return_index=True, return_inverse=True)
+        texts = [None if self.parts[0][i] is None else pa.chunked_array([p[i] for p in self.parts]).combine_chunks().take(pa.array(at)) for i in (3, 4)]
+        total = np.zeros(len(h), np.int64)
+        np.add.at(total, back, n)
+        self.parts, self.size = [(x[at], y[at], total, *texts)], len(h)
+        return h, *self.parts[0]
+
+    def packed(self, buckets: int):
+        """Rows of bucket and counts, one a bucket; nothing stays."""
+        h, x, y, n, lang, word = self.merge()
+        self.parts, self.size = [], 0
+        if not len(h):
+            return
+        with np.errstate(over="ignore"):
+            own = (bk.mix(x + bk.PLACES[2] * (y % U(SPREAD))) % U(buckets)).astype(np.int32)
+        order = np.lexsort((x, own))  # equal beginnings lie together, which packs well
+        edge = np.flatnonzero(np.r_[True, own[order][1:] != own[order][:-1], True])
+        columns = [pa.array(x[order]), pa.array(y[order]), pa.array(n[order])] + [pa.nulls(len(h), pa.string()) if c is None else c.take(pa.array(order)) for c in (lang, word)]
+        whole = pa.RecordBatch.from_arrays(columns, ["x", "y", "n", "lang", "word"])
+        blobs = []
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            with pa.BufferOutputStream() as sink:
+                with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(whole.slice(lo, hi - lo))
+                blobs.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(own[order][edge[:-1]]), pa.array(np.full(len(blobs), self.level, np.int32)), pa.array(blobs, pa.binary())], ["bucket", "level", "counts"])
 
 
 def texts_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -116,34 +137,38 @@ def texts_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array
     return pa.StringArray.from_buffers(len(starts), pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(flat))
 
 
-def _count(batches, most: int, words: bool, now: list[np.ndarray] | None, before: list[np.ndarray] | None):
-    """Rows of COUNTS.
+def _count(batches, most: int, words: bool, now: list[np.ndarray] | None, before: list[np.ndarray] | None, buckets: int):
+    """Packed counts.
 
     words: count words (level 1, with their text) and all occurrences of a language (level 0).  now: bit maps of the
     proposals of each length from 1 on (None: all phrases); before: those of the last pass, whose phrases are counted already.
     """
-    sums = Sums()
+    sums = [Sums(k) for k in range(most + 1)]
     for b in batches:
         langs = b.column("lang").dictionary_encode()
         names, code = langs.dictionary, langs.indices.to_numpy(zero_copy_only=False)
         salt = bk.mix(np.array([bk.word_hashes(np.frombuffer(s.encode(), np.uint8), np.zeros(1, np.int64), np.array([len(s.encode())]), bk.VALUES)[0] for s in names.to_pylist()], U))  # mixed once more, as a word may be another language's name
         for lo, hi, data, offsets in bk.slices(b.column("text"), SLICE):
             starts, ends, text, piece = phrase_words(data, offsets)
+            if not len(starts):
+                continue
             own = code[lo:hi][text]
             with np.errstate(over="ignore"):
-                h = bk.mix(bk.word_hashes(data, starts, ends) + salt[own]) if len(starts) else np.zeros(0, U)
-            if words and len(h):
+                h = bk.mix(bk.word_hashes(data, starts, ends) + salt[own])
+            if words:
                 x, at, n = np.unique(h, return_index=True, return_counts=True)
-                yield batch(1, x, np.zeros(len(x), U), n, names.take(pa.array(own[at])), texts_of(LOWER[data], starts[at], ends[at]))
+                if sums[1].add(x, np.zeros(len(x), U), n, names.take(pa.array(own[at])), texts_of(LOWER[data], starts[at], ends[at])):
+                    yield from sums[1].packed(buckets)
                 used, n = np.unique(own, return_counts=True)
-                yield batch(0, salt[used], np.zeros(len(used), U), n, names.take(pa.array(used)))
+                names_used = names.take(pa.array(used))
+                if sums[0].add(salt[used], np.zeros(len(used), U), n, names_used, names_used):
+                    yield from sums[0].packed(buckets)
             part = h  # hashes of the phrases of one word less
             for k in range(2, most + 1):
                 m = len(h) - k + 1
                 if m < 1:
                     break
-                open_ = piece[:m] == piece[k - 1 :]
-                hit = open_.copy()
+                hit = piece[:m] == piece[k - 1 :]
                 if now is not None:
                     fits = marked(now[k - 2], part)
                     hit &= fits[:m] & fits[1 : m + 1]
@@ -151,31 +176,40 @@ def _count(batches, most: int, words: bool, now: list[np.ndarray] | None, before
                     known = marked(before[k - 2], part)
                     hit &= ~(known[:m] & known[1 : m + 1])
                 at = np.flatnonzero(hit)
-                yield from sums.add(k, part[at], h[at + k - 1])
+                if sums[k].add(part[at], h[at + k - 1]):
+                    yield from sums[k].packed(buckets)
                 part = extended(part[:m], h[k - 1 :])
-    for level in list(sums.rows):
-        yield from sums.flush(level)
+    for level in sums:
+        yield from level.packed(buckets)
 
 
-def count_phrases(docs: DataFrame, least: int, most: int, words: bool, now=None, before=None) -> DataFrame:
-    """Rows of COUNTS with n >= least, and level 0 as it is."""
-    held = share(docs.sparkSession, (now, before))
-    rows = map_arrow(docs, lambda b: _count(b, most, words, *shared(held)), COUNTS)
-    # Tasks have summed already: what they give is dealt at once, without another table of sums in the JVM before it.
-    whole = rows.repartition("x", "y").groupBy("level", "x", "y", "lang", "word").agg(F.sum("n").alias("n"))
-    return whole.filter((F.col("n") >= least) | (F.col("level") == 0)).select("level", "x", "y", "n", "lang", "word")
-
-
-def with_hash(phrases: DataFrame) -> DataFrame:
-    """phrases with h, the hash of each."""
+def _add_up(batches, least: int):
+    """Rows of COUNTS of whole buckets; a task holds the distinct phrases of its share."""
+    sums: dict[int, Sums] = {}
+    merged: dict[int, int] = {}  # phrases held since the last merge
+    for b in batches:
+        for level, blob in zip(b.column("level").to_pylist(), b.column("counts")):
+            own = sums.setdefault(level, Sums(level))
+            with pa.ipc.open_stream(blob.as_buffer()) as stream:
+                for x in stream:
+                    own.add(x.column("x").to_numpy(), x.column("y").to_numpy(), x.column("n").to_numpy(), *((x.column(c) if level < 2 else None) for c in ("lang", "word")))
+            if own.size - merged.get(level, 0) > max(HELD, merged.get(level, 0)):
+                own.merge()
+                merged[level] = own.size
+    for level, own in sums.items():
+        h, x, y, n, lang, word = own.merge()
+        keep = np.flatnonzero((n >= least) | (level == 0))
+        texts = [pa.nulls(len(keep), pa.string()) if c is None else c.take(pa.array(keep)) for c in (lang, word)]
+        numbers = [pa.array(np.full(len(keep), level, np.int32)), *[pa.array(c[keep].view(np.int64)) for c in (x, y)], pa.array(n[keep])]
+        yield pa.RecordBatch.from_arrays([*numbers, *texts, pa.array(h[keep].view(np.int64))], ["level", "x", "y", "n", "lang", "word", "h"])
 
-    def run(batches):
-        for b in batches:
-            level, x, y = (b.column(c).to_numpy() for c in ("level", "x", "y"))
-            h = np.where(level > 1, extended(x.view(U), y.view(U)), x.view(U))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(h.view(np.int64))], [*b.schema.names, "h"])
 
-    return map_arrow(phrases, run, COUNTS + ", h long")
+def count_phrases(docs: DataFrame, least: int, most: int, words: bool, now=None, before=None) -> DataFrame:
+    """Rows of COUNTS with n >= least, and level 0 as it is.  Counts are packed by bucket in the tasks, and dealt and added by bucket."""
+    spark = docs.sparkSession
+    held, parts = share(spark, (now, before)), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = map_arrow(docs, lambda b: _count(b, most, words, *shared(held), BUCKETS * parts), "bucket int, level int, counts binary")
+    return map_arrow(rows.repartition(parts, "bucket").select("level", "counts"), lambda b: _add_up(b, least), COUNTS)
 
 
 def bitmap(hashed: DataFrame, size: int) -> np.ndarray:
@@ -190,12 +224,12 @@ def bitmap(hashed: DataFrame, size: int) -> np.ndarray:
 def frequent_phrases(docs: DataFrame, least: int = 10, most: int = 3, fraction: float = FRACTION) -> DataFrame:
     """level (words of the phrase; 0: a language), x, y, n, lang, word, h: all phrases with n >= least.  docs: text, lang."""
     sampled = docs.filter(F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 20)) < int(fraction * (1 << 20)))
-    proposed = written(with_hash(count_phrases(sampled, SAMPLE_COUNT, most - 1, True).filter("level > 0")), "proposed")
+    proposed = written(count_phrases(sampled, SAMPLE_COUNT, most - 1, True).filter("level > 0"), "proposed")
     many = {r["level"]: r["count"] for r in proposed.groupBy("level").count().collect()}
     sizes = [min(MOST_BITS, max(1 << 16, 1 << (PROPOSAL_BITS * many.get(k, 0)).bit_length())) for k in range(1, most)]
     now, before, out = [bitmap(proposed.filter(F.col("level") == k), s) for k, s in zip(range(1, most), sizes)], None, None
     while True:
-        counted = written(with_hash(count_phrases(docs, least, most, before is None, now, before)), "counted")
+        counted = written(count_phrases(docs, least, most, before is None, now, before), "counted")
         out = counted if out is None else out.unionByName(counted)
         # A frequent phrase that no bit stands for is a failure.
         grown = [m | bitmap(counted.filter(F.col("level") == k), s) for k, s, m in zip(range(1, most), sizes, now)]

@@ -1,16 +1,22 @@
-"""Experimental variograms: pair join, bin, aggregate.  All of it is declared as plans."""
+"""Experimental variograms: sums over pairs of blocks by lag; pairs become rows in the cloud only."""
 
 from __future__ import annotations
 
 import math
+import sys
 
+import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidParameter
+from ..plans.blocks import Pairs, blocks, middle_values, sum_pairs
 from ..plans.pairs import pair_join
 from ..sources.points import coords, diagonal
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 DOWD = 0.674489750196082
 ESTIMATORS = ("matheron", "cressie", "dowd", "madogram")
 
@@ -35,23 +41,40 @@ def direction(names: list[str], azimuth: float, tolerance: float, dip: float = 0
     return F.abs(dot) >= F.col("d") * math.cos(math.radians(tolerance))
 
 
-def gamma_of(estimator: str, dz: Column, n: Column) -> Column:
-    a = F.abs(dz)
+def lag_np(d: np.ndarray, max_dist: float, n_lags: int) -> np.ndarray:
+    return np.minimum(np.ceil(d / (max_dist / n_lags)) - 1, n_lags - 1).astype(np.int64)
+
+
+def cone_np(pairs: Pairs, azimuth: float, tolerance: float, dip: float = 0.0) -> np.ndarray:
+    """direction() over arrays."""
+    if not 0 < tolerance <= 90:
+        raise InvalidParameter("the tolerance must lie in (0, 90] degrees")
+    az, dp = math.radians(azimuth), math.radians(dip)
+    unit = [math.cos(dp) * math.sin(az), math.cos(dp) * math.cos(az), math.sin(dp)]
+    return np.abs(sum(x * u for x, u in zip(pairs.diff, unit))) >= pairs.d * math.cos(math.radians(tolerance))
+
+
+def term_np(estimator: str, dz: np.ndarray) -> np.ndarray:
+    """What an estimator averages over a lag's pairs."""
     if estimator == "matheron":
-        return F.avg(0.5 * dz * dz)
+        return 0.5 * dz * dz
+    return np.sqrt(np.abs(dz)) if estimator == "cressie" else np.abs(dz)
+
+
+def gamma_of(estimator: str, mean: Column, n: Column) -> Column:
+    """The estimate from the mean of its terms."""
+    if estimator == "matheron":
+        return mean
     if estimator == "cressie":
-        return F.pow(F.avg(F.sqrt(a)), F.lit(4.0)) / (2 * (0.457 + 0.494 / n))
-    if estimator == "dowd":
-        m = F.median(a)
-        return m * m / (2 * DOWD * DOWD)
-    if estimator == "madogram":
-        return 0.5 * F.avg(a)
-    raise InvalidParameter(f"unknown estimator {estimator!r}; known: {', '.join(ESTIMATORS)}")
+        return F.pow(mean, F.lit(4.0)) / (2 * (0.457 + 0.494 / n))
+    return 0.5 * mean
 
 
-def _binned(pairs: DataFrame, keys: list[str], gamma: Column, n_lags: int, max_dist: float) -> DataFrame:
-    n = F.count(F.lit(1))
-    return pairs.groupBy(*keys, lag_of(F.col("d"), max_dist, n_lags).alias("lag")).agg(F.avg("d").alias("h"), gamma.alias("gamma"), n.alias("n_pairs"))
+def _lags(df: DataFrame, max_dist: float, kernel, columns: tuple[str, ...] = ("value",), within: tuple[str, ...] = ()) -> DataFrame:
+    """within, bin, h, mean, n_pairs of kernel(pairs): bins and their terms, given with the distances' sums."""
+    packed, _ = blocks(df, max_dist, columns, within)
+    found = sum_pairs(packed, max_dist, columns, kernel, 2, within)
+    return found.select(*within, "bin", (F.col("sums")[0] / F.col("n")).alias("h"), (F.col("sums")[1] / F.col("n")).alias("mean"), F.col("n").alias("n_pairs"))
 
 
 def _filled(binned: DataFrame, n_lags: int, max_dist: float) -> DataFrame:
@@ -62,14 +85,34 @@ def _filled(binned: DataFrame, n_lags: int, max_dist: float) -> DataFrame:
 
 
 def experimental_variogram(df: DataFrame, n_lags: int = 15, max_dist: float | None = None, estimator: str = "matheron", azimuth: float | None = None, tolerance: float = 22.5, dip: float = 0.0) -> DataFrame:
-    """lag, h, gamma, n_pairs."""
+    """lag, h, gamma, n_pairs.  Dowd's medians are exact: found by counting within ranges that shrink, a lag's pairs are never held."""
     max_dist = max_dist or default_max_dist(df)
     if n_lags < 1 or max_dist <= 0:
         raise InvalidParameter("lags and the largest distance must be positive")
-    pairs = pair_join(df, max_dist).filter(F.col("d") > 0)
-    if azimuth is not None:
-        pairs = pairs.filter(direction(coords(df), azimuth, tolerance, dip))
-    return _filled(_binned(pairs, [], gamma_of(estimator, F.col("b_value") - F.col("a_value"), F.count(F.lit(1))), n_lags, max_dist), n_lags, max_dist)
+    if estimator not in ESTIMATORS:
+        raise InvalidParameter(f"unknown estimator {estimator!r}; known: {', '.join(ESTIMATORS)}")
+    if azimuth is not None and not 0 < tolerance <= 90:
+        raise InvalidParameter("the tolerance must lie in (0, 90] degrees")
+
+    def increments(pairs):
+        lag, dz = lag_np(pairs.d, max_dist, n_lags), pairs.b["value"] - pairs.a["value"]
+        if azimuth is None:
+            return lag, dz, pairs.d
+        hit = cone_np(pairs, azimuth, tolerance, dip)
+        return lag[hit], dz[hit], pairs.d[hit]
+
+    def kernel(pairs):
+        lag, dz, d = increments(pairs)
+        yield lag, [d, term_np(estimator, dz)]
+
+    packed, _ = blocks(df, max_dist, ("value",))
+    found = sum_pairs(packed, max_dist, ("value",), kernel, 2)
+    binned = found.select(F.col("bin").cast("int").alias("lag"), (F.col("sums")[0] / F.col("n")).alias("h"), gamma_of(estimator, F.col("sums")[1] / F.col("n"), F.col("n")).alias("gamma"), F.col("n").alias("n_pairs"))
+    if estimator == "dowd":
+        medians = middle_values(packed, max_dist, ("value",), lambda pairs: increments(pairs)[:2], n_lags)
+        rows = [(k, m * m / (2 * DOWD * DOWD)) for k, m in medians.items()]  # one a lag
+        binned = binned.drop("gamma").join(df.sparkSession.createDataFrame(rows, "lag int, gamma double"), "lag", "left")
+    return _filled(binned, n_lags, max_dist)
 
 
 def coincident_pairs(df: DataFrame) -> DataFrame:
@@ -78,17 +121,27 @@ def coincident_pairs(df: DataFrame) -> DataFrame:
 
 
 def directional_variograms(df: DataFrame, azimuths: list[float], tolerance: float, n_lags: int, max_dist: float) -> DataFrame:
-    """azimuth, lag, h, gamma, n_pairs of non-empty bins; one pair join serves all directions."""
-    pairs = pair_join(df, max_dist).filter(F.col("d") > 0)
-    names = coords(df)
-    tagged = pairs.withColumn("azimuth", F.explode(F.array_compact(F.array(*[F.when(direction(names, a, tolerance), F.lit(float(a))) for a in azimuths]))))
-    return _binned(tagged, ["azimuth"], gamma_of("matheron", F.col("b_value") - F.col("a_value"), F.lit(1)), n_lags, max_dist)
+    """azimuth, lag, h, gamma, n_pairs of non-empty bins; one pass over the pairs serves all directions."""
+
+    def kernel(pairs):
+        dz = pairs.b["value"] - pairs.a["value"]
+        lag, term = lag_np(pairs.d, max_dist, n_lags), 0.5 * dz * dz
+        for k, azimuth in enumerate(azimuths):
+            hit = cone_np(pairs, azimuth, tolerance)
+            yield lag[hit] + k * n_lags, [pairs.d[hit], term[hit]]
+
+    angle = F.element_at(F.array(*[F.lit(float(a)) for a in azimuths]), (F.floor(F.col("bin") / n_lags) + 1).cast("int"))
+    return _lags(df, max_dist, kernel).select(angle.alias("azimuth"), (F.col("bin") % n_lags).cast("int").alias("lag"), "h", F.col("mean").alias("gamma"), "n_pairs")
 
 
 def grouped_variograms(df: DataFrame, group: str, n_lags: int, max_dist: float) -> DataFrame:
     """group, lag, h, gamma, n_pairs of non-empty bins: realizations or cutoffs in one job."""
-    pairs = pair_join(df, max_dist, within=(group,)).filter(F.col("d") > 0)
-    return _binned(pairs, [group], gamma_of("matheron", F.col("b_value") - F.col("a_value"), F.lit(1)), n_lags, max_dist)
+
+    def kernel(pairs):
+        dz = pairs.b["value"] - pairs.a["value"]
+        yield lag_np(pairs.d, max_dist, n_lags), [pairs.d, 0.5 * dz * dz]
+
+    return _lags(df, max_dist, kernel, within=(group,)).select(group, F.col("bin").cast("int").alias("lag"), "h", F.col("mean").alias("gamma"), "n_pairs")
 
 
 def indicators(df: DataFrame, cutoffs: list[float]) -> DataFrame:
@@ -109,9 +162,12 @@ def correlogram(variogram: DataFrame, variance: float) -> DataFrame:
 
 def cross_variogram(df: DataFrame, n_lags: int, max_dist: float, a: str = "value", b: str = "secondary") -> DataFrame:
     """Half the mean product of both increments; both variables at each point of df."""
-    pairs = pair_join(df, max_dist, (a, b)).filter(F.col("d") > 0)
-    gamma = F.avg(0.5 * (F.col(f"a_{a}") - F.col(f"b_{a}")) * (F.col(f"a_{b}") - F.col(f"b_{b}")))
-    return _filled(_binned(pairs, [], gamma, n_lags, max_dist), n_lags, max_dist)
+
+    def kernel(pairs):
+        yield lag_np(pairs.d, max_dist, n_lags), [pairs.d, 0.5 * (pairs.a[a] - pairs.b[a]) * (pairs.a[b] - pairs.b[b])]
+
+    binned = _lags(df, max_dist, kernel, tuple(dict.fromkeys((a, b)))).select(F.col("bin").cast("int").alias("lag"), "h", F.col("mean").alias("gamma"), "n_pairs")
+    return _filled(binned, n_lags, max_dist)
 
 
 def collocate(primary: DataFrame, secondary: DataFrame) -> DataFrame:
@@ -140,12 +196,22 @@ def variogram_map(df: DataFrame, n_lags: int, lag_width: float | None = None) ->
     """ix, iy (from -n_lags to n_lags), hx, hy, gamma, n_pairs; every pair counts for both signs of its lag."""
     w = lag_width or default_lag_width(df, n_lags)
     reach = (n_lags + 0.5) * w * math.sqrt(2)
-    dz = F.col("b_value") - F.col("a_value")
-    pairs = pair_join(df, reach).select((F.col("b_x") - F.col("a_x")).alias("dx"), (F.col("b_y") - F.col("a_y")).alias("dy"), (0.5 * dz * dz).alias("g"))
-    signs = F.explode(F.array(*[F.struct((sign * F.col("dx")).alias("dx"), (sign * F.col("dy")).alias("dy")) for sign in (1, -1)]))
-    cells = pairs.select("g", signs.alias("_l")).select("_l.dx", "_l.dy", "g").select(F.round(F.col("dx") / w).cast("int").alias("ix"), F.round(F.col("dy") / w).cast("int").alias("iy"), "g")
-    cells = cells.filter((F.abs("ix") <= n_lags) & (F.abs("iy") <= n_lags)).groupBy("ix", "iy").agg(F.avg("g").alias("gamma"), F.count(F.lit(1)).alias("n_pairs"))
     k = 2 * n_lags + 1
+
+    def whole(x):  # to the nearest, halves away from 0
+        rest = np.abs(x)
+        return (np.sign(x) * (np.trunc(rest) + (rest - np.trunc(rest) >= 0.5))).astype(np.int64)
+
+    def kernel(pairs):
+        dz = pairs.b["value"] - pairs.a["value"]
+        ix, iy = whole(pairs.diff[0] / w), whole(pairs.diff[1] / w)
+        hit = (np.abs(ix) <= n_lags) & (np.abs(iy) <= n_lags)
+        for sign in (1, -1):
+            yield ((sign * ix + n_lags) * k + sign * iy + n_lags)[hit], [(0.5 * dz * dz)[hit]]
+
+    packed, _ = blocks(df, reach, ("value",))
+    sums = sum_pairs(packed, reach, ("value",), kernel, 1, coincident=True)
+    cells = sums.select((F.floor(F.col("bin") / k) - n_lags).cast("int").alias("ix"), (F.col("bin") % k - n_lags).cast("int").alias("iy"), (F.col("sums")[0] / F.col("n")).alias("gamma"), F.col("n").alias("n_pairs"))
     every = df.sparkSession.range(k * k).select((F.col("id") % k - n_lags).cast("int").alias("ix"), (F.floor(F.col("id") / k) - n_lags).cast("int").alias("iy"))
     return every.join(cells, ["ix", "iy"], "left").select("ix", "iy", (F.col("ix") * w).alias("hx"), (F.col("iy") * w).alias("hy"), "gamma", F.coalesce("n_pairs", F.lit(0)).cast("long").alias("n_pairs"))
 
