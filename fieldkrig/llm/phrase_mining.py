@@ -37,7 +37,7 @@ FRACTION, SAMPLE_COUNT = 0.2, 2
 #: Bits for each proposal, and the most of a map (32 MB).
 PROPOSAL_BITS, MOST_BITS = 32, 1 << 28
 #: Bytes of a slice, and phrases that a task holds before it sums them.
-SLICE, HELD = 1 << 18, 1 << 20
+SLICE, HELD = 1 << 18, 1 << 19
 
 U = np.uint64
 BREAK = np.zeros(256, bool)
@@ -48,7 +48,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 #: Buckets of counts for each partition of the shuffle; over how many the phrases of one beginning are spread (a power of two).
-BUCKETS, SPREAD = 4, 8
+BUCKETS, SPREAD = 8, 8
 
 COUNTS = "level int, x long, y long, n long, lang string, word string, h long"
 
@@ -184,11 +184,15 @@ def _count(batches, most: int, words: bool, now: list[np.ndarray] | None, before
 
 
 def _add_up(batches, least: int):
-    """Rows of COUNTS of whole buckets; a task holds the distinct phrases of its share."""
+    """Rows of COUNTS of whole buckets, which come one after the other; a task holds one bucket's distinct phrases."""
     sums: dict[int, Sums] = {}
     merged: dict[int, int] = {}  # phrases held since the last merge
+    at = None
     for b in batches:
-        for level, blob in zip(b.column("level").to_pylist(), b.column("counts")):
+        for bucket, level, blob in zip(b.column("bucket").to_pylist(), b.column("level").to_pylist(), b.column("counts")):
+            if bucket != at:
+                yield from _frequent(sums, least)
+                sums, merged, at = {}, {}, bucket
             own = sums.setdefault(level, Sums(level))
             with pa.ipc.open_stream(blob.as_buffer()) as stream:
                 for x in stream:
@@ -196,6 +200,10 @@ def _add_up(batches, least: int):
             if own.size - merged.get(level, 0) > max(HELD, merged.get(level, 0)):
                 own.merge()
                 merged[level] = own.size
+    yield from _frequent(sums, least)
+
+
+def _frequent(sums: dict[int, Sums], least: int):
     for level, own in sums.items():
         h, x, y, n, lang, word = own.merge()
         keep = np.flatnonzero((n >= least) | (level == 0))
@@ -209,7 +217,7 @@ def count_phrases(docs: DataFrame, least: int, most: int, words: bool, now=None,
     spark = docs.sparkSession
     held, parts = share(spark, (now, before)), int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = map_arrow(docs, lambda b: _count(b, most, words, *shared(held), BUCKETS * parts), "bucket int, level int, counts binary")
-    return map_arrow(rows.repartition(parts, "bucket").select("level", "counts"), lambda b: _add_up(b, least), COUNTS)
+    return map_arrow(rows.repartition(parts, "bucket").sortWithinPartitions("bucket"), lambda b: _add_up(b, least), COUNTS)
 
 
 def bitmap(hashed: DataFrame, size: int) -> np.ndarray:
