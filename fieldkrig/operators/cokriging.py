@@ -14,11 +14,10 @@ from pyspark.sql import functions as F
 
 from ..errors import InsufficientData, InvalidParameter
 from ..functions.models import Anisotropy, Structure, VariogramModel, unit_gamma
-from ..plans.lineage import share, shared
 from ..sources.points import coords
 from . import fit as fitting
 from . import variogram as vg
-from .kriging import Neighbors, block_offsets, collect_points, nulls, solve_stack
+from .kriging import Neighbors, block_offsets, near_map, nulls, solve_stack
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -203,31 +202,35 @@ class CoKriging:
         return value, variance
 
 
+def _cokriged(targets: DataFrame, variables: list[DataFrame], lmc: Lmc, step, schema: str, spare: int = 0, **options) -> DataFrame:
+    names = coords(variables[0])
+    known = [v.select("id", *names, "value") for v in variables]
+    return near_map(targets, known, names, options.get("neighbors", Neighbors(max=16)), lambda p, some: CoKriging(p, lmc, **options), step, schema, spare)
+
+
 def cokrige(targets: DataFrame, variables: list[DataFrame], lmc: Lmc, block=None, key: str = "id", **options) -> DataFrame:
     names = coords(variables[0])
-    held = share(targets.sparkSession, CoKriging([collect_points(v) for v in variables], lmc, **options))
     offsets = None if block is None else block_offsets(*block)
 
-    def run(batches):
-        engine = shared(held)
-        for b in batches:
+    def step(engine, b):
+        v = s = np.full(len(b), np.nan)
+        if engine is not None:
             v, s = engine.predict(b[names].to_numpy(float), block=offsets)
-            yield pd.DataFrame({key: b[key], **{c: b[c] for c in names}, "prediction": v, "variance": s})
+        return pd.DataFrame({key: b[key], **{c: b[c] for c in names}, "prediction": v, "variance": s})
 
-    return nulls(targets.select(key, *names).mapInPandas(run, f"{key} long, {', '.join(f'{c} double' for c in names)}, prediction double, variance double"), "prediction", "variance")
+    return nulls(_cokriged(targets.select(key, *names), variables, lmc, step, f"{key} long, {', '.join(f'{c} double' for c in names)}, prediction double, variance double", **options), "prediction", "variance")
 
 
 def leave_one_out_cokriging(variables: list[DataFrame], lmc: Lmc, **options) -> DataFrame:
     names = coords(variables[0])
-    held = share(variables[0].sparkSession, CoKriging([collect_points(v) for v in variables], lmc, **options))
 
-    def run(batches):
-        engine = shared(held)
-        for b in batches:
+    def step(engine, b):
+        v = s = np.full(len(b), np.nan)
+        if engine is not None:
             v, s = engine.predict(b[names].to_numpy(float), exclude=b["id"].to_numpy())
-            yield pd.DataFrame({"id": b["id"], "observed": b["value"], "predicted": v, "variance": s})
+        return pd.DataFrame({"id": b["id"], "observed": b["value"], "predicted": v, "variance": s})
 
-    return nulls(variables[0].select("id", *names, "value").mapInPandas(run, "id long, observed double, predicted double, variance double"), "predicted", "variance")
+    return nulls(_cokriged(variables[0].select("id", *names, "value"), variables, lmc, step, "id long, observed double, predicted double, variance double", 1, **options), "predicted", "variance")
 
 
 class Collocated:
@@ -284,15 +287,17 @@ def collocated_cokrige(targets: DataFrame, data: DataFrame, model: VariogramMode
         row = collocated_stats(data.withColumn("secondary", F.col(secondary))).first()
         means = data.agg(F.avg("value"), F.avg(secondary)).first()
         options = {"rho": row["rho"], "std": row["std_primary"], "std2": row["std_secondary"], "mean": means[0], "mean2": means[1]} | options
-    held = share(targets.sparkSession, Collocated(collect_points(data), model, **options))
+    near = options.get("neighbors", Neighbors(max=16))
 
-    def run(batches):
-        engine = shared(held)
-        for b in batches:
+    def step(engine, b):
+        v = s = np.full(len(b), np.nan)
+        if engine is not None:
             v, s = engine.predict(b[names].to_numpy(float), b[secondary].to_numpy(float), b["id"].to_numpy() if exclude_self else None)
-            yield pd.DataFrame({"id": b["id"], "prediction": v, "variance": s})
+        return pd.DataFrame({"id": b["id"], "prediction": v, "variance": s})
 
-    return nulls(targets.select("id", *names, secondary).mapInPandas(run, "id long, prediction double, variance double"), "prediction", "variance")
+    known = data.select("id", *names, "value")
+    out = near_map(targets.select("id", *names, secondary), [known], names, near, lambda p, some: Collocated(p[0], model, **options), step, "id long, prediction double, variance double", int(exclude_self))
+    return nulls(out, "prediction", "variance")
 
 
 def leave_one_out_collocated(data: DataFrame, model: VariogramModel, **options) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import InsufficientData, InvalidParameter
 from ..functions.models import BEST, Anisotropy, Structure, VariogramModel, parse_kind, unit_gamma
 from ..functions.optim import nelder_mead_multistart
+from . import transform
 from . import variogram as vg
 
 WEIGHTS = ("n/h2", "n", "n/gamma2", "ols")
@@ -164,5 +165,7 @@ def fit_indicator_models(df: DataFrame, cutoffs: list[float], kinds=("spherical"
 
 
 def fit_median_indicator_model(df: DataFrame, kinds=("spherical", "exponential"), n_lags: int = 15, max_dist: float | None = None) -> Fit:
-    median = df.agg(F.median("value")).first()[0]
+    n = df.filter("value is not null").count()
+    low, high = transform.quantile_cutoffs(df, [((n - 1) // 2 + 0.5) / n, (n // 2 + 0.5) / n]) if n else (0.0, 0.0)
+    median = (low + high) / 2
     return fit_indicator_models(df, [median], kinds, n_lags, max_dist)[0]

@@ -14,22 +14,20 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidParameter
 from ..functions.models import VariogramModel
-from ..plans.lineage import share, shared
 from ..sources.points import coords
-from .kriging import Neighbors, collect_points, solve_stack
+from .kriging import Neighbors, near_map, solve_stack
 from .transform import Tail, tail_moments
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def check(values: np.ndarray, cutoffs: list[float], models: list[VariogramModel], lower: Tail, upper: Tail) -> None:
+def check(share: list[float], cutoffs: list[float], models: list[VariogramModel], lower: Tail, upper: Tail) -> None:
     if any(b <= a for a, b in zip(cutoffs, cutoffs[1:])) or not cutoffs:
         raise InvalidParameter("cutoffs must rise strictly")
     if len(models) not in (1, len(cutoffs)):
         raise InvalidParameter("one model, or one for each cutoff, is needed")
     if any(m.has_power for m in models):
         raise InvalidParameter("indicators take bounded models")
-    share = [(values <= c).mean() for c in cutoffs]
     if min(share) <= 0 or max(share) >= 1:
         raise InvalidParameter("every cutoff must have data on both sides")
     if lower.kind in ("none", "hyperbolic") or upper.kind == "none":
@@ -58,12 +56,13 @@ class SoftCalibration:
 
 
 class IndicatorKriging:
-    def __init__(self, data: dict, cutoffs, models, ordinary: bool = True, neighbors: Neighbors = Neighbors(max=16), calibration: list[SoftCalibration] | None = None):
+    def __init__(self, data: dict, cutoffs, models, ordinary: bool = True, neighbors: Neighbors = Neighbors(max=16), calibration: list[SoftCalibration] | None = None, share: np.ndarray | None = None):
+        """share: of all data at most each cutoff, where data are some of them."""
         if calibration is not None and (ordinary or len(calibration) != len(cutoffs)):
             raise InvalidParameter("soft indicators take simple kriging and one calibration for each cutoff")
         self.data, self.cutoffs, self.models, self.ordinary, self.neighbors, self.calibration = data, np.asarray(cutoffs, float), list(models), ordinary, neighbors, calibration
         self.coded = (data["value"][:, None] <= self.cutoffs[None, :]).astype(float)
-        self.share = self.coded.mean(axis=0)
+        self.share = self.coded.mean(axis=0) if share is None else share
         self.index = neighbors.index(data["xyz"], data["id"])
 
     def _weights(self, model, xyz, target, soft: SoftCalibration | None = None):
@@ -143,18 +142,20 @@ def indicator_krige(
 ) -> DataFrame:
     """key, x, y[, z], ccdf, e_type, cond_var.  soft: columns of targets, one for each cutoff, with probabilities (simple kriging, with a calibration)."""
     names = coords(data)
-    p = collect_points(data)
-    check(p["value"], cutoffs, models, lower, upper)
+    row = data.agg(*[F.avg((F.col("value") <= float(c)).cast("double")).alias(f"s{k}") for k, c in enumerate(cutoffs)]).first() if cutoffs else []
+    share_ = np.array([np.nan if v is None else v for v in row], float)
+    check(list(share_), cutoffs, models, lower, upper)
     if len(soft) != (len(cutoffs) if calibration else 0):
         raise InvalidParameter("soft columns and calibrations go together, one for each cutoff")
-    held = share(targets.sparkSession, IndicatorKriging(p, cutoffs, models, ordinary, neighbors, calibration))
 
-    def run(batches):
-        engine = shared(held)
-        for b in batches:
-            f = engine.predict(b[names].to_numpy(float), b[key].to_numpy() if exclude_self else None, b[list(soft)].to_numpy(float) if soft else None)
-            yield pd.DataFrame({key: b[key], **{c: b[c] for c in names}, "ccdf": [None if np.isnan(r).any() else r.tolist() for r in f]})
+    def make(p, some):
+        return IndicatorKriging(p[0], cutoffs, models, ordinary, neighbors, calibration, share_)
 
-    out = targets.select(key, *names, *soft).mapInPandas(run, f"{key} long, {', '.join(f'{c} double' for c in names)}, ccdf array<double>")
+    def step(engine, b):
+        engine = engine or make([{"xyz": np.zeros((0, len(names))), "id": np.zeros(0, int), "value": np.zeros(0)}], True)  # a tile without data
+        f = engine.predict(b[names].to_numpy(float), b[key].to_numpy() if exclude_self else None, b[list(soft)].to_numpy(float) if soft else None)
+        return pd.DataFrame({key: b[key], **{c: b[c] for c in names}, "ccdf": [None if np.isnan(r).any() else r.tolist() for r in f]})
+
+    out = near_map(targets.select(key, *names, *soft), [data.select("id", *names, "value")], names, neighbors, make, step, f"{key} long, {', '.join(f'{c} double' for c in names)}, ccdf array<double>", int(exclude_self))
     mean, var = moments_col(F.col("ccdf"), cutoffs, lower, upper)
     return out.select("*", mean.alias("e_type"), var.alias("cond_var"))

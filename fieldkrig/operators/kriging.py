@@ -2,8 +2,9 @@
 
 The conditioning set is broadcast behind a check of its size, targets stream
 through ``mapInPandas`` in Arrow batches, and systems of equal size are solved as one
-stack.  No shuffle is needed.  Beyond that size simple and ordinary kriging take each target's neighbours
-from a distributed join.  A target whose system fails gives NULL.
+stack.  No shuffle is needed.  Beyond that size the same kernel runs over tiles of targets with the
+data around them (plans/tiles.py); all data together (a global neighbourhood) go by blocks (operators/globalkriging.py).
+A target whose system fails gives NULL.
 """
 
 from __future__ import annotations
@@ -19,9 +20,12 @@ from pyspark.sql import functions as F
 
 from ..errors import DuplicatePoints, InsufficientData, InvalidParameter, NoNeighbors
 from ..functions.models import Anisotropy, VariogramModel
+from ..functions.permute import permuted_col
 from ..plans.lineage import fits, share, shared
-from ..plans.pairs import BROADCAST_POINTS, NeighborIndex, knn_join
-from ..sources.points import coords
+from ..plans.places import with_place
+from ..plans.pairs import NeighborIndex
+from ..plans.tiles import Reach, tile_map
+from ..sources.points import bbox, coords, duplicates
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -40,7 +44,14 @@ class Neighbors:
     ellipsoid: Anisotropy | None = None
 
     def index(self, xyz: np.ndarray, ids: np.ndarray) -> NeighborIndex:
-        return NeighborIndex(xyz, ids, None if self.ellipsoid is None else self.ellipsoid.matrix(xyz.shape[1]))
+        return NeighborIndex(xyz, ids, self.matrix(xyz.shape[1]))
+
+    def matrix(self, dim: int) -> np.ndarray | None:
+        return None if self.ellipsoid is None else self.ellipsoid.matrix(dim)
+
+    @property
+    def everything(self) -> bool:
+        return self.max is None and self.radius is None and self.per_octant is None
 
 
 def solve_stack(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -65,7 +76,8 @@ def block_offsets(size: tuple[float, ...], n: tuple[int, ...]) -> np.ndarray:
 class Kriging:
     """Method: ``ordinary``, ``simple`` (mean), ``universal`` (degree 1 or 2) or ``drift`` (covariates)."""
 
-    def __init__(self, xyz, values, ids, model: VariogramModel, method: str = "ordinary", mean: float = 0.0, degree: int = 1, covariates=None, errors=None, neighbors: Neighbors = Neighbors(max=32)):
+    def __init__(self, xyz, values, ids, model: VariogramModel, method: str = "ordinary", mean: float = 0.0, degree: int = 1, covariates=None, errors=None, neighbors: Neighbors = Neighbors(max=32), frame: dict | None = None):
+        """frame: what is scaled by all data (of which these are some): low and high coordinates, mean and deviation of covariates."""
         self.xyz, self.values, self.ids = np.asarray(xyz, float), np.asarray(values, float), np.asarray(ids)
         n, dim = self.xyz.shape
         self.model, self.method, self.mean, self.degree, self.neighbors = model, method, mean, degree, neighbors
@@ -80,16 +92,16 @@ class Kriging:
         if len(np.unique(self.xyz + 0.0, axis=0)) < n:
             raise DuplicatePoints("two conditioning points have the same coordinates")
         self.errors = None if errors is None else np.asarray(errors, float)
-        low, high = self.xyz.min(axis=0), self.xyz.max(axis=0)
+        low, high = (self.xyz.min(axis=0), self.xyz.max(axis=0)) if frame is None else (frame["low"], frame["high"])
         self.center, self.scale = (low + high) / 2, max((high - low).max() / 2, 1e-300)
         self.covariates = None
         if method == "drift":
             c = np.asarray(covariates, float).reshape(n, -1)
-            self.c_mean, self.c_std = c.mean(axis=0), c.std(axis=0)
+            self.c_mean, self.c_std = (c.mean(axis=0), c.std(axis=0)) if frame is None else (frame["mean"], frame["std"])
             if (self.c_std <= 0).any():
                 raise InvalidParameter("a covariate is constant")
             self.covariates = (c - self.c_mean) / self.c_std
-        self.everything = neighbors.max is None and neighbors.radius is None and neighbors.per_octant is None
+        self.everything = neighbors.everything
         self.index = neighbors.index(self.xyz, self.ids)
 
     def basis(self, xyz: np.ndarray, covariates=None) -> np.ndarray:
@@ -196,54 +208,73 @@ def collect_points(data: DataFrame, extras: tuple[str, ...] = ()) -> dict[str, n
 
 
 def build(data: DataFrame, model: VariogramModel, covariates: tuple[str, ...] = (), error: str | None = None, **options) -> Kriging:
-    extras = tuple(dict.fromkeys((*covariates, *([error] if error else []))))
-    p = collect_points(data, extras)
-    if "neighbors" in options and options["neighbors"].max is None and options["neighbors"].radius is None and options["neighbors"].per_octant is None and len(p["id"]) > MAX_GLOBAL:
-        raise InvalidParameter(f"a global neighbourhood takes at most {MAX_GLOBAL} points")
+    p = collect_points(data, tuple(dict.fromkeys((*covariates, *([error] if error else [])))))
+    if "neighbors" in options and options["neighbors"].everything and len(p["id"]) > MAX_GLOBAL:
+        raise InvalidParameter(f"a global neighbourhood takes at most {MAX_GLOBAL} points here")
+    return _engine(p, model, covariates, error, **options)
+
+
+def _engine(p: dict, model: VariogramModel, covariates: tuple[str, ...], error: str | None, **options) -> Kriging:
     return Kriging(p["xyz"], p["value"], p["id"], model, covariates=np.stack([p[c] for c in covariates], axis=-1) if covariates else None, errors=p[error] if error else None, **options)
 
 
+def frame_of(data: DataFrame, covariates: tuple[str, ...]) -> dict:
+    """What an engine that holds some of the data must know of all."""
+    if not duplicates(data).isEmpty():
+        raise DuplicatePoints("two conditioning points have the same coordinates")
+    box, names = bbox(data), coords(data)
+    out = {"low": np.array([box[f"min_{c}"] for c in names]), "high": np.array([box[f"max_{c}"] for c in names])}
+    if covariates:
+        row = data.agg(*[f(c).alias(f"{n}_{c}") for c in covariates for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+        out |= {"mean": np.array([row[f"m_{c}"] for c in covariates]), "std": np.array([row[f"s_{c}"] for c in covariates])}
+    return out
+
+
+def arrays_of(held: pd.DataFrame, names: list[str]) -> dict[str, np.ndarray]:
+    held = held.sort_values("id", kind="stable")
+    return {"xyz": held[names].to_numpy(float), "id": held["id"].to_numpy(), **{c: held[c].to_numpy() if c == "_fold" else held[c].to_numpy(float) for c in held.columns if c not in ("id", *names)}}
+
+
+def near_map(targets: DataFrame, data: list[DataFrame], names: list[str], neighbors: Neighbors, make, step, schema: str, spare: int = 0, group: str | None = None) -> DataFrame:
+    """step(make([arrays of each data set]), targets) over all targets: with all data broadcast if they fit, else by tiles.
+
+    make's second argument is True where the arrays are some of the data only.  step gets None for an engine where a tile has no data of the first set.
+    """
+    if all(fits(d, MAX_BROADCAST) for d in data):
+        held = share(targets.sparkSession, make([arrays_of(d.toPandas(), names) for d in data], False))
+        return targets.mapInPandas(lambda batches: (step(engine, b) for engine in [shared(held)] for b in batches), schema)
+
+    def kernel(own: pd.DataFrame, around: list[pd.DataFrame]) -> pd.DataFrame:
+        engine = make([arrays_of(d, names) for d in around], True) if len(around[0]) else None
+        return pd.concat([step(engine, own.iloc[lo : lo + 5_000]) for lo in range(0, len(own), 5_000)])
+
+    reach = Reach(neighbors.max, neighbors.radius, neighbors.per_octant, neighbors.matrix(len(names)), spare, group)
+    return tile_map(targets, data, names, reach, kernel, schema)
+
+
 def krige(targets: DataFrame, data: DataFrame, model: VariogramModel, covariates: tuple[str, ...] = (), error: str | None = None, block: tuple[tuple[float, ...], tuple[int, ...]] | None = None, key: str = "id", **options) -> DataFrame:
     """key, x, y[, z], prediction, variance, lagrange.  options: see Kriging."""
     names = coords(data)
     offsets = None if block is None else block_offsets(*block)
     schema = f"{key} long, {', '.join(f'{c} double' for c in names)}, prediction double, variance double, lagrange double"
     near = options.get("neighbors", Neighbors(max=32))
-    joined = options.get("method", "ordinary") in ("ordinary", "simple") and not covariates and error is None and near.max is not None and near.per_octant is None and near.ellipsoid is None
-    if joined and not fits(data, MAX_BROADCAST):
-        return _krige_joined(targets, data, model, offsets, key, schema, **options)
-    held = share(targets.sparkSession, build(data, model, covariates, error, **options))
-
-    def run(batches):
-        engine = shared(held)
-        for b in batches:
-            v, s, g = engine.predict(b[names].to_numpy(float), b[list(covariates)].to_numpy(float) if covariates else None, block=offsets)
-            yield pd.DataFrame({key: b[key], **{c: b[c] for c in names}, "prediction": v, "variance": s, "lagrange": g})
+    if near.everything and not fits(data, MAX_GLOBAL):
+        from .globalkriging import krige_global
 
-    return nulls(targets.select(key, *names, *covariates).mapInPandas(run, schema), "prediction", "variance", "lagrange")
+        return krige_global(targets, data, model, covariates, error, offsets, key, **{k: v for k, v in options.items() if k != "neighbors"})
+    known = data.select("id", *names, "value", *dict.fromkeys((*covariates, *([error] if error else []))))
+    frame = None if fits(data, MAX_BROADCAST) else frame_of(data, covariates)
 
+    def make(p, some):
+        return _engine(p[0], model, covariates, error, frame=frame, **options)
 
-def _krige_joined(targets: DataFrame, data: DataFrame, model: VariogramModel, offsets, key: str, schema: str, **options) -> DataFrame:
-    """For data of any number: a target's row gathers its neighbours (at most neighbors.max), found by the nearest-neighbour join."""
-    names, near = coords(data), options.get("neighbors", Neighbors(max=32))
-    ranked = knn_join(targets.select(F.col(key).alias("id"), *names), data.select("id", *names), near.max, near.radius, broadcast_points=min(MAX_BROADCAST, BROADCAST_POINTS))
-    found = ranked.join(data.select("id", *[F.col(c).alias(f"_{c}") for c in (*names, "value")]), "id")
-    lists = found.groupBy("target_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id", *[f"_{c}" for c in names], "_value"))).alias("_near"))
-    rows = targets.select(key, *names).join(lists.withColumnRenamed("target_id", "_target"), F.col(key) == F.col("_target"), "left").drop("_target")
-
-    def run(batches):
-        for b in batches:
-            own = [() if x is None else x for x in b["_near"]]
-            points = {r["id"]: (*(r[f"_{c}"] for c in names), r["_value"]) for x in own for r in x}
-            ids = np.array(sorted(points), np.int64)
-            at = np.array([points[i] for i in ids.tolist()], float).reshape(len(ids), -1)
-            v = s = g = np.full(len(b), np.nan)
-            if len(ids):
-                engine = Kriging(at[:, :-1], at[:, -1], ids, model, **options)
-                v, s, g = engine.predict(b[names].to_numpy(float), block=offsets, lists=[np.searchsorted(ids, [r["id"] for r in x]).astype(int) for x in own])
-            yield pd.DataFrame({key: b[key], **{c: b[c] for c in names}, "prediction": v, "variance": s, "lagrange": g})
-
-    return nulls(rows.mapInPandas(run, schema), "prediction", "variance", "lagrange")
+    def step(engine, b):
+        v = s = g = np.full(len(b), np.nan)
+        if engine is not None:
+            v, s, g = engine.predict(b[names].to_numpy(float), b[list(covariates)].to_numpy(float) if covariates else None, block=offsets)
+        return pd.DataFrame({key: b[key], **{c: b[c] for c in names}, "prediction": v, "variance": s, "lagrange": g})
+
+    return nulls(near_map(targets.select(key, *names, *covariates), [known], names, near, make, step, schema), "prediction", "variance", "lagrange")
 
 
 def nulls(df: DataFrame, *columns: str) -> DataFrame:
@@ -277,47 +308,45 @@ def regression_kriging(targets: DataFrame, data: DataFrame, model: VariogramMode
 
 def leave_one_out(data: DataFrame, model: VariogramModel, covariates: tuple[str, ...] = (), error: str | None = None, fold: str | None = None, **options) -> DataFrame:
     """id, observed, predicted, variance: every point from the others, or from the other folds."""
-    names = coords(data)
-    extras = (*covariates, *([fold] if fold else []))
-    engine = build(data.select("id", *names, "value", *covariates, *([error] if error else [])), model, covariates, error, **options)
-    if len(engine.ids) < 3:
+    return _left_out(data, model, covariates, error, fold, lambda v, s, g: (v, s), **options)
+
+
+def _left_out(data: DataFrame, model: VariogramModel, covariates, error, fold, back, **options) -> DataFrame:
+    names, near = coords(data), options.get("neighbors", Neighbors(max=32))
+    if fits(data, 2):
         raise InsufficientData("cross-validation needs three points")
-    folds = None
-    if fold:
-        f = data.select("id", fold).toPandas().sort_values("id", kind="stable")[fold].to_numpy()
-        folds = f
-    held = share(data.sparkSession, (engine, folds))
+    if near.everything and not fits(data, MAX_GLOBAL):
+        raise InvalidParameter(f"cross-validation in a global neighbourhood takes at most {MAX_GLOBAL} points")
+    rows = data.select("id", *names, "value", *dict.fromkeys((*covariates, *([error] if error else []))), *([F.col(fold).alias("_fold")] if fold else []))
+    frame = None if fits(data, MAX_BROADCAST) else frame_of(data, covariates)
+
+    def make(p, some):
+        return _engine(p[0], model, covariates, error, frame=frame, **options), p[0].get("_fold")
 
-    def run(batches):
-        engine, folds = shared(held)
-        for b in batches:
-            groups = None if folds is None else (folds, b[fold].to_numpy())
-            v, s, _ = engine.predict(b[names].to_numpy(float), b[list(covariates)].to_numpy(float) if covariates else None, exclude=None if fold else b["id"].to_numpy(), groups=groups, strict=True)
-            yield pd.DataFrame({"id": b["id"], "observed": b["value"], "predicted": v, "variance": s})
+    def step(held, b):
+        if held is None:
+            raise NoNeighbors("no neighbours")
+        engine, folds = held
+        groups = None if folds is None else (folds, b["_fold"].to_numpy())
+        v, s = back(*engine.predict(b[names].to_numpy(float), b[list(covariates)].to_numpy(float) if covariates else None, exclude=None if fold else b["id"].to_numpy(), groups=groups, strict=True))
+        return pd.DataFrame({"id": b["id"], "observed": b["value"], "predicted": v, "variance": s})
 
-    return nulls(data.select("id", *names, "value", *extras).mapInPandas(run, "id long, observed double, predicted double, variance double"), "predicted", "variance")
+    return nulls(near_map(rows, [rows], names, near, make, step, "id long, observed double, predicted double, variance double", 0 if fold else 1, "_fold" if fold else None), "predicted", "variance")
 
 
 def leave_one_out_lognormal(data: DataFrame, model: VariogramModel, method: str = "ordinary", **options) -> DataFrame:
     """On the original scale; the variance is back-transformed: estimate**2 (exp(log variance) - 1)."""
-    names = coords(data)
-    engine = build(data.withColumn("value", F.ln("value")), model, method=method, **options)
-    held = share(data.sparkSession, engine)
 
-    def run(batches):
-        engine = shared(held)
-        for b in batches:
-            v, s, g = engine.predict(b[names].to_numpy(float), exclude=b["id"].to_numpy(), strict=True)
-            e = np.exp(v + s / 2 - (g if method == "ordinary" else 0.0))
-            yield pd.DataFrame({"id": b["id"], "observed": b["value"], "predicted": e, "variance": e * e * np.expm1(s)})
+    def back(v, s, g):
+        e = np.exp(v + s / 2 - (g if method == "ordinary" else 0.0))
+        return e, e * e * np.expm1(s)
 
-    return nulls(data.select("id", *names, "value").mapInPandas(run, "id long, observed double, predicted double, variance double"), "predicted", "variance")
+    out = _left_out(data.withColumn("value", F.ln("value")), model, (), None, None, back, method=method, **options)
+    return out.drop("observed").join(data.select("id", F.col("value").alias("observed")), "id").select("id", "observed", "predicted", "variance")
 
 
 def block_fold(data: DataFrame, n: tuple[int, ...]) -> DataFrame:
     """data plus ``fold``: the block of an even division of the bounding box, first axis fastest."""
-    from ..sources.points import bbox
-
     b, out, step = bbox(data), F.lit(0), 1
     for c, k in zip(coords(data), n):
         width = max(b[f"max_{c}"] - b[f"min_{c}"], 1e-300) / k
@@ -327,15 +356,8 @@ def block_fold(data: DataFrame, n: tuple[int, ...]) -> DataFrame:
 
 
 def shuffled_fold(data: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """data plus ``fold`` by a seeded shuffle of the ids in order (ids go to the driver: at most MAX_BROADCAST, else an error)."""
-    from ..functions.rng import fold_of
-
+    """data plus ``fold``: a seeded permutation of the points' places in order of id, then every k-th place; sizes differ by at most one."""
     if k < 2:
         raise InvalidParameter("at least two folds are needed")
-    ids = [r["id"] for r in data.select("id").orderBy("id").limit(MAX_BROADCAST + 1).toLocalIterator()]
-    if len(ids) > MAX_BROADCAST:
-        raise InvalidParameter(f"more than {MAX_BROADCAST} points to fold; cross-validate by region")
-    folds = data.sparkSession.createDataFrame(list(zip(ids, fold_of(len(ids), k, seed))), "id long, fold int")
-    return data.join(folds, "id")
-
-
+    placed, n = with_place(data, "id", "_place")
+    return placed.withColumn("fold", (permuted_col(F.col("_place"), n, seed) % k).cast("int")).drop("_place")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,24 +22,36 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MAX_RANGES = 512
 
 
-def _range_of(df: DataFrame) -> Column:
-    """A number for ranges of ``value`` that hold about equally many rows and rise with it; equal values share one."""
+def _range_of(df: DataFrame, tie: str | None = None) -> Column:
+    """A number for ranges of ``value`` that hold about equally many rows and rise with it.
+
+    Equal values share one, unless tie is given: then a value that many rows hold is cut into ranges of that column.
+    """
     k = min(MAX_RANGES, max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    bounds = df.agg(F.percentile_approx("value", [i / k for i in range(1, k)] or [0.5], 10_000)).first()[0]
-    bounds = sorted(set(bounds or []))
-    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("value"))) if bounds else F.lit(0)
+    cuts = df.agg(F.percentile_approx("value", [i / k for i in range(1, k)] or [0.5], 10_000)).first()[0] or []
+    bounds = sorted(set(cuts))
+    number = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("value"))) if bounds else F.lit(0)
+    # A bound that stands m times among the cuts is the value of about m of k parts of the rows.
+    hot = {v: m for v, m in Counter(cuts).items() if m > 1}
+    if tie is None or not hot:
+        return number
+    part = F.lit(0)
+    for r in df.filter(F.col("value").isin(list(hot))).groupBy("value").agg(F.percentile_approx(tie, [i / k for i in range(1, k)], 10_000).alias("cuts")).collect():  # at most k / 2 values
+        own = sorted({r["cuts"][int(i * len(r["cuts"]) / hot[r["value"]])] for i in range(1, hot[r["value"]])})
+        part = F.when(F.col("value") == r["value"], F.size(F.filter(F.array(*map(F.lit, own)), lambda b: b < F.col(tie))) if own else F.lit(0)).otherwise(part)
+    return number * F.lit(MAX_RANGES) + part
 
 
 def before_in_order(df: DataFrame, amount: Column) -> tuple[DataFrame, DataFrame]:
     """(df plus ``before``: the amount of all rows earlier by (value, id); one row, ``total``).
 
-    Ranges of values are summed first (at most MAX_RANGES rows), then each range
-    runs through its own rows, so no task orders the whole table.
+    Ranges of values, and of ids within a value that many rows hold, are summed first (at most 2 MAX_RANGES rows), then each range
+    runs through its own rows, so no task orders the whole table, or all rows of one value.
     """
-    rows = df.withColumn("_amount", amount).withColumn("_range", _range_of(df))
+    rows = df.withColumn("_amount", amount).withColumn("_range", _range_of(df, "id"))
     sums = rows.groupBy("_range").agg(F.sum("_amount").alias("_sum"))
     earlier = F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    starts = sums.select("_range", earlier.alias("_start"))  # at most MAX_RANGES rows
+    starts = sums.select("_range", earlier.alias("_start"))  # at most 2 MAX_RANGES rows
     own = F.coalesce(F.sum("_amount").over(Window.partitionBy("_range").orderBy("value", "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     placed = rows.withColumn("_own", own).join(F.broadcast(starts), "_range")
     return placed.withColumn("before", F.col("_start") + F.col("_own")).drop("_range", "_start", "_own", "_amount"), sums.agg(F.sum("_sum").alias("total"))
@@ -158,10 +171,17 @@ def _between(df: DataFrame, column: str, knots: DataFrame, x: str, y: str) -> Da
     edges = every.select("_range", F.last("last", ignorenulls=True).over(before).alias("a"), F.first("first", ignorenulls=True).over(after).alias("b"))
     points = named.select("_range", "_x", "_y").unionByName(edges.select("_range", F.explode(F.array_compact(F.array("a", "b"))).alias("e")).select("_range", "e._x", "e._y"))
     rows = df.select(F.struct(*df.columns).alias("_row"), F.col(column).alias("value")).withColumn("_range", number)
-    merged = rows.select("_range", F.col("value").alias("_at"), "_row", F.lit(None).cast("struct<x:double,y:double>").alias("_k"))
-    merged = merged.unionByName(points.select("_range", F.col("_x").alias("_at"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.struct(F.col("_x").alias("x"), F.col("_y").alias("y")).alias("_k")))
-    up = Window.partitionBy("_range").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    down = Window.partitionBy("_range").orderBy("_at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    # Ranges with many rows are dealt to several tasks, each with a copy of the range's knots.
+    sizes = {r["_range"]: r["count"] for r in rows.groupBy("_range").count().collect()}  # at most MAX_RANGES
+    mean = max(1.0, sum(sizes.values()) / max(len(sizes), 1))
+    many = {k: -(-c // int(mean)) for k, c in sizes.items() if k is not None and c > 2 * mean}
+    deals = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in many.items() for x in kv]), F.col("_range")), F.lit(1)) if many else F.lit(1)
+    rows = rows.withColumn("_deal", F.pmod(F.monotonically_increasing_id(), deals).cast("int"))
+    points = points.withColumn("_deal", F.explode(F.sequence(F.lit(0), (deals - 1).cast("int"))))
+    merged = rows.select("_range", "_deal", F.col("value").alias("_at"), "_row", F.lit(None).cast("struct<x:double,y:double>").alias("_k"))
+    merged = merged.unionByName(points.select("_range", "_deal", F.col("_x").alias("_at"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.struct(F.col("_x").alias("x"), F.col("_y").alias("y")).alias("_k")))
+    up = Window.partitionBy("_range", "_deal").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy("_range", "_deal").orderBy("_at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
     met = merged.select("_row", F.last("_k", ignorenulls=True).over(up).alias("_lo"), F.first("_k", ignorenulls=True).over(down).alias("_hi")).filter("_row is not null")
     return met.select("_row.*", F.col("_lo.x").alias("_x0"), F.col("_lo.y").alias("_y0"), F.col("_hi.x").alias("_x1"), F.col("_hi.y").alias("_y1"))
 
@@ -245,9 +265,10 @@ def classify_col(y: Column, thresholds: list[float]) -> Column:
 
 
 def quantile_cutoffs(df: DataFrame, quantiles: list[float]) -> list[float]:
-    """The value at place floor(q n) of the order (from 0, at most n - 1); exact.  Rows are counted by range of values, and only ranges that hold a place are ordered."""
-    rows = df.select("value").withColumn("_range", _range_of(df))
-    sizes = sorted((r["_range"], r["count"]) for r in rows.groupBy("_range").count().collect())  # at most MAX_RANGES rows
+    """The value at place floor(q n) of the order (from 0, at most n - 1); exact.  Rows are counted by value, values by range, and only ranges that hold a place are ordered."""
+    distinct = df.filter("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("_n"))
+    distinct = distinct.withColumn("_range", _range_of(distinct))
+    sizes = sorted((r["_range"], r["n"]) for r in distinct.groupBy("_range").agg(F.sum("_n").alias("n")).collect())  # at most MAX_RANGES rows
     n = sum(c for _, c in sizes)
     if not n:
         raise InsufficientData("there are no values")
@@ -255,10 +276,10 @@ def quantile_cutoffs(df: DataFrame, quantiles: list[float]) -> list[float]:
     for number, c in sizes:
         wanted += [(number, p - start, p) for p in set(places.values()) if start <= p < start + c]
         start += c
-    spark = df.sparkSession
-    sought = spark.createDataFrame(wanted, "_range int, _own int, _place long")
-    ranked = rows.join(F.broadcast(sought.select("_range").distinct()), "_range").withColumn("_own", F.row_number().over(Window.partitionBy("_range").orderBy("value")) - 1)
-    found = {r["_place"]: r["value"] for r in ranked.join(F.broadcast(sought), ["_range", "_own"]).collect()}
+    sought = F.broadcast(df.sparkSession.createDataFrame(wanted, "_range int, _own long, _place long"))  # one row a quantile
+    upto = F.sum("_n").over(Window.partitionBy("_range").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = distinct.join(sought.select("_range").distinct(), "_range").withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_n"))
+    found = {r["_place"]: r["value"] for r in ranked.join(sought, "_range").filter((F.col("_own") >= F.col("_from")) & (F.col("_own") < F.col("_to"))).collect()}
     return [found[places[q]] for q in quantiles]
 
 

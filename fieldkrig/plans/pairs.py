@@ -7,7 +7,7 @@ copies of a crowded cell keep one cell from filling one task.
 
 ``knn_join`` finds the k nearest data points.  Up to ``broadcast_points`` data points
 (a checked bound) their coordinates are broadcast and each task answers its targets;
-beyond it, targets meet cells in rings that widen until k are certain.
+beyond it, tiles of targets meet the leaves of data that they need (tiles.py).
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.points import bbox, coords
-from .lineage import share, shared, written
+from .lineage import share, shared
+from .tiles import Reach, tile_map
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -194,58 +195,40 @@ class NeighborIndex:
         return some[~done]
 
 
-def knn_join(targets: DataFrame, data: DataFrame, k: int, radius: float | None = None, exclude_self: bool = False, broadcast_points: int = BROADCAST_POINTS) -> DataFrame:
-    """target_id, id, rank (from 1), d: the k nearest data points of each target, by (d, id)."""
+def knn_join(targets: DataFrame, data: DataFrame, k: int, radius: float | None = None, exclude_self: bool = False, broadcast_points: int = BROADCAST_POINTS, per_sector: int | None = None, matrix: np.ndarray | None = None) -> DataFrame:
+    """target_id, id, rank (from 1), d: the k nearest data points of each target, by (d, id).
+
+    per_sector: at most so many of each quadrant or octant; matrix: distances and sectors are those of this frame.
+    """
     names = coords(data)
-    if data.limit(broadcast_points + 1).count() > broadcast_points:
-        return _knn_by_rings(targets, data, k, radius, exclude_self)
-    held = data.select("id", *names).toPandas()
-    points = share(targets.sparkSession, NeighborIndex(held[names].to_numpy(float), held["id"].to_numpy()))
+    known, aimed = data.select("id", *names), targets.select("id", *names)
+    schema = "target_id long, id long, rank int, d double"
+    if known.limit(broadcast_points + 1).count() > broadcast_points:
+        reach = Reach(k, radius, per_sector, matrix, int(exclude_self))
+
+        def kernel(own: pd.DataFrame, around: list[pd.DataFrame]) -> pd.DataFrame:
+            index = NeighborIndex(around[0][names].to_numpy(float), around[0]["id"].to_numpy(), matrix)
+            return _neighbors(index, own["id"].to_numpy(), own[names].to_numpy(float), k, radius, per_sector, exclude_self)
+
+        return tile_map(aimed, [known], names, reach, kernel, schema)
+    held = known.toPandas()
+    points = share(targets.sparkSession, NeighborIndex(held[names].to_numpy(float), held["id"].to_numpy(), matrix))
 
     def find(batches):
         index = shared(points)
-        back = np.empty(len(index.order), int)
-        back[index.order] = np.arange(len(back))
         for b in batches:
-            own, at = b["id"].to_numpy(), b[names].to_numpy(float)
-            found = index.query(at, k, radius, exclude=own if exclude_self else None)
-            sizes = [len(f) for f in found]
-            flat = back[np.concatenate(found)] if found else np.zeros(0, int)
-            rows = np.repeat(np.arange(len(own)), sizes)
-            yield pd.DataFrame({"target_id": own[rows], "id": index.ids[flat], "rank": np.concatenate([np.arange(1, s + 1) for s in sizes]) if sizes else flat, "d": np.sqrt(((index.xyz[flat] - at[rows]) ** 2).sum(axis=1))})
+            yield _neighbors(index, b["id"].to_numpy(), b[names].to_numpy(float), k, radius, per_sector, exclude_self)
 
-    return targets.select("id", *names).mapInPandas(find, "target_id long, id long, rank int, d double")
+    return aimed.mapInPandas(find, schema)
 
 
-def _knn_by_rings(targets: DataFrame, data: DataFrame, k: int, radius: float | None, exclude_self: bool) -> DataFrame:
-    """Equi-joins on cells.  The first radius is chosen for about 2 k points each; targets with fewer than k inside it go on with twice the radius."""
-    from pyspark.sql import Window
-
-    names = coords(data)
-    low_high = data.agg(*[f(c) for c in names for f in (F.min, F.max)], F.count(F.lit(1))).first()
-    n = low_high[-1]
-    volume = 1.0
-    spread = 0.0
-    for i in range(len(names)):
-        side = low_high[2 * i + 1] - low_high[2 * i]
-        spread += side * side
-        volume *= max(side, 1e-12)
-    reach, end = (volume * 2 * k / n) ** (1 / len(names)), 2 * spread**0.5 + 1e-9
-    left, out = targets.select("id", *names), None
-    while True:
-        bound = min(reach, radius) if radius else reach
-        met = cross_pairs(left, data.select("id", *names), bound)
-        if exclude_self:
-            met = met.filter("a_id <> b_id")
-        ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("a_id").orderBy("d", "b_id"))).filter(F.col("rank") <= k)
-        whole = ranked.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("a_id")))
-        last = bound >= end or bool(radius and reach >= radius)
-        done = whole if last else whole.filter(F.col("n") >= min(k, n - (1 if exclude_self else 0)))
-        rows = written(done.select(F.col("a_id").alias("target_id"), F.col("b_id").alias("id"), "rank", "d"), "ring")  # each ring is computed once
-        out = rows if out is None else out.union(rows)
-        if last:
-            return out
-        left = written(left.join(rows.select(F.col("target_id").alias("id")).distinct(), "id", "left_anti"), "left")
-        if left.isEmpty():
-            return out
-        reach *= 2
+def _neighbors(index: NeighborIndex, own: np.ndarray, at: np.ndarray, k: int, radius: float | None, per_sector: int | None, exclude_self: bool) -> pd.DataFrame:
+    """knn_join's rows of some targets."""
+    back = np.empty(len(index.order), int)
+    back[index.order] = np.arange(len(back))
+    found = index.query(at, k, radius, per_sector, exclude=own if exclude_self else None)
+    sizes = [len(f) for f in found]
+    flat = back[np.concatenate(found)] if found else np.zeros(0, int)
+    rows = np.repeat(np.arange(len(own)), sizes)
+    u = at if index.transform is None else at @ index.transform.T
+    return pd.DataFrame({"target_id": own[rows], "id": index.ids[flat], "rank": np.concatenate([np.arange(1, s + 1) for s in sizes]) if sizes else flat, "d": np.sqrt(((index.xyz[flat] - u[rows]) ** 2).sum(axis=1))})
