@@ -33,11 +33,11 @@ from .common import map_arrow, share, shared, small_side, written
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Part of the documents in the sample, and how often it must hold a phrase to propose it.
-FRACTION, SAMPLE_COUNT = 0.2, 2
+FRACTION, SAMPLE_COUNT = 0.05, 2
 #: Bits for each proposal, and the most of a map (32 MB).
 PROPOSAL_BITS, MOST_BITS = 32, 1 << 28
 #: Bytes of a slice, and phrases that a task holds before it sums them.
-SLICE, HELD = 1 << 18, 1 << 19
+SLICE, HELD = 1 << 18, 3 << 19
 
 U = np.uint64
 BREAK = np.zeros(256, bool)
@@ -48,7 +48,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 #: Buckets of counts for each partition of the shuffle; over how many the phrases of one beginning are spread (a power of two).
-BUCKETS, SPREAD = 8, 8
+BUCKETS, SPREAD = 2, 8
 
 COUNTS = "level int, x long, y long, n long, lang string, word string, h long"
 
@@ -124,7 +124,7 @@ class Sums:
         blobs = []
         for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
             with pa.BufferOutputStream() as sink:
-                with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=7))) as out:
                     out.write_batch(whole.slice(lo, hi - lo))
                 blobs.append(sink.getvalue().to_pybytes())
         yield pa.RecordBatch.from_arrays([pa.array(own[order][edge[:-1]]), pa.array(np.full(len(blobs), self.level, np.int32)), pa.array(blobs, pa.binary())], ["bucket", "level", "counts"])

@@ -105,7 +105,7 @@ def mined(spark, rows, **options):
     return {(r["lang"], r["rank"]): (r["phrase"], r["a"], r["l"], r["r"], r["n"], r["score"]) for r in found}
 
 
-@pytest.mark.parametrize("fraction, held", [(0.2, 1 << 20), (0.0, 300), (1.0, 300)])
+@pytest.mark.parametrize("fraction, held", [(0.05, 1 << 20), (0.0, 300), (1.0, 300)])
 def test_phrases(spark, monkeypatch, fraction, held):
     """Whatever the sample, nothing or all, the counts are those of the whole."""
     monkeypatch.setattr(phrase_mining, "HELD", held)
