@@ -14,14 +14,17 @@ class, in CLASS_BITS binary decisions, and the word within its class:
   seen there.
 * The word within its class has probability (c + 0.1) / (sum over the class).  Among the rare ones stands
   one more, any unseen word, with the weight of all words met once (as Good and Turing estimate it).
+  What it is, is then spelled, byte by byte and an end, by how often bytes stand in the rare words of training texts, so that
+  scores are those of whole texts and bits per byte a total.
 
 Word counts and context counts come from every training document: word counts by a
 sharded sum, context counts as arrays of fixed size, summed by chunk, apart for two halves of
 the documents.  Weights and the map are learned from every training document too, with the counts of the
-half that it isn't in, as texts to be scored have not been counted either:
-a task learns online from its texts, then the weights of all steps of all tasks are averaged
-by how often a gate was met and their map counts are summed.  Where texts are dealt to tasks in another
-way, weights differ a little.  Rare words meet their counts in a shuffled join, so the vocabulary may
+half that it isn't in, as texts to be scored have not been counted either.  Texts are dealt to learners by
+the checksum of their doc_id, as many learners as LEARNER_TOKENS goes into all training tokens (two at least, one a half); a learner goes online through its texts
+in order of doc_id, MIX_BATCH tokens at a time, then the weights of all steps of all learners are averaged
+by how often a gate was met and their map counts are summed.  So scores don't depend on how texts are dealt to tasks.
+Rare words meet their counts in a shuffled join, so the vocabulary may
 grow without bound.
 
 A text learns if crc32 of its doc_id as text modulo 10 is not 0 (null counts as the
@@ -51,6 +54,8 @@ U = np.uint64
 CLASS_BITS = 6
 CLASSES = 1 << CLASS_BITS
 OWN, END_CLASS, RARE_CLASS = 30, 30, 31
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 TOP_WORDS = 1 << 19
 END = np.array([0x656E64], U)  # the end token's hash
 #: Log2 of the slots of each context's table; the sum of all is cut into chunks for the shuffle.
@@ -59,8 +64,10 @@ CHUNK = 1 << 16
 OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])])
 GATE_LEVELS, MAP_CELLS = 4, 24
 WEIGHT_UNIT = 1 << 16
-#: Tokens that a task counts at a time.
-TABLE_TOKENS = 400_000
+#: Tokens that a task counts at a time; of a learner, about; between two steps of the weights.
+TABLE_TOKENS, LEARNER_TOKENS, MIX_BATCH = 400_000, 4_000_000, 8192
+#: Where byte counts come among the chunks: behind those of both halves.
+SPELLING = -(-2 * int(OFFSETS[-1]) // CHUNK)
 
 
 class Index:
@@ -107,7 +114,10 @@ def half_of(doc_ids: list) -> np.ndarray:
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes with an end after each text, suffix codes, first token of each text, then the count of all)."""
-    starts, ends, firsts = bk.word_bounds(data, offsets)
+    return tokens_of(data, *bk.word_bounds(data, offsets))
+
+
+def tokens_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h = bk.word_hashes(data, starts, ends)
     low = lambda at: np.where((data[at] >= 65) & (data[at] <= 90), data[at] + 32, data[at]).astype(np.int64)
     suffix = (low(ends - 1) * 257 + np.where(ends - starts > 1, low(np.maximum(ends - 2, 0)), 0)) * 2654435761 % (1 << 32) >> 27 if len(ends) else np.zeros(0, np.int64)
@@ -224,8 +234,15 @@ def _tables(batches, held):
                     table[half * size + lo : half * size + lo + len(n)] += n.astype(np.uint32)
         waiting[half], tokens_held[half] = [], 0
 
-    for half, _, h, first in _training(batches):
-        c, _ = vocabulary.classes_of(h)
+    spelled = np.zeros((2, 257), np.uint32)
+    for half, h, first, data, starts, ends in _training(batches):
+        c, at = vocabulary.classes_of(h)
+        rare = np.flatnonzero(np.delete(at, first[1:] - 1) < 0)
+        edge = np.zeros(len(data) + 1, np.int8)
+        edge[starts[rare]] = 1
+        edge[ends[rare]] -= 1
+        spelled[0, :256] += np.bincount(LOWER[data[np.cumsum(edge[:-1]) > 0]], minlength=256).astype(np.uint32)
+        spelled[0, 256] += len(rare)
         waiting[half].append((c, *contexts(h, c, first)))
         tokens_held[half] += len(c)
         if tokens_held[half] > TABLE_TOKENS:  # counting goes through whole tables, so it waits for many tokens
@@ -237,17 +254,19 @@ def _tables(batches, held):
         pair = np.stack([t[at : at + CHUNK] for t in (ones, zeros)])
         if pair.any():
             yield _chunks({at // CHUNK: pair.ravel()})
+    yield _chunks({SPELLING: spelled.ravel()})
 
 
 def _training(batches):
-    """(half, suffixes, hashes, first tokens) of slices of the training documents of either half."""
+    """(half, hashes, first tokens, data, starts and ends of words) of slices of the training documents of either half."""
     for b in batches:
         ids = b.column(0).to_pylist()
         learns, half = ~held_out(ids), half_of(ids)
         for k in (0, 1):
             for _, _, data, offsets in bk.slices(b.column(1).take(pa.array(np.flatnonzero(learns & (half == k))))):
-                h, suffix, first = tokens(data, offsets)
-                yield k, suffix, h, first
+                starts, ends, firsts = bk.word_bounds(data, offsets)
+                h, _, first = tokens_of(data, starts, ends, firsts)
+                yield k, h, first, data, starts, ends
 
 
 def _sum_tables(batches):
@@ -348,26 +367,72 @@ class Mixer:
 
 
 def _learn(batches, held, start):
+    """Whole learners (rows of learner, text in order): what each has learned, added up."""
     vocabulary, (mixer, views) = shared(held), shared(start)
-    mixer.weights, mixer.met, mixer.mass, mixer.seen = mixer.weights.copy(), np.zeros_like(mixer.met), np.zeros_like(mixer.mass), np.zeros_like(mixer.seen)
-    for half, _, h, first in _training(batches):
-        mixer.odds, mixer.level = views[1 - half]
-        c, _ = vocabulary.classes_of(h)
-        mixer.learn(contexts(h, c, first), c)
-    out = mixer.learned()
-    at = np.flatnonzero(out)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(out[at])], ["at", "n"])
+    begin, total = mixer.weights, np.zeros(len(mixer.learned()), np.int64)
+    waiting: list[tuple] = []
+
+    def step(last: bool) -> None:
+        """Steps of MIX_BATCH tokens; what is left waits unless it is the last."""
+        if waiting:
+            c, *ctx = (np.concatenate(x) for x in zip(*waiting))
+            n = len(c) if last else len(c) // MIX_BATCH * MIX_BATCH
+            mixer.learn([x[:n] for x in ctx], c[:n], batch=MIX_BATCH)
+            waiting[:] = [(c[n:], *(x[n:] for x in ctx))]
+
+    def end() -> None:
+        step(True)
+        waiting.clear()
+        total[:] += mixer.learned()
+
+    now = None
+    for b in batches:
+        learners = b.column(0).to_numpy()
+        edges = np.flatnonzero(np.r_[True, learners[1:] != learners[:-1], True])
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if learners[lo] != now:
+                if now is not None:
+                    end()
+                now = learners[lo]
+                mixer.weights, mixer.met, mixer.mass, mixer.seen = begin.copy(), np.zeros_like(mixer.met), np.zeros_like(mixer.mass), np.zeros_like(mixer.seen)
+                mixer.odds, mixer.level = views[1 - int(now) % 2]
+            for _, _, data, offsets in bk.slices(b.column(1).slice(lo, hi - lo)):
+                h, _, first = tokens(data, offsets)
+                c, _ = vocabulary.classes_of(h)
+                waiting.append((c, *contexts(h, c, first)))
+                if sum(len(x[0]) for x in waiting) >= 4 * MIX_BATCH:
+                    step(False)
+    if now is not None:
+        end()
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "n"])
+
+
+def least_common(counts: DataFrame, room: int) -> int:
+    """The least count of 2 or more such that at most ``room`` words have it or more; exact: words are counted by the leading bits of their counts, 16 more each time."""
+    high = counts.agg(F.max("n")).first()[0] or 0
+    least, within = 1 << 62, F.col("n") >= 2
+    for shift in range((max(int(high), 1).bit_length() - 1) // 16 * 16, -1, -16):
+        rows = counts.filter(within).groupBy(F.shiftright("n", shift).alias("k")).count().collect()  # at most 65,536
+        for r in sorted(rows, key=lambda r: -r["k"]):
+            if r["count"] > room:
+                within = (F.col("n") >= 2) & (F.shiftright("n", shift) == r["k"])
+                break
+            room, least = room - r["count"], max(r["k"] << shift, 2)
+        else:
+            break
+    return least
 
 
-SCORE = "row long, doc_id long, held_out boolean, n_bytes long, n_tokens long, n_top long, log_counts double, log_class double, rare_tokens long, word long"
+SCORE = "row long, doc_id long, held_out boolean, n_bytes long, n_tokens long, n_top long, log_counts double, log_class double, rare_tokens long, word long, spell double"
 
 
 def _score(batches, held, mixer):
     from pyspark import TaskContext
 
-    vocabulary, mixer = shared(held), shared(mixer)
+    vocabulary, (mixer, letters) = shared(held), shared(mixer)
     names = _names(SCORE)
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.float64()]
     base = TaskContext.get().partitionId() << 36
 
     def out(n, **columns):
@@ -376,7 +441,8 @@ def _score(batches, held, mixer):
     for b in batches:
         ids, outside = b.column(0), held_out(b.column(0).to_pylist())
         for lo, hi, data, offsets in bk.slices(b.column(1)):
-            h, _, first = tokens(data, offsets)
+            starts, ends, firsts = bk.word_bounds(data, offsets)
+            h, _, first = tokens_of(data, starts, ends, firsts)
             c, at = vocabulary.classes_of(h)
             logs = mixer.log_probability(contexts(h, c, first), c) / np.log(10)
             top = at >= 0
@@ -388,10 +454,13 @@ def _score(batches, held, mixer):
             rare = np.flatnonzero(~top)
             if len(rare):
                 owner = np.repeat(row, np.diff(first))[rare]
+                place = rare - np.searchsorted(first[1:] - 1, rare)  # among words; the ends before it don't count
+                sums = np.append(0.0, np.cumsum(letters[LOWER[data]]))
+                spell = np.where(h[rare] == END[0], 0.0, sums[np.append(ends, 0)[place]] - sums[np.append(starts, 0)[place]] + letters[256])
                 o = np.lexsort((h[rare], owner))
-                owner, word = owner[o], h[rare][o]
+                owner, word, spell = owner[o], h[rare][o], spell[o]
                 edge = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (word[1:] != word[:-1]), True])
-                yield out(len(edge) - 1, row=owner[edge[:-1]], word=word[edge[:-1]].view(np.int64), rare_tokens=np.diff(edge))
+                yield out(len(edge) - 1, row=owner[edge[:-1]], word=word[edge[:-1]].view(np.int64), rare_tokens=np.diff(edge), spell=spell[edge[:-1]])
 
 
 def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -400,13 +469,7 @@ def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     counts = written(map_arrow(docs, _counts, "word long, n long, suffix byte").groupBy("word").agg(F.sum("n").alias("n"), F.first("suffix").alias("suffix")), "words")
     seen = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("distinct"), F.count_if(F.col("n") == 1).alias("once")).first()
-    # The least count whose words, with all commoner ones, fit TOP_WORDS; exact, from how many words have which count.
-    high = counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().collect()
-    least, room = 1 << 62, TOP_WORDS
-    for r in sorted(high, key=lambda r: -r["n"]):
-        if r["count"] > room or r["n"] < 2:  # words met once stand for those never met
-            break
-        room, least = room - r["count"], r["n"]
+    least = least_common(counts, TOP_WORDS)  # words met once stand for those never met
     is_top = (F.col("n") >= least) | (F.col("word") == int(END.view(np.int64)[0]))
     top = counts.filter(is_top).select("word", "n", "suffix").toArrow()  # at most TOP_WORDS rows, and the end
     unseen = max(0.1, float(seen["once"]))
@@ -417,13 +480,16 @@ def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     ones, zeros = np.zeros(2 * size, np.int64), np.zeros(2 * size, np.int64)
     # A chunk's counts of all tasks are summed in two steps, about the square root of the tasks' number at a time.
     parts = docs.rdd.getNumPartitions()
-    groups, n_chunks = max(1, math.isqrt(parts)), -(-2 * size // CHUNK)
+    groups, n_chunks, spelled = max(1, math.isqrt(parts)), SPELLING + 1, np.ones(257)
     chunks = map_arrow(docs, lambda b: _tables(b, held), TABLES).withColumn("part", F.spark_partition_id() % groups)
     sums = n_chunks * groups if groups > 1 else at_most(docs, n_chunks)
     some = map_arrow(chunks.repartition(sums, "chunk", "part").select(*_names(TABLES)), _sum_tables, TABLES)
     for r in map_arrow(some.repartition(at_most(docs, n_chunks), "chunk"), _sum_tables, TABLES).toLocalIterator():  # tables of fixed size
         pair = np.frombuffer(r["counts"], f"<u{r['width']}").reshape(2, -1)
         at = r["chunk"] * CHUNK
+        if r["chunk"] == SPELLING:
+            spelled = spelled + pair[0]
+            continue
         ones[at : at + pair.shape[1]], zeros[at : at + pair.shape[1]] = pair
     views = []
     for half in (0, 1):
@@ -431,19 +497,24 @@ def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
         views.append((mixer.odds, mixer.level))
     start = share(spark, (mixer, views))
     total = np.zeros(len(mixer.learned()), np.int64)
-    learned = map_arrow(docs, lambda b: _learn(b, held, start), "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    sum_of = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    learners = max(1, -(-int(seen["total"]) // (2 * LEARNER_TOKENS)))
+    learner = (F.pmod(F.floor(sum_of / 20), F.lit(learners)) * 2 + F.floor(sum_of / 10) % 2).cast("int")
+    order = ["learner", "doc_id", F.xxhash64("text")]
+    dealt = docs.filter(sum_of % 10 != 0).withColumn("learner", learner).repartition("learner").sortWithinPartitions(*order).select("learner", "text")
+    learned = map_arrow(dealt, lambda b: _learn(b, held, start), "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
     for r in learned.collect():  # at most one row for each weight, gate and map cell
         total[r["at"]] = r["n"]
     start.destroy()
     mixer.adopt(total)
     mixer.see(ones[:size] + ones[size:], zeros[:size] + zeros[size:])
-    mixed = share(spark, mixer)
+    mixed = share(spark, (mixer, np.log10(spelled / spelled.sum())))
     rows = written(map_arrow(docs, lambda b: _score(b, held, mixed), SCORE), "scores")
     mixed.destroy()
     held.destroy()
-    rare = rows.filter("word is not null").select("row", "word", "rare_tokens").join(counts.filter(~is_top).select("word", "n"), "word", "left")
+    rare = rows.filter("word is not null").select("row", "word", "rare_tokens", "spell").join(counts.filter(~is_top).select("word", "n"), "word", "left")
     c = F.coalesce("n", F.lit(0))
-    rare = rare.groupBy("row").agg(F.sum(F.when(c > 0, F.col("rare_tokens")).otherwise(0)).alias("rare_known"), F.sum(F.col("rare_tokens") * F.log10(c + 0.1)).alias("rare_logs"), F.sum(F.when(c == 0, F.col("rare_tokens") * math.log10(unseen / 0.1)).otherwise(0.0)).alias("unseen_logs"))
+    rare = rare.groupBy("row").agg(F.sum(F.when(c > 0, F.col("rare_tokens")).otherwise(0)).alias("rare_known"), F.sum(F.col("rare_tokens") * F.log10(c + 0.1)).alias("rare_logs"), F.sum(F.when(c == 0, F.col("rare_tokens") * (math.log10(unseen / 0.1) + F.col("spell"))).otherwise(0.0)).alias("unseen_logs"))
     whole = rows.filter("word is null").join(rare, "row", "left")
     logs = F.col("log_counts") + F.coalesce("rare_logs", F.lit(0.0))
     score = logs + F.coalesce("unseen_logs", F.lit(0.0)) + F.col("log_class")

@@ -194,7 +194,7 @@ def kneser_ney(training: list[bytes], order: int = 5):
 
 
 def context_mixing(rows, hash_of, suffix_of, rate: float = 0.02) -> dict:
-    """rows: (doc_id, text), one task's texts in order, fewer than 2048 training tokens -> {doc_id: log10 probability}.
+    """rows: (doc_id, text), in order of doc_id, fewer than 2048 training tokens -> {doc_id: log10 probability}.
 
     Word by word and decision by decision from the description: four contexts keyed by what they hold (no
     hashing, so no collisions), weights by gate, adaptive map.  hash_of orders words of one count, suffix_of deals them to classes.
@@ -242,7 +242,8 @@ def context_mixing(rows, hash_of, suffix_of, rate: float = 0.02) -> dict:
     weights, met, summed = defaultdict(lambda: [0.25] * 4 + [0.0]), Counter(), defaultdict(lambda: [0.0] * 5)
     cells = {(n, i): [8 * squash((i - 12) / 2), 8 * (1 - squash((i - 12) / 2))] for n in range(64) for i in range(25)}
     added = Counter()
-    for part in (0, 1):  # each half learns with the other's counts
+    for part in (0, 1):  # each half is one learner, with the other's counts
+        weights.clear()
         batch, others = [step for d, ws in texts.items() if learns(d) and half(d) == part for step in decisions(ws)], halves[1 - part]
         for k in range(6):
             moves, n = defaultdict(lambda: [0.0] * 5), Counter()
@@ -262,6 +263,9 @@ def context_mixing(rows, hash_of, suffix_of, rate: float = 0.02) -> dict:
     final = {g: [s / met[g] for s in summed[g]] for g in met}
     for (node, i, bit), v in added.items():
         cells[node, i][1 - bit] += v
+    rare = [w for d, ws in texts.items() if learns(d) for w in ws if w is not end and w not in cls]
+    letters = Counter(b for w in rare for b in w.encode())
+    spelled = lambda w: sum(math.log((letters[b] + 1) / (sum(letters.values()) + len(rare) + 257)) for b in w.encode()) + math.log((len(rare) + 1) / (sum(letters.values()) + len(rare) + 257))
     curve = lambda node, i: math.log((cells[node, i][0] + 0.02) / (cells[node, i][1] + 0.02))
     out = {}
     for d, ws in texts.items():
@@ -274,7 +278,7 @@ def context_mixing(rows, hash_of, suffix_of, rate: float = 0.02) -> dict:
                 i = int(at)
                 x = 0.5 * x + 0.5 * (curve(node, i) * (1 - at + i) + curve(node, i + 1) * (at - i))
                 logs -= math.log1p(math.exp(-x if bit else x))
-            logs += math.log((count[w] + 0.1 if count[w] else unseen) / mass[class_of(w)])
+            logs += math.log((count[w] + 0.1 if count[w] else unseen) / mass[class_of(w)]) + (0.0 if count[w] or w is end else spelled(w))
         out[d] = logs / math.log(10)
     return out
 

@@ -411,6 +411,36 @@ def test_rare_words_join(spark, monkeypatch):
         assert abs(r["base_score"] - base) < 1e-6
 
 
+def test_scores_do_not_depend_on_the_dealing(spark, monkeypatch):
+    """1, 3 and 10 partitions, with several learners: the same scores."""
+    monkeypatch.setattr(lm_score, "LEARNER_TOKENS", 500)
+    monkeypatch.setattr(lm_score, "MIX_BATCH", 64)
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"w{min(200, int(rng.expovariate(0.05)))}" for _ in range(rng.randrange(0, 40)))) for i in range(300)] + [(5, "w1 w2 w3"), (None, "w1")]
+    key = lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["n_bytes"], r["base_score"])
+    one, *others = ([(r["doc_id"], r["score"]) for r in sorted(lm_score.score_texts(frame(spark, rows, n)).collect(), key=key)] for n in (1, 3, 10))
+    for other in others:
+        assert [d for d, _ in one] == [d for d, _ in other] and np.allclose([s for _, s in one], [s for _, s in other], atol=1e-6)
+
+
+def test_unseen_words_are_spelled(spark):
+    rows = [(i, "common words here and there " * 3 + f"u{i}") for i in range(1, 60)] + [(100, "q"), (101, "q" * 1000), (102, "common")]
+    assert zlib.crc32(b"100") % 10 and zlib.crc32(b"101") % 10
+    held = [d for d in range(200, 260) if zlib.crc32(str(d).encode()) % 10 == 0][:2]
+    out = {r["doc_id"]: r for r in lm_score.score_texts(frame(spark, rows[:-3] + [(held[0], "q"), (held[1], "q" * 1000)])).collect()}
+    short, long = out[held[0]], out[held[1]]
+    assert long["score"] < short["score"] - 500 and long["bits_per_byte"] > 2 and short["n_known"] == long["n_known"] == 1
+
+
+def test_top_words_are_exact(spark, monkeypatch):
+    """Many words far beyond any count of a bin: the threshold is where the table is full."""
+    counts = spark.createDataFrame([(i, n) for i, n in enumerate([5_000_000_000] * 3 + [300_000, 299_999, 200_001, 200_000, 200_000, 70_000, 5, 2, 1])], "word long, n long")
+    want = {0: 1 << 62, 2: 1 << 62, 3: 5_000_000_000, 4: 300_000, 5: 299_999, 6: 200_001, 7: 200_001, 8: 200_000, 9: 70_000, 99: 2}
+    many = lambda least: counts.filter(f"n >= {least}").count()
+    assert {room: many(lm_score.least_common(counts, room)) for room in want} == {room: many(least) for room, least in want.items()}
+    assert lm_score.least_common(counts.filter("n < 2"), 5) == lm_score.least_common(counts.limit(0), 5) == 1 << 62
+
+
 def summed_tables(vocabulary, parts):
     """Ones and zeros of all slots, with each part counted by a task of its own."""
     held, total = type("Held", (), {"value": (cloudpickle.dumps(vocabulary), [])}), np.zeros((2, 2 * lm_score.OFFSETS[-1]), np.int64)
@@ -418,6 +448,8 @@ def summed_tables(vocabulary, parts):
     for out in lm_score._sum_tables(b for rows in parts for b in lm_score._tables([batch(rows)], held)):
         for chunk, width, raw in zip(*(c.to_pylist() for c in out.columns)):
             pair = np.frombuffer(raw, f"<u{width}").reshape(2, -1)
+            if chunk == lm_score.SPELLING:
+                continue
             total[:, chunk * lm_score.CHUNK : chunk * lm_score.CHUNK + pair.shape[1]] = pair
     return total[:, : lm_score.OFFSETS[-1]] + total[:, lm_score.OFFSETS[-1] :]
 
