@@ -109,6 +109,17 @@ class Directory:
     n: np.ndarray
     own: dict
 
+    def within(self, lo: np.ndarray, hi: np.ndarray, reach: Reach) -> float:
+        """The least squared distance within which every target in the box has k data."""
+        most = (np.maximum(self.hi - lo, hi - self.lo) ** 2).sum(axis=1)
+        order = np.argsort(most, kind="stable")
+        at = np.searchsorted(np.cumsum(self.n[order]), reach.k + reach.spare)
+        return most[order[at]] * (1 + 1e-9) if at < len(order) else np.inf
+
+    def nearer(self, lo: np.ndarray, hi: np.ndarray, bound: float) -> np.ndarray:
+        """Leaves that have data within the bound, as a squared distance, of a target in the box."""
+        return self.leaf[(np.maximum(np.maximum(self.lo - hi, lo - self.hi), 0) ** 2).sum(axis=1) <= bound]
+
     def needed(self, lo: np.ndarray, hi: np.ndarray, group, reach: Reach) -> np.ndarray:
         """Leaves that may hold neighbours of a target in the box."""
         least = (np.maximum(np.maximum(self.lo - hi, lo - self.hi), 0) ** 2).sum(axis=1)
@@ -144,10 +155,11 @@ def _directory(placed: DataFrame, dim: int, group: str | None) -> Directory:
     return Directory(rows["_leaf"].to_numpy(np.int32), rows[[f"lo{i}" for i in range(dim)]].to_numpy(float), rows[[f"hi{i}" for i in range(dim)]].to_numpy(float), rows["n"].to_numpy(np.int64), own)
 
 
-def tile_map(targets: DataFrame, data: list[DataFrame], names: list[str], reach: Reach, kernel, schema: str) -> DataFrame:
+def tile_map(targets: DataFrame, data: list[DataFrame], names: list[str], reach: Reach, kernel, schema: str, bound_by: int | None = None) -> DataFrame:
     """kernel(targets, [data ...]) of each tile, as pandas frames; gives pandas frames of the schema.
 
     data: sets of equal columns (coordinates, id ...).  Every set holds all that a target of the tile can have as neighbours, and other rows.
+    bound_by: the set that says how far the k nearest are at most, for all sets (as where another set's rows may not count).
     """
     spark, dim = targets.sparkSession, len(names)
     sizes = [d.count() for d in data]
@@ -165,7 +177,7 @@ def tile_map(targets: DataFrame, data: list[DataFrame], names: list[str], reach:
         own = shared(directories)
         for b in frames:
             low, high = b[[f"lo{i}" for i in range(dim)]].to_numpy(float), b[[f"hi{i}" for i in range(dim)]].to_numpy(float)
-            found = [(t, v, x) for t, lo, hi, g in zip(b["_tile"].tolist(), low, high, b[reach.group].tolist() if group else [None] * len(b)) for v, d in enumerate(own) if len(d.leaf) for x in d.needed(lo, hi, g, reach).tolist()]
+            found = [(t, v, x) for t, lo, hi, g in zip(b["_tile"].tolist(), low, high, b[reach.group].tolist() if group else [None] * len(b)) for v, d in enumerate(own) if len(d.leaf) for x in (d.needed(lo, hi, g, reach) if bound_by is None else d.nearer(lo, hi, own[bound_by].within(lo, hi, reach))).tolist()]
             yield pd.DataFrame(found, columns=["_tile", "_v", "_leaf"]).drop_duplicates()
 
     units = aimed.groupBy("_tile", "_leaf", *group).agg(*_boxes(dim)).drop("_leaf")

@@ -193,3 +193,24 @@ def test_all_data_as_neighbours(spark, monkeypatch, options):
     same(few, with_variance, digits=6)
     same(few.drop("variance"), kriging.krige(targets, df, MODEL, neighbors=kriging.Neighbors(), **options).drop("variance"), digits=6)
     assert globalkriging.RESIDUAL <= 1e-8
+
+
+# Predecessors
+
+
+@pytest.mark.parametrize("first", [1024, 16])
+def test_predecessors(spark, small, monkeypatch, first):
+    from fieldkrig.plans import predecessors
+
+    monkeypatch.setattr(predecessors, "FIRST", first)
+    xyz, _ = clustered(230)
+    xyz[40], xyz[41] = xyz[7], xyz[7]  # equal distances
+    order = np.random.default_rng(2).permutation(230)
+    p = xyz[order]
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(p)], "pos long, x double, y double").repartition(3)
+    got = {}
+    for r in predecessors.predecessor_join(df, 4, 230).collect():
+        got.setdefault(r["pos"], {})[r["rank"]] = r["neighbor"]
+    for i in range(230):
+        d = ((p[:i] - p[i]) ** 2).sum(axis=1)
+        assert [got.get(i, {}).get(k) for k in range(1, min(4, i) + 1)] == np.lexsort((np.arange(i), d))[:4].tolist(), i
