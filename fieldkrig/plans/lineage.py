@@ -33,15 +33,27 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Frees the shuffle files of a query when it ends.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Cut lineage: write to the shared folder as Parquet and read it again.
 
     The copy outlives any executor.  The folder carries a fresh name, and is
-    removed when the JVM that wrote it ends.
+    removed when the JVM that wrote it ends.  free: the shuffle files behind it go once it is written,
+    and not when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FREE, None)
+    if free:
+        spark.conf.set(FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if free:
+            spark.conf.set(FREE, before or "false")
     delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
