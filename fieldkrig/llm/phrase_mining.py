@@ -232,12 +232,12 @@ def bitmap(hashed: DataFrame, size: int) -> np.ndarray:
 def frequent_phrases(docs: DataFrame, least: int = 10, most: int = 3, fraction: float = FRACTION) -> DataFrame:
     """level (words of the phrase; 0: a language), x, y, n, lang, word, h: all phrases with n >= least.  docs: text, lang."""
     sampled = docs.filter(F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 20)) < int(fraction * (1 << 20)))
-    proposed = written(count_phrases(sampled, SAMPLE_COUNT, most - 1, True).filter("level > 0"), "proposed")
+    proposed = written(count_phrases(sampled, SAMPLE_COUNT, most - 1, True).filter("level > 0"), "proposed", free=True)
     many = {r["level"]: r["count"] for r in proposed.groupBy("level").count().collect()}
     sizes = [min(MOST_BITS, max(1 << 16, 1 << (PROPOSAL_BITS * many.get(k, 0)).bit_length())) for k in range(1, most)]
     now, before, out = [bitmap(proposed.filter(F.col("level") == k), s) for k, s in zip(range(1, most), sizes)], None, None
     while True:
-        counted = written(count_phrases(docs, least, most, before is None, now, before), "counted")
+        counted = written(count_phrases(docs, least, most, before is None, now, before), "counted", free=True)
         out = counted if out is None else out.unionByName(counted)
         # A frequent phrase that no bit stands for is a failure.
         grown = [m | bitmap(counted.filter(F.col("level") == k), s) for k, s, m in zip(range(1, most), sizes, now)]
@@ -262,7 +262,7 @@ def collocations(df: DataFrame, least: int = 10, most: int = 3, top: int = 2000,
         tail = short.select(F.col("words").alias("_rest"), F.concat(F.array("n"), "tails").alias("tails"), F.col("phrase").alias("_last"), "lang")
         own = found.filter(F.col("level") == k).select("h", "x", "y", "n").join(small_side(head, 200_000), "x")
         own = own.withColumns({"words": F.concat("_words", F.array("y"))}).withColumn("_rest", F.slice("words", 2, k - 1)).join(small_side(tail, 200_000), "_rest")
-        phrases = written(own.select("h", "words", F.concat_ws(" ", "_first", "_last").alias("phrase"), "lang", "n", "heads", "tails"), "phrases")
+        phrases = written(own.select("h", "words", F.concat_ws(" ", "_first", "_last").alias("phrase"), "lang", "n", "heads", "tails"), "phrases", free=True)
         kept.append(phrases)
         short = phrases
     rows = None
