@@ -10,6 +10,7 @@ from .functions.models import BEST, VariogramModel
 from .operators import cokriging, fit, indicator, interpolation, kriging, simulate, transform, validate, variogram, vecchia
 from .operators.kriging import Neighbors
 from .operators.transform import Tail
+from .plans.lineage import written
 from .sources.points import Grid, bbox, coords, points
 
 __all__ = [
@@ -61,11 +62,12 @@ def regression_kriging(targets: DataFrame, df: DataFrame, model: VariogramModel,
 
 def compare_methods(df: DataFrame, model: VariogramModel, neighbors: int = 32, idw_power: float = 2.0, knn_k: int = 8) -> DataFrame:
     """Leave-one-out scores of kriging, IDW, k-NN and the nearest neighbour, best VEcv first."""
+    near = written(interpolation.neighbors_of_all(df, max(16, knn_k)), "neighbors")  # one search for the three
     frames = {
         "ok": kriging.leave_one_out(df, model, neighbors=Neighbors(max=neighbors)),
-        "idw": interpolation.idw_cross_validate(df, idw_power),
-        "knn": interpolation.knn_cross_validate(df, knn_k),
-        "nn": interpolation.knn_cross_validate(df, 1),
+        "idw": interpolation.idw_cross_validate(df, idw_power, near=near),
+        "knn": interpolation.knn_cross_validate(df, knn_k, near=near),
+        "nn": interpolation.knn_cross_validate(df, 1, near=near),
     }
     out = None
     for name, cv in frames.items():
@@ -75,6 +77,11 @@ def compare_methods(df: DataFrame, model: VariogramModel, neighbors: int = 32, i
 
 
 def tune_kriging_neighbors(df: DataFrame, model: VariogramModel, counts: tuple[int, ...] = (4, 8, 12, 16, 24, 32, 48)) -> DataFrame:
+    """param, vecv: one search and one growing factor for all numbers of neighbours; a power model is solved for each."""
+    if not model.has_power:
+        each = kriging.leave_one_out_sizes(df, model, counts)
+        error, away = F.sum((F.col("predicted") - F.col("observed")) ** 2), F.var_pop("observed") * F.count(F.lit(1))
+        return each.groupBy(F.col("size").cast("double").alias("param")).agg(F.when(away > 0, 100 * (1 - error / away)).alias("vecv"))
     out = None
     for k in counts:
         row = validate.metrics(kriging.leave_one_out(df, model, neighbors=Neighbors(max=k))).select(F.lit(float(k)).alias("param"), "vecv")

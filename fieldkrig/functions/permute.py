@@ -11,11 +11,13 @@ ROUNDS = 6
 
 def _once(x: Column, half: int, seed: int) -> Column:
     """A permutation of 0 .. 4**half - 1: in each round one half of the bits is changed by a hash of the other."""
-    mask = (1 << half) - 1
-    for i in range(ROUNDS):
-        left, right = F.shiftright(x, half), x.bitwiseAND(F.lit(mask))
-        x = F.shiftleft(right, half).bitwiseOR(left.bitwiseXOR(F.xxhash64(right, F.lit(seed), F.lit(i)).bitwiseAND(F.lit(mask))))
-    return x
+    mask = F.lit((1 << half) - 1)
+
+    def turn(x: Column, i: Column) -> Column:
+        right = x.bitwiseAND(mask)
+        return F.shiftleft(right, half).bitwiseOR(F.shiftright(x, half).bitwiseXOR(F.xxhash64(right, F.lit(seed), i).bitwiseAND(mask)))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, turn)
 
 
 def permuted_col(place: Column, n: int, seed: int) -> Column:

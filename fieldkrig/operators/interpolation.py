@@ -37,12 +37,20 @@ def _against(data: DataFrame, predicted: DataFrame) -> DataFrame:
     return data.select("id", F.col("value").alias("observed")).join(rows, "id", "left").withColumn("variance", F.lit(None).cast("double"))
 
 
-def idw_cross_validate(data: DataFrame, power: float = 2.0, k: int = 16) -> DataFrame:
-    return _against(data, _idw(_near(data, data, k, None, True), power))
+def neighbors_of_all(data: DataFrame, k: int) -> DataFrame:
+    """Each point's k nearest others, with their values: what cross-validations of several methods can share."""
+    return _near(data, data, k, None, True)
 
 
-def knn_cross_validate(data: DataFrame, k: int = 8) -> DataFrame:
-    return _against(data, _near(data, data, k, None, True).groupBy("target_id").agg(F.avg("value").alias("prediction")))
+def idw_cross_validate(data: DataFrame, power: float = 2.0, k: int = 16, near: DataFrame | None = None) -> DataFrame:
+    """near: neighbors_of_all for k or more, if there is one already."""
+    near = neighbors_of_all(data, k) if near is None else near.filter(F.col("rank") <= k)
+    return _against(data, _idw(near, power))
+
+
+def knn_cross_validate(data: DataFrame, k: int = 8, near: DataFrame | None = None) -> DataFrame:
+    near = neighbors_of_all(data, k) if near is None else near.filter(F.col("rank") <= k)
+    return _against(data, near.groupBy("target_id").agg(F.avg("value").alias("prediction")))
 
 
 def tune_idw_power(data: DataFrame, powers: tuple[float, ...] = (0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0), k: int = 16) -> DataFrame:

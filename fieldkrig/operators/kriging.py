@@ -10,7 +10,7 @@ A target whose system fails gives NULL.
 from __future__ import annotations
 
 import sys
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -35,13 +35,18 @@ MAX_BROADCAST, MAX_GLOBAL = 2_000_000, 5_000
 
 @dataclass(frozen=True)
 class Neighbors:
-    """max: nearest points used (None: all); per_octant: quota of each sector; min: fewer give NULL; ellipsoid: search in its frame."""
+    """max: nearest points used (None: all); per_octant: quota of each sector; min: fewer give NULL; ellipsoid: search in its frame; broadcast: data that may be broadcast (None: MAX_BROADCAST)."""
 
     max: int | None = None
     radius: float | None = None
     min: int = 1
     per_octant: int | None = None
     ellipsoid: Anisotropy | None = None
+    broadcast: int | None = None
+
+    @property
+    def bound(self) -> int:
+        return MAX_BROADCAST if self.broadcast is None else self.broadcast
 
     def index(self, xyz: np.ndarray, ids: np.ndarray) -> NeighborIndex:
         return NeighborIndex(xyz, ids, self.matrix(xyz.shape[1]))
@@ -155,6 +160,43 @@ class Kriging:
                 value[some], variance[some], lagrange[some] = self._solve(targets[some], None if covariates is None else covariates[some], np.stack([lists[i] for i in some]), block, terms)
         return value, variance, lagrange
 
+    def predict_sizes(self, targets, sizes: list[int], exclude=None) -> tuple[np.ndarray, np.ndarray]:
+        """(values, variances), a column for each number of nearest neighbours; NaN where a target has too few of them for its minimum.
+
+        One search at the largest number and one Cholesky factor: the factor of the first j neighbours is its
+        leading block, so running sums over the solutions give the estimate of every number on the way.  Simple or ordinary kriging of a bounded model.
+        """
+        if self.method not in ("simple", "ordinary") or self.model.has_power:
+            raise InvalidParameter("growing neighbourhoods take simple or ordinary kriging and a bounded model")
+        targets, near = np.asarray(targets, float), self.neighbors
+        lists = self.index.query(targets, max(sizes), near.radius, near.per_octant, exclude)
+        value, variance = (np.full((len(targets), len(sizes)), np.nan) for _ in range(2))
+        counts = np.array([len(x) for x in lists])
+        for k in np.unique(counts):
+            if k < max(1, near.min):
+                continue
+            at = np.flatnonzero(counts == k)
+            for lo in range(0, len(at), max(1, 2_000_000 // (k * k))):
+                some = at[lo : lo + max(1, 2_000_000 // (k * k))]
+                q = np.stack([lists[i] for i in some])
+                xyz = self.xyz[q]
+                a = self._kernel(xyz[:, :, None, :] - xyz[:, None, :, :])
+                if self.errors is not None:
+                    a[:, np.arange(k), np.arange(k)] += self.errors[q]
+                z = self.values[q] - (self.mean if self.method == "simple" else 0.0)
+                right = np.stack([self._kernel(targets[some][:, None, :] - xyz), np.ones(q.shape), z], axis=-1)
+                c, one, u = np.moveaxis(np.linalg.solve(np.linalg.cholesky(a), right), -1, 0)
+                cu, cc = np.cumsum(c * u, axis=1), np.cumsum(c * c, axis=1)
+                if self.method == "simple":
+                    v, s = self.mean + cu, self.model.total_sill() - cc
+                else:
+                    co, oo, ou = np.cumsum(c * one, axis=1), np.cumsum(one * one, axis=1), np.cumsum(one * u, axis=1)
+                    v, s = cu + ou / oo * (1 - co), self.model.total_sill() - cc + (1 - co) ** 2 / oo
+                for j, size in enumerate(sizes):
+                    if min(size, k) >= max(1, near.min):
+                        value[some, j], variance[some, j] = v[:, min(size, k) - 1], np.maximum(s[:, min(size, k) - 1], 0.0)
+        return value, variance
+
     def _solve(self, targets, covariates, near, block, terms):
         m, k = near.shape
         xyz = self.xyz[near]
@@ -240,7 +282,7 @@ def near_map(targets: DataFrame, data: list[DataFrame], names: list[str], neighb
 
     make's second argument is True where the arrays are some of the data only.  step gets None for an engine where a tile has no data of the first set.
     """
-    if all(fits(d, MAX_BROADCAST) for d in data):
+    if all(fits(d, neighbors.bound) for d in data):
         held = share(targets.sparkSession, make([arrays_of(d.toPandas(), names) for d in data], False))
         return targets.mapInPandas(lambda batches: (step(engine, b) for engine in [shared(held)] for b in batches), schema)
 
@@ -263,7 +305,7 @@ def krige(targets: DataFrame, data: DataFrame, model: VariogramModel, covariates
 
         return krige_global(targets, data, model, covariates, error, offsets, key, **{k: v for k, v in options.items() if k != "neighbors"})
     known = data.select("id", *names, "value", *dict.fromkeys((*covariates, *([error] if error else []))))
-    frame = None if fits(data, MAX_BROADCAST) else frame_of(data, covariates)
+    frame = None if fits(data, near.bound) else frame_of(data, covariates)
 
     def make(p, some):
         return _engine(p[0], model, covariates, error, frame=frame, **options)
@@ -318,7 +360,7 @@ def _left_out(data: DataFrame, model: VariogramModel, covariates, error, fold, b
     if near.everything and not fits(data, MAX_GLOBAL):
         raise InvalidParameter(f"cross-validation in a global neighbourhood takes at most {MAX_GLOBAL} points")
     rows = data.select("id", *names, "value", *dict.fromkeys((*covariates, *([error] if error else []))), *([F.col(fold).alias("_fold")] if fold else []))
-    frame = None if fits(data, MAX_BROADCAST) else frame_of(data, covariates)
+    frame = None if fits(data, near.bound) else frame_of(data, covariates)
 
     def make(p, some):
         return _engine(p[0], model, covariates, error, frame=frame, **options), p[0].get("_fold")
@@ -334,6 +376,30 @@ def _left_out(data: DataFrame, model: VariogramModel, covariates, error, fold, b
     return nulls(near_map(rows, [rows], names, near, make, step, "id long, observed double, predicted double, variance double", 0 if fold else 1, "_fold" if fold else None), "predicted", "variance")
 
 
+def leave_one_out_sizes(data: DataFrame, model: VariogramModel, sizes: tuple[int, ...], **options) -> DataFrame:
+    """id, observed, size, predicted, variance: leave_one_out for each number of neighbours, in one job with one search and one factor a point."""
+    names, near = coords(data), options.pop("neighbors", Neighbors())
+    if fits(data, 2):
+        raise InsufficientData("cross-validation needs three points")
+    if not sizes or min(sizes) < 1:
+        raise InvalidParameter("numbers of neighbours must be positive")
+    near = replace(near, max=max(sizes))
+    rows = data.select("id", *names, "value")
+    frame = None if fits(data, near.bound) else frame_of(data, ())
+
+    def make(p, some):
+        return _engine(p[0], model, (), None, frame=frame, neighbors=near, **options)
+
+    def step(engine, b):
+        if engine is None:
+            raise NoNeighbors("no neighbours")
+        v, s = engine.predict_sizes(b[names].to_numpy(float), list(sizes), b["id"].to_numpy())
+        n = len(sizes)
+        return pd.DataFrame({"id": np.repeat(b["id"].to_numpy(), n), "observed": np.repeat(b["value"].to_numpy(), n), "size": np.tile(np.array(sizes, np.int32), len(b)), "predicted": v.ravel(), "variance": s.ravel()})
+
+    return nulls(near_map(rows, [rows], names, near, make, step, "id long, observed double, size int, predicted double, variance double", 1), "predicted", "variance")
+
+
 def leave_one_out_lognormal(data: DataFrame, model: VariogramModel, method: str = "ordinary", **options) -> DataFrame:
     """On the original scale; the variance is back-transformed: estimate**2 (exp(log variance) - 1)."""
 

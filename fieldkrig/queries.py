@@ -15,7 +15,7 @@ from .functions.models import Anisotropy, Structure, VariogramModel, single, uni
 from .functions.special import DOWD_SQL, inv_norm_cdf_col, inv_norm_sql, norm_cdf_col, norm_cdf_sql
 from .operators import interpolation, kriging, transform, validate, variogram
 from .plans.pairs import cross_pairs, knn_join, pair_join
-from .sources.points import Grid, duplicates, sample_raster
+from .sources.points import Grid, bbox, duplicates, sample_raster
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -230,9 +230,11 @@ def j7(s, d):
     return rounded(variogram.collocate(field(s, d).select("id", "x", "y", "value"), pts2(s, d)).select("id", "value", "secondary"), "value", "secondary")
 
 
-@query("s19_grid", "select (iy*20+ix)::bigint node, ix::int ix, iy::int iy, round(-1+(ix+0.5)*0.1::double,6) x, round(-1+(iy+0.5)*0.2::double,6) y from (select unnest(range(20)) ix) cross join (select unnest(range(10)) iy)")
+@query("s19_grid", f"with {FIELD}, b as (select min(x) x0, max(x) x1, min(y) y0, max(y) y1 from fld) select (iy*20+ix)::bigint node, ix::int ix, iy::int iy, round(x0+(ix+0.5)*(x1-x0)/20,6) x, round(y0+(iy+0.5)*(y1-y0)/10,6) y from b cross join (select unnest(range(20)) ix) cross join (select unnest(range(10)) iy)")
 def s19(s, d):
-    return rounded(Grid.from_bbox((-1.0, -1.0), (1.0, 1.0), (20, 10)).frame(s), "x", "y")
+    """The grid over the points' box."""
+    b = bbox(field(s, d).select("x", "y"))
+    return rounded(Grid.from_bbox((b["min_x"], b["min_y"]), (b["max_x"], b["max_y"]), (20, 10)).frame(s), "x", "y")
 
 
 @query("s18_raster_sample", f"with {FIELD} select id, case when floor((x+0.5)/0.1) between 0 and 9 and floor((y+0.5)/0.1) between 0 and 9 then (floor((y+0.5)/0.1)*10+floor((x+0.5)/0.1))::double end sampled from fld")

@@ -27,12 +27,6 @@ def _bins(s, d):
     return fit.usable(variogram.experimental_variogram(field(s, d), LAGS, REACH))
 
 
-@query("m5_matern_continuous")
-def m5(s, d):
-    h = np.linspace(0.01, 1.0, 100)
-    return s.createDataFrame([(float(x), float(g)) for x, g in zip(h, single("matern:1.2", 1.0, 0.3).gamma_h(h))], "h double, gamma double")
-
-
 @query("m15_fit_model")
 def m15(s, d):
     b = _bins(s, d)
@@ -164,11 +158,9 @@ def c11(s, d):
 
 @query("c12_tune_kriging_neighbors")
 def c12c(s, d):
-    f, out = field(s, d), None
-    for k in (4, 8, 16):
-        row = validate.metrics(kriging.leave_one_out(f, EXPO, neighbors=kriging.Neighbors(max=k))).select(F.lit(float(k)).alias("param"), "vecv")
-        out = row if out is None else out.unionByName(row)
-    return out
+    from .api import tune_kriging_neighbors
+
+    return tune_kriging_neighbors(field(s, d), EXPO, (4, 8, 16))
 
 
 @query("g1_sgs")
