@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import sys
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -283,18 +285,31 @@ def quantile_cutoffs(df: DataFrame, quantiles: list[float]) -> list[float]:
     return [found[places[q]] for q in quantiles]
 
 
+def _triangles(batches, width: int):
+    """The triangular factor of all rows of a task: of points (columns) or of other tasks' factors (packed)."""
+    r = np.zeros((0, width))
+    for b in batches:
+        rows = np.concatenate([np.frombuffer(x, float).reshape(-1, width) for x in b["r"]]) if "r" in b.columns else b.to_numpy(float)
+        r = np.linalg.qr(np.concatenate([r, rows]), mode="r")
+    yield pd.DataFrame({"r": [np.ascontiguousarray(r).tobytes()]})
+
+
 def ols(df: DataFrame, terms: list[Column], y: str = "value") -> np.ndarray:
-    """Coefficients of a linear trend: normal equations from one aggregation, solved on the driver."""
-    t = [F.lit(1.0), *terms]
-    pairs = [(i, j) for i in range(len(t)) for j in range(i, len(t))]
-    row = df.agg(*[F.sum(t[i] * t[j]).alias(f"a{i}_{j}") for i, j in pairs], *[F.sum(x * F.col(y)).alias(f"b{i}") for i, x in enumerate(t)]).first()
-    a = np.zeros((len(t), len(t)))
-    for i, j in pairs:
-        a[i, j] = a[j, i] = row[f"a{i}_{j}"]
-    try:
-        return np.linalg.solve(a, [row[f"b{i}"] for i in range(len(t))])
-    except np.linalg.LinAlgError:
-        raise InsufficientData("the trend's terms are linearly dependent") from None
+    """Coefficients of a linear trend by a QR of the tall matrix of terms: a small triangle a task, merged in two steps.
+
+    Products of terms are never summed, so the condition number isn't squared.  Rows with a null are left out.
+    """
+    width = len(terms) + 2
+    rows = df.select(F.lit(1.0).alias("t0"), *[t.cast("double").alias(f"t{i}") for i, t in enumerate(terms, 1)], F.col(y).cast("double").alias("y")).dropna()
+    parts = rows.mapInPandas(lambda b: _triangles(b, width), "r binary")
+    some = parts.repartition(max(1, math.isqrt(df.rdd.getNumPartitions()))).mapInPandas(lambda b: _triangles(b, width), "r binary")
+    held = [np.frombuffer(x["r"], float).reshape(-1, width) for x in some.collect()]  # about the square root of the tasks' number
+    r = np.linalg.qr(np.concatenate([np.zeros((0, width)), *held]), mode="r")
+    n = width - 1
+    size = np.sqrt((r[:, :n] ** 2).sum(axis=0))
+    if len(r) < n or not (size > 0).all() or (np.abs(np.linalg.qr(r[:, :n] / size, mode="r").diagonal()) <= 1e-13).any():
+        raise InsufficientData("the trend's terms are linearly dependent")
+    return np.linalg.solve(r[:n, :n] / size, r[:n, n]) / size
 
 
 def trend_col(coefficients, terms: list[Column]) -> Column:

@@ -214,3 +214,58 @@ def test_predecessors(spark, small, monkeypatch, first):
     for i in range(230):
         d = ((p[:i] - p[i]) ** 2).sum(axis=1)
         assert [got.get(i, {}).get(k) for k in range(1, min(4, i) + 1)] == np.lexsort((np.arange(i), d))[:4].tolist(), i
+
+
+# Trends, tuning, streams
+
+
+def test_trend_of_near_dependent_terms(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(9)
+    x, y = 1e6 + rng.uniform(0, 1000, 500), 1e6 + rng.uniform(0, 1000, 500)
+    v = 3 + 1e-3 * (x - 1e6) - 2e-6 * (y - 1e6) ** 2
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(zip(x, y, v))], "id long, x double, y double, value double").repartition(5)
+    terms = transform.polynomial_terms(df, 2)
+    got = df.select(((transform.trend_col(transform.ols(df, terms), terms) - F.col("value")) ** 2).alias("e")).agg(F.max("e")).first()[0]
+    assert got < 1e-16
+    raw = [F.col("x"), F.col("x") + 1e-3 * F.col("y")]  # nearly one column
+    want, *_ = np.linalg.lstsq(np.column_stack([np.ones(500), x, x + 1e-3 * y]) / [1, 1e6, 1e6], v, rcond=None)
+    assert np.allclose(transform.ols(df, raw), want / [1, 1e6, 1e6], rtol=1e-6)
+    with pytest.raises(Exception, match="dependent"):
+        transform.ols(df, [F.col("x"), F.col("x") * 2])
+
+
+@pytest.mark.parametrize("options", [{}, {"method": "simple", "mean": 0.4}])
+def test_growing_neighbourhoods(spark, small, options):
+    """One factor gives what a system for each number of neighbours gives, by either way."""
+    df, sizes = frame(spark, *clustered(150)), (1, 2, 5, 16)
+    few = kriging.leave_one_out_sizes(df, MODEL, sizes, **options)
+    for k in sizes:
+        same(kriging.leave_one_out(df, MODEL, neighbors=kriging.Neighbors(max=k), **options), few.filter(f"size = {k}").drop("size"))
+    small()
+    same(few.filter("size = 5"), kriging.leave_one_out_sizes(df, MODEL, sizes, **options).filter("size = 5"))
+
+
+def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
+    from fieldkrig.streaming.lags import VariogramStream
+
+    df = frame(spark, *clustered(90)).select("id", "x", "y", "value")
+    for b in range(3):
+        VariogramStream(spark, str(tmp_path), 5, 0.4)(df.filter(f"id % 3 = {b}"), b)  # a new object for each batch
+    VariogramStream(spark, str(tmp_path), 5, 0.4)(df.filter("id % 3 = 2"), 2)  # delivered again
+    got = {r["lag"]: (r["n_pairs"], r["gamma"]) for r in VariogramStream(spark, str(tmp_path), 5, 0.4).variogram().collect()}
+    want = {r["lag"]: (r["n_pairs"], r["gamma"]) for r in variogram.experimental_variogram(df, 5, 0.4).collect() if r["n_pairs"]}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and math.isclose(got[k][1], want[k][1], rel_tol=1e-9) for k in want)
+    assert VariogramStream(spark, str(tmp_path / "none"), 5, 0.4).variogram().count() == 0
+
+
+@pytest.mark.parametrize("nu", [0.3, 0.5, 1.2, 2.5, 7.0])
+def test_matern_columns(spark, nu):
+    from pyspark.sql import functions as F
+
+    from fieldkrig.functions.models import unit_gamma, unit_gamma_col
+
+    h = [0.0, 1e-13, 1e-9, 1e-4, *np.linspace(0.01, 3, 60).tolist(), 30.0, 1e4]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in h], "h double").coalesce(1).select(unit_gamma_col("matern", nu, F.col("h"), 0.3)).collect()]
+    assert np.allclose(got, unit_gamma("matern", nu, np.array(h), 0.3), atol=1e-9)
