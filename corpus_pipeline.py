@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept,
 and but for the last returns the columns of ``documents``, and others that docs has besides.
 Null ids stay; rows that share an id but not the text are judged each by its own text, except that of near
-copies one row an id stays.  An empty table passes through as an empty table.
+copies one row an id stays, that of the least text by hash.  An empty table passes through as an empty table.
 """
 
 from __future__ import annotations
@@ -29,7 +29,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = docs.join(small_side(gone, 2_000_000), F.col("doc_id") == F.col(own), "left_anti")
     repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
     if not repeated.isEmpty():  # rows that share an id: one stays
-        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+        first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in kept.columns]), F.struct(F.xxhash64("text"), "text"))
+        own = kept.filter("doc_id is not null").groupBy(F.col("doc_id").alias(unused(docs, "_key")[0])).agg(first.alias("_first")).select("_first.*")
+        kept = own.unionByName(kept.filter("doc_id is null"))
     return kept.select(docs.columns)
 
 

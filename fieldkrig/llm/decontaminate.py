@@ -16,8 +16,8 @@ windows that hold enough plain words.
 An item none of whose windows holds enough plain words leaks where all its words stand in
 a row, in any case; it counts as one window.
 
-Items of fewer than LEAST tokens are too short to tell and never match; those of
-fewer than WIDTH are one window.  Null or empty texts have no windows.  Rows that
+An item of fewer than LEAST words leaks where it is all of a line, one of a single word where it is all of the
+text; it counts as one window.  Items of fewer than WIDTH words are one window.  Null or empty texts have no windows.  Rows that
 repeat give equal rows; items that share an id count as one, which leaks where any text of it does.
 Null ids stay null.  Empty tables: empty result.  Other columns are ignored, whatever their names.
 """
@@ -73,6 +73,26 @@ def bare_items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     return items.withColumn("hash", F.xxhash64(F.transform(F.slice("raw", 1, LEAST), lambda t: F.xxhash64(t)), F.lit(LEAST)))
 
 
+def short_items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
+    """Items of fewer than LEAST words: item_id, raw (lower case), hash (of all)."""
+    items = benchmark.select(F.col(item_id).alias("item_id"), F.transform(words_of(F.col(text), SEPARATORS), F.lower).alias("raw")).filter((F.size("raw") > 0) & (F.size("raw") < LEAST)).distinct()
+    return items.withColumn("hash", F.xxhash64("raw"))
+
+
+def whole_lines(base: DataFrame, short: DataFrame) -> DataFrame:
+    """Documents in which a short item is all of a line (of the text, if it is one word), in the columns of leaks().
+
+    Within a line so few words stand in many innocent texts; a line of its own they rarely fill.
+    """
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: words_of(x, SEPARATORS))
+    alone = F.filter(lines, lambda w: F.size(w) > 0)
+    own = F.filter(alone, lambda w: (F.size(w) < LEAST) & ((F.size(w) > 1) | (F.size(alone) == 1)))
+    rows = base.select("doc_id", "row_key", F.explode(F.array_distinct(F.transform(own, lambda w: F.transform(w, F.lower)))).alias("own")).withColumn("hash", F.xxhash64("own"))
+    met = rows.join(small_side(short, BROADCAST_WINDOWS), "hash").filter(F.col("own") == F.col("raw"))
+    one = F.lit(1).cast("long")
+    return met.select("doc_id", "row_key", "item_id", one.alias("n_windows"), one.alias("matched"), F.lit(True).alias("exact"))
+
+
 def verbatim(base: DataFrame, bare: DataFrame) -> DataFrame:
     """Documents in which all words of a bare item stand in a row, in the columns of leaks()."""
     hashed = base.select("doc_id", "row_key", F.transform(words_of(F.col("text"), SEPARATORS), lambda w: F.xxhash64(F.lower(w))).alias("h"))
@@ -120,6 +140,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     bare = written(bare_items(benchmark, item_id, item_text), "bare")
     if not bare.isEmpty():
         out = out.unionByName(verbatim(base, bare))
+    short = written(short_items(benchmark, item_id, item_text), "short")
+    if not short.isEmpty():
+        out = out.unionByName(whole_lines(base, short))
     rows = out.groupBy("doc_id", "row_key", "item_id").agg(F.max(F.struct("exact", "matched", "n_windows")).alias("m"))
     return rows.select("doc_id", "row_key", "item_id", "m.n_windows", "m.matched", "m.exact")
 

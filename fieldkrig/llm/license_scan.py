@@ -89,7 +89,7 @@ def license_scan(df: DataFrame, text: str = "text", templates=TEMPLATES, phrases
 
     half = WIDTH // 2
     outputs = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    passed = [c for c in df.columns if c not in outputs and c != text]
+    passed = [c for c in df.columns if c.lower() not in outputs and c != text]
     base = df.select(F.monotonically_increasing_id().alias("_row"), *[F.col(f"`{c}`").alias(f"_p{i}") for i, c in enumerate(passed)], F.col(text).alias("_text"))
     # Only rows with a template token or a phrase's last word need more than the number of words.
     ends = sorted({p.split()[-1] for p, _ in phrases})

@@ -66,6 +66,8 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.
     m = len(data) - length + 1
     if m <= 0:
         return None
+    if len(data) >> PLACE_BITS:
+        raise ValueError(f"a text of 2**{PLACE_BITS} bytes or more")
     triggers = bk.rolling(data, GRAM)
     places = np.arange(len(triggers), dtype=U)
     low = bk.window_minimum((triggers >> U(PLACE_BITS) << U(PLACE_BITS)) | places, length - GRAM + 1)[:m]
@@ -394,12 +396,12 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     """df's columns but the text, then n_bytes, n_removed, n_spans, kept_sha256, removed (byte spans) and, with_text, kept.
 
     kept leaves out bytes of characters that a span cut in two.  A column of df named
-    like one of these is replaced.
+    like one of these, in any case, is replaced.
     """
     outputs = {f.split(" ")[0] for f in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "kept")}
     spans = repeat_spans(keyed(df, doc_id, text), length)
     by_row = spans.groupBy(F.col("doc_id").alias("_id"), F.col("high").alias("_high")).agg(F.collect_list(F.struct("start", "span")).alias("_spans"))
-    carried = [f for f in df.schema.fields if f.name != text and f.name not in outputs]
+    carried = [f for f in df.schema.fields if f.name != text and f.name.lower() not in outputs]
     docs = df.select(F.col(text).alias("_text"), *[F.col(f"`{f.name}`").alias(f"_c{i}") for i, f in enumerate(carried)], F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("_id"), F.shiftrightunsigned(row_key(doc_id, text), 41).alias("_high"))
     met = docs.join(by_row, ["_id", "_high"], "left").select("_text", "_spans", *[f"_c{i}" for i in range(len(carried))])
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string

@@ -58,6 +58,12 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
 
 
+def qualified(spark, path: str) -> str:
+    """path with its file system's scheme, as Spark's writers take it: a bare path lies in Hadoop's default one."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def url_key(url: str | None) -> str:
     """com,example,www)/path?query in lower-case host, the scheme left out and line ends and tabs escaped."""
     try:
@@ -358,7 +364,7 @@ def read_archives(urls: DataFrame, index: DataFrame, folder: str, with_payload:
 
 def archive_round_trip(spark: SparkSession, pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """Writes pages, builds the index, and reads the records of all their URLs back."""
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = qualified(spark, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
     captures = write_archives(pages, folder, min_revisit_bytes)
     delete_on_exit(spark, folder)
     return read_archives(pages.select("url"), build_index(captures, folder), folder)

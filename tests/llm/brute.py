@@ -122,6 +122,9 @@ def leaks(docs, items, width: int = 8, run: int = 6, plain: int = 4, least: int
         for i, item in items:
             words = split(item)
             if len(words) < least:
+                lines = [x for x in ([w.lower() for w in split(line)] for line in (text or "").split("\n")) if x]
+                if words and [w.lower() for w in words] in lines and (len(words) > 1 or len(lines) == 1):
+                    out[d, i] = (1, True)
                 continue
             w = min(width, len(words))
             theirs = _tokens(words)

@@ -235,3 +235,50 @@ def test_kept_table_starts_anew(monkeypatch):
         raw = np.frombuffer(" ".join(word * k for k in range(1, 9)).encode(), np.uint8)
         table.encode(raw, np.array([0, len(raw)]))
         assert table.table.n <= 18
+
+
+# Mended edges of earlier operators
+
+
+def test_short_items_leak_as_lines(spark):
+    from fieldkrig.llm import decontaminate
+
+    docs = [(1, "Some text.\nWho wrote Hamlet?\nMore text."), (2, "They asked who wrote Hamlet? and left."), (3, "paris"), (4, "Paris\nis a town"), (5, "  \nPARIS!\n"), (6, None), (7, "who wrote\nHamlet")]
+    items = [(10, "Who wrote Hamlet?"), (11, "Paris"), (12, ""), (13, None)]
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"]): (r["matched"], r["exact"]) for r in found}
+    assert got == brute.leaks(docs, items) == {(1, 10): (1, True), (3, 11): (1, True), (5, 11): (1, True)}
+
+
+def test_names_that_differ_in_case(spark):
+    from fieldkrig.llm import license_scan, suffix_dedup
+
+    rows = spark.createDataFrame([(1, "under the mit license " * 9, 5, "x", 7)], "doc_id long, text string, Score int, LABELS string, Kept int")
+    assert license_scan.license_scan(rows).select("score", "labels").first()["labels"] == "mit"
+    assert suffix_dedup.remove_repeats(rows, with_text=True).select("kept").count() == 1
+
+
+def test_texts_too_long_for_places(monkeypatch):
+    from fieldkrig.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "PLACE_BITS", 8)
+    with pytest.raises(ValueError, match="or more"):
+        suffix_dedup.phrases(np.zeros(300, np.uint8), np.array([0, 300]), 100)
+
+
+def test_bare_archive_folders_lie_in_the_default_file_system(spark):
+    from fieldkrig.llm import warc
+
+    assert warc.qualified(spark, "/ckpt/x") == "file:/ckpt/x" and warc.qualified(spark, "file:///ckpt") == "file:/ckpt"
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.t.link./a", "file:///tmp")
+    assert warc.qualified(spark, "viewfs://t/a/b") == "viewfs://t/a/b"
+
+
+def test_of_rows_that_share_an_id_one_stays(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(1, f"text {i} of the id with words enough", "en", "s", 9) for i in range(5)] + [(2, "another text of words", "en", "s", 9), (None, "no id", "en", "s", 9)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    some = {tuple(corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, schema).repartition(n), "").filter("doc_id = 1").first()) for n in (1, 2, 5)}
+    assert len(some) == 1
