@@ -36,6 +36,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 FRACTION, SAMPLE_COUNT = 0.05, 2
 #: Bits for each proposal, and the most of a map (32 MB).
 PROPOSAL_BITS, MOST_BITS = 32, 1 << 28
+#: Parts of a language that are ranked apart.
+SALTS = 16
 #: Bytes of a slice, and phrases that a task holds before it sums them.
 SLICE, HELD = 1 << 18, 3 << 19
 
@@ -274,6 +276,9 @@ def collocations(df: DataFrame, least: int = 10, most: int = 3, top: int = 2000,
         own = own.select("lang", "phrase", F.col("n").alias("a"), cut.alias("_cut"))
         rows = own if rows is None else rows.unionByName(own)
     rows = rows.select("lang", "phrase", "a", "_cut.l", "_cut.r", "_cut.score")
-    best = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))).filter(F.col("rank") <= top)
+    # First the best of each of SALTS parts of a language, so that a language's task has top x SALTS rows, however many tasks come before it.
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    some = rows.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).withColumn("_rank", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))).filter(F.col("_rank") <= top)
+    best = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
     totals = found.filter("level = 0").select("lang", "n")
     return best.join(small_side(totals, 10_000), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
