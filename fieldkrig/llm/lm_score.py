@@ -14,8 +14,9 @@ class, in CLASS_BITS binary decisions, and the word within its class:
   seen there.
 * The word within its class has probability (c + 0.1) / (sum over the class).  Among the rare ones stands
   one more, any unseen word, with the weight of all words met once (as Good and Turing estimate it).
-  What it is, is then spelled, byte by byte and an end, by how often bytes stand in the rare words of training texts, so that
-  scores are those of whole texts and bits per byte a total.
+  What it is, is then spelled, byte by byte and an end, by how often bytes stand in the rare words of training texts.
+  ``score`` is of tokens, to which any unseen word is the same, as it is to base_score; ``spelling`` adds what such words are, and bits per byte are
+  the total of both.
 
 Word counts and context counts come from every training document: word counts by a
 sharded sum, context counts as arrays of fixed size, summed by chunk, apart for two halves of
@@ -464,7 +465,7 @@ def _score(batches, held, mixer):
 
 
 def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte (null without bytes) for every row."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, spelling, n_bytes, bits_per_byte (null without bytes) for every row."""
     spark = df.sparkSession
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     counts = written(map_arrow(docs, _counts, "word long, n long, suffix byte").groupBy("word").agg(F.sum("n").alias("n"), F.first("suffix").alias("suffix")), "words")
@@ -514,7 +515,7 @@ def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     held.destroy()
     rare = rows.filter("word is not null").select("row", "word", "rare_tokens", "spell").join(counts.filter(~is_top).select("word", "n"), "word", "left")
     c = F.coalesce("n", F.lit(0))
-    rare = rare.groupBy("row").agg(F.sum(F.when(c > 0, F.col("rare_tokens")).otherwise(0)).alias("rare_known"), F.sum(F.col("rare_tokens") * F.log10(c + 0.1)).alias("rare_logs"), F.sum(F.when(c == 0, F.col("rare_tokens") * (math.log10(unseen / 0.1) + F.col("spell"))).otherwise(0.0)).alias("unseen_logs"))
+    rare = rare.groupBy("row").agg(F.sum(F.when(c > 0, F.col("rare_tokens")).otherwise(0)).alias("rare_known"), F.sum(F.col("rare_tokens") * F.log10(c + 0.1)).alias("rare_logs"), F.sum(F.when(c == 0, F.col("rare_tokens") * math.log10(unseen / 0.1)).otherwise(0.0)).alias("unseen_logs"), F.sum(F.when(c == 0, F.col("rare_tokens") * F.col("spell")).otherwise(0.0)).alias("spelling"))
     whole = rows.filter("word is null").join(rare, "row", "left")
     logs = F.col("log_counts") + F.coalesce("rare_logs", F.lit(0.0))
     score = logs + F.coalesce("unseen_logs", F.lit(0.0)) + F.col("log_class")
@@ -527,6 +528,7 @@ def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
         F.lit(int(seen["total"])).cast("long").alias("train_tokens"),
         (logs - F.col("n_tokens") * norm).alias("base_score"),
         score.alias("score"),
+        F.coalesce("spelling", F.lit(0.0)).alias("spelling"),
         "n_bytes",
-        F.when(F.col("n_bytes") > 0, -score * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
+        F.when(F.col("n_bytes") > 0, -(score + F.coalesce("spelling", F.lit(0.0))) * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
     )

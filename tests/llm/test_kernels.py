@@ -391,11 +391,11 @@ def test_score_by_plain_mixing(spark):
 
     want = brute.context_mixing(rows, lambda w: lm_score.END.view(np.int64)[0] if w is None else token(w)[0], lambda w: token(w)[1])
     out = lm_score.score_texts(frame(spark, rows).coalesce(1).orderBy("doc_id")).collect()
-    off = np.array([abs(r["score"] - want[r["doc_id"]]) / r["n_tokens"] for r in out])
+    off = np.array([abs(r["score"] + r["spelling"] - want[r["doc_id"]]) / r["n_tokens"] for r in out])
     assert off.max() < 0.02 and (off < 1e-3).mean() > 0.75
     for r in out:
         size = len((dict(rows)[r["doc_id"]] or "").encode())
-        assert r["n_bytes"] == size and (r["bits_per_byte"] is None if not size else abs(r["bits_per_byte"] + r["score"] * math.log2(10) / size) < 1e-9)
+        assert r["n_bytes"] == size and (r["bits_per_byte"] is None if not size else abs(r["bits_per_byte"] + (r["score"] + r["spelling"]) * math.log2(10) / size) < 1e-9)
 
 
 def test_rare_words_join(spark, monkeypatch):
@@ -429,7 +429,7 @@ def test_unseen_words_are_spelled(spark):
     held = [d for d in range(200, 260) if zlib.crc32(str(d).encode()) % 10 == 0][:2]
     out = {r["doc_id"]: r for r in lm_score.score_texts(frame(spark, rows[:-3] + [(held[0], "q"), (held[1], "q" * 1000)])).collect()}
     short, long = out[held[0]], out[held[1]]
-    assert long["score"] < short["score"] - 500 and long["bits_per_byte"] > 2 and short["n_known"] == long["n_known"] == 1
+    assert long["spelling"] < short["spelling"] - 500 and long["bits_per_byte"] > 2 and short["n_known"] == long["n_known"] == 1
 
 
 def test_top_words_are_exact(spark, monkeypatch):
