@@ -6,7 +6,6 @@ import sys
 import json
 import math
 from dataclasses import dataclass, field
-from functools import lru_cache
 from typing import Protocol, runtime_checkable
 
 import numpy as np
@@ -113,13 +112,18 @@ PANELS, DEGREE, MATERN_ERROR = 128, 8, 1e-10
 NEAREST = 1e-10
 
 
-@lru_cache(maxsize=64)
+#: Tables made so far, by smoothness (a plain dict, which goes to tasks by value).
+_TABLES: dict[float, tuple[float, float, np.ndarray]] = {}
+
+
 def matern_table(nu: float) -> tuple[float, float, np.ndarray]:
     """(first ln s, panel width, coefficients): 1 - correlation as polynomials in ln s, s = sqrt(2 nu) h / range.
 
     Between NEAREST and where the correlation is below 1e-17.  Panels are halved until the error, against
     the Bessel function's integral between the nodes, is below MATERN_ERROR.
     """
+    if nu in _TABLES:
+        return _TABLES[nu]
     low, high = math.log(NEAREST), math.log(60 + 12 * nu)
     exact = lambda u: unit_gamma("matern", nu, np.exp(u), math.sqrt(2 * nu))
     nodes = np.cos((np.arange(DEGREE) + 0.5) * math.pi / DEGREE)
@@ -132,7 +136,8 @@ def matern_table(nu: float) -> tuple[float, float, np.ndarray]:
         at = np.linspace(-0.97, 0.99, 7)
         off = np.abs(np.vander(at, DEGREE, increasing=True) @ table.T - exact((middle[:, None] + at * width / 2).ravel()).reshape(panels, -1).T).max()
         if off < MATERN_ERROR or panels >= 16 * PANELS:
-            return low, width, table
+            _TABLES[nu] = low, width, table
+            return _TABLES[nu]
         panels *= 2
 
 
