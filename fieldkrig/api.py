@@ -95,27 +95,27 @@ def _arrays(df: DataFrame, extras: tuple[str, ...] = ()) -> dict[str, np.ndarray
 
 def vecchia_loglik(df: DataFrame, model: VariogramModel, m: int = 20) -> float:
     p = _arrays(df)
-    return vecchia.loglik_frame(df.sparkSession, p["xyz"], p["value"], model, vecchia.make_plan(p["xyz"], m)).first()["loglik"]
+    return vecchia.loglik_frame(df.sparkSession, p["xyz"], p["value"], model, vecchia.make_plan(p["xyz"], m, spark=df.sparkSession)).first()["loglik"]
 
 
 def vecchia_mle(df: DataFrame, kind: str = "exponential", m: int = 20, grouped: bool = False) -> vecchia.Estimate:
     p = _arrays(df)
-    return vecchia.mle_matern(p["xyz"], p["value"], m) if kind == "matern" else vecchia.mle(p["xyz"], p["value"], kind, m, grouped)
+    return vecchia.mle_matern(p["xyz"], p["value"], m, df.sparkSession) if kind == "matern" else vecchia.mle(p["xyz"], p["value"], kind, m, grouped, df.sparkSession)
 
 
 def vecchia_reml(df: DataFrame, kind: str = "exponential", degree: int = 1, m: int = 20, grouped: bool = False) -> vecchia.Estimate:
     p = _arrays(df)
-    return vecchia.reml(p["xyz"], p["value"], kind, degree, m, None, grouped)
+    return vecchia.reml(p["xyz"], p["value"], kind, degree, m, None, grouped, df.sparkSession)
 
 
 def vecchia_reml_drift(df: DataFrame, covariates: tuple[str, ...], kind: str = "exponential", m: int = 20, grouped: bool = False) -> vecchia.Estimate:
     p = _arrays(df, covariates)
-    return vecchia.reml(p["xyz"], p["value"], kind, 1, m, np.stack([p[c] for c in covariates], axis=-1), grouped)
+    return vecchia.reml(p["xyz"], p["value"], kind, 1, m, np.stack([p[c] for c in covariates], axis=-1), grouped, df.sparkSession)
 
 
 def vecchia_param_se(df: DataFrame, model: VariogramModel, m: int = 20) -> dict[str, float]:
     p = _arrays(df)
-    return dict(zip(("nugget", "sill", "range"), vecchia.param_se(p["xyz"], p["value"], model, m).tolist()))
+    return dict(zip(("nugget", "sill", "range"), vecchia.param_se(p["xyz"], p["value"], model, m, df.sparkSession).tolist()))
 
 
 def vecchia_krige(spark: SparkSession, df: DataFrame, targets: DataFrame, model: VariogramModel, m: int = 20) -> DataFrame:

@@ -473,7 +473,7 @@ PREDECESSORS_SQL = _BEFORE + " select pos::bigint pos, bpos::bigint neighbor fro
 )
 def x3(s, d):
     x, z, order = _in_order(s, d)
-    return rounded(vecchia.loglik_frame(s, x, z, EXPO, vecchia.make_plan(x, 1, order=order)), "loglik", digits=4)
+    return rounded(vecchia.loglik_frame(s, x, z, EXPO, vecchia.make_plan(x, 1, order=order, spark=s)), "loglik", digits=4)
 
 
 # Sources and sinks: out to files in the shared folder, and back.
@@ -533,7 +533,7 @@ def j8(s, d):
 @query("x9_vecchia_reml_covariates")
 def x9(s, d):
     p = kriging.collect_points(field(s, d).select("id", "x", "y", "value", "c1"), ("c1",))
-    e = vecchia.reml(p["xyz"], p["value"], "exponential", m=8, covariates=p["c1"])
+    e = vecchia.reml(p["xyz"], p["value"], "exponential", m=8, covariates=p["c1"], spark=s)
     t = e.model.structures[0]
     return s.createDataFrame([(float(e.model.nugget), float(t.sill), float(t.range), float(e.loglik))], "nugget double, sill double, range double, loglik double")
 

@@ -197,21 +197,20 @@ def _arrays(s, d):
 @query("x2_vecchia_plan")
 def x2(s, d):
     x, _ = _arrays(s, d)
-    plan = vecchia.make_plan(x, 10)
-    return s.createDataFrame([(i, int(o), [int(v) for v in n]) for i, (o, n) in enumerate(zip(plan.order, plan.nbrs))], "pos long, id long, nbrs array<long>")
+    return vecchia.plan_frame(s, x, 10)
 
 
 @query("x3_vecchia_loglik")
 def x3(s, d):
     x, z = _arrays(s, d)
-    return vecchia.loglik_frame(s, x, z, EXPO, vecchia.make_plan(x, 10))
+    return vecchia.loglik_frame(s, x, z, EXPO, vecchia.make_plan(x, 10, spark=s))
 
 
 @query("x4_vecchia_grouped")
 def x4(s, d):
     x, z = _arrays(s, d)
-    plan = vecchia.make_plan(x, 10)
-    return s.createDataFrame([(float(vecchia.loglik_grouped(x, z, EXPO, plan, vecchia.blocks(plan))),)], "loglik double")
+    plan = vecchia.make_plan(x, 10, spark=s)
+    return s.createDataFrame([(float(vecchia.loglik_grouped(x, z, EXPO, plan, vecchia.blocks(plan), spark=s)),)], "loglik double")
 
 
 def _estimate(s, **e):
@@ -222,19 +221,19 @@ def _estimate(s, **e):
 @query("x6_vecchia_mle")
 def x6(s, d):
     x, z = _arrays(s, d)
-    return _estimate(s, exponential=vecchia.mle(x, z, "exponential", 10))
+    return _estimate(s, exponential=vecchia.mle(x, z, "exponential", 10, spark=s))
 
 
 @query("x8_vecchia_reml")
 def x8(s, d):
     x, z = _arrays(s, d)
-    return _estimate(s, reml=vecchia.reml(x, z, "exponential", 1, 8))
+    return _estimate(s, reml=vecchia.reml(x, z, "exponential", 1, 8, spark=s))
 
 
 @query("x10_vecchia_param_se")
 def x10(s, d):
     x, z = _arrays(s, d)
-    se = vecchia.param_se(x, z, EXPO, 10)
+    se = vecchia.param_se(x, z, EXPO, 10, spark=s)
     return s.createDataFrame([(n, None if np.isnan(v) else float(v)) for n, v in zip(("nugget", "sill", "range"), se)], "param string, se double")
 
 
