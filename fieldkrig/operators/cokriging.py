@@ -151,9 +151,8 @@ def fit_lmc_collocated(primary: DataFrame, secondary: DataFrame, n_lags: int = 1
     if both.count() < n_lags:
         raise InsufficientData("too few points have both variables")
     max_dist = max_dist or vg.default_max_dist(both)
-    a = fitting.usable(vg.experimental_variogram(both, n_lags, max_dist))
-    b = fitting.usable(vg.experimental_variogram(both.withColumn("value", F.col("secondary")), n_lags, max_dist))
-    c = fitting.usable(vg.cross_variogram(both, n_lags, max_dist))
+    held = both.sparkSession.createDataFrame(vg.collocated_variograms(both, n_lags, max_dist).collect(), "lag int, h double, gamma_a double, gamma_b double, gamma_ab double, n_pairs long")  # a row a lag
+    a, b, c = (fitting.usable(held.withColumn("gamma", F.col(f"gamma_{k}"))) for k in ("a", "b", "ab"))
     return fit_lmc(a, b, c, fitting.fit_best(a, kinds).model)
 
 

@@ -156,7 +156,7 @@ def fit_anisotropic(df: DataFrame, kinds=BEST, n_dirs: int = 4, n_lags: int = 10
 def fit_indicator_models(df: DataFrame, cutoffs: list[float], kinds=("spherical", "exponential"), n_lags: int = 15, max_dist: float | None = None) -> list[Fit]:
     """A model for each cutoff; the indicator variograms of all come from one job."""
     max_dist = max_dist or vg.default_max_dist(df)
-    rows = vg.grouped_variograms(vg.indicators(df, cutoffs), "cutoff", n_lags, max_dist).collect()
+    rows = vg.indicator_variograms(df, cutoffs, n_lags, max_dist).collect()
     out = []
     for k in range(len(cutoffs)):
         own = sorted((r["h"], r["gamma"], r["n_pairs"]) for r in rows if r["cutoff"] == k and r["h"] > 0)
