@@ -1,9 +1,8 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model.
 
-The model is an n-gram model of bytes (order ORDER) of trusted text.  Counts and
-continuation counts are summed by Spark, sharded by n-gram; the model comes from a
-bounded sample of trusted rows (max_docs rows of at most max_chars characters), so
-its size has a bound and it is broadcast.  Every document is scored whole.
+The model is an n-gram model of bytes (order ORDER) of all trusted text.  Counts are summed by
+Spark, sharded by n-gram.  The model holds each distinct n-gram once; these
+grow slowly with the text (by its power of about 0.3), so it is broadcast.  Every document is scored whole.
 
 Each language has its own limit: ``margin`` times the ``quantile`` of the perplexities of all
 trusted documents in that language.  A mean over n bytes scatters as 1 / sqrt(n), so a
@@ -55,12 +54,32 @@ def grams(buffer: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
     return key[at - (order - 1)]
 
 
+#: Grams that a task holds beside those it has added up.
+LOOSE = 1 << 22
+
+
 def _count(batches):
+    """gram, count of a task's texts: each of its grams once."""
+    keys, counts, new, size = np.zeros(0, U), np.zeros(0, np.int64), [], 0
+
+    def added():
+        key, count = np.unique(np.concatenate([*new, np.zeros(0, U)]), return_counts=True)
+        both, back = np.unique(np.concatenate([keys, key]), return_inverse=True)
+        out = np.zeros(len(both), np.int64)
+        np.add.at(out, back, np.concatenate([counts, count]))
+        return both, out
+
     for b in batches:
         for _, _, data, offsets in bk.slices(b.column(0)):
             buffer, at, _ = padded(data, offsets)
-            key, count = np.unique(grams(buffer, at, ORDER), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(count.astype(np.int64))], ["gram", "count"])
+            new.append(grams(buffer, at, ORDER))
+            size += len(new[-1])
+            if size > LOOSE:
+                keys, counts = added()
+                new, size = [], 0
+    keys, counts = added()
+    for lo in range(0, len(keys), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + (1 << 16)].astype(np.int64)), pa.array(counts[lo : lo + (1 << 16)])], ["gram", "count"])
 
 
 class Table:
@@ -169,12 +188,10 @@ def trusted_rows(labels: DataFrame) -> DataFrame:
     return labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select(F.col("doc_id").alias("_id")).distinct()
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_chars: int = 20_000) -> Model:
-    """Fits the model on the max_docs trusted rows (of at most max_chars) with the smallest hash of doc_id."""
-    fitting = docs.filter(F.length("text") <= max_chars).select("doc_id", F.xxhash64("doc_id").alias("_order")).join(trusted_rows(labels), F.col("doc_id") == F.col("_id"), "left_semi")
-    few = fitting.orderBy("_order", "doc_id").limit(max_docs)  # bounded by max_docs
-    sample = docs.filter(F.length("text") <= max_chars).join(F.broadcast(few), "doc_id", "left_semi").select("text")
-    counts = map_arrow(sample, _count, "gram long, count long").groupBy("gram").agg(F.sum("count").alias("count")).toArrow()
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fits the model on the whole texts of all trusted rows."""
+    texts = docs.join(trusted_rows(labels), F.col("doc_id") == F.col("_id"), "left_semi").select("text")
+    counts = map_arrow(texts, _count, "gram long, count long").groupBy("gram").agg(F.sum("count").alias("count")).toArrow()
     return Model(counts.column(0).to_numpy().astype(U), counts.column(1).to_numpy())
 
 
@@ -196,9 +213,9 @@ def limits(scored: DataFrame, labels: DataFrame, quantile: float = 0.99, margin:
     return trusted.groupBy("lang").agg(limit().alias("threshold")), float("inf") if every is None else every
 
 
-def classify(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_chars: int = 20_000, quantile: float = 0.99, margin: float = 1.15) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin: float = 1.15) -> DataFrame:
     """doc_id, row_key, lang, n_bytes, perplexity, threshold, kept for every row of docs (doc_id, text, lang)."""
-    scored = score(docs, train(docs, labels, max_docs, max_chars))
+    scored = score(docs, train(docs, labels))
     by_lang, otherwise = limits(scored, labels, quantile, margin)
     by_lang = written(by_lang, "limits")
     joined = scored.join(by_lang.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")

@@ -282,3 +282,26 @@ def test_of_rows_that_share_an_id_one_stays(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     some = {tuple(corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, schema).repartition(n), "").filter("doc_id = 1").first()) for n in (1, 2, 5)}
     assert len(some) == 1
+
+
+def test_quality_model_counts_all_trusted_text(spark, monkeypatch):
+    """Every trusted row, also a long one and those beyond any number, counts whole."""
+    import numpy as np
+
+    from fieldkrig.llm import kn_classifier as kn
+
+    monkeypatch.setattr(kn, "LOOSE", 1000)
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abcde \n"), 6)) for _ in range(3500)] + ["xyz" * 10_000, None, "", "untrusted"]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(len(texts) - 1)] + [(0, 1, 0), (len(texts) - 1, 0, 0)], "doc_id long, quality int, toxic int")
+    want: dict = {}
+    for t in texts[:-1]:
+        b = bytes([kn.PAD] * 4) + (t or "").encode()
+        for i in range(4, len(b)):
+            g = int.from_bytes(b[i - 4 : i + 1], "big")
+            want[g] = want.get(g, 0) + 1
+    seen = {}
+    monkeypatch.setattr(kn, "Model", lambda keys, counts: seen.update(zip(keys.tolist(), counts.tolist())))
+    kn.train(docs, labels)
+    assert seen == want
