@@ -54,8 +54,8 @@ def grams(buffer: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
     return key[at - (order - 1)]
 
 
-#: Grams that a task holds beside those it has added up.
-LOOSE = 1 << 22
+#: Grams that a task holds beside those it has added up; ids of trusted rows that are broadcast.
+LOOSE, TRUSTED = 1 << 22, 5_000_000
 
 
 def _count(batches):
@@ -190,7 +190,8 @@ def trusted_rows(labels: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits the model on the whole texts of all trusted rows."""
-    texts = docs.join(trusted_rows(labels), F.col("doc_id") == F.col("_id"), "left_semi").select("text")
+    # Texts stay where they are read; beyond that many ids the join shuffles them.
+    texts = docs.join(small_side(trusted_rows(labels), TRUSTED), F.col("doc_id") == F.col("_id"), "left_semi").select("text")
     counts = map_arrow(texts, _count, "gram long, count long").groupBy("gram").agg(F.sum("count").alias("count")).toArrow()
     return Model(counts.column(0).to_numpy().astype(U), counts.column(1).to_numpy())
 
