@@ -1,7 +1,8 @@
-"""Experimental variograms: sums over pairs of blocks by lag; pairs become rows in the cloud only."""
+"""Experimental variograms: sums over pairs by lag, from cells where sums of products do (plans/cellsums.py), else from pairs of blocks; pairs become rows in the cloud only."""
 
 from __future__ import annotations
 
+import functools
 import math
 import sys
 
@@ -12,12 +13,15 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidParameter
 from ..plans.blocks import Pairs, blocks, middle_values, sum_pairs
+from ..plans.cellsums import product_sums
 from ..plans.pairs import pair_join
 from ..sources.points import coords, diagonal
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DOWD = 0.674489750196082
+#: Groups that are taken one by one at most.
+GROUPS = 8
 ESTIMATORS = ("matheron", "cressie", "dowd", "madogram")
 
 
@@ -98,8 +102,10 @@ def experimental_variogram(df: DataFrame, n_lags: int = 15, max_dist: float | No
         lag, dz = increments(pairs)
         yield lag, 1, n_lags, 0, [pairs.d, term_np(estimator, dz)]
 
-    packed, _ = blocks(df, max_dist, ("value",))
-    found = sum_pairs(packed, ("value",), kernel, 2)
+    found = product_sums(df, max_dist, n_lags, ("value",), [(0, 0)]) if estimator == "matheron" and azimuth is None else None
+    if found is None:
+        packed, _ = blocks(df, max_dist, ("value",))
+        found = sum_pairs(packed, ("value",), kernel, 2)
     binned = found.select(F.col("bin").cast("int").alias("lag"), (F.col("sums")[0] / F.col("n")).alias("h"), gamma_of(estimator, F.col("sums")[1] / F.col("n"), F.col("n")).alias("gamma"), F.col("n").alias("n_pairs"))
     if estimator == "dowd":
         medians = middle_values(packed, ("value",), increments, n_lags)
@@ -133,6 +139,17 @@ def grouped_variograms(df: DataFrame, group: str, n_lags: int, max_dist: float)
         dz = pairs.b["value"] - pairs.a["value"]
         yield pairs.lag(max_dist, n_lags), 1, n_lags, 0, [pairs.d, 0.5 * dz * dz]
 
+    some = [r[0] for r in df.select(group).distinct().limit(GROUPS + 1).collect()]
+    if len(some) <= GROUPS:  # groups by themselves, where each has points enough
+        found = []
+        for g in (g for g in some if g is not None):
+            own = product_sums(df.filter(F.col(group) == F.lit(g)), max_dist, n_lags, ("value",), [(0, 0)])
+            if own is None:
+                break
+            found.append(own.select(F.lit(g).cast(df.schema[group].dataType).alias(group), F.col("bin").cast("int").alias("lag"), (F.col("sums")[0] / F.col("n")).alias("h"), (F.col("sums")[1] / F.col("n")).alias("gamma"), F.col("n").alias("n_pairs")))
+        else:
+            if found:
+                return functools.reduce(DataFrame.unionAll, found)
     return _lags(df, max_dist, kernel, within=(group,)).select(group, F.col("bin").cast("int").alias("lag"), "h", F.col("mean").alias("gamma"), "n_pairs")
 
 
@@ -146,8 +163,11 @@ def indicator_variograms(df: DataFrame, cutoffs: list[float], n_lags: int, max_d
             terms.append(0.5 * (b - a) ** 2)
         yield pairs.lag(max_dist, n_lags), 1, n_lags, 0, [pairs.d, *terms]
 
-    packed, _ = blocks(df, max_dist, ("value",))
-    found = sum_pairs(packed, ("value",), kernel, 1 + len(cutoffs))
+    coded = df.select("id", *coords(df), *[F.when(~F.isnan("value"), (F.col("value") <= F.lit(float(c))).cast("double")).alias(f"_i{k}") for k, c in enumerate(cutoffs)])
+    found = product_sums(coded, max_dist, n_lags, tuple(f"_i{k}" for k in range(len(cutoffs))), [(k, k) for k in range(len(cutoffs))])
+    if found is None:
+        packed, _ = blocks(df, max_dist, ("value",))
+        found = sum_pairs(packed, ("value",), kernel, 1 + len(cutoffs))
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("cutoff"), (F.col("sums")[k + 1] / F.col("n")).alias("gamma")) for k in range(len(cutoffs))]))
     rows = found.select("bin", "n", (F.col("sums")[0] / F.col("n")).alias("h"), each.alias("_c"))
     return rows.select("_c.cutoff", F.col("bin").cast("int").alias("lag"), "h", "_c.gamma", F.col("n").alias("n_pairs"))
@@ -186,8 +206,10 @@ def collocated_variograms(df: DataFrame, n_lags: int, max_dist: float, a: str =
         da, db = pairs.b[a] - pairs.a[a], pairs.b[b] - pairs.a[b]
         yield pairs.lag(max_dist, n_lags), 1, n_lags, 0, [pairs.d, 0.5 * da * da, 0.5 * db * db, 0.5 * da * db]
 
-    packed, _ = blocks(df, max_dist, (a, b))
-    found = sum_pairs(packed, (a, b), kernel, 4)
+    found = product_sums(df, max_dist, n_lags, (a, b), [(0, 0), (1, 1), (0, 1)])
+    if found is None:
+        packed, _ = blocks(df, max_dist, (a, b))
+        found = sum_pairs(packed, (a, b), kernel, 4)
     return found.select(F.col("bin").cast("int").alias("lag"), *[(F.col("sums")[i] / F.col("n")).alias(c) for i, c in enumerate(("h", "gamma_a", "gamma_b", "gamma_ab"))], F.col("n").alias("n_pairs"))
 
 
